@@ -23,6 +23,12 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corollary.llm import packing
+
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files pass from the writer to the reader as a column; neither sees the other's state."""
     from corollary.llm import media
@@ -38,5 +44,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_secrets, op8_media, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_secrets, op5_packing, op8_media, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {}
