@@ -29,6 +29,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corollary.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    net = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, net).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files pass from the writer to the reader as a column; neither sees the other's state."""
     from corollary.llm import media
@@ -44,5 +52,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_secrets, op5_packing, op8_media, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_secrets, op5_packing, op6_quality, op8_media, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {}
