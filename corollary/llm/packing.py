@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from functools import lru_cache
 
@@ -37,8 +38,8 @@ CAPACITY = 1024
 END = 2
 GROUP = 8192
 NODES = 3000
-FILLINGS = 64
-CACHE = 400_000
+FILLINGS = 16
+CACHE = 600_000
 
 
 def default_path() -> str:
@@ -47,15 +48,22 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Byte-level BPE writes each byte as a letter: printable bytes as themselves, the others as the
+#: characters from 256 on.
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
 # ---- tokens -------------------------------------------------------------------------------------
 
 
 class WordTokenizer:
     """Ids of texts as little-endian 32-bit numbers. ``words`` has those of a word with the space
-    before it."""
+    before it, ``parts`` those of what follows a seam inside a word."""
 
     _UNSURE = re.compile(r"\s ")
     _SEAM = re.compile(r"(?<=\S) ")
+    #: More places where the pattern always has a boundary: a letter before ASCII punctuation or
+    #: white space, and both sides of a line break between other characters.
+    _INNER = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[\n -/:-@\[-`{-~])|(?<=\S)(?=\n)|(?<=\S\n)(?=\S)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -63,24 +71,42 @@ class WordTokenizer:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words that are not in ``words``. Both tables stop growing when they are full:
+        they then have the words seen first, the frequent ones among them."""
+        cut = [self._INNER.split(w) for w in words]
+        heads = {c[0] for c in cut}
+        tails = {p for c in cut for p in c[1:]}
+        head = {h: self.words[h] for h in heads if h in self.words}
+        tail = {t: self.parts[t] for t in tails if t in self.parts}
+        ask_heads, ask_tails = sorted(heads - head.keys()), sorted(tails - tail.keys())
+        # letters alone are one match of the pattern, so the model needs no splitting before it
+        plain = [h for h in ask_heads if h.isalpha()]
+        other = [h for h in ask_heads if not h.isalpha()]
+        one = self.model.model.tokenize
+        for h in plain:
+            head[h] = array("I", [t.id for t in one("Ġ" + (h if h.isascii() else h.encode().decode("latin-1").translate(BYTE_LETTERS)))]).tobytes()
+        got = self._encode([" " + h for h in other] + ask_tails)
+        head.update(zip(other, got))
+        tail.update(zip(ask_tails, got[len(other) :]))
+        out = {w: b"".join((head[c[0]], *map(tail.__getitem__, c[1:]))) for w, c in zip(words, cut)}
+        for kept, found in ((self.words, head), (self.words, out), (self.parts, tail)):
+            if len(kept) + len(found) <= CACHE:
+                kept.update(found)
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [(self._SEAM.split(t) if self._UNSURE.search(t) else t.split(" ")) if t else [""] for t in texts]
-        wanted = set()
-        for words in cut:
-            wanted.update(words[1:])
-        new = sorted(wanted - self.words.keys())
-        got = dict(zip(new, self._encode([" " + w for w in new])))
-        if len(self.words) + len(new) <= CACHE:
-            self.words.update(got)
-            known = self.words
-        else:  # full of words seen early, the frequent ones among them: these serve this call alone
-            known = {w: self.words[w] for w in wanted if w in self.words} | got
         first = self._encode([words[0] for words in cut])
-        return [a + b"".join(map(known.__getitem__, words[1:])) for a, words in zip(first, cut)]
+        found = [list(map(self.words.get, words[1:])) for words in cut]
+        missing = {w for words, ids in zip(cut, found) if None in ids for w, i in zip(words[1:], ids) if i is None}
+        new = self._new(sorted(missing))
+        return [a + b"".join(ids if None not in ids else [i if i is not None else new[w] for w, i in zip(words[1:], ids)]) for a, words, ids in zip(first, cut, found)]
 
 
 @lru_cache(maxsize=2)
@@ -191,7 +217,7 @@ def fillings(counts: Counter, room: int, waste: int, most: int = FILLINGS) -> li
     found.sort(key=lambda f: (-sum(f), len(f), f))
     kept: list[tuple[int, ...]] = []
     for f in found:
-        if len(f) > 6 or not any(len(g) <= 6 and g != f and holds(g, f) for g in kept):
+        if not any(len(g) <= len(f) <= 4 and holds(g, f) for g in kept):
             kept.append(f)
     return kept
 
@@ -199,6 +225,11 @@ def fillings(counts: Counter, room: int, waste: int, most: int = FILLINGS) -> li
 def complete(counts: Counter, capacity: int = CAPACITY, nodes: int = NODES) -> list[list[int]]:
     """Bins (lists of sizes) for a multiset of sizes, by bin completion from the best-fit incumbent."""
     counts = Counter({s: n for s, n in counts.items() if n > 0})
+    whole = [[capacity]] * counts.pop(capacity, 0)
+    return whole + _search(counts, capacity, nodes)
+
+
+def _search(counts: Counter, capacity: int, nodes: int) -> list[list[int]]:
     best = best_fit(counts, capacity)
     bound = lower_bound(counts, capacity)
     total = sum(s * n for s, n in counts.items())
@@ -239,7 +270,8 @@ def complete(counts: Counter, capacity: int = CAPACITY, nodes: int = NODES) -> l
             if len(bins) < len(best):
                 best = [list(b) for b in bins]
             continue
-        need = len(bins) + max(-(-sum(s * n for s, n in rest.items()) // capacity), lower_bound(rest, capacity) if len(rest) < 64 else 0)
+        left_over = total - (len(bins) * capacity - waste)
+        need = len(bins) + max(-(-left_over // capacity), lower_bound(rest, capacity) if len(rest) < 32 else 0)
         if need < len(best):
             descend()
     return best
