@@ -23,6 +23,32 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corollary.llm import near_dup
+
+    return near_dup.linked(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN ws
+    ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS sh
+  FROM w
+), u AS (SELECT doc_id, unnest(sh) AS g FROM s),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM u x JOIN u y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (
+  SELECT a, b FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b
+  WHERE 100 * n >= 80 * (len(x.sh) + len(y.sh) - n)
+), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, len(sh)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN m ON a = doc_id
+"""
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corollary.llm import packing
 
@@ -76,5 +102,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_secrets, op5_packing, op6_quality, op7_topk, op8_media, op10_bpe)}
-ORACLE_SQL: dict[str, str] = {"op7_topk": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_secrets, op3_near_dup, op5_packing, op6_quality, op7_topk, op8_media, op10_bpe)}
+ORACLE_SQL: dict[str, str] = {"op3_near_dup": OP3_SQL, "op7_topk": OP7_SQL}
