@@ -8,6 +8,11 @@ Multi-index: the slots are split into CHUNKS chunks of WIDE slots. Two signature
 enumerated by leaving out each slot of a chunk in turn, so such a pair shares one of SLOTS keys for
 certain. Pairs beyond the radius may be found as well and are not turned away before distance FAR.
 
+A sketch of BITS parities goes with a signature: each element of the set flips one bit. Two sketches
+differ in at most as many bits as the sets have elements that are not common, so a pair whose sketches
+differ in more bits than a link allows is no link for certain; where the sets are large against BITS
+the expected count and six deviations take that bound's place (``_allowed``).
+
 A pair of similarity s misses all keys with probability (1 - p) ** CHUNKS, where p = s ** WIDE +
 WIDE * s ** (WIDE - 1) * (1 - s): 3e-6 at 0.8, the lowest that can be linked.
 
@@ -17,7 +22,7 @@ Work that copies would make quadratic is avoided in steps, none of which loses a
 2. in each bucket of a key all classes are compared with one pivot, the class that shares most keys
    with others; confirmed links give components;
 3. only buckets that still hold several components are searched for pairs of different components,
-   in blocks of BLOCK classes whose signatures meet as matrices; pairs within FAR go on;
+   in blocks of BLOCK classes whose sketches meet as matrices; pairs that pass go on;
 4. every candidate is confirmed on the full sets, 100 * intersection >= percent * union.
 
 Components grow by rounds of the smallest neighbour's label and pointer jumping in Spark; no link,
@@ -39,6 +44,7 @@ SLOTS = CHUNKS * WIDE
 RADIUS = 2 * CHUNKS - 1
 FAR = 32
 BLOCK = 512
+BITS = 1024
 
 _rng = np.random.default_rng(20)
 _FLIP = _rng.integers(0, 1 << 63, SLOTS, dtype=np.uint64)
@@ -87,14 +93,41 @@ def _signatures(h: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
+def _parities(h: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """BITS / 8 bytes for each set."""
+    n = len(start) - 1
+    out = np.zeros((n, BITS // 8), np.uint8)
+    for i in range(0, n, 512):
+        j = min(n, i + 512)
+        part = mix(h[start[i] : start[j]])
+        doc = np.repeat(np.arange(j - i), np.diff(start[i : j + 1]))
+        count = np.bincount(doc * BITS + (part % U64(BITS)).astype(np.int64), minlength=(j - i) * BITS)
+        out[i:j] = np.packbits((count & 1).astype(np.uint8).reshape(j - i, BITS), axis=1)
+    return out
+
+
+def _allowed(n: np.ndarray, percent: int) -> np.ndarray:
+    """The most bits in which the sketches of linked sets, of n elements together, differ: what is
+    not common are (100 - percent) / (100 + percent) of n at most."""
+    most = np.floor(n * (100 - percent) / (100 + percent))
+    odd = (1 - np.exp(-2 * most / BITS)) / 2
+    return np.minimum(most, BITS * odd + 6 * np.sqrt(BITS * odd * (1 - odd)) + 1)
+
+
+def _split(column: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures and sketches (as 64-bit words)."""
+    both = np.frombuffer(b"".join(column), np.uint8).reshape(-1, 2 * SLOTS + BITS // 8)
+    return np.ascontiguousarray(both[:, : 2 * SLOTS]).view("<u2"), np.ascontiguousarray(both[:, 2 * SLOTS :]).view("<u8")
+
+
 def signatures(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """id, n (size of the set), set_a, set_b (128 bits of the set), sig."""
+    """id, n (size of the set), set_a, set_b (128 bits of the set), sig (signature and sketch)."""
 
     def rows(ids, texts):
         h, start = shingle_sets(texts, k)
         sums = [np.concatenate([[U64(0)], np.cumsum(mix(h ^ U64(s)), dtype=np.uint64)]) for s in (0x51, 0xA7)]
         a, b = (np.asarray(s[start[1:]] - s[start[:-1]]).astype(np.int64) for s in sums)
-        return {"id": ids, "n": np.diff(start).tolist(), "set_a": a.tolist(), "set_b": b.tolist(), "sig": [s.tobytes() for s in _signatures(h, start)]}
+        return {"id": ids, "n": np.diff(start).tolist(), "set_a": a.tolist(), "set_b": b.tolist(), "sig": [s.tobytes() + p.tobytes() for s, p in zip(_signatures(h, start), _parities(h, start))]}
 
     return map_rows(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), ["id", "text"], "id long,n long,set_a long,set_b long,sig binary", rows, by="text")
 
@@ -106,7 +139,7 @@ def keys(classes: DataFrame) -> DataFrame:
         for batch in batches:
             ids = np.asarray(batch.column("id"))
             for i in range(0, len(ids), 4096):
-                sig = np.frombuffer(b"".join(batch.column("sig").slice(i, 4096).to_pylist()), "<u2").reshape(-1, CHUNKS, WIDE).astype(np.uint64)
+                sig = _split(batch.column("sig").slice(i, 4096).to_pylist())[0].reshape(-1, CHUNKS, WIDE).astype(np.uint64)
                 out = np.empty((len(sig), CHUNKS, WIDE), np.uint64)
                 for w in range(WIDE):
                     h = np.zeros((len(sig), CHUNKS), np.uint64) + (np.arange(CHUNKS, dtype=np.uint64) * U64(WIDE) + U64(w + 1))
@@ -128,11 +161,12 @@ def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, SLOTS) for c in ("s_a", "s_b"))
-                ok = pa.array((x != y).sum(axis=1) <= FAR)
-                yield batch.select(["a", "b"]).filter(ok)
+                (x, p), (y, q) = (_split(batch.column(c).to_pylist()) for c in ("s_a", "s_b"))
+                n = np.asarray(batch.column("n_a")) + np.asarray(batch.column("n_b"))
+                ok = ((x != y).sum(axis=1) <= FAR) & (np.bitwise_count(p ^ q).sum(axis=1) <= _allowed(n, percent))
+                yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    return both.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long,b long")
+    return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long,b long")
 
 
 def _confirmed(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
@@ -186,13 +220,16 @@ def _between(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     def meet(t: pa.Table) -> pa.Table:
         own, ids, comp, n = (np.asarray(t.column(c)) for c in ("own", "id", "component", "n"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, SLOTS)
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        sig, bits = _split(t.column("sig").to_pylist())
+        one_block = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        names, count = np.unique(comp, return_counts=True)
+        large = comp == names[count.argmax()]  # pairs are sought from the other components' side
         a, b = [], []
-        for x in left:
-            y = right[comp[right] != comp[x]] if i != j else right[(comp[right] != comp[x]) & (ids[right] > ids[x])]
+        for x in np.flatnonzero(~large):
+            ok = (comp != comp[x]) & (large | (ids > ids[x]))
+            y = np.flatnonzero(ok if one_block else ok & (own != own[x]))
             y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
+            y = y[np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1) <= _allowed(n[y] + n[x], percent)]
             y = y[(sig[y] != sig[x]).sum(axis=1) <= FAR]
             a.append(np.minimum(ids[y], ids[x]))
             b.append(np.maximum(ids[y], ids[x]))
