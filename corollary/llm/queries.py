@@ -95,6 +95,28 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.described(files, keep=["n_bytes"])
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corollary.llm import substring
+
+    return substring.removed(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)
+), f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM g),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM f WHERE least < doc_id),
+r AS (SELECT doc_id, list(p) AS ps FROM c GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN ps IS NULL THEN ws ELSE list_transform(list_filter(range(1, len(ws) + 1), lambda i: NOT list_contains(ps, i)), lambda i: ws[i]) END, ' '), '')) AS kept_sha256
+FROM w LEFT JOIN r ON r.doc_id = w.doc_id
+"""
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corollary.llm import bpe
 
@@ -102,5 +124,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_secrets, op3_near_dup, op5_packing, op6_quality, op7_topk, op8_media, op10_bpe)}
-ORACLE_SQL: dict[str, str] = {"op3_near_dup": OP3_SQL, "op7_topk": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_secrets, op3_near_dup, op5_packing, op6_quality, op7_topk, op8_media, op9_substring, op10_bpe)}
+ORACLE_SQL: dict[str, str] = {"op3_near_dup": OP3_SQL, "op7_topk": OP7_SQL, "op9_substring": OP9_SQL}
