@@ -49,6 +49,12 @@ SELECT doc_id, len(sh)::BIGINT AS n_shingles, component_id, doc_id = component_i
 """
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corollary.llm import html_text
+
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corollary.llm import packing
 
@@ -124,5 +130,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_secrets, op3_near_dup, op5_packing, op6_quality, op7_topk, op8_media, op9_substring, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_secrets, op3_near_dup, op4_html, op5_packing, op6_quality, op7_topk, op8_media, op9_substring, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {"op3_near_dup": OP3_SQL, "op7_topk": OP7_SQL, "op9_substring": OP9_SQL}
