@@ -116,10 +116,16 @@ def runs_hash(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the cluster's spark.checkpoint.dir; only where
+    none is set (tests) one is set here."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints"
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files that all executors share. The folder is the cluster's
-    spark.checkpoint.dir; only where none is set (tests) one is set here."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+    """Cut the lineage with files that all executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
