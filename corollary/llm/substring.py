@@ -201,10 +201,15 @@ def _covered(words: Words, i: int, starts: np.ndarray, edges: np.ndarray, at: np
     return np.cumsum(step)[:n] > 0
 
 
-def _with_paths(df: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    spans = compacted(paths(df, k, id_col, text_col), "_doc")
-    flat = spans.select("_doc", F.col("paths.start").alias("_starts"), F.col("paths.edges").alias("_edges"))
-    return df.join(flat, F.col(id_col).cast("long") == F.col("_doc"), "left").drop("_doc")
+def _with_paths(df: DataFrame, k: int, id_col: str, text_col: str) -> tuple[DataFrame, str, str]:
+    """The rows with their paths' starts and edges, in two columns whose names are new to df."""
+    free = "_"
+    while any(c.lower().startswith(free) for c in df.columns):
+        free += "_"
+    doc, starts, edges = f"{free}doc", f"{free}starts", f"{free}edges"
+    spans = compacted(paths(df, k, id_col, text_col), doc)
+    flat = spans.select(doc, F.col("paths.start").alias(starts), F.col("paths.edges").alias(edges))
+    return df.join(flat, F.col(id_col).cast("long") == F.col(doc), "left").drop(doc), starts, edges
 
 
 def _cover_of(texts, starts, edges, k):
@@ -231,8 +236,8 @@ def removed(df: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "
             out["kept_sha256"].append(hashlib.sha256(b" ".join(kept)).hexdigest())
         return out
 
-    both = _with_paths(df.select(F.col(id_col).cast("long").alias(id_col), text_col), k, id_col, text_col)
-    return map_rows(both, [id_col, text_col, "_starts", "_edges"], f"{id_col} long,n_words long,n_removed long,kept_sha256 string", rows, by=text_col)
+    both, at, count = _with_paths(df.select(F.col(id_col).cast("long").alias(id_col), text_col), k, id_col, text_col)
+    return map_rows(both, [id_col, text_col, at, count], f"{id_col} long,n_words long,n_removed long,kept_sha256 string", rows, by=text_col)
 
 
 def cut(df: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,11 +245,12 @@ def cut(df: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text
     without repeats stay as they are. Other columns pass unchanged."""
     names, schema = df.columns, df.schema
     at_text = names.index(text_col)
+    both, at_start, at_edges = _with_paths(df, k, id_col, text_col)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, at_text):
-                texts, starts, edges = (part.column(c).to_pylist() for c in (text_col, "_starts", "_edges"))
+                texts, starts, edges = (part.column(c).to_pylist() for c in (text_col, at_start, at_edges))
                 words, place, cover = _cover_of(texts, starts, edges, k)
                 for i, gone in cover.items():
                     j = place[i]
@@ -259,7 +265,7 @@ def cut(df: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text
                 field = part.schema.field(at_text)
                 yield part.set_column(at_text, field, pa.array(texts, field.type)).select(names)
 
-    return _with_paths(df, k, id_col, text_col).mapInArrow(run, schema)
+    return both.mapInArrow(run, schema)
 
 
 def spans(found: DataFrame, k: int = K) -> DataFrame:
