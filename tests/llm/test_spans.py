@@ -1,0 +1,110 @@
+"""Personal data and secrets: against the patterns themselves."""
+
+import random
+import re
+import time
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from corollary.llm import pii, secrets
+
+TEXTS = st.text(st.sampled_from("a1@.+- 20()9=:Aéf\n"), max_size=60)
+
+
+def base_pii(t):
+    ok = lambda s: 13 <= len(d := re.sub("[^0-9]", "", s)) <= 19 and pii.luhn(d)
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m.group().split("."))]
+    out += [("card", m.start(), m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if ok(m.group())]
+    return out + [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+
+
+def base_secrets(t):
+    out = [("assign", m.start(), m.end()) for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 8]
+    out += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    out += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+    return sorted(out, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+
+
+@settings(max_examples=400, deadline=None)
+@given(TEXTS)
+def test_base_pii(t):
+    assert pii.base_spans(t) == base_pii(t)
+
+
+def test_base_pii_examples():
+    t = "a.b@x.org, 10.0.0.256, 10.0.0.1, 4539 1488 0343 6467, +1 (555) 010-9999, 1.2.3.4.5"
+    assert pii.base_spans(t) == base_pii(t) and {k for k, *_ in pii.base_spans(t)} == set(pii.KINDS)
+    assert pii.base_spans(None) == pii.base_spans("") == []
+    assert pii.base_spans("0" * 6000 + ".1.1.1") == [("ip", 0, 6006)]
+
+
+def test_long_runs_take_linear_time():
+    began = time.time()
+    for t in ("1" * 300_000, "a@" * 100_000, "+1 " * 100_000, "a" * 300_000, "1.1." * 60_000, "token = " * 30_000):
+        pii.base_spans(t)
+        secrets.base_spans(t)
+        pii.candidates(t)
+    assert time.time() - began < 20
+
+
+def test_trees_beat_chance_on_fresh_candidates():
+    model, rng = pii.trained(), np.random.default_rng(99)
+    x, y = [], []
+    while len(y) < 800:
+        before, value, real = pii._example(rng)
+        for c in pii.candidates(f"{before}{value} the"):
+            if c[1] == len(before) and c[2] == len(before) + len(value):
+                x.append(pii.features(f"{before}{value} the", c))
+                y.append(real)
+    chosen, y = model.predict(np.array(x)) >= model.threshold, np.array(y)
+    assert y[chosen].mean() > 0.97 and chosen[y].mean() > 0.6
+
+
+def test_added_spans_keep_off_base_and_prose():
+    model = pii.trained()
+    t = "call: (415) 555-2671 or mail x.y@z.org; look at it. Then 1.2.3 of 2021-2022"
+    (base, every), = pii._all_spans([t], model)
+    assert set(base) <= set(every) and ("phone", 6, 20) in every
+    assert not [s for s in set(every) - set(base) if t[s[1] : s[2]] in ("look at it", "2021-2022", "1.2.3")]
+
+
+def test_redact_and_find(spark):
+    rows = [(1, "x.y@z.org and +1 (555) 010-9999", 5), (2, None, 6), (3, "", 7), (3, "clean text", 8), (None, "10.0.0.1", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans int")
+    assert [tuple(r) for r in pii.redact(df).orderBy("spans").collect()] == [(1, "[EMAIL] and [PHONE]", 5), (2, None, 6), (3, "", 7), (3, "clean text", 8), (None, "[IP]", 9)]
+    found = {(r.doc_id, r.n_email, r.n_phone, r.n_ip, r.spans) for r in pii.find(df).collect()}
+    assert found == {(1, 1, 1, 0, "email:0:9,phone:14:31"), (2, 0, 0, 0, ""), (3, 0, 0, 0, ""), (None, 0, 0, 1, "ip:0:8")}
+    assert pii.find(df.limit(0)).count() == 0 and secrets.find(df.limit(0)).count() == 0 and pii.redact(df.limit(0)).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["token", "PassWord", "ſecret", "api_key", "apikey", "=", ":", " ", '"', "abcdefgh", "AKIA", "ABCDEF012345", "0123456789abcdef0123456789abcdef", "K", "é"]), max_size=12))
+def test_base_secrets(parts):
+    assert secrets.base_spans("".join(parts)) == base_secrets("".join(parts))
+
+
+def test_entropy_windows():
+    rng = random.Random(3)
+    for _ in range(30):  # incremental counts against a fresh count of each window
+        s = "".join(rng.choice("abcXYZ0123456789_") for _ in range(45))
+        want = []
+        for i in range(len(s) - secrets.WINDOW + 1):
+            w = s[i : i + secrets.WINDOW]
+            h = lambda cs: -sum(cs.count(c) / len(cs) * np.log2(cs.count(c) / len(cs)) for c in set(cs)) if cs else 0
+            rich = sum(len(p) >= 3 and h(p) >= secrets.CLASS_BITS - 1e-9 for k in range(3) for p in ["".join(c for c in w if secrets.char_class(c) == k)])
+            if h(w) >= secrets.TOTAL_BITS and rich >= 2:
+                want.append(i)
+        assert [i for i, _ in secrets.hot_windows(s)] == want
+    key = "zQ8xK1vB7nM3pL9tR2wY5cD4fG6hJ0s"
+    t = f"see {key} here, and a/long/path/of/words/only/here or {'ab12' * 8}"
+    spans = secrets.entropy_spans(t, [])
+    assert spans and all(4 <= a and b <= 4 + len(key) for _, a, b in spans)
+    assert secrets.entropy_spans(f"token={key}", secrets.base_spans(f"token={key}")) == []
+
+
+def test_secret_rows(spark):
+    df = spark.createDataFrame([(1, "password = 'abcdefgh1'", 1), (2, None, 2), (2, None, 2)], "doc_id long, text string, kind int")
+    assert sorted((r.doc_id, r.n_assign, r.spans) for r in secrets.find(df).collect()) == [(1, 1, "assign:0:21"), (2, 0, ""), (2, 0, "")]
