@@ -47,13 +47,22 @@ def body(kb, q: CQ, reduce_by_semi_joins: bool = True) -> DataFrame:
     asked = {t.name for t in q.answer if isinstance(t, Var)}
     parts = [scan(kb, a) for a in q.atoms]
     going = reduce_by_semi_joins
+    if going and len(parts) > 1:
+        # an atom's own variables that nobody asks for go before its rows are shuffled: of a key with
+        # many rows one is left by each map task
+        for i, p in enumerate(parts):
+            kept = [c for c in p.columns if c in asked or any(c in o.columns for o in parts[:i] + parts[i + 1 :])]
+            if len(kept) < len(p.columns):
+                parts[i] = p.select(*kept).distinct()
     while going and len(parts) > 1:
         going = False
-        for i, p in enumerate(parts):
-            others = parts[:i] + parts[i + 1 :]
+        for i in range(len(parts) - 1, -1, -1):
+            p, others = parts[i], parts[:i] + parts[i + 1 :]
             shared = {c for c in p.columns if any(c in o.columns for o in others)}
             if (set(p.columns) - shared) & asked:
                 continue
+            # the first atom that has them all: the atoms of a star then meet one host, side by side,
+            # in one partitioning, instead of a chain of nested semi-joins
             host = next((k for k, o in enumerate(others) if shared <= set(o.columns)), None)
             # a variable asked for stays in its host, so nothing that is asked for is lost
             if host is not None:
