@@ -168,6 +168,13 @@ def test_pages(spark):
     assert max(sizes.values()) >= 6  # roles that stand once in each page share a vector
 
 
+def test_template_text_goes_without_names(spark):
+    """Containers that no element or class gives away: the same text in all pages, or links."""
+    page = "<html><body><div id=c1>We are a site about things and nothing else at all, always the same words here</div><div id=c2><ul><li><a href=x>Story {i}</a><li><a href=y>Other {i}</a></ul></div><div id=c3><h1>Head {i}</h1><p>Text {i} of page {i} with some words.</p></div></body></html>"
+    df = spark.createDataFrame([(i, "http://h.org/", page.replace("{i}", str(i))) for i in range(6)], "page_id long, url string, html string")
+    assert {r.text for r in html_text.main_text(df).collect()} == {f"Head {i}\nText {i} of page {i} with some words." for i in range(6)}
+
+
 def test_odd_markup_takes_linear_time():
     for t in ("<a" * 50_000, '<a "' * 30_000, "<!--" * 50_000, "<div>" * 3000, "<li>" * 20_000, "&amp" * 50_000):
         html_text.extract(t, None)
