@@ -176,24 +176,14 @@ def _confirmed(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, k: i
 
     def rows(ids, texts):
         h, start = shingle_sets(texts, k)
-        return {"id": ids, "set": [h[a:b].tobytes() for a, b in zip(start, start[1:])]}
+        return {"id": ids, "set": [h[a:b].view(np.int64) for a, b in zip(start, start[1:])]}
 
     # an id that stands in several rows has one of their sets; the sets of a class are equal
-    sets = map_rows(texts, ["id", "text"], "id long,set binary", rows, by="text")
+    sets = map_rows(texts, ["id", "text"], "id long,set array<long>", rows, by="text")
     first = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     both = first.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                at = np.searchsorted(x, y)
-                common = int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long,b long")
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    return both.where(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
