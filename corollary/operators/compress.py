@@ -14,7 +14,7 @@ are. A rule that deletes nothing is not accepted.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -53,6 +53,7 @@ class CompressedKB:
     kb: KnowledgeBase
     rules: list[Rule]
     deleted: DataFrame  # rel, s, o, step (1 for the first rule)
+    emptied: dict[str, int] = field(default_factory=dict)  # relations without a fact from that step on
 
     def at_level(self, k: int | None = None) -> KnowledgeBase:
         """The facts kept after the first k rules."""
@@ -60,7 +61,10 @@ class CompressedKB:
         return self.kb.without(gone.select("rel", "s", "o"))
 
     def rewritten(self, q: CQ, k: int | None = None) -> UCQ:
-        return rewrite(q, self.rules[:k])
+        """The union for q at level k, without members that read an emptied relation (one stays)."""
+        union = rewrite(q, self.rules[:k])
+        gone = {rel for rel, step in self.emptied.items() if k is None or step <= k}
+        return tuple(m for m in union if not any(a.rel in gone for a in m.atoms)) or union[:1]
 
     def answer(self, q: CQ, k: int | None = None, semi: bool = True) -> DataFrame:
         return answer(self.at_level(k), self.rewritten(q, k), semi)
@@ -89,6 +93,7 @@ def compress(kb: KnowledgeBase, rules: list[Rule], patience: int = PATIENCE, mos
     """Apply exact rules in order. ``patience``: so many rules in a row without effect end the run."""
     accepted: list[Rule] = []
     deltas: list[DataFrame] = []
+    emptied: dict[str, int] = {}
     idle = 0
     alive = kb
     for rule in rules:
@@ -112,10 +117,12 @@ def compress(kb: KnowledgeBase, rules: list[Rule], patience: int = PATIENCE, mos
         if found:
             accepted, idle = trial, 0
             deltas += found
+            if alive.relation(rel).isEmpty():
+                emptied.setdefault(rel, step)
         else:
             idle += 1
     deleted = reduce(DataFrame.unionByName, deltas) if deltas else kb.spark.createDataFrame([], f"{FACTS}, step int")
-    return CompressedKB(kb, accepted, deleted)
+    return CompressedKB(kb, accepted, deleted, emptied)
 
 
 def _less(kb: KnowledgeBase, rel: str, gone: DataFrame) -> KnowledgeBase:

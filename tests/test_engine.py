@@ -49,6 +49,8 @@ def test_chain_goes_through_deleted_facts(spark):
     small = compress(kb, [P("h(X,Y) :- a(X,Z), b(Z,Y)"), P("g(X,Y) :- h(X,Z), c(Z,Y)")])
     assert deleted(small) == [("g", 1, 4), ("h", 1, 3)]
     assert rows(small.answer(parse_query("g(X,Y)"))) == [(1, 4)]
+    assert small.emptied == {"h": 1, "g": 2} and len(small.rewritten(parse_query("g(X,Y)"))) == 1 and len(small.rewritten(parse_query("g(X,Y)"), 0)) == 1
+    assert rows(small.answer(parse_query("g(X,Y)"), 1)) == [(1, 4)]
     assert rows(small.at_level(1).facts("g")) == [("g", 1, 4)] and rows(small.at_level(0).facts("h")) == [("h", 1, 3)]
     assert [(r.step, r.total_deleted) for r in small.levels().orderBy("step").collect()] == [(1, 1), (2, 2)]
 
