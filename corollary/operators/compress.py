@@ -17,7 +17,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corollary.functions.lineage import checkpoint
@@ -25,7 +25,7 @@ from corollary.operators.recover import closure
 from corollary.plans.fus import rewritable
 from corollary.plans.query import answer, provenance
 from corollary.plans.rewrite import rewrite, rewrite_relation
-from corollary.plans.terms import CQ, UCQ, Atom, Rule
+from corollary.plans.terms import CQ, UCQ, Atom, Rule, parse_rule
 from corollary.sources.kb import FACTS, KnowledgeBase
 
 PATIENCE = 300
@@ -86,7 +86,19 @@ class CompressedKB:
     def save(self, path: str) -> None:
         self.at_level().save(f"{path}/kept")
         self.deleted.write.mode("overwrite").partitionBy("step").parquet(f"{path}/deleted")
-        self.kb.spark.createDataFrame([(i, str(r)) for i, r in enumerate(self.rules)], "i int, rule string").write.mode("overwrite").parquet(f"{path}/rules")
+        spark = self.kb.spark
+        spark.createDataFrame([(i, str(r)) for i, r in enumerate(self.rules)], "i int, rule string").write.mode("overwrite").parquet(f"{path}/rules")
+        spark.createDataFrame([*self.emptied.items()], "rel string, step int").write.mode("overwrite").parquet(f"{path}/emptied")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> CompressedKB:
+        """A saved base; the original is the kept and the deleted facts together."""
+        kept = KnowledgeBase.load(spark, f"{path}/kept")
+        deleted = spark.read.schema(f"{FACTS}, step int").parquet(f"{path}/deleted")
+        gone = deleted.select("rel", "s", "o")
+        whole = KnowledgeBase(spark, {n: kept.relation(n).unionByName(gone.where(F.col("rel") == n).select("s", "o")) for n in kept.names}, kept.dictionary)
+        rules = [parse_rule(r.rule) for r in spark.read.parquet(f"{path}/rules").orderBy("i").collect()]
+        return cls(whole, rules, deleted, {r.rel: r.step for r in spark.read.parquet(f"{path}/emptied").collect()})
 
 
 def compress(kb: KnowledgeBase, rules: list[Rule], patience: int = PATIENCE, most_rules: int = 300, check_rewritable: bool = True) -> CompressedKB:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corollary.functions import setops
 from corollary.operators import fit as fitting
-from corollary.operators.compress import compress, compress_sets
+from corollary.operators.compress import CompressedKB, compress, compress_sets
 from corollary.operators.mine import mine_rules
 from corollary.operators.recover import closure
 from corollary.operators.verify import entails, exact, verify_rules
@@ -55,6 +55,18 @@ def test_chain_goes_through_deleted_facts(spark):
     assert [(r.step, r.total_deleted) for r in small.levels().orderBy("step").collect()] == [(1, 1), (2, 2)]
 
 
+def test_saved_base_answers_and_recovers(spark, tmp_path):
+    kb = kb_of(spark, a={(1, 2)}, b={(2, 3)}, h={(1, 3)})
+    small = compress(kb, [P("h(X,Y) :- a(X,Z), b(Z,Y)")])
+    small.save(f"{tmp_path}/small")
+    back = CompressedKB.load(spark, f"{tmp_path}/small")
+    assert back.rules == small.rules and back.emptied == {"h": 1} and rows(back.kb.facts()) == rows(kb.facts())
+    assert rows(back.answer(parse_query("h(X,Y)"))) == [(1, 3)] and fitting.validate_recovery(back)
+    none = compress(kb, [])
+    none.save(f"{tmp_path}/none")
+    assert rows(CompressedKB.load(spark, f"{tmp_path}/none").at_level().facts()) == rows(kb.facts())
+
+
 def test_second_derivation_counts_behind_a_deleted_body(spark):
     kb = kb_of(spark, a={(1, 2), (1, 5)}, b={(2, 3), (5, 3)}, c={(2, 3)}, h={(1, 3)})
     small = compress(kb, [P("b(X,Y) :- c(X,Y)"), P("h(X,Y) :- a(X,Z), b(Z,Y)")])
