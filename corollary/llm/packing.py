@@ -13,7 +13,8 @@ group of thousands more than without groups. Within a group:
   the undominated fillings of the rest of its bin are enumerated (a filling is dominated if another
   one's pieces could hold its pieces), least waste first; a branch is pruned when the waste so far and
   the waste that it must still have do not allow fewer bins than the incumbent;
-* the search ends at the lower bound or after NODES nodes, and the best incumbent stands.
+* the search ends at the lower bound or after NODES nodes more than the bins of one solution, and the
+  best incumbent stands.
 
 Null and empty texts are one end token. No document is dropped or cut otherwise. Equal rows are
 packed as separate documents. Other columns are not read.
@@ -24,6 +25,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from bisect import bisect_left
 from collections import Counter
 from functools import lru_cache
 
@@ -37,8 +39,9 @@ from corollary.llm.common import map_rows
 CAPACITY = 1024
 END = 2
 GROUP = 8192
-NODES = 3000
-FILLINGS = 16
+NODES = 1000
+FILLINGS = 64
+MANY_SIZES, FULL_ENOUGH = 64, 2
 CACHE = 600_000
 
 
@@ -194,26 +197,37 @@ def holds(outer: tuple[int, ...], inner: tuple[int, ...]) -> bool:
 
 def fillings(counts: Counter, room: int, waste: int, most: int = FILLINGS) -> list[tuple[int, ...]]:
     """Undominated fillings of room that waste at most ``waste``, least waste first; ``most`` of the
-    first found are kept."""
+    first found are kept. Among many sizes a few fillings without any waste are enough."""
     sizes = [s for s in sorted(counts, reverse=True) if counts[s] and s <= room]
+    below = [-s for s in sizes]
     found: list[tuple[int, ...]] = []
-    steps = 0
+    steps, enough = 0, most if len(sizes) < MANY_SIZES else FULL_ENOUGH
 
     def go(i: int, left: int, chosen: tuple[int, ...]) -> None:
-        nonlocal steps
+        nonlocal steps, enough
         steps += 1
-        if steps > 50 * most or len(found) >= most:
+        if steps > 20 * most or len(found) >= most or enough <= 0:
             return
         fits = False
-        for j in range(i, len(sizes)):
+        # the piece that fills the rest, if there is one, comes first: it is the first that fits
+        for j in range(max(i, bisect_left(below, -left)), len(sizes)):
             s = sizes[j]
-            if s <= left and chosen.count(s) < counts[s]:
+            if chosen.count(s) < counts[s]:
                 fits = True
-                go(j, left - s, (*chosen, s))
+                if s == left:
+                    found.append((*chosen, s))
+                    enough -= 1
+                else:
+                    go(j, left - s, (*chosen, s))
+                if enough <= 0:
+                    return
         if not fits and left <= waste:
             found.append(chosen)
+            enough -= left == 0
 
     go(0, room, ())
+    if enough <= 0 and len(sizes) >= MANY_SIZES:  # nothing dominates a filling without waste
+        return sorted((f for f in found if sum(f) == room), key=lambda f: (len(f), f))
     found.sort(key=lambda f: (-sum(f), len(f), f))
     kept: list[tuple[int, ...]] = []
     for f in found:
@@ -233,7 +247,7 @@ def _search(counts: Counter, capacity: int, nodes: int) -> list[list[int]]:
     best = best_fit(counts, capacity)
     bound = lower_bound(counts, capacity)
     total = sum(s * n for s, n in counts.items())
-    left = nodes
+    left = nodes + len(best)  # enough to reach the end once, and to turn back NODES times
     # depth-first: a stack of (fillings still to try, the largest size, waste before this bin)
     rest, bins, stack, waste = Counter(counts), [], [], 0
 
