@@ -7,7 +7,8 @@ on another executor gives the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -116,6 +117,31 @@ def runs_hash(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+class Covered:
+    """Places of a text that spans cover, as disjoint intervals: whether a span meets one is told by a
+    search, so a long text with many spans stays cheap."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]] = ()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        i = bisect_right(self.ends, a)
+        return i < len(self.ends) and self.starts[i] < b
+
+    def add(self, a: int, b: int) -> None:
+        """a:b must meet nothing so far."""
+        i = bisect_right(self.ends, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the cluster's spark.checkpoint.dir; only where
     none is set (tests) one is set here."""

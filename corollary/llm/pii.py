@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corollary.llm.common import map_rows
+from corollary.llm.common import Covered, map_rows
 
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_CANDIDATES = 6000
@@ -264,20 +264,23 @@ def scored_spans(texts: list[str | None], model: BoostedTrees) -> list[list[tupl
     for i, text in enumerate(texts):
         if not text:
             continue
-        base = base_spans(text)
+        base = Covered((a, b) for _, a, b in base_spans(text))
         for c in candidates(text):
-            if not any(c[1] < b and a < c[2] for _, a, b in base):
+            if not base.meets(c[1], c[2]):
                 found.append((i, c))
                 rows.append(features(text, c))
     out: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
     if not rows:
         return out
     p = model.predict(np.array(rows))
+    chosen: dict[int, Covered] = {}
     for k in np.argsort(-p, kind="stable"):
         if p[k] < model.threshold:
             break
         i, (kind, a, b) = found[k]
-        if not any(a < d and c < b for _, c, d, _ in out[i]):
+        taken = chosen.setdefault(i, Covered())
+        if not taken.meets(a, b):
+            taken.add(a, b)
             out[i].append((kind, a, b, float(p[k])))
     return out
 

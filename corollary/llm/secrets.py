@@ -21,7 +21,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corollary.llm.common import map_rows
+from corollary.llm.common import Covered, map_rows
 
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW, MIN_LENGTH, TOTAL_BITS, CLASS_BITS = 20, 20, 3.6, 1.0
@@ -99,9 +99,9 @@ def allowed(s: str) -> bool:
 def entropy_spans(text: str | None, base: list[Span]) -> list[Span]:
     if not text:
         return []
-    out = []
+    out, covered = [], Covered((a, b) for _, a, b in base)
     for m in _CANDIDATE.finditer(text):
-        if any(a < m.end() and m.start() < b for _, a, b in base) or allowed(m.group()):
+        if covered.meets(m.start(), m.end()) or allowed(m.group()):
             continue
         at, last = m.start(), None
         for i, _ in hot_windows(m.group()):

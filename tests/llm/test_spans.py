@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corollary.llm import pii, secrets
+from corollary.llm.common import Covered
 
 TEXTS = st.text(st.sampled_from("a1@.+- 20()9=:Aéf\n"), max_size=60)
 
@@ -108,3 +109,28 @@ def test_entropy_windows():
 def test_secret_rows(spark):
     df = spark.createDataFrame([(1, "password = 'abcdefgh1'", 1), (2, None, 2), (2, None, 2)], "doc_id long, text string, kind int")
     assert sorted((r.doc_id, r.n_assign, r.spans) for r in secrets.find(df).collect()) == [(1, 1, "assign:0:21"), (2, 0, ""), (2, 0, "")]
+
+
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 8))), st.lists(st.tuples(st.integers(0, 40), st.integers(1, 8))))
+def test_covered_places(first, later):
+    spans = [(a, a + n) for a, n in first]
+    covered = Covered(spans)
+    for a, n in later:
+        meets = any(c < a + n and a < d for c, d in spans)
+        assert covered.meets(a, a + n) == meets
+        if not meets:
+            covered.add(a, a + n)
+            spans.append((a, a + n))
+
+
+def test_many_spans_in_one_text():
+    n = 20_000
+    text = " ".join(f"u{i}@mail.example.org call 555-{i % 900 + 100}-{i:05d}, token: {'x7Qz' * 4}{i}" for i in range(n))
+    began = time.perf_counter()
+    base, every = pii._all_spans([text], pii.trained())[0]
+    assert len(base) == n and set(base) <= set(every)
+    taken = sorted((a, b) for _, a, b in every if _ != "email")
+    assert all(x[1] <= y[0] for x, y in zip(taken, taken[1:]))
+    found = secrets.base_spans(text)
+    assert len(found) == n and secrets.entropy_spans(text, found) == []
+    assert time.perf_counter() - began < 60
