@@ -8,7 +8,8 @@ each shuffle, and no host's pages meet in one task.
 
 A class is valid if its roles stand in enough of the host's pages, each at most once in a page. Valid
 classes nest by their roles' paths: their roles are the host's template, and what stands between them
-are its slots. Roles whose text is the same in all pages are template text. Each other template role
+are its slots. Roles that stand in nearly all pages, with the same text in all of them while the rest of
+their pages differs, are template text. Each other template role
 knows how much text its slot holds over all pages, outside of links and of roles that are boilerplate by
 their element or class (fixed lists below). The host's main slot is the
 deepest container that holds nearly all of that text; an <article> or <main> that holds most of it
@@ -34,7 +35,8 @@ from pyspark.sql import functions as F
 
 from corollary.llm.common import map_rows
 
-#: Share of a host's pages in which a template role stands; share of the text that the main slot holds.
+#: Share of a host's pages in which a template role stands; share of the text that the main slot holds,
+#: and of the pages that have a constant role; share of the text that an article holds.
 SUPPORT, NEARLY_ALL, MOST = 0.5, 0.9, 0.5
 
 #: Parts of a host's pages in the join with its slot.
@@ -182,13 +184,20 @@ def own_main(found, nodes) -> str:
 
 def extract(page: str | None, slot: str | None, fixed: set[str] | frozenset[str] = frozenset()) -> str:
     """The page's main text. slot: its host's main slot, if known; fixed: roles whose text is part of
-    the host's template."""
+    the host's template. If nothing would be left without them, the page is its own template."""
     if not page:
         return ""
     found, nodes = blocks(page)
     paths = _paths(nodes)
     if slot is None or slot not in paths:
         slot = own_main(found, nodes)
+    text = _inside(found, nodes, paths, slot, fixed)
+    if not text and fixed:
+        text = _inside(found, nodes, paths, own_main(found, nodes), frozenset())
+    return text
+
+
+def _inside(found, nodes, paths, slot, fixed) -> str:
     inside = [False] * len(nodes)
     for i, (parent, _, bad) in enumerate(nodes):
         inside[i] = not bad and paths[i] not in fixed and (paths[i] == slot or (i > 0 and inside[parent]))
@@ -203,7 +212,8 @@ def host(url) -> F.Column:
 
 
 def _roles(df: DataFrame) -> DataFrame:
-    """host, role, vector, pages, most (occurrences in a page), chars: sums over a batch's pages."""
+    """host, role, vector, pages, most (occurrences in a page), chars: sums over a batch's pages; the
+    bounds of the hashes of the role's text (least, greatest) and of its pages' text (low, high)."""
 
     def run(batches):
         for batch in batches:
@@ -212,6 +222,7 @@ def _roles(df: DataFrame) -> DataFrame:
                 if not page:
                     continue
                 found, nodes = blocks(page)
+                whole = _page_hash(found, nodes)
                 held: dict[str, list[int]] = {}
                 for path, n, text in zip(_paths(nodes), _held(found, nodes), _text_hashes(found, nodes)):
                     h = held.setdefault(path, [0, 0, 0])
@@ -219,18 +230,20 @@ def _roles(df: DataFrame) -> DataFrame:
                     h[1] += n
                     h[2] = text
                 for path, (count, n, text) in held.items():
-                    s = sums.setdefault((name, path), [0, 0, 0, 0, text, text])
+                    s = sums.setdefault((name, path), [0, 0, 0, 0, text, text, whole, whole])
                     s[0] = (s[0] + key * count) & 0xFFFFFFFFFFFFFFFF
                     s[1] += 1
                     s[2] = max(s[2], count)
                     s[3] += n
                     s[4] = min(s[4], text)
                     s[5] = max(s[5], text)
+                    s[6] = min(s[6], whole)
+                    s[7] = max(s[7], whole)
             rows = list(sums.items())
             vector = np.array([v[0] for _, v in rows], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array(vector, pa.int64()), *(pa.array([v[i] for _, v in rows], pa.int64()) for i in (1, 2, 3, 4, 5))], names=["host", "role", "vector", "pages", "most", "chars", "least", "greatest"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array(vector, pa.int64()), *(pa.array([v[i] for _, v in rows], pa.int64()) for i in (1, 2, 3, 4, 5, 6, 7))], names=["host", "role", "vector", "pages", "most", "chars", "least", "greatest", "low", "high"])
 
-    return df.mapInArrow(run, "host string,role string,vector long,pages long,most long,chars long,least long,greatest long")
+    return df.mapInArrow(run, "host string,role string,vector long,pages long,most long,chars long,least long,greatest long,low long,high long")
 
 
 def _text_hashes(found, nodes) -> list[int]:
@@ -244,23 +257,33 @@ def _text_hashes(found, nodes) -> list[int]:
     return out
 
 
+def _page_hash(found, nodes) -> int:
+    """A hash of the page's text outside boilerplate."""
+    out = 0
+    for node, text, _ in found:
+        if not nodes[node][2]:
+            out = (out * 31 + zlib.crc32(text.encode("utf-8", "replace")) + 1) & 0x7FFFFFFFFFFFFFFF
+    return out
+
+
 def templates(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """host, role, class, size, pages, chars, constant: each host's template roles with their class, and
-    whether a role's text is the same in all pages that have it."""
+    whether a role's text is the same in nearly all pages of the host, two of which have different texts."""
     seed = F.xxhash64(F.col(id_col).cast("string"), F.col(html_col))
     roles = _roles(df.select(host(F.col(url_col)).alias("host"), seed.alias("key"), F.col(html_col).alias("html")))
     # vectors are sums modulo 2 ** 64: decimals hold the partial sums exactly
     total = F.pmod(F.sum(F.col("vector").cast("decimal(38,0)")), F.expr("cast('18446744073709551616' as decimal(38,0))"))
-    merged = roles.groupBy("host", "role").agg(total.cast("string").alias("class"), F.sum("pages").alias("pages"), F.max("most").alias("most"), F.sum("chars").alias("chars"), (F.min("least") == F.max("greatest")).alias("constant"))
+    merged = roles.groupBy("host", "role").agg(total.cast("string").alias("class"), F.sum("pages").alias("pages"), F.max("most").alias("most"), F.sum("chars").alias("chars"), ((F.min("least") == F.max("greatest")) & (F.min("low") < F.max("high"))).alias("same"))
     all_pages = merged.where("role = ''").select("host", F.col("pages").alias("of"))
     valid = merged.join(all_pages, "host").where((F.col("most") == 1) & (F.col("pages") >= SUPPORT * F.col("of")) & (F.col("of") > 1))
     classes = valid.groupBy("host", "class").agg(F.count("*").alias("size"))
-    return valid.join(classes, ["host", "class"]).select("host", "role", "class", "size", "pages", "chars", "constant")
+    return valid.join(classes, ["host", "class"]).select("host", "role", "class", "size", "pages", "chars", (F.col("same") & (F.col("pages") >= NEARLY_ALL * F.col("of"))).alias("constant"))
 
 
 def main_slots(found: DataFrame) -> DataFrame:
-    """host, slot, fixed (constant roles, a line each, if the slot is the whole body). A host's
-    template has at most two roles for each place in one page of its half."""
+    """host, slot, fixed (constant roles, a line each, if the slot is the whole body). Where constant
+    roles hold all text there is no slot: each page is its own template. A host's template has at most
+    two roles for each place in one page of its half."""
 
     def choose(t: pa.Table) -> pa.Table:
         roles = dict(zip(t.column("role").to_pylist(), t.column("chars").to_pylist()))
@@ -268,6 +291,8 @@ def main_slots(found: DataFrame) -> DataFrame:
         if any(_tag(r) in ("html", "body", "article", "main") for r in same):
             same = []  # pages that are all the same have no template to tell
         top = [r for r in same if not any(r.startswith(o + ">") for o in same)]
+        if top and sum(roles[o] for o in top) >= roles.get("", 0):
+            return pa.table({"host": [t.column("host")[0].as_py()], "slot": pa.array([None], pa.string()), "fixed": [""]})
         # what template text holds is no slot's
         slot = main_of({r: (n - sum(roles[o] for o in top if o == r or o.startswith(r + ">")), 0) for r, n in roles.items()})
         fixed = top if _tag(slot) in ("", "html", "body") else []  # what stands inside a content slot stays

@@ -175,6 +175,20 @@ def test_template_text_goes_without_names(spark):
     assert {r.text for r in html_text.main_text(df).collect()} == {f"Head {i}\nText {i} of page {i} with some words." for i in range(6)}
 
 
+def test_own_containers_are_no_template(spark):
+    """Text containers with names of their own: two layouts, ids per page, copies of one page."""
+    page = "<html><body><div {0}><p>{1}</p></div></body></html>".format
+    text = [f"Article {i} tells of {w} and of nothing else." for i, w in enumerate(["hills", "lakes", "roads", "boats"])]
+    rows = [(0, "http://two.org/", page("class=plain", text[0])), (1, "http://two.org/", page("class=wide", text[1]))]
+    rows += [(2 + i, "http://ids.org/", page(f'id="post-{i}"', text[i])) for i in range(2)]
+    rows += [(4 + i, "http://copies.org/", page("class=old", text[0]) if i < 3 else page(f"class=n{i}", text[i - 2])) for i in range(6)]
+    rows += [(10 + i, "http://moved.org/", page("class=old", text[0]).replace("</body>", f"<p>Seen {i}</p></body>") if i < 2 else page(f"class=n{i}", text[i])) for i in range(4)]
+    want = [*text[:2], *text[:2], text[0], text[0], text[0], *text[1:4], f"{text[0]}\nSeen 0", f"{text[0]}\nSeen 1", *text[2:]]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(14)] == want
+    assert html_text.extract(rows[0][2], ">html>body", {">html>body>div.plain"}) == text[0]  # fixed roles never take all
+
+
 def test_odd_markup_takes_linear_time():
     for t in ("<a" * 50_000, '<a "' * 30_000, "<!--" * 50_000, "<div>" * 3000, "<li>" * 20_000, "&amp" * 50_000):
         html_text.extract(t, None)
