@@ -43,7 +43,9 @@ SUPPORT, NEARLY_ALL, MOST = 0.5, 0.9, 0.5
 SALTS = 64
 
 # Elements and class words by what they are.
-RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "svg", "math", "object", "title", "select", "canvas", "audio", "video")
+RAW = ("script", "style", "textarea", "title")
+#: Left out with all inside them, if they are closed.
+EMBEDDED = ("noscript", "template", "iframe", "svg", "math", "object", "select", "canvas", "audio", "video")
 BOILERPLATE = {"nav", "header", "footer", "aside", "form", "head", "menu", "dialog", "button"}
 BOILERPLATE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "banner", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "sidebar", "aside", "footer", "header", "masthead", "cookie", "cookies", "consent", "notice", "notices", "gdpr", "popup", "modal", "overlay", "comment", "comments", "reply", "replies", "disqus", "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe", "signup", "login", "search", "pagination", "pager", "toolbar", "widget"}
 #: A class with one of these names a place of content, whatever else it names.
@@ -58,6 +60,7 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^<>]*)>|<[!?][^>]*>",
     re.S | re.I,
 )
+_PAIRS = {t: re.compile(rf"<(/?){t}(?=[\s/>])((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^<>]*)>", re.I) for t in EMBEDDED}
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -80,6 +83,19 @@ def _role(tag: str, rest: str) -> tuple[str, bool]:
     return name, bad
 
 
+def _closed(page: str, tag: str) -> dict[int, int]:
+    """Where each closed element of this name begins and ends. One that closes itself, or that nothing
+    closes, is no such element: what follows it is the page's."""
+    out, opened = {}, []
+    for m in _PAIRS[tag].finditer(page):
+        if not m.group(1):
+            if not m.group(2).endswith("/"):
+                opened.append(m.start())
+        elif opened:
+            out[opened.pop()] = m.end()
+    return out
+
+
 def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, bool]]]:
     """The page's text blocks as (container, text, characters in links), and its containers as
     (parent, name, boilerplate); container 0 is the page itself. Every piece of text is in one block."""
@@ -98,8 +114,9 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str,
             piece.clear()
             linked = 0
 
-    at = 0
-    for m in _TOKEN.finditer(page):
+    at, closed = 0, {}
+    tokens = _TOKEN.finditer(page)
+    while m := next(tokens, None):
         if m.start() > at:
             piece.append(page[at : m.start()])
             linked += in_link * (m.start() - at)
@@ -108,6 +125,13 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str,
         if not tag:
             continue
         tag = tag.lower()
+        if tag in _PAIRS:
+            if not m.group("end"):
+                if tag not in closed:
+                    closed[tag] = _closed(page, tag)
+                if end := closed[tag].get(m.start()):
+                    at, tokens = end, _TOKEN.finditer(page, end)
+            continue
         if tag == "br":
             piece.append(" ")
         elif tag == "a":

@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -189,6 +190,21 @@ def test_own_containers_are_no_template(spark):
     assert html_text.extract(rows[0][2], ">html>body", {">html>body>div.plain"}) == text[0]  # fixed roles never take all
 
 
+def test_embedded_elements_end():
+    """A self-closed or unclosed element takes no text with it, a closed one all inside it."""
+    page = "<html><body><p>One {0} two.</p><p>Three</p></body></html>".format
+    for t in html_text.EMBEDDED:
+        for tag in (f"<{t} class=icon/>", f'<{t} a=">"/>', f"<{t.upper()} />", f"<{t}>", f"<{t} x='1'>", f"</{t}>", f"<{t}/></{t}>"):
+            assert html_text.extract(page(tag), None) == "One two.\nThree", tag
+            assert html_text.extract(page(f"{tag} and <{t}>no</{t}>"), None) == "One and two.\nThree", tag
+        assert html_text.extract(page(f"<{t} a='</{t}>'>no <{t}>no</{t}> <b>no</b> <{t}/> </p></{t}>"), None) == "One two.\nThree"
+    began = time.perf_counter()
+    html_text.extract("<svg>" * 50_000 + "text" + "<object>a</object><video>" * 20_000, None)
+    assert time.perf_counter() - began < 20
+    for t in html_text.RAW:
+        assert html_text.extract(page(f"<{t}>no"), None) == "One"
+
+
 def test_odd_markup_takes_linear_time():
     for t in ("<a" * 50_000, '<a "' * 30_000, "<!--" * 50_000, "<div>" * 3000, "<li>" * 20_000, "&amp" * 50_000):
         html_text.extract(t, None)
