@@ -101,14 +101,18 @@ GENERATORS = (
 )
 #: Words that come before personal data of each kind.
 CUES = {"email": ("mail", "email", "e-mail", "contact", "write", "schreiben", "correo"), "ip": ("ip", "host", "address", "server", "from"), "card": ("card", "visa", "mastercard", "karte", "carte", "tarjeta", "pay"), "phone": ("tel", "phone", "call", "mobile", "fax", "fon", "llamar", "cell")}
-FEATURES = ("kind_email", "kind_ip", "kind_card", "kind_phone", "length", "digits", "separators", "kinds_of_separator", "groups", "longest_group", "shortest_group", "luhn", "largest_part", "plus", "bracket", "letters", "last_label", "has_at", "spelled_at", "cue", "digit_near", "sentence_number", "date_like")
+#: Words that come before an "at" in prose, endings of domains.
+PROSE = frozenset("a all an and are arrive arrived arrives available be been begin begins best both bought but buy close closed closes code details docs documents eat end ended ends few find first found free game good he held her here him hold hosted i information is it later laugh listed listen live lived lives look looked looking looks made me meet meeting meets met more much news not now one online only open opened opens or out page people posted priced published read run runs sat see seen sell set she shop shown sign sit site sits sold stand stands start started starts stay stayed stays stood stop stopped stops study that them there they this those time up us visit was we website were while work worked working works yet you".split())
+ENDINGS = frozenset("ac at au be biz br ca ch cl cn co com cz de dk edu es eu fi fr gov ie info int io jp kr mil mx net nl nz org pl pt ro ru se uk us".split())
+_LOCAL_PART = re.compile(r"[\w.+-]+")
+FEATURES = ("kind_email", "kind_ip", "kind_card", "kind_phone", "length", "digits", "separators", "kinds_of_separator", "groups", "longest_group", "shortest_group", "luhn", "largest_part", "plus", "bracket", "letters", "last_label", "has_at", "spelled_at", "cue", "digit_near", "sentence_number", "date_like", "domain_ending", "prose_before_at", "marks_in_local")
 _WORD_BEFORE = re.compile(r"([^\W\d_][\w-]*)\W*$")
 
 
 def candidates(text: str) -> list[Span]:
     """Every generator's matches; they may overlap each other and the base spans."""
     out = []
-    if "@" in text or "(at)" in text or "[at]" in text or " dot " in text:
+    if "@" in text or " at " in text or "(at)" in text or "[at]" in text:  # one of them is in every match
         out += [("email", m.start(), m.end()) for m in GENERATORS[0][1].finditer(text)]
     if _DIGIT.search(text):
         for kind, pattern in GENERATORS[1:]:
@@ -126,6 +130,7 @@ def features(text: str, span: Span) -> list[float]:
     word = _WORD_BEFORE.search(before)
     cue = bool(word) and word.group(1).lower() in CUES[kind]
     date = bool(re.fullmatch(r"(?:19|20)?[0-9]{2}([-/.])[01]?[0-9]\1[0-3]?[0-9]|[0-3]?[0-9]([-/.])[01]?[0-9]\2(?:19|20)[0-9]{2}", body))
+    local = _LOCAL_PART.match(body).group() if kind == "email" else ""
     return [
         *(float(kind == k) for k in KINDS), b - a, len(digits), len(seps), len(set(seps)), len(groups),
         max(map(len, groups), default=0), min(map(len, groups), default=0),
@@ -133,6 +138,7 @@ def features(text: str, span: Span) -> list[float]:
         float("+" in body), float("(" in body and ")" in body), sum(c.isalpha() for c in body),
         len(labels[-1]) if labels[-1].isalpha() else 0, float("@" in body), float(" at " in body or "(at)" in body or "[at]" in body),
         float(cue), float(bool(re.search(r"[0-9]\W*$", before[-3:])) or bool(re.match(r"\W*[0-9]", after[:3]))), float(bool(re.match(r"[%€$]|\s*(?:%|€|EUR|USD|km|kg)", after))), float(date),
+        float(kind == "email" and labels[-1].lower() in ENDINGS), float(local.lower() in PROSE), float(bool(re.search(r"[\d_.+-]", local))),
     ]
 
 
@@ -218,8 +224,10 @@ def _example(rng: np.random.Generator) -> tuple[str, str, bool]:
     if real:
         before = str(rng.choice(CUES[kind])) + ": " if rng.random() < 0.4 else word() + " "
         if kind == "email":
-            at, dot = [("@", "."), (" at ", " dot "), ("(at)", "(dot)"), ("[at]", ".")][rng.integers(4)]
-            return before, f"{word()}.{d(2)}{at}{word()}{dot}{rng.choice(['com', 'org', 'net', 'de', 'fr', 'es'])}", True
+            at = ["@", "(at)", "[at]", " (at) ", " [at] ", *[" at "] * 5][rng.integers(10)]
+            dot = [" dot ", "(dot)", "[dot]", " (dot) ", " [dot] ", *["."] * 5][rng.integers(10)]
+            local = [f"{word()}.{d(2)}", f"{word()}.{word()}", f"{word()}_{word()}", f"{word()}{d(2)}", *[word()] * 4][rng.integers(8)]
+            return before, f"{local}{at}{word() + dot if rng.random() < 0.2 else ''}{word()}{dot}{rng.choice(['com', 'org', 'net', 'de', 'fr', 'es'])}", True
         if kind == "ip":
             return before, ".".join(str(v) for v in rng.integers(0, 256, 4)), True
         if kind == "card":
@@ -229,8 +237,14 @@ def _example(rng: np.random.Generator) -> tuple[str, str, bool]:
             return before, sep.join(full[i : i + 4] for i in range(0, 16, 4)), True
         style = rng.integers(5)
         return before, [f"+{d(2)} {d(3)} {d(7)}", f"({rng.integers(2, 10)}{d(2)}) {d(3)}-{d(4)}", f"{rng.integers(2, 10)}{d(2)}-{d(3)}-{d(4)}", f"0{d(3)}/{d(7)}"[:12], f"{rng.integers(2, 10)}{d(2)}.{d(3)}.{d(4)}"][style], True
-    style = rng.integers(11)
+    style = rng.integers(15)
     before = word() + " " if rng.random() < 0.8 else str(rng.choice(["version", "section", "page", "no", "order", "isbn", "look", "meet"])) + " "
+    if style > 10:  # an "at" in prose
+        name, said = str(rng.choice(sorted(PROSE))), word() if rng.random() < 0.5 else str(rng.choice(sorted(PROSE)))
+        return before, [
+            f"{name} at {word()}{'.' if rng.random() < 0.7 else ' dot '}{rng.choice(['com', 'org', 'net', 'de', 'fr', 'es'])}", f"{said} at {rng.integers(1, 24)}.{d(2)}",
+            f"{said} at {word()[: rng.integers(1, 6)]}.{d(rng.integers(1, 3))}", f"{said} at {word()}.{word().capitalize() if rng.random() < 0.5 else rng.choice(sorted(PROSE - ENDINGS))}",
+        ][style - 11], False
     year = f"{rng.integers(1950, 2030)}"
     return before, [
         f"{d(1)}.{d(1)}.{d(1)}", f"{rng.integers(1, 40)}.{d(2)}.{d(1)}.{d(3)}1.{d(2)}", f"{year}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}", f"{rng.integers(1, 29)}.{rng.integers(1, 13)}.{year}",

@@ -72,6 +72,26 @@ def test_added_spans_keep_off_base_and_prose():
     assert not [s for s in set(every) - set(base) if t[s[1] : s[2]] in ("look at it", "2021-2022", "1.2.3")]
 
 
+def test_spelled_out_addresses():
+    """Candidates depend on themselves alone; addresses are told from prose with " at "."""
+    model, more = pii.trained(), " and x.y@z.org"
+    for t in ("john at example.com", "john at example (dot) com", "john at example [dot] com", "jane at example dot org", "jane.doe at mail.example.org", "bob_17 [at] example [dot] com"):
+        for text in (t, f"write to {t}", f"write to {t}{more}"):
+            span = ("email", text.index(t), text.index(t) + len(t))
+            assert span in pii.candidates(text) and span in pii._all_spans([text], model)[0][1], text
+    for t in ("we met at noon.The bus", "look at example.com", "starts at 10.30 today", "priced at 3.50", "look at fig.2 here", "walked at walking.running", "stay at home.they say", "results at p.12"):
+        for text in (t, t + more):
+            assert not [s for s in pii._all_spans([text], model)[0][1] if s[2] <= len(t)], text
+
+
+def test_prose_reaches_training():
+    rng, seen = np.random.default_rng(7), 0
+    for _ in range(2000):
+        before, value, real = pii._example(rng)
+        seen += not real and " at " in value and "@" not in value and any(s[0] == "email" for s in pii.candidates(f"{before}{value} the"))
+    assert seen > 50
+
+
 def test_redact_and_find(spark):
     rows = [(1, "x.y@z.org and +1 (555) 010-9999", 5), (2, None, 6), (3, "", 7), (3, "clean text", 8), (None, "10.0.0.1", 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans int")
