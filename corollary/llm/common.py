@@ -135,6 +135,17 @@ class Covered:
         i = bisect_right(self.ends, a)
         return i < len(self.ends) and self.starts[i] < b
 
+    def gaps(self, a: int, b: int) -> Iterator[tuple[int, int]]:
+        """The parts of a:b that no span covers."""
+        i = bisect_right(self.ends, a)
+        while i < len(self.ends) and self.starts[i] < b:
+            if a < self.starts[i]:
+                yield a, self.starts[i]
+            a = self.ends[i]
+            i += 1
+        if a < b:
+            yield a, b
+
     def add(self, a: int, b: int) -> None:
         """a:b must meet nothing so far."""
         i = bisect_right(self.ends, a)

@@ -6,9 +6,10 @@
   WINDOW characters slides; for each character class (lower case, upper case, digits, other) the
   counts of its characters are kept incrementally, and with them the Shannon entropy of the class
   and of the window. A window whose total entropy is high and in which two classes each have enough
-  entropy of their own is hot; hot windows join into spans of kind ``entropy``. Candidates that fit
-  the allow-list (paths, plain words, UUIDs, version and date strings, repeated units, ...) are
-  suppressed, as is what overlaps a base span. Base spans always stay.
+  entropy of their own is hot; hot windows join into spans of kind ``entropy``. Of a candidate the
+  parts that no base span covers count, each for itself. Those that fit the allow-list (paths, plain
+  words, UUIDs, version and date strings, repeated units, ...) are suppressed; words are of one case
+  or of capitalised pieces. Base spans always stay.
 
 Null and empty texts have no spans; texts are never cut; equal texts have equal spans.
 """
@@ -39,6 +40,11 @@ ALLOWED = tuple(re.compile(p) for p in (
     r"[=_+/-]+",  # rules
     r"(?:[A-Za-z]+[0-9]{0,4}[_/-])+[A-Za-z]*[0-9]{0,4}",  # identifiers with short numbers
 ))
+#: Of these, the ones of letters, which must be words.
+OF_WORDS = (ALLOWED[0], ALLOWED[-1])
+_LETTERS = re.compile(r"[A-Za-z]+")
+#: One case, or capitalised pieces; an abbreviation may stand before or after them.
+_WORD = re.compile(r"[a-z]+|[A-Z]+|(?:[A-Z]{1,4}(?=[A-Z][a-z]))?[a-z]*(?:[A-Z][a-z]+)*[A-Z]{0,5}")
 
 Span = tuple[str, int, int]
 
@@ -90,8 +96,9 @@ def hot_windows(s: str, width: int = WINDOW) -> list[tuple[int, float]]:
 
 
 def allowed(s: str) -> bool:
-    if any(p.fullmatch(s) for p in ALLOWED):
-        return True
+    for p in ALLOWED:
+        if p.fullmatch(s) and (p not in OF_WORDS or all(_WORD.fullmatch(w) for w in _LETTERS.findall(s))):
+            return True
     period = (s + s).find(s, 1)
     return period < len(s)  # a repeated unit
 
@@ -101,15 +108,16 @@ def entropy_spans(text: str | None, base: list[Span]) -> list[Span]:
         return []
     out, covered = [], Covered((a, b) for _, a, b in base)
     for m in _CANDIDATE.finditer(text):
-        if covered.meets(m.start(), m.end()) or allowed(m.group()):
-            continue
-        at, last = m.start(), None
-        for i, _ in hot_windows(m.group()):
-            if last and at + i <= last[1]:
-                last[1] = at + i + WINDOW
-            else:
-                last = [at + i, at + i + WINDOW]
-                out.append(last)
+        for at, end in covered.gaps(m.start(), m.end()):
+            if end - at < MIN_LENGTH or allowed(text[at:end]):
+                continue
+            last = None
+            for i, _ in hot_windows(text[at:end]):
+                if last and at + i <= last[1]:
+                    last[1] = at + i + WINDOW
+                else:
+                    last = [at + i, at + i + WINDOW]
+                    out.append(last)
     return [("entropy", a, b) for a, b in out]
 
 
