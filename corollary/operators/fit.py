@@ -44,7 +44,7 @@ class Fitted:
         return self.compressed.answer(q, self.level)
 
 
-def fit(kb, workload: list[CQ] = (), rules: list[Rule] | None = None, max_len: int = 2, min_support: int = 30, tuned: bool = True, acquisition: str = "qehvi") -> Fitted:
+def fit(kb, workload: list[CQ] = (), rules: list[Rule] | None = None, max_len: int = 3, min_support: int = 30, tuned: bool = True, acquisition: str = "qehvi") -> Fitted:
     found = rules if rules is not None else [r for r, _ in mine_rules(kb, max_len, min_support)]
     small = compress(kb, filter_rules(kb, found))
     n = len(small.rules)

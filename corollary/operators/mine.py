@@ -22,7 +22,7 @@ def _steps(kb) -> DataFrame:
     return facts.select(step("+"), "s", "o").unionByName(facts.select(step("-"), F.col("o").alias("s"), F.col("s").alias("o")))
 
 
-def mined(kb, max_len: int = 2, min_support: int = 30) -> DataFrame:
+def mined(kb, max_len: int = 3, min_support: int = 30) -> DataFrame:
     """rule, head, body_len, body_pairs, support: every path rule with confidence 1 and enough support."""
     steps = checkpoint(_steps(kb))
     facts = kb.facts().withColumnRenamed("rel", "head")
@@ -49,7 +49,7 @@ def rule_of(head: str, sig: list[str]) -> Rule:
     return Rule(Atom(head, (Var("X"), Var("Y"))), tuple(body))
 
 
-def mine_rules(kb, max_len: int = 2, min_support: int = 30) -> list[tuple[Rule, int]]:
+def mine_rules(kb, max_len: int = 3, min_support: int = 30) -> list[tuple[Rule, int]]:
     """Rules with their support, by support, body length and text."""
     rows = mined(kb, max_len, min_support).collect()  # one row per rule
     out = [(rule_of(r.head, r.sig), r.support) for r in rows]

@@ -166,3 +166,9 @@ def test_result_does_not_depend_on_partitions(spark):
     first = deleted(compress(kb, [P("h(X,Y) :- a(X,Z), b(Z,Y)")]))
     other = KnowledgeBase(spark, {n: df.repartition(7, F.rand(1)) for n, df in kb.relations.items()})
     assert deleted(compress(other, [P("h(X,Y) :- a(X,Z), b(Z,Y)")])) == first
+
+
+def test_paths_of_three_are_mined_by_default(spark):
+    n = range(40)
+    kb = kb_of(spark, a={(i, 100 + i) for i in n}, b={(100 + i, 200 + i) for i in n}, c={(200 + i, 300 + i) for i in n}, h={(i, 300 + i) for i in n})
+    assert P("h(X,Y) :- a(X,Z1), b(Z1,Z2), c(Z2,Y)") in [r for r, _ in mine_rules(kb)]
