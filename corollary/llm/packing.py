@@ -1,8 +1,8 @@
 """Packing documents into sequences of a fixed number of tokens by bin completion.
 
 Texts are tokenized once, in the map pass: a text is cut at single spaces behind other characters,
-where the pattern always has a boundary, and each distinct word is encoded once per worker. A
-document longer than the capacity is cut into whole pieces, the first of which may be shorter.
+where the pattern always has a boundary, and each distinct word of a slice is encoded once. A document
+longer than the capacity is cut into whole pieces, the first of which may be shorter.
 
 Pieces are dealt by a hash into groups of about GROUP documents, so every group is alike and bounded
 whatever the corpus' size or order, and each group is packed by itself: at most one sequence in a
@@ -10,11 +10,13 @@ group of thousands more than without groups. Within a group:
 
 * best-fit decreasing gives the first incumbent;
 * if it uses more bins than the lower bound, bin completion searches: around the largest piece left,
-  the undominated fillings of the rest of its bin are enumerated (a filling is dominated if another
-  one's pieces could hold its pieces), least waste first; a branch is pruned when the waste so far and
-  the waste that it must still have do not allow fewer bins than the incumbent;
-* the search ends at the lower bound or after NODES nodes more than the bins of one solution, and the
-  best incumbent stands.
+  the undominated fillings of the rest of its bin are enumerated, one at a time, when the search comes
+  back for the next (a filling is dominated if a piece that it leaves out can take the place of some of
+  its pieces or of its slack); a branch is pruned when the waste so far does not allow fewer bins than
+  the incumbent;
+* fillings come in this order: one piece that nearly fills the room (LITTLE), with what fits beside it;
+  two pieces that fill it; best fit; then all by waste;
+* the search ends at the lower bound or after NODES nodes, its only limit, and the best incumbent stands.
 
 Null and empty texts are one end token. No document is dropped or cut otherwise. Equal rows are
 packed as separate documents. Other columns are not read.
@@ -25,23 +27,25 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, takewhile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corollary.llm.common import map_rows
+from corollary.llm.common import checkpoint, map_rows
 
 CAPACITY = 1024
 END = 2
 GROUP = 8192
-NODES = 1000
-FILLINGS = 64
-MANY_SIZES, FULL_ENOUGH = 64, 2
+#: A single piece may waste so much and still be tried before fillings of several pieces.
+LITTLE = 2
+#: A group's search ends after this many nodes: pieces tried and fillings looked at.
+NODES = 100_000
 CACHE = 600_000
 
 
@@ -54,62 +58,118 @@ def default_path() -> str:
 #: Byte-level BPE writes each byte as a letter: printable bytes as themselves, the others as the
 #: characters from 256 on.
 BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+_MARKS = frozenset(",.;:!?")
 
 # ---- tokens -------------------------------------------------------------------------------------
 
 
 class WordTokenizer:
-    """Ids of texts as little-endian 32-bit numbers. ``words`` has those of a word with the space
-    before it, ``parts`` those of what follows a seam inside a word."""
+    """Ids of many texts at once. Texts are cut at single spaces behind other characters; Arrow tells a
+    slice's distinct words, each of which is encoded once and kept for the next slices: ``row`` has its
+    number, ``count`` how many ids it has, ``flat`` the ids of all words in order. Words are kept with the space before
+    them. A word of letters alone is one match of the pattern, so it is merged by itself; other words
+    are cut at the places where the pattern always has a boundary, and what is left goes to the
+    tokenizer. A full table is emptied before the next slice."""
 
-    _UNSURE = re.compile(r"\s ")
     _SEAM = re.compile(r"(?<=\S) ")
+    #: White space (as ``\s`` has it) before a space, for RE2.
+    _UNSURE = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] "
     #: More places where the pattern always has a boundary: a letter before ASCII punctuation or
     #: white space, and both sides of a line break between other characters.
     _INNER = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[\n -/:-@\[-`{-~])|(?<=\S)(?=\n)|(?<=\S\n)(?=\S)")
+    _LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _new(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words that are not in ``words``. Both tables stop growing when they are full:
-        they then have the words seen first, the frequent ones among them."""
-        cut = [self._INNER.split(w) for w in words]
-        heads = {c[0] for c in cut}
-        tails = {p for c in cut for p in c[1:]}
-        head = {h: self.words[h] for h in heads if h in self.words}
-        tail = {t: self.parts[t] for t in tails if t in self.parts}
-        ask_heads, ask_tails = sorted(heads - head.keys()), sorted(tails - tail.keys())
-        # letters alone are one match of the pattern, so the model needs no splitting before it
-        plain = [h for h in ask_heads if h.isalpha()]
-        other = [h for h in ask_heads if not h.isalpha()]
-        one = self.model.model.tokenize
-        for h in plain:
-            head[h] = array("I", [t.id for t in one("Ġ" + (h if h.isascii() else h.encode().decode("latin-1").translate(BYTE_LETTERS)))]).tobytes()
-        got = self._encode([" " + h for h in other] + ask_tails)
-        head.update(zip(other, got))
-        tail.update(zip(ask_tails, got[len(other) :]))
-        out = {w: b"".join((head[c[0]], *map(tail.__getitem__, c[1:]))) for w, c in zip(words, cut)}
-        for kept, found in ((self.words, head), (self.words, out), (self.parts, tail)):
-            if len(kept) + len(found) <= CACHE:
-                kept.update(found)
-        return out
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [(self._SEAM.split(t) if self._UNSURE.search(t) else t.split(" ")) if t else [""] for t in texts]
-        first = self._encode([words[0] for words in cut])
-        found = [list(map(self.words.get, words[1:])) for words in cut]
-        missing = {w for words, ids in zip(cut, found) if None in ids for w, i in zip(words[1:], ids) if i is None}
-        new = self._new(sorted(missing))
-        return [a + b"".join(ids if None not in ids else [i if i is not None else new[w] for w, i in zip(words[1:], ids)]) for a, words, ids in zip(first, cut, found)]
+        self.merge = _merger(path)
+        self.clear()
+
+    def clear(self) -> None:
+        self.row: dict[str, int] = {}
+        self.flat, self.count = array("I", [END]), array("q", [1])  # row 0 is the end
+
+    def _put(self, words: list[str], ids: list) -> None:
+        self.row.update(zip(words, range(len(self.count), len(self.count) + len(words))))
+        self.count.extend(map(len, ids))
+        self.flat.extend(chain.from_iterable(ids))
+
+    def _whole(self, words: list[str]) -> list[str]:
+        """Encode the words that are letters alone; the others."""
+        plain = [w for w in words if self._LETTERS.fullmatch(w)] if self.merge else []
+        self._put(plain, list(map(self.merge, map(str.encode, plain))))
+        return [w for w in words if w not in self.row] if len(plain) < len(words) else []
+
+    def _add(self, words: list[str]) -> None:
+        mixed = self._whole(words)
+        if not mixed:
+            return
+        # mostly letters with one mark behind them
+        cut = [(w[:-1], w[-1]) if w[-1:] in _MARKS and w[-2:-1].isalpha() and self._LETTERS.fullmatch(w[:-1]) else self._INNER.split(w) for w in mixed]
+        parts = list(dict.fromkeys(chain.from_iterable(cut)))
+        other = self._whole([p for p in parts if p not in self.row])
+        self._put(other, [e.ids for e in self.model.encode_batch_fast(other, add_special_tokens=False)])
+        count = np.array(self.count)
+        end = np.cumsum(count)
+        at = np.fromiter(map(self.row.__getitem__, parts), np.int64, len(parts))
+        ids_of = {p: self.flat[i:j] for p, i, j in zip(parts, (end - count)[at].tolist(), end[at].tolist())}
+        several = [(w, c) for w, c in zip(mixed, cut) if len(c) > 1]
+        self._put([w for w, _ in several], [list(chain.from_iterable(map(ids_of.__getitem__, c))) for _, c in several])
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        missing = [w for w in dict.fromkeys(words) if w not in self.row]
+        if missing:
+            self._add(missing)
+        return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
+
+    def encode(self, texts: list[str | None]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """The texts' order in the result, their ids one behind another, each text's with END behind
+        them, and where each text's begin (with one more at the end)."""
+        if len(self.row) > CACHE:
+            self.clear()
+        whole = pa.array([t or "" for t in texts], pa.large_string())
+        unsure = pa.compute.match_substring_regex(whole, self._UNSURE)
+        order = np.concatenate([np.flatnonzero(~np.asarray(unsure)), np.flatnonzero(np.asarray(unsure))]).tolist()
+        split = pa.compute.split_pattern(whole.filter(pa.compute.invert(unsure)), " ")
+        by_hand = pa.array([self._SEAM.split(t) for t in whole.filter(unsure).to_pylist()], split.type)
+        words = pa.concat_arrays([split.flatten(), by_hand.flatten()]).dictionary_encode()
+        size = np.concatenate([np.asarray(pa.compute.list_value_length(x)) for x in (split, by_hand)])
+        begin = np.cumsum(size) - size
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        of_word = self.rows([f" {w}" for w in distinct])
+        at = np.asarray(words.indices)
+        place = of_word[at]
+        place[begin] = self.rows([distinct[k] for k in at[begin].tolist()])  # no space before a text's first word
+        place = np.insert(place, np.cumsum(size), 0)
+        count, flat = np.array(self.count), np.array(self.flat, dtype="<u4")
+        first = np.cumsum(count) - count
+        n = count[place]
+        end = np.cumsum(n)
+        ids = flat[np.repeat(first[place] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+        edges = np.concatenate([[0], end[np.cumsum(size + 1) - 1]])
+        return order, ids, edges
+
+
+def _merger(path: str):
+    """A function from the UTF-8 bytes of one match of the pattern to its ids, or None if the file's
+    merges are not in the order of their ids, which the byte-pair merge by rank needs."""
+    import json
+
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    letters = {chr(BYTE_LETTERS.get(b, b)): b for b in range(256)}
+    merged = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    base = [model["vocab"].get(c) for c in letters]
+    if None in merged or None in base or merged != sorted(set(merged)) or merged and max(base) > merged[0]:
+        return None
+    ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if all(c in letters for c in token) and (i in set(base) or merged[0] <= i <= merged[-1])} if len(merged) + len(base) == len(model["vocab"]) else None
+    if ranks is None or model.get("ignore_merges") or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return None
+    return tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
 
 @lru_cache(maxsize=2)
@@ -126,13 +186,14 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         out = {k: [] for k in (id_col, "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else []))}
-        for key, ids in zip(keys, tokenizer(path).encode(texts)):
-            ids += END.to_bytes(4, "little")
-            n = len(ids) // 4
+        order, ids, begin = tokenizer(path).encode(texts)
+        data = memoryview(ids.tobytes())
+        for i, low, high in zip(order, begin.tolist(), begin[1:].tolist()):
+            n = high - low
             edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
             for k, (a, b) in enumerate(zip(edges, edges[1:])):
-                data = ids[4 * a : 4 * b]
-                for name, v in zip(out, (key, k, a, b - a, zlib.crc32(data), data)):
+                part = data[4 * (low + a) : 4 * (low + b)]
+                for name, v in zip(out, (keys[i], k, a, b - a, zlib.crc32(part), *([bytes(part)] if keep_ids else []))):
                     out[name].append(v)
         return out
 
@@ -182,58 +243,115 @@ def best_fit(counts: Counter, capacity: int) -> list[list[int]]:
     return bins
 
 
-def holds(outer: tuple[int, ...], inner: tuple[int, ...]) -> bool:
-    """Whether the pieces of inner fit into bins as large as the pieces of outer."""
-    if not inner:
-        return True
+def _sums(filling: tuple[int, ...]) -> tuple[int, int]:
+    """Bit masks of the sums of one piece or none, and of two pieces or more."""
+    few, single, several = 1, 0, 0
+    for s in filling:
+        several |= (several | single) << s
+        single |= 1 << s
+    return few | single, several
+
+
+def _smear(mask: int, low: int, high: int) -> int:
+    """The mask moved up by each of low..high."""
+    out, width = mask << low, 1
+    while width <= high - low:
+        step = min(width, high - low + 1 - width)
+        out |= out << step
+        width += step
+    return out if high >= low else 0
+
+
+def dominated(filling: tuple[int, ...], slack: int, counts: Counter, have: int) -> bool:
+    """Whether a piece that the filling leaves out could take the place of some of its pieces (or of its
+    slack): of one smaller piece, or of several that are no larger together, within the slack. What it
+    takes the place of then fits into any place of that piece. have: bit mask of the sizes in counts."""
+    for s in set(filling):
+        if filling.count(s) >= counts[s]:
+            have &= ~(1 << s)
+    few, several = _sums(filling)
+    return bool((_smear(few, 1, slack) | _smear(several, 0, slack)) & have)
+
+
+def fillings(counts: Counter, room: int, waste: int, have: int | None = None, spend=lambda: True) -> Iterator[tuple[int, ...]]:
+    """The undominated fillings of room that waste at most ``waste``, least waste first, one at a time.
+    ``spend`` is called for each filling looked at and each piece tried; where it is false the
+    enumeration ends. counts must be the same whenever the next filling is asked for."""
+    if have is None:
+        have = sum(1 << s for s, n in counts.items() if n > 0)
+    have &= (2 << room) - 1
+    # bit room - s for each size s: two sizes that sum to t are common bits of one mask and the other, moved
+    back = int(f"{have:0{room + 1}b}"[::-1], 2)
+
+    def exactly(left: int, largest: int, chosen: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        """Fillings whose further pieces are ``largest`` at most and sum to left: one piece, two pieces,
+        the most alike first, then more."""
+        if left <= largest and have >> left & 1 and chosen.count(left) < counts[left]:
+            yield (*chosen, left)
+        most = (2 << min(largest, left - 1)) - 1
+        pairs = have & back >> (room - left) & most >> (left + 1) // 2 << (left + 1) // 2
+        while pairs:
+            a = (pairs & -pairs).bit_length() - 1
+            pairs &= pairs - 1
+            if not spend():
+                return
+            one = (*chosen, a)
+            if chosen.count(a) < counts[a] and one.count(left - a) < counts[left - a]:
+                yield (*one, left - a)
+        first = have & most
+        while first:
+            a = first.bit_length() - 1
+            first ^= 1 << a
+            if 3 * a < left or not spend():
+                return
+            if chosen.count(a) < counts[a]:
+                yield from (f for f in exactly(left - a, a, (*chosen, a)) if len(f) > len(chosen) + 2)
+
+    if not have:
+        if room <= waste:
+            yield ()
+        return
+    def best_fitting(one: tuple[int, ...], left: int) -> tuple[int, ...]:
+        """The filling with the largest piece that fits, again and again."""
+        fits = have & (2 << left) - 1
+        while fits:
+            a = fits.bit_length() - 1
+            k = min(left // a, counts[a] - one.count(a))
+            one, left = one + (a,) * k, left - k * a
+            fits &= (1 << min(a, left + 1)) - 1
+        return one
+
+    # first one piece that nearly fills the room, with what goes beside it: that leaves most for other
+    # bins; then two pieces that fill it, then best fit; only then the others
+    first = [(room - w,) for w in range(min(LITTLE, waste, room - 1) + 1) if have >> room - w & 1]
     tried = set()
-    for i, room in enumerate(outer):
-        if room >= inner[0] and room not in tried:
-            tried.add(room)
-            if holds((*outer[:i], room - inner[0], *outer[i + 1 :]), inner[1:]):
-                return True
-    return False
-
-
-def fillings(counts: Counter, room: int, waste: int, most: int = FILLINGS) -> list[tuple[int, ...]]:
-    """Undominated fillings of room that waste at most ``waste``, least waste first; ``most`` of the
-    first found are kept. Among many sizes a few fillings without any waste are enough."""
-    sizes = [s for s in sorted(counts, reverse=True) if counts[s] and s <= room]
-    below = [-s for s in sizes]
-    found: list[tuple[int, ...]] = []
-    steps, enough = 0, most if len(sizes) < MANY_SIZES else FULL_ENOUGH
-
-    def go(i: int, left: int, chosen: tuple[int, ...]) -> None:
-        nonlocal steps, enough
-        steps += 1
-        if steps > 20 * most or len(found) >= most or enough <= 0:
+    for f in chain((best_fitting(f, room - sum(f)) for f in first), takewhile(lambda f: len(f) == 2, exactly(room, room, ())), (best_fitting((), room),)):
+        w = room - sum(f)
+        if not spend():
             return
-        fits = False
-        # the piece that fills the rest, if there is one, comes first: it is the first that fits
-        for j in range(max(i, bisect_left(below, -left)), len(sizes)):
-            s = sizes[j]
-            if chosen.count(s) < counts[s]:
-                fits = True
-                if s == left:
-                    found.append((*chosen, s))
-                    enough -= 1
-                else:
-                    go(j, left - s, (*chosen, s))
-                if enough <= 0:
-                    return
-        if not fits and left <= waste:
-            found.append(chosen)
-            enough -= left == 0
-
-    go(0, room, ())
-    if enough <= 0 and len(sizes) >= MANY_SIZES:  # nothing dominates a filling without waste
-        return sorted((f for f in found if sum(f) == room), key=lambda f: (len(f), f))
-    found.sort(key=lambda f: (-sum(f), len(f), f))
-    kept: list[tuple[int, ...]] = []
-    for f in found:
-        if not any(len(g) <= len(f) <= 4 and holds(g, f) for g in kept):
-            kept.append(f)
-    return kept
+        if w <= waste and f not in tried and not dominated(f, w, counts, have):
+            tried.add(f)
+            yield f
+            if not w and len(f) == 1:
+                return  # any other filling fits into that one piece
+    sums = None
+    for w in range(min(waste, room) + 1):
+        if w:
+            if sums is None:  # the sums that there are at all
+                sums = 1
+                for s, n in counts.items():
+                    k = 1
+                    while n > 0 and s <= room:
+                        sums |= sums << s * min(k, n) & (2 << room) - 1
+                        n -= k
+                        k *= 2
+            if not sums >> room - w & 1:
+                continue
+        for f in exactly(room - w, room - w, ()) if w < room else [()]:
+            if not spend():
+                return
+            if f not in tried and not dominated(f, w, counts, have):
+                yield f
 
 
 def complete(counts: Counter, capacity: int = CAPACITY, nodes: int = NODES) -> list[list[int]]:
@@ -247,46 +365,58 @@ def _search(counts: Counter, capacity: int, nodes: int) -> list[list[int]]:
     best = best_fit(counts, capacity)
     bound = lower_bound(counts, capacity)
     total = sum(s * n for s, n in counts.items())
-    left = nodes + len(best)  # enough to reach the end once, and to turn back NODES times
+    budget = nodes
     # depth-first: a stack of (fillings still to try, the largest size, waste before this bin)
     rest, bins, stack, waste = Counter(counts), [], [], 0
+    have = sum(1 << s for s in rest)
+
+    def spend() -> bool:
+        nonlocal budget
+        budget -= 1
+        return budget > 0
+
+    def take(s: int) -> None:
+        nonlocal have
+        rest[s] -= 1
+        if not rest[s]:
+            have ^= 1 << s
+
+    def give(s: int) -> None:
+        nonlocal have
+        if not rest[s]:
+            have ^= 1 << s
+        rest[s] += 1
 
     def descend() -> None:
-        largest = max(rest)
-        rest[largest] -= 1
-        if not rest[largest]:
-            del rest[largest]
+        largest = have.bit_length() - 1
+        take(largest)
         allowed = (len(best) - 1) * capacity - total - waste
-        stack.append((iter(fillings(rest, capacity - largest, allowed) if allowed >= 0 else ()), largest, waste))
+        stack.append((fillings(rest, capacity - largest, allowed, have, spend) if allowed >= 0 else iter(()), largest, waste))
         bins.append([largest])
 
     if len(best) > bound:
         descend()
-    while stack and left > 0 and len(best) > bound:
+    while stack and len(best) > bound and spend():
         options, largest, before = stack[-1]
         for s in bins[-1][1:]:  # undo the filling tried last
-            rest[s] += 1
+            give(s)
         bins[-1] = [largest]
         choice = next(options, None)
         if choice is None:
             stack.pop()
             bins.pop()
-            rest[largest] += 1
+            give(largest)
             continue
-        left -= 1
         for s in choice:
-            rest[s] -= 1
-            if not rest[s]:
-                del rest[s]
+            take(s)
         bins[-1] = [largest, *choice]
         waste = before + capacity - largest - sum(choice)
-        if not rest:
+        if not have:
             if len(bins) < len(best):
                 best = [list(b) for b in bins]
             continue
-        left_over = total - (len(bins) * capacity - waste)
-        need = len(bins) + max(-(-left_over // capacity), lower_bound(rest, capacity) if len(rest) < 32 else 0)
-        if need < len(best):
+        # the waste so far must allow fewer bins than the incumbent
+        if waste <= (len(best) - 1) * capacity - total:
             descend()
     return best
 
@@ -311,7 +441,8 @@ def _pack_table(t: pa.Table, capacity: int, nodes: int) -> pa.Table:
 
 def packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False, group: int = GROUP, nodes: int = NODES) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, (ids,) sequence_id, offset."""
-    groups = max(1, -(-df.count() // group))
-    cut = pieces(df, id_col, text_col, path, capacity, keep_ids).withColumn("group", F.pmod(F.xxhash64(id_col, "piece"), F.lit(groups)))
+    cut = checkpoint(pieces(df, id_col, text_col, path, capacity, keep_ids))  # texts are tokenized once, whatever is lost later
+    groups = max(1, -(-cut.where("piece = 0").count() // group))
+    cut = cut.withColumn("group", F.pmod(F.xxhash64(id_col, "piece"), F.lit(groups)))
     out = f"{id_col} long,piece int,start long,length long,ids_crc32 long" + (",ids binary" if keep_ids else "") + ",sequence_id long,offset long"
     return cut.groupBy("group").applyInArrow(lambda t: _pack_table(t, capacity, nodes), out)

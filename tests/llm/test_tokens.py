@@ -1,9 +1,11 @@
 """Byte-pair encoding and packing."""
 
+import itertools
 import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -35,11 +37,52 @@ def test_bpe_rows(spark):
     assert two[1].ids_sha256 == rows[1].ids_sha256 and bpe.round_trip(df.limit(0)).count() == 0
 
 
+def ids_of(w, texts):
+    order, ids, begin = w.encode(texts)
+    out = {i: ids[a:b].tolist() for i, a, b in zip(order, begin, begin[1:])}
+    return [out[i] for i in range(len(texts))]
+
+
+def wanted(w, texts):
+    return [e.ids + [2] for e in w.model.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+
+
 @settings(max_examples=300, deadline=None)
-@given(PARTS)
+@given(st.lists(PARTS, max_size=4))
 def test_words_give_the_tokenizers_ids(parts):
-    w, t = packing.tokenizer(packing.default_path()), "".join(parts)
-    assert w.encode([t]) == w._encode([t])
+    w, texts = packing.tokenizer(packing.default_path()), ["".join(p) for p in parts]
+    assert ids_of(w, texts) == wanted(w, texts)
+
+
+def test_merging_by_rank_is_the_tokenizers_merging():
+    """Every token of letters, and words of two such tokens, alone and behind a space."""
+    w = packing.WordTokenizer(packing.default_path())
+    assert w.merge is not None
+    letters = [t for i in range(50_256) if (t := w.model.decode([i]).strip()).isalpha() and "\ufffd" not in t]
+    rng = random.Random(5)
+    words = [*letters, *(rng.choice(letters) + rng.choice(letters) for _ in range(20_000))]
+    texts = [*words, *(f"x {t}" for t in words)]
+    assert ids_of(w, texts) == wanted(w, texts)
+    w.clear()
+    assert ids_of(w, texts[-9:]) == wanted(w, texts[-9:])
+
+
+def dominates(g, f):
+    """Whether the pieces of f fit into places as large as the pieces of g and the slack stays."""
+    if not f:
+        return True
+    return any(room >= f[0] and dominates((*g[:i], room - f[0], *g[i + 1 :]), f[1:]) for i, room in enumerate(g))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 12), max_size=7), st.integers(0, 14))
+def test_fillings_left_out_are_dominated(items, room):
+    counts = Counter(items)
+    got = list(packing.fillings(counts, room, room))
+    assert len({tuple(sorted(f)) for f in got}) == len(got)
+    every = {tuple(sorted(c, reverse=True)) for n in range(len(items) + 1) for c in itertools.combinations(items, n) if sum(c) <= room}
+    assert {tuple(sorted(f, reverse=True)) for f in got} <= every
+    assert all(any(dominates(g, f) for g in got) for f in every)
 
 
 def best_of(items, capacity):
@@ -92,8 +135,7 @@ def test_packed_rows(spark):
         assert zlib.crc32(bytes(r.ids)) == r.ids_crc32 and r.length == len(bytes(r.ids)) // 4 <= 1024
     for i, t in enumerate(texts):
         parts = sorted(by_doc[i], key=lambda r: r.piece)
-        want = (w._encode([t])[0] if t else b"") + (2).to_bytes(4, "little")
-        assert b"".join(bytes(p.ids) for p in parts) == want and [p.start for p in parts] == [sum(q.length for q in parts[:k]) for k in range(len(parts))]
+        assert np.frombuffer(b"".join(bytes(p.ids) for p in parts), "<u4").tolist() == wanted(w, [t])[0] and [p.start for p in parts] == [sum(q.length for q in parts[:k]) for k in range(len(parts))]
         assert all(p.length == 1024 for p in parts[1:])
     sequences: dict = {}
     for r in rows:
