@@ -6,14 +6,19 @@ value, so a position's response is WIDTH look-ups); responses pass a ReLU and ar
 each chunk. A text's mean and maximum over its chunks go into one logistic unit: the probability that
 the text is good. An empty or null text is one chunk without bytes and gets the score of that.
 
+Behind each text stand WIDTH - 1 zero bytes at least, and positions from which a filter would reach
+beyond its half-blocks do not count: a score is a function of the text alone, bit by bit, whatever
+stands beside it in a batch.
+
 Training (``fit``) runs on the driver with Adam on a bounded sample: at most TRAIN_ROWS labelled texts
-of each class, the first by a hash of their id, of at most TRAIN_BYTES bytes each. Gradients pass the
+of each class, the first by a hash of their id, and of a text with more than TRAIN_CHARS characters so
+many, from a place that its id's hash names. Gradients pass the
 max-pool only to the winning positions. Half of the training texts are cut to short pieces, anew in
 each epoch, for short texts to be known. Label, language, source and id are never inputs. Without
 labels, or with labels of one class only, the score is that class' share (0.5 without labels).
 
-Scoring is a map over rows: memory is bounded by BLOCK whatever a text's length, no text is cut, and
-equal texts have equal scores.
+Scoring is a map over rows: memory is bounded by BLOCK beside the text itself, no text is cut, and
+equal texts have equal scores. Repeated rows are scored like any other; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from corollary.llm.common import map_rows
 
 HALF, WIDTH, FILTERS = 128, 5, 12
 BLOCK = 1 << 18
-TRAIN_ROWS, TRAIN_BYTES, EPOCHS, BATCH, RATE = 1200, 65_536, 10, 32, 0.01
+TRAIN_ROWS, TRAIN_CHARS, EPOCHS, BATCH, RATE = 1200, 16_384, 10, 32, 0.01
 THRESHOLD = 0.7
 
 
@@ -48,19 +53,26 @@ class Network:
             z += self.tables[w][data[w : w + n]]
         return z
 
+    @staticmethod
+    def _laid(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' bytes in half-blocks (with one more of zeros at the end), and each text's first
+        half-block (with one more at the end)."""
+        blocks = [-(-(len(t) + WIDTH - 1) // HALF) for t in texts]
+        first = np.concatenate([[0], np.cumsum(blocks)])
+        return np.frombuffer(b"".join(t.ljust(n * HALF, b"\0") for t, n in zip(texts, blocks)) + b"\0" * HALF, np.uint8), first
+
     def halves(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The largest response of each filter in each half-block, and each text's first half-block
-        (with one more at the end). Behind a text come zero bytes up to a whole half-block."""
-        blocks = [max(1, -(-len(t) // HALF)) for t in texts]
-        first = np.concatenate([[0], np.cumsum(blocks)])
-        gap = b"\0" * HALF
-        data = np.frombuffer(b"".join(t + b"\0" * (n * HALF - len(t)) for t, n in zip(texts, blocks)) + gap, np.uint8)
+        (with one more at the end)."""
+        data, first = self._laid(texts)
         out = np.empty((int(first[-1]), FILTERS), np.float32)
         step = BLOCK // HALF
         for i in range(0, len(out), step):
             j = min(len(out), i + step)
-            z = self._responses(data[i * HALF : j * HALF + WIDTH - 1])
-            out[i:j] = z.reshape(j - i, HALF, FILTERS).max(axis=1)
+            z = self._responses(data[i * HALF : j * HALF + WIDTH - 1]).reshape(j - i, HALF, FILTERS)
+            last = first[1:] - 1 - i
+            z[last[(last >= 0) & (last < j - i)], 1 - WIDTH :] = -np.inf  # they reach into the next text
+            out[i:j] = z.max(axis=1)
         return out, first
 
     def _pooled(self, half: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,16 +94,16 @@ class Network:
             return np.full(len(texts), self.constant)
         if not texts:
             return np.zeros(0)
-        logit = self._features(*self._pooled(*self.halves(texts))).astype(np.float64) @ self.out
+        # a sum of its own for each row: a matrix product may add in another order in another batch
+        logit = (self._features(*self._pooled(*self.halves(texts))).astype(np.float64) * self.out).sum(axis=1)
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
     # ---- training -------------------------------------------------------------------------------
 
     def _gradients(self, texts: list[bytes], y: np.ndarray) -> dict[str, np.ndarray]:
-        blocks = [max(1, -(-len(t) // HALF)) for t in texts]
-        first = np.concatenate([[0], np.cumsum(blocks)])
-        data = np.frombuffer(b"".join(t + b"\0" * (n * HALF - len(t)) for t, n in zip(texts, blocks)) + b"\0" * HALF, np.uint8)
+        data, first = self._laid(texts)
         z = self._responses(data[: first[-1] * HALF + WIDTH - 1]).reshape(-1, HALF, FILTERS)
+        z[first[1:] - 1, 1 - WIDTH :] = -np.inf
         where = z.argmax(axis=1)
         half = np.take_along_axis(z, where[:, None, :], axis=1)[:, 0]
         chunk, start = self._pooled(half, first)
@@ -163,8 +175,10 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[
     first = [marked.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for q in (0, 1)]
     # both limits together bound what is broadcast
     picked = F.broadcast(first[0].unionByName(first[1]))
-    texts = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES).join(picked, "doc_id")
-    got = texts.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("quality").alias("quality")).collect()
+    length = F.length(F.coalesce("text", F.lit("")))
+    window = F.substring("text", (F.pmod(F.xxhash64("doc_id"), length - TRAIN_CHARS) + 1).cast("int"), F.lit(TRAIN_CHARS))
+    texts = docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", F.when(length > TRAIN_CHARS, window).otherwise(F.coalesce("text", F.lit(""))).alias("text"), "quality")
+    got = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality")).collect()
     return [(r.text.encode(), r.quality) for r in sorted(got, key=lambda r: r.doc_id)], counts
 
 

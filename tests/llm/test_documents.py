@@ -5,6 +5,7 @@ import os
 import random
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -126,6 +127,29 @@ def test_quality_learns_bytes(spark):
     assert quality.scored(df.limit(0), net).count() == 0
 
 
+def test_scores_are_the_texts_alone(spark, monkeypatch):
+    """Bit by bit the same score alone, in a batch, in the reversed batch, in other parts and slices."""
+    rng = random.Random(8)
+    net = quality.Network(5)
+    texts = [bytes(rng.choice(b"etaoin shrdlu") for _ in range(n)) for n in [0, 1, 4, 5, 123, 124, 125, 127, 128, 129, 252, 256, 1000, *rng.sample(range(5000), 80)]]
+    alone = [net.score([t])[0] for t in texts]
+    assert net.score(texts).tolist() == alone and net.score(texts[::-1]).tolist() == alone[::-1]
+    monkeypatch.setattr(quality, "BLOCK", 512)
+    assert net.score(texts).tolist() == alone
+    long = "long text \u00e9 " * 200_000
+    rows = [(i, t.decode(), i) for i, t in enumerate(texts)] + [(i, t.decode(), -i) for i, t in enumerate(texts)] + [(9000, long, 0), (9001, None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score long")
+    one, two = ({r.doc_id: r.score for r in quality.scored(d, net).collect()} for d in (df.coalesce(1), df.orderBy(F.desc("doc_id")).repartition(7)))
+    assert one == two and [one[i] for i in range(len(texts))] == alone and one[9001] == alone[0] and one[9000] == net.score([long.encode()])[0]
+
+
+def test_quality_training_windows(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TRAIN_CHARS", 50)
+    df = spark.createDataFrame([(1, "é" * 500, 1), (1, "é" * 500, 1), (2, "short", 0), (3, None, 1), (5, "no label", None)], "doc_id long, text string, quality int")
+    data, counts = quality.sample(df, df.select("doc_id", "quality"))
+    assert sorted(data) == sorted([("é".encode() * 50, 1), (b"short", 0), (b"", 1)]) and counts == {1: 2, 0: 1}
+
+
 def test_gradients_are_right():
     net, texts, y = quality.Network(3), [b"abcdefgh" * 40, b"zz", b""], np.array([1.0, 0.0, 1.0], np.float32)
     loss = lambda: -np.mean(np.log(np.where(y == 1, p := net.score(texts), 1 - p)))
@@ -165,7 +189,7 @@ def test_pages(spark):
     assert (got[50].text, got[51].text, got[52].text, got[54].text) == ("", "", "no tags at all", "a\nb") and got[53].text == got[0].text and got[0].n_chars == len(got[0].text)
     found = html_text.templates(spark.createDataFrame(rows, "page_id long, url string, html string, host int"))
     assert {r.slot for r in html_text.main_slots(found).collect()} >= {">html>body.x>article", ">html>body.x>div.post-content"}
-    sizes = {(r.host, r["class"]): r.size for r in found.collect()}
+    sizes = Counter((r.host, r["class"]) for r in found.collect())
     assert max(sizes.values()) >= 6  # roles that stand once in each page share a vector
 
 
@@ -176,6 +200,51 @@ def test_template_text_goes_without_names(spark):
     assert {r.text for r in html_text.main_text(df).collect()} == {f"Head {i}\nText {i} of page {i} with some words." for i in range(6)}
 
 
+NEUTRAL = "<html><body><div class=k1><ul><li><a href=a>First {0}</a><li><a href=b>Second {0}</a></ul></div><div class=k2>All rights of this site are with its owners, as they always were</div><div class=k3><h1>{1}</h1><p>{2}</p><p>{3}</p></div><div class=k4>{4}</div></body></html>"
+
+
+def sentence(rng, n):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n)) + "."
+
+
+def neutral_pages(n=8):
+    rng = random.Random(11)
+    out = []
+    for i in range(n):
+        parts = sentence(rng, 4), sentence(rng, 40), sentence(rng, 30)
+        comments = "".join(f"<div class=m1>{sentence(rng, 15)}</div>" for _ in range(rng.randint(2, 5)))
+        out.append((i, "http://n.org/", NEUTRAL.format(sentence(rng, 2), *parts, comments), "\n".join(parts)))
+    return out
+
+
+def test_classes_decide(spark):
+    """Neutral names, no article element: menu, template text and readers' comments are told by what the
+    host's pages have in their slots, and by nothing else."""
+    rows = neutral_pages()
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    assert [got[i] for i in range(len(rows))] == [r[3] for r in rows]
+    without = {r.page_id: r.text for r in html_text.main_text(df, support=2.0).collect()}
+    assert all(without[i] != got[i] for i in got)
+    joined = {r.page_id: r.text for r in html_text.main_text(df.union(df), small=-1).collect()}
+    assert joined == got and html_text.main_text(df.union(df), small=-1).count() == 2 * len(rows)  # repeated rows, the other join
+
+
+def test_names_take_nothing_from_an_article(spark):
+    """Words in names inside of the main slot, and headings in an article's header, stay."""
+    body = "<nav>menu</nav><article><header><h1>Head {0}</h1></header><p>Text {0} has several words in it.</p><ul class=social-history><li>Born {0}</ul><section id=notices><p>Legal notices {0}.</p></section><div class=ad>Buy {0}!</div><aside>More {0}</aside></article><footer>f</footer>"
+    df = spark.createDataFrame([(i, f"http://{h}.org/", f"<html><body>{body.format(i)}</body></html>") for i, h in enumerate(["a", "a", "a", "a", "a", "b"])], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    assert got == {i: f"Head {i}\nText {i} has several words in it.\nBorn {i}\nLegal notices {i}." for i in range(6)}
+
+
+def test_pages_at_the_edges(spark):
+    df = spark.createDataFrame([(1, "http://l.org", "<body><p>" + "word and more " * 200_000 + "</p></body>"), (None, None, None), (2, "http://l.org", "<body><p>other</p></body>")], "page_id long, url string, html string")
+    got = {r.page_id: r for r in html_text.main_text(df.withColumn("slot", F.lit(1)).withColumn("host", F.lit("x"))).collect()}
+    assert got[1].text == ("word and more " * 200_000).strip() and got[1].n_chars == len(got[1].text) and got[2].text == "other" and got[None].text == ""
+    assert html_text.main_text(df.limit(0)).count() == 0
+
+
 def test_own_containers_are_no_template(spark):
     """Text containers with names of their own: two layouts, ids per page, copies of one page."""
     page = "<html><body><div {0}><p>{1}</p></div></body></html>".format
@@ -187,7 +256,7 @@ def test_own_containers_are_no_template(spark):
     want = [*text[:2], *text[:2], text[0], text[0], text[0], *text[1:4], f"{text[0]}\nSeen 0", f"{text[0]}\nSeen 1", *text[2:]]
     got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [got[i] for i in range(14)] == want
-    assert html_text.extract(rows[0][2], ">html>body", {">html>body>div.plain"}) == text[0]  # fixed roles never take all
+    assert html_text.extract(rows[0][2], ">html>body", [">html>body>div.plain"]) == text[0]  # roles left out never take all
 
 
 def test_embedded_elements_end():
