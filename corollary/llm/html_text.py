@@ -1,24 +1,33 @@
 """Main text of web pages by template deduction over the pages of a host.
 
-A page is a sequence of tokens: tags, told apart by the path of containers they stand in (a token's
-role), and blocks of text. Over the pages of a host each role has an occurrence vector, how often it
-occurs in each page; roles with equal vectors form an equivalence class. A vector is kept as a sum of
-64-bit page hashes times counts, so classes come from two hash aggregates, with partial sums before
-each shuffle, and no host's pages meet in one task.
-
-A class is valid if its roles stand in enough of the host's pages, each at most once in a page. Valid
-classes nest by their roles' paths: their roles are the host's template, and what stands between them
-are its slots. Roles that stand in nearly all pages, with the same text in all of them while the rest of
-their pages differs, are template text. Each other template role
-knows how much text its slot holds over all pages, outside of links and of roles that are boilerplate by
-their element or class (fixed lists below). The host's main slot is the
-deepest container that holds nearly all of that text; an <article> or <main> that holds most of it
-ends the descent. A page without its host's main slot, and one of a host with a single page, is its own
+A page is a sequence of tokens: containers, told apart by the path of containers they stand in (a
+token's role), and blocks of text between them. Over the pages of a host each role has an occurrence
+vector, how often it occurs in each page; roles with equal vectors form an equivalence class. A vector
+is kept as a sum of 64-bit page hashes times counts, so classes come from one hash aggregate, with
+partial sums before the shuffle, and no host's pages meet in one task.
+
+A class is valid if it stands in enough of the host's pages, once in a page, and nests: each role's
+parent is of a valid class too. Valid classes nest by their roles' paths; together they are the host's
+template. What stands between a role and the template roles inside it is its slot. Slots are told by what
+all pages of the host have in them:
+
+* the same text in nearly all pages, while the pages differ: template text;
+* text that is mostly links: a menu;
+* text that is mostly inside of repeated containers, beside a slot of running text: a list, such as
+  readers' comments or teasers;
+* the rest is content.
+
+From the root the template is descended as long as one role holds nearly all content; that role is the
+host's main slot. Where the pages tell nothing (hosts with one page, slots that are content by all
+marks), element and class names break the tie (fixed lists below): of what stands beside the main slot
+by any word in a name, but never what holds most of the content; inside the main slot only elements and
+whole names that are no article text by definition. A page without its host's main slot is its own
 template.
 
 The text is the main slot's blocks in page order. Character references are decoded, white space in a
 block becomes one space, empty blocks go; blocks are joined by a line feed. Null and empty pages have
-an empty text. Repeated rows count as often as they stand there. Pages are parsed whole.
+an empty text. Repeated rows count as often as they stand there. Pages are parsed whole, twice: for
+their roles and for their text.
 """
 
 from __future__ import annotations
@@ -27,20 +36,24 @@ import html
 import re
 import zlib
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corollary.llm.common import map_rows
+from corollary.llm.common import checkpoint, map_rows
 
-#: Share of a host's pages in which a template role stands; share of the text that the main slot holds,
-#: and of the pages that have a constant role; share of the text that an article holds.
-SUPPORT, NEARLY_ALL, MOST = 0.5, 0.9, 0.5
-
-#: Parts of a host's pages in the join with its slot.
-SALTS = 64
+#: Share of a host's pages in which a template role stands; of content that the main slot holds, and of
+#: pages with the same text; of content that an article holds; of text in links, and in repeated containers.
+SUPPORT, NEARLY_ALL, MOST, LINKED, LISTED = 0.5, 0.9, 0.5, 0.5, 0.8
+#: A role of running text that holds so much of all content makes lists beside it no content.
+RUNNING = 0.2
+#: Slots of so many bytes together are broadcast; more are joined.
+SMALL = 32 << 20
+#: Pages of a host in one part of the join with its slot.
+PART = 2048
 
 # Elements and class words by what they are.
 RAW = ("script", "style", "textarea", "title")
@@ -48,6 +61,9 @@ RAW = ("script", "style", "textarea", "title")
 EMBEDDED = ("noscript", "template", "iframe", "svg", "math", "object", "select", "canvas", "audio", "video")
 BOILERPLATE = {"nav", "header", "footer", "aside", "form", "head", "menu", "dialog", "button"}
 BOILERPLATE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "banner", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "sidebar", "aside", "footer", "header", "masthead", "cookie", "cookies", "consent", "notice", "notices", "gdpr", "popup", "modal", "overlay", "comment", "comments", "reply", "replies", "disqus", "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe", "signup", "login", "search", "pagination", "pager", "toolbar", "widget"}
+#: Inside of the main slot only these elements, and these whole names, are no content.
+NO_ARTICLE = {"nav", "footer", "aside", "form", "head", "menu", "dialog", "button"}
+NO_ARTICLE_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "sponsored", "promo", "banner", "navigation", "navbar", "breadcrumb", "breadcrumbs", "sidebar", "cookie-notice", "cookie-banner", "cookie-consent", "popup", "modal", "comments", "comment-list", "disqus_thread", "share", "share-buttons", "social-share", "related", "related-posts", "newsletter", "newsletter-signup", "subscribe", "pagination"}
 #: A class with one of these names a place of content, whatever else it names.
 CONTENT_WORDS = {"with", "has", "no", "content", "article", "layout"}
 BOILERPLATE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"}
@@ -63,23 +79,26 @@ _TOKEN = re.compile(
 _PAIRS = {t: re.compile(rf"<(/?){t}(?=[\s/>])((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^<>]*)>", re.I) for t in EMBEDDED}
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
+_DIGITS = re.compile(r"[0-9]{3,}")
 _SPACE = re.compile(r"\s+")
 
 
-def _role(tag: str, rest: str) -> tuple[str, bool]:
-    """A container's name in a path (element and first class or id), and whether it is boilerplate."""
-    bad, name = tag in BOILERPLATE, tag
+def _role(tag: str, rest: str) -> tuple[str, int]:
+    """A container's name in a path (element and first class or id, long numbers as one mark), and what its
+    names say: 0 nothing, 1 boilerplate beside the main slot, 2 also inside of it."""
+    bad, name = (tag in BOILERPLATE) + (tag in NO_ARTICLE), tag
     if "=" in rest:
         for key, *values in _ATTRIBUTE.findall(rest):
             value = (values[0] or values[1] or values[2]).lower()
             if key.lower() == "role":
-                bad |= bool(set(_WORDS.findall(value)) & BOILERPLATE_ROLES)
+                bad = max(bad, int(bool(set(_WORDS.findall(value)) & BOILERPLATE_ROLES)))
                 continue
             for one in value.split() if tag not in ("html", "body") else ():
                 words = set(_WORDS.findall(one))
-                bad |= bool(words & BOILERPLATE_WORDS) and not words & CONTENT_WORDS
+                if words & BOILERPLATE_WORDS and not words & CONTENT_WORDS:
+                    bad = max(bad, 1 + (one in NO_ARTICLE_NAMES))
             if name == tag and value.split():
-                name = f"{tag}.{value.split()[0]}"
+                name = f"{tag}.{_DIGITS.sub('#', value.split()[0])}"
     return name, bad
 
 
@@ -96,10 +115,10 @@ def _closed(page: str, tag: str) -> dict[int, int]:
     return out
 
 
-def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, bool]]]:
+def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
     """The page's text blocks as (container, text, characters in links), and its containers as
-    (parent, name, boilerplate); container 0 is the page itself. Every piece of text is in one block."""
-    nodes: list[tuple[int, str, bool]] = [(-1, "", False)]
+    (parent, name, what names say); container 0 is the page itself. Every piece of text is in one block."""
+    nodes: list[tuple[int, str, int]] = [(-1, "", 0)]
     stack: list[tuple[str, int]] = []  # open containers
     out: list[tuple[int, str, int]] = []
     piece: list[str] = []
@@ -152,7 +171,7 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str,
                 stack.pop()  # an item ends where the next begins
             name, bad = _role(tag, rest)
             parent = stack[-1][1] if stack else 0
-            nodes.append((parent, name, bad or nodes[parent][2]))
+            nodes.append((parent, name, max(bad, nodes[parent][2])))
             if not rest.endswith("/"):
                 stack.append((tag, len(nodes) - 1))
         here = stack[-1][1] if stack else 0
@@ -169,62 +188,130 @@ def _paths(nodes) -> list[str]:
     return out
 
 
-def _held(found, nodes) -> list[int]:
-    """Characters of text, outside boilerplate and links, in each container and all inside it."""
-    own = [0] * len(nodes)
-    for node, text, linked in found:
-        if not nodes[node][2]:
-            own[node] += len(text) - linked
-    for i in range(len(nodes) - 1, 0, -1):
-        own[nodes[i][0]] += own[i]
-    return own
+@dataclass
+class Role:
+    """What the pages of a host have in a role: characters outside of links, in links, outside of links
+    and in repeated containers; whether it is the same text in nearly all pages; what its names say."""
 
+    chars: int
+    linked: int
+    listed: int
+    same: bool = False
+    bad: int = 0
 
-def main_of(roles: dict[str, tuple[int, float]]) -> str:
-    """The main slot among template roles. roles: path -> (characters held, depth is in the path)."""
-    best, total = "", roles.get("", (0, 0))[0]
-    while total:
-        inside = [(n, p) for p, (n, _) in roles.items() if p.startswith(best + ">") and n >= (MOST if _tag(p) in ("article", "main") else NEARLY_ALL) * total]
-        inside = [x for x in inside if _tag(x[1]) in SLOTS]
-        articles = [x for x in inside if _tag(x[1]) in ("article", "main")]
-        if articles:  # the outermost, the largest of several
-            return min(articles, key=lambda x: (x[1].count(">"), -x[0], x[1]))[1]
-        if not inside:
-            return best
-        best = min(inside, key=lambda x: (x[1].count(">"), -x[0], x[1]))[1]
-    return best
+
+def _stats(found, nodes, paths) -> list[list[int]]:
+    """For each container and all inside it: characters outside of links, in links, in repeated containers."""
+    count = Counter(paths)
+    repeated = [False] * len(nodes)
+    for i, (parent, _, _) in enumerate(nodes):
+        repeated[i] = i > 0 and (repeated[parent] or count[paths[i]] > 1)
+    out = [[0, 0, 0] for _ in nodes]
+    for node, text, linked in found:
+        o, n = out[node], len(text) - linked
+        o[0] += n
+        o[1] += linked
+        o[2] += n * repeated[node]
+    for i in range(len(nodes) - 1, 0, -1):
+        o, p = out[i], out[nodes[i][0]]
+        p[0] += o[0]
+        p[1] += o[1]
+        p[2] += o[2]
+    return out
 
 
 def _tag(path: str) -> str:
     return path.rpartition(">")[2].partition(".")[0]
 
 
-def own_main(found, nodes) -> str:
-    """The main slot of a page that is its own template: roles that occur once."""
-    paths, held = _paths(nodes), _held(found, nodes)
+def choose(roles: dict[str, Role]) -> tuple[str, list[str]]:
+    """The main slot among template roles, and the roles that are left out of it."""
+    roles = {p: roles[p] for p in sorted(roles)}
+    parent: dict[str, str] = {}
+    inside: dict[str, list[str]] = {p: [] for p in roles}
+    for p in roles:
+        up = p
+        while up:
+            up = up.rpartition(">")[0]
+            if up in roles:
+                parent[p] = up
+                inside[up].append(p)
+                break
+    content: dict[str, int] = {}
+    out: set[str] = set()
+    order = sorted(roles, key=lambda p: (-p.count(">"), p))  # what is inside comes first
+
+    def weigh() -> None:
+        for p in order:
+            r = roles[p]
+            content[p] = 0 if p in out else r.chars - sum(roles[k].chars for k in inside[p]) + sum(content[k] for k in inside[p])
+
+    for p in order:
+        r = roles[p]
+        if p and (r.same or r.linked and r.linked >= LINKED * (r.chars + r.linked)):
+            out.add(p)
+    weigh()
+    total = content.get("", 0)
+    # lists beside running text
+    listed = {p for p in roles if p and roles[p].chars and roles[p].listed >= LISTED * roles[p].chars}
+    for up, kids in inside.items():
+        if any(k not in listed and k not in out and content[k] >= RUNNING * total for k in kids):
+            out |= {k for k in kids if k in listed and _tag(k) not in ("article", "main")}
+    weigh()
+    total = content.get("", 0)
+    # names break ties, but never take what holds most of the content
+    for p in order:
+        if p and roles[p].bad and p not in out and 2 * content[p] < total:
+            out.add(p)
+    weigh()
+    best, total = "", content.get("", 0)
+    while total:
+        articles = [p for p in content if p.startswith(best + ">") and _tag(p) in ("article", "main") and content[p] >= MOST * total]
+        if articles and _tag(best) not in ("article", "main"):  # the outermost
+            best = min(articles, key=lambda p: (p.count(">"), -content[p], p))
+            break
+        kids = [k for k in inside[best] if _tag(k) in SLOTS and content[k] >= NEARLY_ALL * total]
+        if not kids:
+            break
+        best = kids[0]
+    if _tag(best) in ("", "html", "body"):
+        left = out
+    else:  # inside of a content slot only what is no article text by definition goes
+        left = {p for p in out if roles[p].bad > 1}
+    left = [p for p in sorted(left) if p.startswith(best + ">") and not any(p.startswith(o + ">") for o in left)]
+    return best, left
+
+
+def own_template(found, nodes, paths) -> tuple[str, list[str]]:
+    """The main slot of a page that is its own template: roles that occur once, outside of others."""
     count = Counter(paths)
-    return main_of({p: (n, 0) for p, n in zip(paths, held) if count[p] == 1})
+    own = {p: Role(*s, bad=n[2]) for p, s, n in zip(paths, _stats(found, nodes, paths), nodes) if count[p] == 1}
+    return choose({p: r for p, r in own.items() if not p or all(u in own for u in _above(p))})
+
+
+def _above(path: str) -> list[str]:
+    """The paths of the containers round a role's."""
+    parts = path.split(">")
+    return [">".join(parts[:i]) for i in range(1, len(parts))]
 
 
-def extract(page: str | None, slot: str | None, fixed: set[str] | frozenset[str] = frozenset()) -> str:
-    """The page's main text. slot: its host's main slot, if known; fixed: roles whose text is part of
-    the host's template. If nothing would be left without them, the page is its own template."""
+def extract(page: str | None, slot: str | None, left_out: list[str] | tuple[str, ...] = ()) -> str:
+    """The page's main text. slot: its host's main slot, if known; left_out: roles in it without
+    content. If nothing would be left, the page is its own template."""
     if not page:
         return ""
     found, nodes = blocks(page)
     paths = _paths(nodes)
-    if slot is None or slot not in paths:
-        slot = own_main(found, nodes)
-    text = _inside(found, nodes, paths, slot, fixed)
-    if not text and fixed:
-        text = _inside(found, nodes, paths, own_main(found, nodes), frozenset())
-    return text
+    text = _inside(found, nodes, paths, slot, left_out) if slot is not None and slot in paths else ""
+    return text or _inside(found, nodes, paths, *own_template(found, nodes, paths)) or _inside(found, nodes, paths, "", ())
 
 
-def _inside(found, nodes, paths, slot, fixed) -> str:
-    inside = [False] * len(nodes)
+def _inside(found, nodes, paths, slot, left_out) -> str:
+    worst = 0 if _tag(slot) in ("", "html", "body") else 1  # what names may say inside of the slot
+    inside, out = [False] * len(nodes), set(left_out)
+    top = next(n[2] for p, n in zip(paths, nodes) if p == slot)
     for i, (parent, _, bad) in enumerate(nodes):
-        inside[i] = not bad and paths[i] not in fixed and (paths[i] == slot or (i > 0 and inside[parent]))
+        inside[i] = paths[i] not in out and (bad <= worst or bad <= top) and (paths[i] == slot or (i > 0 and inside[parent]))
     return "\n".join(text for node, text, _ in found if inside[node])
 
 
@@ -235,9 +322,12 @@ def host(url) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
 
 
+_SUMS = ("pages", "chars", "linked", "listed")
+
+
 def _roles(df: DataFrame) -> DataFrame:
-    """host, role, vector, pages, most (occurrences in a page), chars: sums over a batch's pages; the
-    bounds of the hashes of the role's text (least, greatest) and of its pages' text (low, high)."""
+    """host, role, vector, most (occurrences in a page), bad, the sums over a batch's pages, and the
+    bounds of the hashes of the role's text (least, greatest)."""
 
     def run(batches):
         for batch in batches:
@@ -246,28 +336,28 @@ def _roles(df: DataFrame) -> DataFrame:
                 if not page:
                     continue
                 found, nodes = blocks(page)
-                whole = _page_hash(found, nodes)
+                paths = _paths(nodes)
                 held: dict[str, list[int]] = {}
-                for path, n, text in zip(_paths(nodes), _held(found, nodes), _text_hashes(found, nodes)):
-                    h = held.setdefault(path, [0, 0, 0])
+                for path, stats, text, node in zip(paths, _stats(found, nodes, paths), _text_hashes(found, nodes), nodes):
+                    h = held.setdefault(path, [0, 0, 0, 0, 0, 0])
                     h[0] += 1
-                    h[1] += n
-                    h[2] = text
-                for path, (count, n, text) in held.items():
-                    s = sums.setdefault((name, path), [0, 0, 0, 0, text, text, whole, whole])
+                    h[1] += stats[0]
+                    h[2] += stats[1]
+                    h[3] += stats[2]
+                    h[4] = text
+                    h[5] = max(h[5], node[2])
+                for path, (count, chars, linked, listed, text, bad) in held.items():
+                    s = sums.setdefault((name, path), [0, 0, 0, 0, 0, 0, text, text, 0])
                     s[0] = (s[0] + key * count) & 0xFFFFFFFFFFFFFFFF
-                    s[1] += 1
-                    s[2] = max(s[2], count)
-                    s[3] += n
-                    s[4] = min(s[4], text)
-                    s[5] = max(s[5], text)
-                    s[6] = min(s[6], whole)
-                    s[7] = max(s[7], whole)
+                    s[1] = max(s[1], count)
+                    for i, v in enumerate((1, chars, linked, listed), 2):
+                        s[i] += v
+                    s[6], s[7], s[8] = min(s[6], text), max(s[7], text), max(s[8], bad)
             rows = list(sums.items())
             vector = np.array([v[0] for _, v in rows], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array(vector, pa.int64()), *(pa.array([v[i] for _, v in rows], pa.int64()) for i in (1, 2, 3, 4, 5, 6, 7))], names=["host", "role", "vector", "pages", "most", "chars", "least", "greatest", "low", "high"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array(vector, pa.int64()), *(pa.array([v[i] for _, v in rows], pa.int64()) for i in range(1, 9))], names=["host", "role", "vector", "most", *_SUMS, "least", "greatest", "bad"])
 
-    return df.mapInArrow(run, "host string,role string,vector long,pages long,most long,chars long,least long,greatest long,low long,high long")
+    return df.mapInArrow(run, "host string,role string,vector long,most long,pages long,chars long,linked long,listed long,least long,greatest long,bad long")
 
 
 def _text_hashes(found, nodes) -> list[int]:
@@ -281,59 +371,56 @@ def _text_hashes(found, nodes) -> list[int]:
     return out
 
 
-def _page_hash(found, nodes) -> int:
-    """A hash of the page's text outside boilerplate."""
-    out = 0
-    for node, text, _ in found:
-        if not nodes[node][2]:
-            out = (out * 31 + zlib.crc32(text.encode("utf-8", "replace")) + 1) & 0x7FFFFFFFFFFFFFFF
-    return out
-
-
-def templates(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, role, class, size, pages, chars, constant: each host's template roles with their class, and
-    whether a role's text is the same in nearly all pages of the host, two of which have different texts."""
+def templates(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: float = SUPPORT) -> DataFrame:
+    """host, role, class, of (the host's pages), pages, chars, linked, listed, same, bad: the roles of
+    classes that stand in enough of the host's pages, once in a page. A host has at most 1 / support
+    times as many as one page has containers."""
     seed = F.xxhash64(F.col(id_col).cast("string"), F.col(html_col))
     roles = _roles(df.select(host(F.col(url_col)).alias("host"), seed.alias("key"), F.col(html_col).alias("html")))
     # vectors are sums modulo 2 ** 64: decimals hold the partial sums exactly
     total = F.pmod(F.sum(F.col("vector").cast("decimal(38,0)")), F.expr("cast('18446744073709551616' as decimal(38,0))"))
-    merged = roles.groupBy("host", "role").agg(total.cast("string").alias("class"), F.sum("pages").alias("pages"), F.max("most").alias("most"), F.sum("chars").alias("chars"), ((F.min("least") == F.max("greatest")) & (F.min("low") < F.max("high"))).alias("same"))
-    all_pages = merged.where("role = ''").select("host", F.col("pages").alias("of"))
-    valid = merged.join(all_pages, "host").where((F.col("most") == 1) & (F.col("pages") >= SUPPORT * F.col("of")) & (F.col("of") > 1))
-    classes = valid.groupBy("host", "class").agg(F.count("*").alias("size"))
-    return valid.join(classes, ["host", "class"]).select("host", "role", "class", "size", "pages", "chars", (F.col("same") & (F.col("pages") >= NEARLY_ALL * F.col("of"))).alias("constant"))
+    merged = checkpoint(roles.groupBy("host", "role").agg(total.cast("string").alias("class"), F.max("most").alias("most"), *(F.sum(c).alias(c) for c in _SUMS), (F.min("least") == F.max("greatest")).alias("same"), F.max("bad").alias("bad")))
+    hosts = merged.where("role = ''").select("host", F.col("pages").alias("of"), F.col("same").alias("alike"))
+    often = merged.join(hosts, "host").where((F.col("most") == 1) & (F.col("pages") >= support * F.col("of")) & (F.col("of") > 1))
+    constant = F.col("same") & ~F.col("alike") & (F.col("pages") >= NEARLY_ALL * F.col("of")) & (F.col("pages") > 1)
+    return often.select("host", "role", "class", "of", "pages", "chars", "linked", "listed", constant.alias("same"), "bad")
 
 
 def main_slots(found: DataFrame) -> DataFrame:
-    """host, slot, fixed (constant roles, a line each, if the slot is the whole body). Where constant
-    roles hold all text there is no slot: each page is its own template. A host's template has at most
-    two roles for each place in one page of its half."""
-
-    def choose(t: pa.Table) -> pa.Table:
-        roles = dict(zip(t.column("role").to_pylist(), t.column("chars").to_pylist()))
-        same = [r for r, c in zip(t.column("role").to_pylist(), t.column("constant").to_pylist()) if c and r and roles[r]]
-        if any(_tag(r) in ("html", "body", "article", "main") for r in same):
-            same = []  # pages that are all the same have no template to tell
-        top = [r for r in same if not any(r.startswith(o + ">") for o in same)]
-        if top and sum(roles[o] for o in top) >= roles.get("", 0):
-            return pa.table({"host": [t.column("host")[0].as_py()], "slot": pa.array([None], pa.string()), "fixed": [""]})
-        # what template text holds is no slot's
-        slot = main_of({r: (n - sum(roles[o] for o in top if o == r or o.startswith(r + ">")), 0) for r, n in roles.items()})
-        fixed = top if _tag(slot) in ("", "html", "body") else []  # what stands inside a content slot stays
-        return pa.table({"host": [t.column("host")[0].as_py()], "slot": [slot], "fixed": ["\n".join(fixed)]})
-
-    return found.select("host", "role", "chars", "constant").groupBy("host").applyInArrow(choose, "host string,slot string,fixed string")
-
-
-def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per input row: id, url, text, n_chars."""
-    slots = main_slots(templates(df, id_col, url_col, html_col))
-    # a host may have a third of all pages: they are dealt over SALTS parts, its slot goes to each
-    pages = df.select(F.col(id_col).cast("long").alias(id_col), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumns({"host": host(F.col(url_col)), "salt": F.pmod(F.xxhash64(id_col), F.lit(SALTS))})
-    both = pages.join(slots.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["host", "salt"], "left")
-
-    def rows(ids, urls, texts, slot, fixed):
-        text = [extract(t, s, frozenset((f or "").split("\n")) - {""}) for t, s, f in zip(texts, slot, fixed)]
+    """host, of, slot, left_out (roles without content, a line each), size (roles of the template)."""
+
+    def pick(t: pa.Table) -> pa.Table:
+        rows = {r["role"]: r for r in t.to_pylist()}
+        classes: dict[str, list[str]] = {}
+        for p, r in rows.items():
+            classes.setdefault(r["class"], []).append(p)
+        # a class nests if each of its roles stands in roles of classes that do: of two roles that a page
+        # has once each, the inner one cannot be in more pages, so parents come first by the path's length
+        valid: set[str] = set()
+        for members in sorted(classes.values(), key=lambda m: (-rows[m[0]]["pages"], min(p.count(">") for p in m))):
+            inner = set(members)
+            if all(u in valid or u in inner for p in members for u in (_above(p) if p else ())):
+                valid |= inner
+        slot, left = choose({p: Role(*(rows[p][c] for c in ("chars", "linked", "listed", "same", "bad"))) for p in valid}) if "" in valid else ("", [])
+        return pa.table({"host": [t.column("host")[0].as_py()], "of": [t.column("of")[0].as_py()], "slot": [slot], "left_out": ["\n".join(left)], "size": [len(valid)]})
+
+    return found.groupBy("host").applyInArrow(pick, "host string,of long,slot string,left_out string,size long")
+
+
+def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: float = SUPPORT, small: int = SMALL) -> DataFrame:
+    """One row per input row: id, url, text, n_chars. support over 1: each page is its own template."""
+    slots = checkpoint(main_slots(templates(df, id_col, url_col, html_col, support)))
+    size = slots.agg(F.sum(F.length("host") + F.length("slot") + F.length("left_out") + 64).alias("bytes"), F.max("of").alias("of")).first()
+    pages = df.select(F.col(id_col).cast("long").alias(id_col), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host(F.col(url_col)))
+    chosen = slots.select("host", "slot", "left_out")
+    if (size.bytes or 0) <= small:
+        both = pages.join(F.broadcast(chosen), "host", "left")
+    else:  # a host may have a third of all pages: they are dealt over parts, its slot goes to each that is there
+        pages = pages.withColumn("part", F.pmod(F.xxhash64(id_col, "html"), F.lit(-(-size.of // PART))))
+        both = pages.join(pages.select("host", "part").distinct().join(chosen, "host"), ["host", "part"], "left")
+
+    def rows(ids, urls, texts, slot, left_out):
+        text = [extract(t, s, [r for r in (f or "").split("\n") if r]) for t, s, f in zip(texts, slot, left_out)]
         return {id_col: ids, "url": urls, "text": text, "n_chars": [len(t) for t in text]}
 
-    return map_rows(both, [id_col, "url", "html", "slot", "fixed"], f"{id_col} long,url string,text string,n_chars long", rows, by="html")
+    return map_rows(both, [id_col, "url", "html", "slot", "left_out"], f"{id_col} long,url string,text string,n_chars long", rows, by="html")
