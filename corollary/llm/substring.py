@@ -6,44 +6,56 @@ documents matter. They are found without a row per window:
 1. each slice of documents cuts its windows into runs that share a minimizer (the least hash of the
    shorter word runs inside a window), as neighbouring windows mostly do. Inside a slice a window
    keeps its first place in the smallest document only; later documents of the slice are already
-   known to repeat it. The runs go to the bucket of their minimizer, as packed arrays;
+   known to repeat it. The runs go to the bucket of their minimizer, as packed arrays. A minimizer that
+   has more than its share of all windows (a line that very many documents have) does not fill one
+   bucket: its windows go to buckets by their own hashes (``_hot``, counted over all documents);
 2. a bucket meets all windows with its minimizers, from all documents, and finds for each the place
    in the smallest document: the edge's source. An occurrence in a larger document is a repeat;
 3. consecutive edges whose places and sources advance together form a nonbranching path (a branch
-   would change the source), and leave the bucket as one row: document, start, edges, source document
-   and source start. Paths that go on in another bucket are joined per document by their coordinates
-   (``compacted``), so a long repeated span is one row with its source;
-4. paths meet their documents in a join; every word that a path covers is cut.
-
-Windows are compared by 56 bits of hash inside a bucket chosen by other bits. ``verified`` joins spans
-with the texts of their sources and compares the words. Buckets grow in number with the documents; a
-window counts once per slice, so a line that stands in a third of all rows is a few rows per bucket.
-
-Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. A null text has none. Repeated rows with one id never
-repeat each other. Rows without an id are neither sources nor cut.
+   would change the source). Paths leave buckets as rows: document, start, edges, source document and
+   source start; ``compacted`` joins them to whole paths: those that none precedes with those that none
+   follows;
+4. source coordinates verify: a join with the sources' documents gives the SHA-256 of each path's words
+   there, a join with its own document compares it with the words here and cuts what is equal.
+
+Up to there windows are compared by hashes (HASH bits). A path whose words differ from its source's
+stays in the text; ``removed`` then asks the hashes of its windows again, by SHA-256 of their words over all
+documents, so its result does not depend on the hashes. ``cut`` does not ask again: with 56 bits inside of
+a bucket such a path is not to be expected, and if there is one no word goes that it should not.
+
+Buckets grow in number with the documents. Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. A null text has
+none. Repeated rows with one id never repeat each other. Rows without an id are neither sources nor cut.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corollary.llm.common import U64, Words, map_rows, mix, runs_hash, slices
+from corollary.llm.common import SPACE, U64, Words, checkpoint, mix, runs_hash, slices
 
 K = 13
 DOCS_PER_BUCKET = 1024
 LEAST_BUCKETS = 256
+#: Bits of a window's hash.
+HASH = 64
+#: A minimizer with this share of all windows is hot, so there are at most 1 / HOT of them; a slice reports
+#: minimizers with the share LOCAL (and LEAST windows) of its own.
+HOT, LOCAL, LEAST = 1 / 8192, 1 / 2048, 32
 _PATH = "doc long,start int,edges int,src_doc long,src_start int"
 _NAMES = [f.split()[0] for f in _PATH.split(",")]
 
 
-def _windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _windows(words: Words, k: int, bits: int = HASH) -> tuple[np.ndarray, np.ndarray]:
     """Word index and hash of each window that lies inside one text."""
-    h = runs_hash(words.hash, k)
+    h = runs_hash(words.hash, k) & U64((1 << bits) - 1)
     if not len(h):
         return np.zeros(0, np.int64), h
     last = words.first[1:][words.doc[: len(h)]] - k
@@ -82,10 +94,38 @@ def _paths(doc, start, src_doc, src_start) -> dict[str, np.ndarray]:
     return {"doc": doc[first], "start": start[first].astype(np.int32), "edges": edges.astype(np.int32), "src_doc": src_doc[first], "src_start": src_start[first].astype(np.int32)}
 
 
-def _slice(ids: list[int], texts: list[str | None], k: int, buckets: int):
+def _frequent(texts: list[str | None], k: int) -> tuple[list[int], list[int], int]:
+    """Minimizers that many of the texts' windows have, with their windows; and the number of windows."""
+    words = Words(texts)
+    at, h = _windows(words, k)
+    if not len(at):
+        return [], [], 0
+    least, count = np.unique(_minimizers(words, k)[at], return_counts=True)
+    much = count >= max(LEAST, LOCAL * len(at))
+    return least[much].astype(np.int64).tolist(), count[much].tolist(), len(at)
+
+
+def _hot(docs: DataFrame, k: int) -> tuple[int, np.ndarray]:
+    """The number of rows of docs (id, text), and the hot minimizers: at most 1 / HOT."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 1):
+                least, count, total = _frequent([t if i is not None else None for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist())], k)
+                yield pa.RecordBatch.from_arrays([pa.array([*least, None], pa.int64()), pa.array([*count, total], pa.int64()), pa.array([0] * len(least) + [part.num_rows], pa.int64())], names=["least", "windows", "rows"])
+
+    counted = checkpoint(docs.mapInArrow(run, "least long,windows long,rows long").groupBy("least").agg(F.sum("windows").alias("windows"), F.sum("rows").alias("rows")))
+    total = counted.where("least is null").first()
+    if total is None:
+        return 0, np.zeros(0, np.uint64)
+    hot = counted.where(F.col("least").isNotNull() & (F.col("windows") >= max(LEAST, HOT * total.windows))).select("least").collect()  # at most 1 / HOT rows
+    return total.rows, np.sort(np.array([r.least for r in hot], np.int64).astype(np.uint64))
+
+
+def _slice(ids: list[int], texts: list[str | None], k: int, buckets: int, hot: np.ndarray, bits: int = HASH):
     """(paths known inside the slice, {bucket: packed runs})."""
     words = Words([t if i is not None else None for i, t in zip(ids, texts)])
-    at, h = _windows(words, k)
+    at, h = _windows(words, k, bits)
     number = np.array([0 if i is None else i for i in ids], np.int64)
     if not len(at):
         return None, {}
@@ -106,6 +146,8 @@ def _slice(ids: list[int], texts: list[str | None], k: int, buckets: int):
     # first places, in text order, by minimizer
     keep = np.sort(order[head])
     least = _minimizers(words, k)[at[keep]]
+    if len(hot):
+        least = np.where(hot[np.minimum(np.searchsorted(hot, least), len(hot) - 1)] == least, h[keep], least)
     bucket = (mix(least) % U64(buckets)).astype(np.int64)
     doc, start, h = doc[keep], start[keep], h[keep]
     first = _runs(start, same=(doc, row[keep], bucket))
@@ -132,17 +174,18 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(doc, length), np.repeat(start, length) + inside, low.astype(np.uint64) | mid.astype(np.uint64) << U64(32) | high.astype(np.uint64) << U64(48)
 
 
-def paths(df: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def paths(df: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text", bits: int = HASH) -> DataFrame:
     """doc, start, edges, src_doc, src_start: runs of windows that repeat a smaller document's. A
     window that a document holds several times may be named once only."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    buckets = max(LEAST_BUCKETS, 1 << max(0, (df.count() // DOCS_PER_BUCKET).bit_length()))
+    n, hot = _hot(docs, k)
+    buckets = max(LEAST_BUCKETS, 1 << max(0, (n // DOCS_PER_BUCKET).bit_length()))
     kinds = {"doc": pa.int64(), "start": pa.int32(), "edges": pa.int32(), "src_doc": pa.int64(), "src_start": pa.int32()}
 
     def cut(batches):
         for batch in batches:
             for part in slices(batch, 1):
-                known, runs = _slice(part.column(0).to_pylist(), part.column(1).to_pylist(), k, buckets)
+                known, runs = _slice(part.column(0).to_pylist(), part.column(1).to_pylist(), k, buckets, hot, bits)
                 rows, data = [*runs], [*runs.values()]
                 if known is not None and len(known["doc"]):  # known paths go to any bucket
                     rows.append(int(known["doc"][0]) % buckets)
@@ -179,111 +222,192 @@ def paths(df: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "te
     return docs.mapInArrow(cut, "bucket int,runs binary").groupBy("bucket").applyInArrow(meet, _PATH)
 
 
-def compacted(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """id, paths: each document's paths as one array (a document has at most one per word)."""
-    return found.groupBy(F.col("doc").alias(id_col)).agg(F.sort_array(F.collect_list(F.struct("start", "edges", "src_doc", "src_start"))).alias("paths"))
+def compacted(found: DataFrame) -> DataFrame:
+    """doc, start, edges, src_doc, src_start: whole nonbranching paths. In the paths between two documents
+    with one distance of places, the n-th that none precedes begins the path that the n-th that none
+    follows ends."""
+    line = ["doc", "src_doc", "shift"]
+    every = found.distinct().select("doc", "src_doc", (F.col("src_start") - F.col("start")).alias("shift"), "start", (F.col("start") + F.col("edges")).alias("end"))
+    number = lambda c: F.row_number().over(Window.partitionBy(*line).orderBy(c)).alias("n")
+    heads = every.join(every.select(*line, F.col("end").alias("start")), [*line, "start"], "left_anti").select(*line, "start", number("start"))
+    tails = every.join(every.select(*line, F.col("start").alias("end")), [*line, "end"], "left_anti").select(*line, "end", number("end"))
+    return heads.join(tails, [*line, "n"]).select("doc", "start", (F.col("end") - F.col("start")).alias("edges"), "src_doc", (F.col("start") + F.col("shift")).alias("src_start"))
+
+
+class Canonical:
+    """A text's words with one space between them, and where each begins."""
+
+    def __init__(self, text: str | None):
+        words = (text or "").encode("utf-8", "surrogatepass").split()
+        self.words = words
+        self.data = b" ".join(words)
+        self.at = [0, *accumulate(len(w) + 1 for w in words)]
+
+    def part(self, start: int, words: int) -> bytes:
+        return self.data[self.at[start] : self.at[start + words] - 1]
 
+    def digest(self, start: int, words: int) -> bytes:
+        return hashlib.sha256(self.part(start, words)).digest()
 
-def _covered(words: Words, i: int, starts: np.ndarray, edges: np.ndarray, at: np.ndarray, h: np.ndarray, k: int) -> np.ndarray:
-    """For each word of text i whether a repeated window covers it."""
-    n = int(words.first[i + 1] - words.first[i])
-    hit = np.zeros(n, bool)
-    pick = np.repeat(starts - np.concatenate([[0], np.cumsum(edges)[:-1]]), edges) + np.arange(edges.sum())
-    hit[pick] = True
-    a, b = np.searchsorted(at, [words.first[i], words.first[i + 1]])
-    own = h[a:b]
+
+def _keyed(df: DataFrame, id_col: str) -> DataFrame:
+    """key, row: rows whole, so that both joins with them read one exchange."""
+    return df.select(F.col(id_col).cast("long").alias("key"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+
+
+def with_digests(found: DataFrame, keyed: DataFrame, text_col: str, k: int) -> DataFrame:
+    """The paths with the SHA-256 of their source's words. A source answers each place and length once,
+    however many documents repeat it."""
+    asked = found.groupBy(F.col("src_doc").alias("key")).agg(F.collect_set(F.struct("src_start", "edges")).alias("asked"))
+
+    def run(batches):
+        for batch in batches:
+            texts = pa.compute.struct_field(batch.column("row"), text_col).to_pylist()
+            out: list[tuple] = []
+            for key, text, want in zip(batch.column("key").to_pylist(), texts, batch.column("asked").to_pylist()):
+                c = Canonical(text)
+                out += [(key, w["src_start"], w["edges"], c.digest(w["src_start"], w["edges"] + k - 1)) for w in want if w["src_start"] + w["edges"] + k - 1 <= len(c.words)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out)) or [[]] * 4, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["src_doc", "src_start", "edges", "digest"])
+
+    told = keyed.join(asked, "key").mapInArrow(run, "src_doc long,src_start int,edges int,digest binary")
+    # an id that stands in several rows may give several answers
+    told = told.groupBy("src_doc", "src_start", "edges").agg(F.collect_set("digest").alias("digests"))
+    return found.join(told, ["src_doc", "src_start", "edges"], "left")
+
+
+def _covered(c: Canonical, own: np.ndarray, starts: list[int], edges: list[int], digests: list, k: int) -> tuple[np.ndarray, list[int]]:
+    """For each word of a text whether a repeated window covers it, and the windows of paths whose words
+    are not those of their source. own: the hashes of the text's windows."""
+    n = len(c.words)
+    hit, wrong = np.zeros(n, bool), []
+    for a, m, d in zip(starts, edges, digests):
+        if d is None or a + m + k - 1 <= n and c.digest(a, m + k - 1) in d:  # None: known to repeat
+            hit[a : a + m] = True
+        else:
+            wrong += range(a, min(a + m, len(own)))
     if len(np.unique(own)) < len(own):  # other places of the same windows in this text
-        hit[: len(own)] |= np.isin(own, own[hit[: len(own)]])
+        there = hit[: len(own)]
+        places = np.flatnonzero(np.isin(own, own[there])).tolist()
+        same = {c.part(i, k) for i in places if there[i]}
+        for i in places:
+            hit[i] = hit[i] or c.part(i, k) in same
     step = np.zeros(n + k, np.int32)
     w = np.flatnonzero(hit)
     np.add.at(step, w, 1)
     np.add.at(step, w + k, -1)
-    return np.cumsum(step)[:n] > 0
+    return np.cumsum(step)[:n] > 0, wrong
 
 
-def _with_paths(df: DataFrame, k: int, id_col: str, text_col: str) -> tuple[DataFrame, str, str]:
-    """The rows with their paths' starts and edges, in two columns whose names are new to df."""
-    free = "_"
-    while any(c.lower().startswith(free) for c in df.columns):
-        free += "_"
-    doc, starts, edges = f"{free}doc", f"{free}starts", f"{free}edges"
-    spans = compacted(paths(df, k, id_col, text_col), doc)
-    flat = spans.select(doc, F.col("paths.start").alias(starts), F.col("paths.edges").alias(edges))
-    return df.join(flat, F.col(id_col).cast("long") == F.col(doc), "left").drop(doc), starts, edges
+def _covers(texts: list[str | None], spans: list[list[dict] | None], k: int, bits: int) -> Iterator[tuple[int, Canonical, np.ndarray, list[int]]]:
+    """For each text with paths: its index, words, what is covered, and the hashes of windows to ask again."""
+    there = [i for i, s in enumerate(spans) if s]
+    words = Words([texts[i] for i in there])
+    at, h = _windows(words, k, bits)
+    edge = np.searchsorted(at, words.first)
+    for j, i in enumerate(there):
+        own, c = h[edge[j] : edge[j + 1]], Canonical(texts[i])
+        cover, wrong = _covered(c, own, *([s[x] for s in spans[i]] for x in ("start", "edges", "digests")), k)
+        yield i, c, cover, own[wrong].astype(np.int64).tolist()
 
 
-def _cover_of(texts, starts, edges, k):
-    """Words of the texts that have paths, and for each text its index there (or None) and cover."""
-    there = [i for i, s in enumerate(starts) if s is not None]
-    words = Words([texts[i] for i in there])
-    at, h = _windows(words, k)
-    cover = {i: _covered(words, j, np.array(starts[i], np.int64), np.array(edges[i], np.int64), at, h, k) for j, i in enumerate(there)}
-    return words, {i: j for j, i in enumerate(there)}, cover
+def _with_spans(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """key, row, spans: the rows with their paths (a document has at most one per word)."""
+    spans = found.groupBy(F.col("doc").alias("key")).agg(F.sort_array(F.collect_list(F.struct("start", "edges", "digests"))).alias("spans"))
+    return keyed.join(spans, "key", "left")
 
 
-def removed(df: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_words, n_removed, kept_sha256 (kept words joined by a space)."""
+def _removed(keyed: DataFrame, found: DataFrame, id_col: str, text_col: str, k: int, bits: int) -> DataFrame:
+    """id, n_words, n_removed, kept_sha256, ask (hashes of windows to ask again)."""
 
-    def rows(ids, texts, starts, edges):
-        _, _, cover = _cover_of(texts, starts, edges, k)
-        out = {id_col: ids, "n_words": [], "n_removed": [], "kept_sha256": []}
-        for i, t in enumerate(texts):
-            words = (t or "").encode().split()
-            gone = cover.get(i)
-            kept = words if gone is None else [w for w, g in zip(words, gone.tolist()) if not g]
-            out["n_words"].append(len(words))
-            out["n_removed"].append(len(words) - len(kept))
-            out["kept_sha256"].append(hashlib.sha256(b" ".join(kept)).hexdigest())
-        return out
+    def run(batches):
+        for batch in batches:
+            flat = pa.RecordBatch.from_arrays([batch.column("key"), pa.compute.struct_field(batch.column("row"), text_col), batch.column("spans")], names=["key", "text", "spans"])
+            for part in slices(flat, 1):
+                keys, texts, spans = (c.to_pylist() for c in part.columns)
+                words: list = [None] * len(keys)
+                removed, ask = [0] * len(keys), [[] for _ in keys]
+                for i, c, cover, again in _covers(texts, spans, k, bits):
+                    words[i] = len(c.words), [w for w, g in zip(c.words, cover.tolist()) if not g]
+                    removed[i], ask[i] = int(cover.sum()), again
+                for i, w in enumerate(words):
+                    if w is None:
+                        w = (texts[i] or "").encode().split()
+                        words[i] = len(w), w
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([n for n, _ in words], pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for _, w in words], pa.string()), pa.array(ask, pa.list_(pa.int64()))],
+                    names=[id_col, "n_words", "n_removed", "kept_sha256", "ask"],
+                )
+
+    return _with_spans(keyed, found).mapInArrow(run, f"{id_col} long,n_words long,n_removed long,kept_sha256 string,ask array<long>")
+
+
+def _asked_again(df: DataFrame, hashes: DataFrame, id_col: str, text_col: str, k: int, bits: int) -> DataFrame:
+    """doc, start, edges (1), digests (null): all repeats among the windows with these hashes (h), told by
+    the SHA-256 of their words over all documents."""
+
+    def places(batches):
+        for batch in batches:
+            for part in slices(batch, 1):
+                ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+                words = Words(texts)
+                at, h = _windows(words, k, bits)
+                row = words.doc[at]
+                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(np.array(ids, np.int64)[row], pa.int64()), pa.array((at - words.first[row]).astype(np.int32))], names=["h", "key", "start"])
 
-    both, at, count = _with_paths(df.select(F.col(id_col).cast("long").alias(id_col), text_col), k, id_col, text_col)
-    return map_rows(both, [id_col, text_col, at, count], f"{id_col} long,n_words long,n_removed long,kept_sha256 string", rows, by=text_col)
+    docs = df.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).where("key is not null")
+    found = docs.mapInArrow(places, "h long,key long,start int").join(hashes, "h", "left_semi").groupBy("key").agg(F.collect_set("start").alias("starts"))
 
+    def digests(batches):
+        for batch in batches:
+            out = []
+            for key, text, starts in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "starts"))):
+                c = Canonical(text)
+                out += [(key, i, c.digest(i, k)) for i in starts if i + k <= len(c.words)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out)) or [[]] * 3, (pa.int64(), pa.int32(), pa.binary()))], names=["doc", "start", "digest"])
+
+    told = docs.join(found, "key").mapInArrow(digests, "doc long,start int,digest binary")
+    least = told.groupBy("digest").agg(F.min("doc").alias("least"))
+    return told.join(least, "digest").where("least < doc").select("doc", "start", F.lit(1).alias("edges"), F.lit(None).cast("array<binary>").alias("digests"))
 
-def cut(df: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def removed(df: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text", bits: int = HASH) -> DataFrame:
+    """One row per input row: id, n_words, n_removed, kept_sha256 (kept words joined by a space)."""
+    docs = df.select(F.col(id_col).cast("long").alias(id_col), text_col)
+    keyed = _keyed(docs, id_col)
+    found = with_digests(compacted(checkpoint(paths(docs, k, id_col, text_col, bits))), keyed, text_col, k).select("doc", "start", "edges", "digests")
+    found = found.withColumn("digests", F.coalesce("digests", F.array().cast("array<binary>")))
+    out = checkpoint(_removed(keyed, found, id_col, text_col, k, bits))
+    hashes = out.select(F.explode("ask").alias("h")).distinct()
+    if not hashes.isEmpty():
+        again = _asked_again(docs, checkpoint(hashes), id_col, text_col, k, bits)
+        out = _removed(keyed, found.unionByName(checkpoint(again)), id_col, text_col, k, bits)
+    return out.drop("ask")
+
+
+def cut(df: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text", bits: int = HASH) -> DataFrame:
     """The same rows with covered words, and the white space behind them, cut out of the texts; texts
     without repeats stay as they are. Other columns pass unchanged."""
     names, schema = df.columns, df.schema
-    at_text = names.index(text_col)
-    both, at_start, at_edges = _with_paths(df, k, id_col, text_col)
+    keyed = _keyed(df, id_col)
+    found = with_digests(compacted(checkpoint(paths(df, k, id_col, text_col, bits))), keyed, text_col, k).select("doc", "start", "edges", "digests")
+    found = found.withColumn("digests", F.coalesce("digests", F.array().cast("array<binary>")))
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, at_text):
-                texts, starts, edges = (part.column(c).to_pylist() for c in (text_col, at_start, at_edges))
-                words, place, cover = _cover_of(texts, starts, edges, k)
-                for i, gone in cover.items():
-                    j = place[i]
-                    low, first, last = int(words.offset[j]), int(words.first[j]), int(words.first[j + 1])
-                    raw = words.buf[low : int(words.offset[j + 1]) - 1]
-                    drop = np.zeros(len(raw), bool)
-                    begin = words.start[first:last] - low
-                    until = np.append(begin[1:], len(raw))
-                    for a, b in zip(begin[gone].tolist(), until[gone].tolist()):
-                        drop[a:b] = True
-                    texts[i] = raw[~drop].tobytes().decode().rstrip() if gone.any() else texts[i]
-                field = part.schema.field(at_text)
-                yield part.set_column(at_text, field, pa.array(texts, field.type)).select(names)
-
-    return both.mapInArrow(run, schema)
-
-
-def spans(found: DataFrame, k: int = K) -> DataFrame:
-    """doc, start, words, src_doc, src_start: paths joined to maximal spans by their coordinates."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("doc", "src_doc", F.expr("src_start - start")).orderBy("start")
-    reach = F.max(F.col("start") + F.col("edges")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    run = F.sum(F.when(reach >= F.col("start"), 0).otherwise(1)).over(order)
-    grouped = found.withColumn("run", run).groupBy("doc", "src_doc", F.expr("src_start - start").alias("shift"), "run")
-    spans = grouped.agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("edges")).alias("end"))
-    return spans.select("doc", "start", (F.col("end") - F.col("start") + F.lit(k - 1)).alias("words"), "src_doc", (F.col("start") + F.col("shift")).alias("src_start"))
-
-
-def verified(found: DataFrame, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The spans whose words equal those of their source."""
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.split(F.trim(F.regexp_replace(F.coalesce(text_col, F.lit("")), r"[\x20\x09-\x0D]+", " ")), " ").alias("w"))
-    part = lambda w, start: F.slice(F.col(w), F.col(start) + 1, F.col("words"))
-    both = found.join(texts.select(F.col("id").alias("doc"), "w"), "doc").withColumn("here", part("w", "start")).drop("w")
-    both = both.join(texts.select(F.col("id").alias("src_doc"), "w"), "src_doc")
-    return both.where(F.col("here") == part("w", "src_start")).select("doc", "start", "words", "src_doc", "src_start")
+            row = batch.column("row")
+            flat = pa.RecordBatch.from_arrays([pa.compute.struct_field(row, text_col), row, batch.column("spans")], names=["text", "row", "spans"])
+            for part in slices(flat, 0):
+                texts, spans = part.column(0).to_pylist(), part.column(2).to_pylist()
+                for i, c, cover, _ in _covers(texts, spans, k, bits):
+                    if cover.any():
+                        raw = np.frombuffer(texts[i].encode("utf-8", "surrogatepass"), np.uint8)
+                        word = np.diff((~SPACE[raw]).astype(np.int8), prepend=0) == 1
+                        begin = np.flatnonzero(word)
+                        until = np.append(begin[1:], len(raw))
+                        drop = np.repeat(cover, until - begin)  # from a word's start to the next one's
+                        texts[i] = np.concatenate([raw[: begin[0]], raw[begin[0] :][~drop]]).tobytes().decode("utf-8", "surrogatepass").rstrip()
+                columns = part.column(1).flatten()
+                columns[names.index(text_col)] = pa.array(texts, columns[names.index(text_col)].type)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return _with_spans(keyed, found).mapInArrow(run, schema)

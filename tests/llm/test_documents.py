@@ -67,6 +67,18 @@ def test_near_duplicate_edges(spark):
     assert near_dup.linked(df.limit(0), k=2).count() == 0
 
 
+def test_near_duplicates_among_repeated_ids_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    rng = random.Random(12)
+    long = [f"w{rng.randrange(9999)}" for _ in range(60_000)]
+    rows = [(i, " ".join(long[: 59_000 + i])) for i in (5, 3, 900)] + [(7, "a b c d e f g h")] * 6 + [(8, "a b c d e f g x")] * 5 + [(20 + i, f"one of many pages with a common text and number {i}") for i in range(40)]
+    df = spark.createDataFrame([(i, t, i) for i, t in rows], "doc_id long, text string, component long")
+    got = {r.doc_id: r.component_id for r in near_dup.linked(df, k=2).collect()}
+    assert got == {i: c for i, _, c, _ in brute_components(rows, 2, 80)} and got[900] == 3
+    pairs = spark.createDataFrame([(7, 8), (3, 5)], "a long, b long")
+    assert near_dup._confirmed(pairs, df, "doc_id", "text", 2, 60).count() == 2  # one row a pair, however many rows have an id
+
+
 def test_chain_of_links_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101)], "a long, b long")
     got = dict(map(tuple, near_dup.components(links).collect()))
@@ -99,17 +111,37 @@ def test_repeated_passages(spark, slice_chars, monkeypatch):
     assert {tuple(r) for r in substring.removed(df, k=5).collect()} == brute_removed(rows, 5)
 
 
+def test_hot_lines_and_colliding_hashes(spark, monkeypatch):
+    """A line that most documents have between different words; hashes of 8 bits; very long texts."""
+    rng = random.Random(9)
+    line = "this line stands in nearly all of them".split()
+    other = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    rows = [(i, " ".join(other(9) + line + other(9) + (other(3) + line if i % 3 else []))) for i in range(150)] + [(500, None), (501, " \n ")]
+    rows += [(600, " ".join(other(20_000))), (601, rows[3][1] + " \u00e9 " + rows[5][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_removed(rows, 6)
+    for name, v in (("HOT", 1e-3), ("LOCAL", 1e-4), ("LEAST", 2)):
+        monkeypatch.setattr(substring, name, v)
+    assert len(substring._hot(df.select("doc_id", "text"), 6)[1]) > 0
+    assert {tuple(r) for r in substring.removed(df, k=6).collect()} == want
+    assert {tuple(r) for r in substring.removed(df, k=6, bits=8).collect()} == want
+
+
 def test_spans_and_cut(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(1, f"x y\n{passage} z"), (2, f"begin {passage}\n\nend here"), (3, "clean  text\nstays"), (4, None)]
     df = spark.createDataFrame([(i, t, i) for i, t in rows], "doc_id long, text string, _starts int")
     got = {r.doc_id: r.text for r in substring.cut(df).collect()}
     assert got == {1: rows[0][1], 2: "begin end here", 3: "clean  text\nstays", 4: None}
-    spans = substring.spans(substring.paths(df))
-    assert [tuple(r) for r in spans.collect()] == [(2, 1, 60, 1, 2)]
-    assert substring.verified(spans, df).count() == 1 and substring.removed(df.limit(0)).count() == 0
-    wrong = spans.withColumn("src_start", F.col("src_start") + 1)
-    assert substring.verified(wrong, df).count() == 0
+    found = common.checkpoint(substring.paths(df))
+    spans = substring.compacted(found)
+    assert [tuple(r) for r in spans.collect()] == [(2, 1, 48, 1, 2)] and found.count() > 1  # joined across buckets
+    keyed = substring._keyed(df, "doc_id")
+    assert substring.with_digests(spans, keyed, "text", 13).first().digests == [hashlib.sha256(passage.encode()).digest()]
+    wrong = substring.with_digests(spans.withColumn("src_start", F.col("src_start") - 1), keyed, "text", 13)
+    kept = {r.doc_id: r for r in substring._removed(keyed, wrong, "doc_id", "text", 13, 64).collect()}
+    assert kept[2].n_removed == 0 and len(kept[2].ask) == 48  # other words than the source's stay, and are asked again
+    assert substring.removed(df.limit(0)).count() == 0 and substring.cut(df.limit(0)).count() == 0
 
 
 def test_quality_learns_bytes(spark):
@@ -295,6 +327,17 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df.limit(0), 5).count() == 0
 
 
+def test_scores_are_exact_whatever_their_size(spark):
+    """Components beyond 2 ** 26 on one side, on both, and sums beyond 53 bits."""
+    big = [(1, [1e10, 3.0]), (2, [1e10, 1.0]), (3, [1e10, 2.0]), (50, [1e6, 1e-2]), (100, [2e6, 5.0]), (100, [2e6, 5.0])]
+    df = spark.createDataFrame(big, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df.where("vec_id % 50 = 0"), 2).collect()
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in big}
+    for q in (50, 100):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i, _ in big if i != q)[:2]
+        assert sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q) == [(k, i, -s) for k, (s, i) in enumerate(scores, 1)]
+
+
 def test_threshold_stops_early():
     x = np.zeros((2000, 4), np.int64)
     x[:, 0] = np.arange(2000)
