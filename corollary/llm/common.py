@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
+from corollary.functions.lineage import checkpoint, shared_folder  # noqa: F401
+
 U64 = np.uint64
 #: Rows are handed to a batch function in slices of about this many characters.
 SLICE_CHARS = 2_000_000
@@ -153,16 +155,7 @@ class Covered:
         self.ends.insert(i, b)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's spark.checkpoint.dir; only where
-    none is set (tests) one is set here."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files that all executors share."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of an earlier step that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -11,7 +11,7 @@ adaptive threshold, the mean of the last SPAN differences plus FACTOR times thei
 FLOOR. A cut starts a new clip; clips carry their first frame, number of frames and times.
 
 Null and empty payloads become one unit of padding. Values are whole: nothing is cut or sampled.
-Bytes that are no such AVI file raise ValueError.
+Bytes that are no such AVI file raise ValueError in ``read_avi``; in columns they give a row with an error.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ UNIT = 192  # a row of samples
 ROWS = 8  # rows of a frame, fewer if the payload has fewer
 FPS = 25
 BINS, SPAN, FACTOR, FLOOR = 16, 8, 3.0, 0.05
+#: A frame with more samples than this is taken for damaged.
+LARGEST = 1 << 26
 #: Files are handled in groups of about this many samples.
 GROUP = 3_000_000
 
@@ -235,16 +237,20 @@ def read_jpeg(data: bytes, start: int, end: int) -> tuple[int, int, bytes, int,
         at += 2 + n
 
 
-def _decode(scans: list[bytes], height: int, width: int, category: np.ndarray, prefix: np.ndarray) -> np.ndarray:
-    """The samples of frames, one row each; all frames' streams advance together."""
-    data = b"".join(s + b"\0\0\0\0" for s in scans)
+def _decode(scans: list[bytes], height: int, width: int, category: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The samples of frames, one row each, and whether each stream held them; all frames' streams
+    advance together. A damaged stream runs into the next ones, or into the zeros behind all."""
+    data = b"".join(s + b"\0\0\0\0" for s in scans) + bytes(height * width * 4 + 8)
     raw = np.frombuffer(data, np.uint8)
     sizes = np.array([len(s) + 4 for s in scans])
     ends = np.cumsum(sizes)
+    holes = bool((category == 255).any())  # prefixes that are no code
     keep = np.ones(len(raw), bool)
     keep[1:] = ~((raw[:-1] == 255) & (raw[1:] == 0))
     starts = np.concatenate([[0], ends[:-1]])
-    starts = starts - np.concatenate([[0], np.cumsum(~keep)])[starts]
+    stuffed = np.concatenate([[0], np.cumsum(~keep)])
+    starts, limit = starts - stuffed[starts], (ends - 4 - stuffed[ends - 4]) * 8
+    good = np.ones(len(scans), bool)
     b = raw[keep].astype(np.uint32)
     # the 32 bits from each byte on: a code of up to 16 bits and its value fit behind 7 bits
     word = (b << 24) | (np.append(b[1:], 0).astype(np.uint32) << 16) | (np.append(b[2:], [0, 0]).astype(np.uint32) << 8) | np.append(b[3:], [0, 0, 0]).astype(np.uint32)
@@ -259,39 +265,63 @@ def _decode(scans: list[bytes], height: int, width: int, category: np.ndarray, p
         w = word[at >> 3].astype(np.int64) << (at & 7) & 0xFFFFFFFF
         f = fused[w >> 16]
         c, p = f & 255, f >> 8
+        if holes:
+            good &= c <= 16
+            c = np.minimum(c, 16)
         v = (w >> (32 - p - c)) & ones[c]
         diffs[i] = np.where(v < half[c], v - ones[c], v)
         at += p + c
     d = diffs.T.reshape(len(scans), height, width).astype(np.int32)
     d[:, 0, 0] += 128
     d[:, :, 0] = np.cumsum(d[:, :, 0], axis=1)  # a row's first sample follows the one above
-    return (np.cumsum(d, axis=2) & 0xFF).astype(np.uint8).reshape(len(scans), n)
+    return (np.cumsum(d, axis=2) & 0xFF).astype(np.uint8).reshape(len(scans), n), good & (at <= limit)
 
 
-def read_avi(files: list[bytes]) -> list[dict]:
-    """For each file its index, the decoded frames (one row of samples each), height and width."""
-    out, groups, tables = [], {}, {}
-    for i, data in enumerate(files):
-        info = read_index(data)
-        out.append(info)
-        for k, (a, b) in enumerate(info["frames"]):
+def _frames_of(data: bytes) -> tuple[dict, list[tuple[int, int, bytes, bytes]]]:
+    """A file's index, and height, width, Huffman table and scan of each frame."""
+    try:
+        info, frames = read_index(data), []
+        for a, b in info["frames"]:
             height, width, table, start, stop = read_jpeg(data, a, b)
-            groups.setdefault((height, width, table), []).append((i, k, data[start:stop]))
-            if k and (height, width) != info["size"]:
+            if frames and (height, width) != info["size"]:
                 raise ValueError("frames of two sizes")
+            if not height or not width or height * width > LARGEST or table is None or len(table) < 17 + sum(table[1:17]) or sum(n << (16 - k) for k, n in enumerate(table[1:17], 1)) > 1 << 16 or max(table[17 : 17 + sum(table[1:17])], default=0) > 16:
+                raise ValueError("a frame without samples, or with a wrong Huffman table")
             info["size"] = height, width
-    for info in out:
-        h, w = info.get("size", (0, 0))
-        info["samples_of"] = np.empty((len(info["frames"]), h * w), np.uint8)
+            frames.append((height, width, table, data[start:stop]))
+    except (IndexError, KeyError, TypeError, struct.error) as e:
+        raise ValueError(f"a damaged AVI file: {e}") from e
+    return info, frames
+
+
+def read_avi(files: list[bytes], strict: bool = True) -> list[dict]:
+    """For each file its index, the decoded frames (one row of samples each), height and width. A file
+    that is damaged raises ValueError, or has an ``error`` only if not strict."""
+    out: list[dict] = []
+    groups: dict[tuple, list] = {}
+    for i, data in enumerate(files):
+        try:
+            info, frames = _frames_of(data)
+        except ValueError as e:
+            if strict:
+                raise
+            out.append({"error": str(e)})
+            continue
+        h, w = info.setdefault("size", (0, 0))
+        info["samples_of"] = np.empty((len(frames), h * w), np.uint8)
+        out.append(info)
+        for k, (height, width, table, scan) in enumerate(frames):
+            groups.setdefault((height, width, table), []).append((i, k, scan))
     for (height, width, table), members in groups.items():
-        if table not in tables:
-            counts = list(table[1:17])
-            tables[table] = _lookup(counts, list(table[17 : 17 + sum(counts)]))
-        if tables[table][0][tables[table][0] < 255].max(initial=0) > 16:
-            raise ValueError("a category over 16")
-        got = _decode([m[2] for m in members], height, width, *tables[table])
-        for (i, k, _), row in zip(members, got):
-            out[i]["samples_of"][k] = row
+        counts = list(table[1:17])
+        got, good = _decode([m[2] for m in members], height, width, *_lookup(counts, list(table[17 : 17 + sum(counts)])))
+        for (i, k, _), row, ok in zip(members, got, good.tolist()):
+            if ok:
+                out[i]["samples_of"][k] = row
+            elif strict:
+                raise ValueError("a frame whose samples do not end where its scan does")
+            else:
+                out[i]["error"] = "a frame whose samples do not end where its scan does"
     return out
 
 
@@ -363,30 +393,35 @@ def stored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def described(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", keep: list[str] = ()) -> DataFrame:
     """What a media column's files hold: id, the long columns in ``keep``, the payload's size, SHA-256
     and CRC-32 of its last 16 bytes, the file's size and SHA-256, and the feature string. A null
-    value gives nulls."""
+    value gives nulls; a damaged file its size, SHA-256 and what is wrong as ``error``."""
 
     def rows(keys, media, *more):
-        out = {k: [None] * len(keys) for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+        out = {k: [None] * len(keys) for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error")}
         there = [i for i, m in enumerate(media) if m is not None]
         for s in _grouped([media[i] for i in there]):
-            for i, info in zip(there[s], read_avi([media[j] for j in there[s]])):
+            for i, info in zip(there[s], read_avi([media[j] for j in there[s]], strict=False)):
+                out["media_bytes"][i], out["media_sha256"][i] = len(media[i]), hashlib.sha256(media[i]).hexdigest()
+                if error := info.get("error"):
+                    out["error"][i] = error
+                    continue
                 p = payload_of(info)
-                for k, v in (("payload_bytes", len(p)), ("payload_sha256", hashlib.sha256(p).hexdigest()), ("tail_crc32", zlib.crc32(p[-16:])), ("media_bytes", len(media[i])), ("media_sha256", hashlib.sha256(media[i]).hexdigest()), ("feature", feature(info))):
+                for k, v in (("payload_bytes", len(p)), ("payload_sha256", hashlib.sha256(p).hexdigest()), ("tail_crc32", zlib.crc32(p[-16:])), ("feature", feature(info))):
                     out[k][i] = v
         return {id_col: keys, **dict(zip(keep, more)), **out}
 
-    return map_rows(df, [id_col, media_col, *keep], f"{id_col} long,{''.join(f'{c} long,' for c in keep)}payload_bytes long,payload_sha256 string,tail_crc32 long,media_bytes long,media_sha256 string,feature string", rows, by=media_col)
+    return map_rows(df, [id_col, media_col, *keep], f"{id_col} long,{''.join(f'{c} long,' for c in keep)}payload_bytes long,payload_sha256 string,tail_crc32 long,media_bytes long,media_sha256 string,feature string,error string", rows, by=media_col)
 
 
 def clip_rows(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row for each shot of each file: id, clip, first_frame, frames, start_us, end_us."""
+    """One row for each shot of each file: id, clip, first_frame, frames, start_us, end_us. Damaged files
+    have none (``described`` names them)."""
 
     def rows(keys, media):
         out = {k: [] for k in (id_col, "clip", "first_frame", "frames", "start_us", "end_us")}
         there = [i for i, m in enumerate(media) if m is not None]
         for s in _grouped([media[i] for i in there]):
-            for i, info in zip(there[s], read_avi([media[j] for j in there[s]])):
-                for n, (a, count, t, u) in enumerate(clips(info)):
+            for i, info in zip(there[s], read_avi([media[j] for j in there[s]], strict=False)):
+                for n, (a, count, t, u) in enumerate(clips(info) if "error" not in info else ()):
                     for k, v in zip(out, (keys[i], n, a, count, t, u)):
                         out[k].append(v)
         return out

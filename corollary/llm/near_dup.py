@@ -13,10 +13,13 @@ differ in at most as many bits as the sets have elements that are not common, so
 differ in more bits than a link allows is no link for certain; where the sets are large against BITS
 the expected count and six deviations take that bound's place (``_allowed``).
 
-A pair of similarity s misses all keys with probability (1 - p) ** CHUNKS, where p = s ** WIDE +
-WIDE * s ** (WIDE - 1) * (1 - s): 3e-6 at 0.8, the lowest that can be linked.
+What can miss a link, for a pair of similarity 0.8, the lowest that can be linked (less above it): that
+its signatures share no key, (1 - p) ** CHUNKS with p = s ** WIDE + WIDE * s ** (WIDE - 1) * (1 - s), 3e-6;
+that they are farther apart than FAR though they share one, 7e-7 (the binomial's tail); that the sketches of
+large sets differ by more than six deviations, 1e-9. Together under 4e-6. Pairs within RADIUS share a key
+and are within FAR for certain.
 
-Work that copies would make quadratic is avoided in steps, none of which loses a link:
+Work that copies would make quadratic is avoided in steps, none of which loses a link that the keys find:
 
 1. documents with equal sets are one class from the start (a hash aggregate);
 2. in each bucket of a key all classes are compared with one pivot, the class that shares most keys
@@ -43,7 +46,7 @@ CHUNKS, WIDE = 12, 6
 SLOTS = CHUNKS * WIDE
 RADIUS = 2 * CHUNKS - 1
 FAR = 32
-BLOCK = 512
+BLOCK = 2048
 BITS = 1024
 
 _rng = np.random.default_rng(20)
@@ -179,7 +182,7 @@ def _confirmed(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, k: i
         return {"id": ids, "set": [h[a:b].view(np.int64) for a, b in zip(start, start[1:])]}
 
     # an id that stands in several rows has one of their sets; the sets of a class are equal
-    sets = map_rows(texts, ["id", "text"], "id long,set array<long>", rows, by="text")
+    sets = map_rows(texts, ["id", "text"], "id long,set array<long>", rows, by="text").dropDuplicates(["id"])
     first = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     both = first.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     common = F.size(F.array_intersect("set_a", "set_b"))

@@ -98,7 +98,7 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corollary.llm import media
 
     files = media.stored(table(spark, sf_dir, "documents"))
-    return media.described(files, keep=["n_bytes"])
+    return media.described(files, keep=["n_bytes"]).drop("error")
 
 
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,9 @@ and block.
 
 Null vectors, and those with null or non-finite components, take no part, nor do rows without id.
 Vectors of different dimension do not meet. Rows with a query's own id are not its candidates. Ties
-go to the smaller id; equal rows keep their own places. An empty table gives no rows.
+go to the smaller id; equal rows keep their own places, so a candidate that stands in several rows takes
+several ranks. A query that stands in several rows is asked once. Scores are exact integers whatever the
+components' size; one beyond 64 bits raises OverflowError. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -54,7 +56,8 @@ class Lists:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids = ids
-        self.x = vectors if abs(vectors).max(initial=0) >= 1 << 22 else vectors.astype(np.float64)  # exact either way
+        self.whole, self.x = vectors, vectors.astype(np.float64)
+        self.largest = max(int(vectors.max(initial=0)), -int(vectors.min(initial=0)))
         self.order = np.argsort(vectors, axis=0, kind="stable").T.astype(np.int32)
         self.sorted = np.sort(vectors, axis=0)
 
@@ -63,7 +66,10 @@ class Lists:
         n = len(self.ids)
         used = np.flatnonzero(q)
         up = q[used] > 0
-        weights = q.astype(self.x.dtype)
+        # no sum is over this: float64 is exact below 2 ** 53, int64 below 2 ** 63, Python's integers always
+        bound = len(q) * self.largest * max(int(q.max(initial=0)), -int(q.min(initial=0)))
+        weights = q.astype(np.float64 if bound < 1 << 53 else np.int64 if bound < 1 << 63 else object)
+        x = self.x if bound < 1 << 53 else self.whole
         seen = np.zeros(n, bool)
         best_scores, best_rows = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for share in DEPTHS:
@@ -77,7 +83,7 @@ class Lists:
                 new = np.flatnonzero(touched & ~seen)
             seen[new] = True
             new = new[self.ids[new] != own]
-            scores = np.concatenate([best_scores, (self.x[new] @ weights).astype(np.int64)])
+            scores = np.concatenate([best_scores, (x[new].astype(weights.dtype, copy=False) @ weights).astype(np.int64)])
             rows = np.concatenate([best_rows, new])
             if len(scores) > 4 * k:  # rows are in order of id, so a stable cut by score keeps ties right
                 least = np.partition(scores, len(scores) - k)[len(scores) - k]
@@ -88,14 +94,14 @@ class Lists:
             if depth >= n or not len(used):
                 break
             edge = np.where(up, self.sorted[n - depth, used], self.sorted[depth - 1, used])
-            if len(best_scores) == k and best_scores[-1] > int(edge @ q[used]):
+            if len(best_scores) == k and int(best_scores[-1]) > int(edge.astype(object) @ q[used].astype(object)):
                 break
         return list(zip(best_scores.tolist(), self.ids[best_rows].tolist()))
 
 
 def top_k(df: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, block: int = BLOCK, group: int = QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest inner products, all if fewer."""
-    rows, asked = whole_numbers(df, id_col, vector_col, scale), whole_numbers(queries, id_col, vector_col, scale)
+    rows, asked = whole_numbers(df, id_col, vector_col, scale), whole_numbers(queries, id_col, vector_col, scale).distinct()
     n_blocks, n_groups = max(1, -(-df.count() // block)), max(1, -(-queries.count() // group))
     left = _blocks(rows, "block", n_blocks).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long"))))
     right = _blocks(asked, "part", n_groups).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
