@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corollary.llm import near_dup, packing, pii, quality, substring
-from corollary.llm.common import shared_folder, table
+from corollary.llm.common import drop_folder, shared_folder, table
 
 #: Near duplicates share 80 % of their runs of five words.
 SHINGLE, PERCENT = 5, 80
@@ -62,9 +62,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages. A stage's folder goes when the next one's is written; the last one's stays for the result."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/corpus_pipeline/{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")
-        docs = spark.read.parquet(f"{folder}/{k}_{name}")
+        path = f"{folder}/{k}_{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            drop_folder(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
