@@ -49,6 +49,7 @@ HASH = 64
 #: A minimizer with this share of all windows is hot, so there are at most 1 / HOT of them; a slice reports
 #: minimizers with the share LOCAL (and LEAST windows) of its own.
 HOT, LOCAL, LEAST = 1 / 8192, 1 / 2048, 32
+SALTS = 64
 _PATH = "doc long,start int,edges int,src_doc long,src_start int"
 _NAMES = [f.split()[0] for f in _PATH.split(",")]
 
@@ -137,8 +138,10 @@ def _slice(ids: list[int], texts: list[str | None], k: int, buckets: int, hot: n
     new[1:] = sh[1:] != sh[:-1]
     head = np.flatnonzero(new)
     group = np.cumsum(new) - 1
-    later = sd != sd[head][group]
-    # repeats of a smaller document of this slice
+    # repeats of a smaller document of this slice; of a window that a document has several times, the first
+    own = new.copy()
+    own[1:] |= sd[1:] != sd[:-1]
+    later = own & (sd != sd[head][group])
     r = order[later]
     back = np.argsort(r, kind="stable")
     r = r[back]
@@ -176,7 +179,8 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def paths(df: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text", bits: int = HASH) -> DataFrame:
     """doc, start, edges, src_doc, src_start: runs of windows that repeat a smaller document's. A
-    window that a document holds several times may be named once only."""
+    window that a document holds several times is named once, so a text of one repeated word or line is
+    few rows; what cuts the text finds its other places there (``_covered``)."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     n, hot = _hot(docs, k)
     buckets = max(LEAST_BUCKETS, 1 << max(0, (n // DOCS_PER_BUCKET).bit_length()))
@@ -213,7 +217,9 @@ def paths(df: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "te
             new[1:] = sh[1:] != sh[:-1]
             head = np.flatnonzero(new)
             group = np.cumsum(new) - 1
-            later = sd != sd[head][group]
+            own = new.copy()
+            own[1:] |= sd[1:] != sd[:-1]
+            later = own & (sd != sd[head][group])
             d, s, x, y = sd[later], ss[later], sd[head][group][later], ss[head][group][later]
             back = np.lexsort((s, d))
             known.append(_paths(d[back], s[back], x[back], y[back]))
@@ -251,13 +257,20 @@ class Canonical:
 
 
 def _keyed(df: DataFrame, id_col: str) -> DataFrame:
-    """key, row: rows whole, so that both joins with them read one exchange."""
-    return df.select(F.col(id_col).cast("long").alias("key"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    """key, row: rows whole. The key is never null (rows without an id have no paths, and a key that nothing
+    asks for), so that both joins with these rows read one exchange."""
+    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("key"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+
+
+_PLACE = ["src_doc", "src_start", "edges"]
 
 
 def with_digests(found: DataFrame, keyed: DataFrame, text_col: str, k: int) -> DataFrame:
-    """The paths with the SHA-256 of their source's words. A source answers each place and length once,
-    however many documents repeat it."""
+    """The paths with the SHA-256 of their source's words (found: written already). A source answers each
+    place and length once, however many documents repeat it; the answers to those that more than the share
+    HOT of all paths repeat (1 / HOT at most) go to SALTS parts."""
+    hot = found.groupBy(*_PLACE).agg(F.count("*").alias("n")).where(F.col("n") >= max(LEAST, HOT * found.count())).select(*_PLACE, F.lit(True).alias("hot"))
+    hot = F.broadcast(checkpoint(hot))
     asked = found.groupBy(F.col("src_doc").alias("key")).agg(F.collect_set(F.struct("src_start", "edges")).alias("asked"))
 
     def run(batches):
@@ -271,8 +284,11 @@ def with_digests(found: DataFrame, keyed: DataFrame, text_col: str, k: int) -> D
 
     told = keyed.join(asked, "key").mapInArrow(run, "src_doc long,src_start int,edges int,digest binary")
     # an id that stands in several rows may give several answers
-    told = told.groupBy("src_doc", "src_start", "edges").agg(F.collect_set("digest").alias("digests"))
-    return found.join(told, ["src_doc", "src_start", "edges"], "left")
+    told = told.groupBy(*_PLACE).agg(F.collect_set("digest").alias("digests")).join(hot, _PLACE, "left")
+    told = told.select(*_PLACE, "digests", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    salted = found.join(hot, _PLACE, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).otherwise(0))
+    digests = F.coalesce("digests", F.array().cast("array<binary>"))
+    return salted.join(told, [*_PLACE, "salt"], "left").select("doc", "start", "edges", digests.alias("digests"))
 
 
 def _covered(c: Canonical, own: np.ndarray, starts: list[int], edges: list[int], digests: list, k: int) -> tuple[np.ndarray, list[int]]:
@@ -321,9 +337,9 @@ def _removed(keyed: DataFrame, found: DataFrame, id_col: str, text_col: str, k:
 
     def run(batches):
         for batch in batches:
-            flat = pa.RecordBatch.from_arrays([batch.column("key"), pa.compute.struct_field(batch.column("row"), text_col), batch.column("spans")], names=["key", "text", "spans"])
+            flat = pa.RecordBatch.from_arrays([batch.column("key"), pa.compute.struct_field(batch.column("row"), text_col), batch.column("spans"), pa.compute.struct_field(batch.column("row"), id_col)], names=["key", "text", "spans", "id"])
             for part in slices(flat, 1):
-                keys, texts, spans = (c.to_pylist() for c in part.columns)
+                keys, texts, spans, _ = (c.to_pylist() for c in part.columns)
                 words: list = [None] * len(keys)
                 removed, ask = [0] * len(keys), [[] for _ in keys]
                 for i, c, cover, again in _covers(texts, spans, k, bits):
@@ -334,7 +350,7 @@ def _removed(keyed: DataFrame, found: DataFrame, id_col: str, text_col: str, k:
                         w = (texts[i] or "").encode().split()
                         words[i] = len(w), w
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([n for n, _ in words], pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for _, w in words], pa.string()), pa.array(ask, pa.list_(pa.int64()))],
+                    [part.column(3), pa.array([n for n, _ in words], pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for _, w in words], pa.string()), pa.array(ask, pa.list_(pa.int64()))],
                     names=[id_col, "n_words", "n_removed", "kept_sha256", "ask"],
                 )
 
@@ -374,8 +390,7 @@ def removed(df: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "
     """One row per input row: id, n_words, n_removed, kept_sha256 (kept words joined by a space)."""
     docs = df.select(F.col(id_col).cast("long").alias(id_col), text_col)
     keyed = _keyed(docs, id_col)
-    found = with_digests(compacted(checkpoint(paths(docs, k, id_col, text_col, bits))), keyed, text_col, k).select("doc", "start", "edges", "digests")
-    found = found.withColumn("digests", F.coalesce("digests", F.array().cast("array<binary>")))
+    found = with_digests(checkpoint(compacted(checkpoint(paths(docs, k, id_col, text_col, bits)))), keyed, text_col, k)
     out = checkpoint(_removed(keyed, found, id_col, text_col, k, bits))
     hashes = out.select(F.explode("ask").alias("h")).distinct()
     if not hashes.isEmpty():
@@ -389,8 +404,7 @@ def cut(df: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text
     without repeats stay as they are. Other columns pass unchanged."""
     names, schema = df.columns, df.schema
     keyed = _keyed(df, id_col)
-    found = with_digests(compacted(checkpoint(paths(df, k, id_col, text_col, bits))), keyed, text_col, k).select("doc", "start", "edges", "digests")
-    found = found.withColumn("digests", F.coalesce("digests", F.array().cast("array<binary>")))
+    found = with_digests(checkpoint(compacted(checkpoint(paths(df, k, id_col, text_col, bits)))), keyed, text_col, k)
 
     def run(batches):
         for batch in batches:
