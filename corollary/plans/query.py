@@ -1,9 +1,11 @@
 """Conjunctive queries as DataFrames.
 
 An atom is a scan of its relation with its constants and repeated variables as filters, its columns
-named by its variables. Atoms that only restrict others are taken first, as left semi-joins (an atom
-can go when what it shares with the rest is within one other atom and none of its own variables is
-asked for); what is left is joined. Catalyst picks the physical joins.
+named by its variables. Atoms that are left with the same variables, such as those of a star, meet in one
+aggregate: a key stays if every atom has it, so each atom is shuffled once, with at most one row a key
+from each map task, and nothing is sorted or joined. Atoms that only restrict others are taken next, as
+left semi-joins (an atom can go when what it shares with the rest is within one other atom and none of its
+own variables is asked for); what is left is joined. Catalyst picks the physical joins.
 """
 
 from __future__ import annotations
@@ -40,20 +42,35 @@ def _semi(df: DataFrame, by: DataFrame) -> DataFrame:
     return df.join(by.select(*on), on, "left_semi") if on else df.join(by.limit(1).select(F.lit(1).alias("_there")), F.lit(True), "left_semi")
 
 
+def _meet(parts: list[DataFrame]) -> DataFrame:
+    """The rows that all parts have; they have the same columns."""
+    names = parts[0].columns
+    tagged = [p.select(*names, F.lit(1 << i).alias("_in")) for i, p in enumerate(parts)]
+    every = reduce(DataFrame.unionByName, tagged).groupBy(*names).agg(F.bit_or("_in").alias("_in"))
+    return every.where(F.col("_in") == (1 << len(parts)) - 1).select(*names)
+
+
 def body(kb, q: CQ, reduce_by_semi_joins: bool = True) -> DataFrame:
     """The bindings of the query's variables that its answer needs (others may be gone)."""
     if not q.atoms:
         raise ValueError("a query without atoms")
     asked = {t.name for t in q.answer if isinstance(t, Var)}
     parts = [scan(kb, a) for a in q.atoms]
-    going = reduce_by_semi_joins
+    going, thin = reduce_by_semi_joins, set()
     if going and len(parts) > 1:
-        # an atom's own variables that nobody asks for go before its rows are shuffled: of a key with
-        # many rows one is left by each map task
+        # an atom's own variables that nobody asks for go first
         for i, p in enumerate(parts):
             kept = [c for c in p.columns if c in asked or any(c in o.columns for o in parts[:i] + parts[i + 1 :])]
             if len(kept) < len(p.columns):
-                parts[i] = p.select(*kept).distinct()
+                parts[i] = p.select(*kept)
+                thin.add(frozenset(kept))
+        alike: dict[frozenset[str], list[DataFrame]] = {}
+        for p in parts:
+            alike.setdefault(frozenset(p.columns), []).append(p)
+        parts = []
+        for some in alike.values():
+            # as many at once as an integer has bits
+            parts += [_meet(some[i : i + 30]) if len(some[i : i + 30]) > 1 else some[i] for i in range(0, len(some), 30)] if some[0].columns else some
     while going and len(parts) > 1:
         going = False
         for i in range(len(parts) - 1, -1, -1):
@@ -69,6 +86,8 @@ def body(kb, q: CQ, reduce_by_semi_joins: bool = True) -> DataFrame:
                 others[host] = _semi(others[host], p)
                 parts, going = others, True
                 break
+    if reduce_by_semi_joins and len(parts) > 1:  # repeated rows of joined parts would multiply
+        parts = [p.distinct() if frozenset(p.columns) in thin else p for p in parts]
     out = parts.pop(0)
     while parts:
         k = next((k for k, p in enumerate(parts) if _common(out, p)), None)
