@@ -1,13 +1,26 @@
 """Exact path rules from the facts.
 
 A path of length n is a chain of facts, each walked forwards or backwards; its signature is the list of
-steps. Paths grow by joins on the node between, and only the distinct end pairs of a signature are kept
-at each length, which is all that a rule ``h(X,Y) :- path(X,Y)`` needs. A rule has confidence 1 if all
-end pairs of its path are facts of h.
+steps. A rule ``h(X,Y) :- path(X,Y)`` is exact if all end pairs of its path are facts of h.
+
+Paths through a node with many facts would be as many as the square of its degree, so no signature's paths
+are joined before it is known that its rule can be exact:
+
+1. per node and step, how many facts go there; the product of what comes in at one end and goes out at the
+   other end of a path's middle is a number of end pairs that the path has for certain. A signature with
+   more than the largest relation has facts can have no exact rule and goes;
+2. of each signature left, one end pair (a witness): only relations with that fact can be the head;
+3. the signatures that have such a head are joined, in one job, and counted against it. Of three steps the
+   two whose join has fewer rows come first, and what their distinct pairs say about the number of end
+   pairs is asked as in 1 before the third step.
+
+All three are exact: no rule is lost.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,31 +29,91 @@ from corollary.plans.terms import Atom, Rule, Var
 
 
 def _steps(kb) -> DataFrame:
-    """sig (array of one step such as +rel or -rel), s, o."""
+    """step (+rel or -rel), s, o: each fact walked forwards and backwards."""
     facts = kb.facts()
-    step = lambda sign: F.array(F.concat(F.lit(sign), F.col("rel"))).alias("sig")
+    step = lambda sign: F.concat(F.lit(sign), F.col("rel")).alias("step")
     return facts.select(step("+"), "s", "o").unionByName(facts.select(step("-"), F.col("o").alias("s"), F.col("s").alias("o")))
 
 
+def _turned(step):
+    """The step walked the other way."""
+    return F.concat(F.when(step.startswith("+"), "-").otherwise("+"), F.substring(step, 2, 1 << 30))
+
+
+class _Ends:
+    """How many facts go into a node by a step, and out of it, with one far end of each."""
+
+    def __init__(self, steps: DataFrame):
+        self.into = checkpoint(steps.groupBy("step", F.col("o").alias("at")).agg(F.count("*").alias("n"), F.min("s").alias("s")))
+        self.out = self.into.select(_turned(F.col("step")).alias("last"), F.col("at").alias("end"), F.col("n").alias("m"), F.col("s").alias("o"))
+
+    def volumes(self) -> DataFrame:
+        """first, second, rows: the rows of the join of two steps."""
+        return self.into.join(self.out, F.col("at") == F.col("end")).groupBy(F.col("step").alias("first"), F.col("last").alias("second")).agg(F.sum(F.col("n") * F.col("m")).alias("rows"))
+
+    def possible(self, steps: DataFrame, n: int, largest: int) -> DataFrame:
+        """sig, s, o: signatures of n steps with a witness, whose paths have no more pairs in any middle
+        than the largest relation has facts."""
+        if n == 1:
+            return steps.groupBy(F.array("step").alias("sig")).agg(F.min(F.struct("s", "o")).alias("w")).select("sig", "w.s", "w.o")
+        if n == 2:
+            middle = self.into.join(self.out, F.col("at") == F.col("end")).withColumn("sig", F.array("step", "last"))
+        else:
+            edges = steps.select(F.col("step").alias("mid"), F.col("s").alias("at"), F.col("o").alias("end"))
+            middle = edges.join(self.into, "at").join(self.out, "end").withColumn("sig", F.array("step", "mid", "last"))
+        middle = middle.groupBy("sig").agg(F.max(F.col("n") * F.col("m")).alias("pairs"), F.min(F.struct("s", "o")).alias("w"))
+        return middle.where(F.col("pairs") <= largest).select("sig", "w.s", "w.o")
+
+
+def _joined(rows: DataFrame, steps: DataFrame, k: int) -> DataFrame:
+    """sig, s, o: the pairs with the signature's k-th step behind them."""
+    more = steps.select(F.col("step").alias("_n"), F.col("s").alias("_at"), F.col("o").alias("_end"))
+    return rows.join(more, (F.col("o") == F.col("_at")) & (F.col("sig")[k] == F.col("_n"))).select("sig", "s", F.col("_end").alias("o")).distinct()
+
+
+def _pairs(steps: DataFrame, sigs: DataFrame, n: int, ends: _Ends, largest: int) -> DataFrame:
+    """sig, s, o: the distinct end pairs of the paths with these signatures."""
+    first = lambda some: some.join(steps.withColumnRenamed("step", "_1"), F.col("sig")[0] == F.col("_1")).select("sig", "s", "o")
+    if n < 3:
+        return first(sigs) if n == 1 else _joined(first(sigs), steps, 1)
+    # a path whose last two steps join to fewer rows is walked from its end
+    rows = checkpoint(ends.volumes())
+    sides = sigs.join(rows.select("first", "second", F.col("rows").alias("left")), (F.col("sig")[0] == F.col("first")) & (F.col("sig")[1] == F.col("second"))).drop("first", "second")
+    sides = sides.join(rows, (F.col("sig")[1] == F.col("first")) & (F.col("sig")[2] == F.col("second")))
+    back = F.col("rows") < F.col("left")
+    walked = F.array(*(_turned(F.col("sig")[i]) for i in (2, 1, 0)))
+    ways = checkpoint(sides.select(F.when(back, walked).otherwise(F.col("sig")).alias("sig"), F.col("sig").alias("of"), back.alias("back")))
+    inner = checkpoint(_joined(first(ways.select("sig").distinct()), steps, 1))
+    # from a node that so many pairs reach, the last step's facts make so many end pairs at least
+    reached = inner.groupBy("sig", F.col("o").alias("end")).agg(F.count("*").alias("k"))
+    most = reached.join(ends.out, "end").where(F.col("last") == F.col("sig")[2]).groupBy("sig").agg(F.max(F.col("k") * F.col("m")).alias("pairs"))
+    few = most.where(F.col("pairs") <= largest).select("sig")
+    found = _joined(inner.join(few, "sig", "left_semi"), steps, 2).join(ways, "sig")
+    return found.select(F.col("of").alias("sig"), F.when(F.col("back"), F.col("o")).otherwise(F.col("s")).alias("s"), F.when(F.col("back"), F.col("s")).otherwise(F.col("o")).alias("o"))
+
+
 def mined(kb, max_len: int = 3, min_support: int = 30) -> DataFrame:
-    """rule, head, body_len, body_pairs, support: every path rule with confidence 1 and enough support."""
+    """head, sig, body_len, body_pairs, support: every path rule of max_len steps (3 at most) with
+    confidence 1 and enough support."""
+    if not 1 <= max_len <= 3:
+        raise ValueError("paths have one to three steps")
     steps = checkpoint(_steps(kb))
     facts = kb.facts().withColumnRenamed("rel", "head")
-    found, paths = [], steps
+    sizes = checkpoint(facts.groupBy("head").agg(F.count("*").alias("size")).where(F.col("size") >= min_support))
+    largest = sizes.agg(F.max("size")).first()[0] or 0
+    ends = _Ends(steps)
+    found = []
     for n in range(1, max_len + 1):
-        if n > 1:
-            more = steps.select(F.col("sig").alias("next"), F.col("s").alias("o"), F.col("o").alias("end"))
-            paths = checkpoint(paths.join(more, "o").select(F.concat("sig", "next").alias("sig"), "s", F.col("end").alias("o")).distinct())
-        pairs = paths.groupBy("sig").agg(F.count("*").alias("body_pairs"))
-        hit = paths.join(facts, ["s", "o"]).groupBy("sig", "head").agg(F.count("*").alias("support"))
-        good = hit.join(pairs, "sig").where((F.col("support") == F.col("body_pairs")) & (F.col("support") >= min_support))
+        # a rule's head has the witness, and no fewer facts than its path has pairs
+        heads = ends.possible(steps, n, largest).join(facts, ["s", "o"]).join(sizes, "head").select("sig", "head")
         if n == 1:
-            good = good.where(F.col("sig")[0] != F.concat(F.lit("+"), F.col("head")))  # p(X,Y) :- p(X,Y)
-        found.append(good)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.select("head", "sig", F.size("sig").alias("body_len"), "body_pairs", "support")
+            heads = heads.where(F.col("sig")[0] != F.concat(F.lit("+"), F.col("head")))  # p(X,Y) :- p(X,Y)
+        heads = checkpoint(heads)
+        paths = checkpoint(_pairs(steps, heads.select("sig").distinct(), n, ends, largest))
+        pairs = paths.groupBy("sig").agg(F.count("*").alias("body_pairs")).where(F.col("body_pairs") >= min_support)
+        hit = paths.join(heads, "sig").join(facts, ["s", "o", "head"]).groupBy("sig", "head").agg(F.count("*").alias("support"))
+        found.append(hit.join(pairs, "sig").where(F.col("support") == F.col("body_pairs")))
+    return reduce(DataFrame.unionByName, found).select("head", "sig", F.size("sig").alias("body_len"), "body_pairs", "support")
 
 
 def rule_of(head: str, sig: list[str]) -> Rule:
