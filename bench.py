@@ -15,7 +15,7 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 def session() -> SparkSession:
     out = (
         SparkSession.builder.master(f"local[{CPUS}]").appName("bench").config("spark.driver.memory", "8g").config("spark.sql.shuffle.partitions", CPUS).config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", "/tmp/checkpoints").getOrCreate()
+        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     out.sparkContext.setLogLevel("ERROR")
     return out

@@ -7,24 +7,27 @@ the one before left, so each deleted fact has a derivation from facts alive at t
 order of deletion, read backwards, is an order of recovery. Where a rewriting's head relation stands in
 its own body, facts that some match needs as body facts stay.
 
-Only the deleted facts are written, once per step, with the step's number: level k of the compressed
-base is ``step > k or null``, so moving between levels moves no data. The original facts stay as they
-are. A rule that deletes nothing is not accepted.
+Deleted facts are written once per step, with the step's number; when a level is first asked for, the
+relations that lost facts are written once with the steps of their facts. Level k of the compressed base
+is then ``step > k or null`` in the scan, so moving between levels moves no data. The original facts stay
+as they are. A rule that deletes nothing is not accepted.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corollary.functions.lineage import checkpoint
+from corollary.functions.lineage import checkpoint, shared_folder
 from corollary.operators.recover import closure
-from corollary.plans.fus import rewritable
+from corollary.operators.verify import verify_rules
+from corollary.plans.fus import Program
 from corollary.plans.query import answer, provenance
-from corollary.plans.rewrite import rewrite, rewrite_relation
+from corollary.plans.rewrite import rewrite
 from corollary.plans.terms import CQ, UCQ, Atom, Rule, parse_rule
 from corollary.sources.kb import FACTS, KnowledgeBase
 
@@ -54,11 +57,28 @@ class CompressedKB:
     rules: list[Rule]
     deleted: DataFrame  # rel, s, o, step (1 for the first rule)
     emptied: dict[str, int] = field(default_factory=dict)  # relations without a fact from that step on
+    left_out: list[tuple[Rule, str]] = field(default_factory=list)  # rules not taken, and why
+
+    @cached_property
+    def placed(self) -> dict[str, DataFrame]:
+        """s, o, step (null: kept) of each relation that lost facts, written once to the shared folder by
+        relation: a level is a filter that the scan applies, without a join."""
+        spark = self.kb.spark
+        lost = [r.rel for r in self.deleted.select("rel").distinct().collect()]  # relations
+        if not lost:
+            return {}
+        path = f"{shared_folder(spark)}/compressed/{uuid.uuid4().hex}"
+        both = self.kb.facts(*lost).join(self.deleted, ["rel", "s", "o"], "left")
+        both.repartition("rel", F.pmod(F.xxhash64("s"), F.lit(64))).sortWithinPartitions("rel", "s", "o").write.partitionBy("rel").parquet(path)
+        whole = spark.read.schema(f"{FACTS}, step int").parquet(path)
+        return {n: whole.where(F.col("rel") == n).select("s", "o", "step") for n in lost}
 
     def at_level(self, k: int | None = None) -> KnowledgeBase:
         """The facts kept after the first k rules."""
-        gone = self.deleted if k is None else self.deleted.where(F.col("step") <= k)
-        return self.kb.without(gone.select("rel", "s", "o"))
+        if k == 0:
+            return self.kb
+        kept = F.col("step").isNull() if k is None else F.col("step").isNull() | (F.col("step") > k)
+        return self.kb._with(self.kb.relations | {n: df.where(kept).select("s", "o") for n, df in self.placed.items()})
 
     def rewritten(self, q: CQ, k: int | None = None) -> UCQ:
         """The union for q at level k, without members that read an emptied relation (one stays)."""
@@ -101,53 +121,66 @@ class CompressedKB:
         return cls(whole, rules, deleted, {r.rel: r.step for r in spark.read.parquet(f"{path}/emptied").collect()})
 
 
-def compress(kb: KnowledgeBase, rules: list[Rule], patience: int = PATIENCE, most_rules: int = 300, check_rewritable: bool = True) -> CompressedKB:
-    """Apply exact rules in order. ``patience``: so many rules in a row without effect end the run."""
-    accepted: list[Rule] = []
-    deltas: list[DataFrame] = []
-    emptied: dict[str, int] = {}
-    idle = 0
-    alive = kb
+def compress(kb: KnowledgeBase, rules: list[Rule], patience: int = PATIENCE, most_rules: int = 300, check_rewritable: bool = True, verified: bool = False) -> CompressedKB:
+    """Apply exact rules in order; a rule that is unsafe or has counter-examples raises. ``patience``: so
+    many rules in a row without effect end the run. ``left_out`` of the result names each rule that was
+    not taken. verified: the rules are known to be exact."""
     for rule in rules:
         if not rule.safe:
             raise ValueError(f"unsafe: {rule}")
-        if idle > patience or len(accepted) >= most_rules:
+    if rules and not verified:
+        wrong = verify_rules(kb, rules).where("counterexamples > 0").select("rule").collect()  # one row per rule
+        if wrong:
+            raise ValueError(f"rules with counter-examples: {'; '.join(sorted(r.rule for r in wrong))}")
+    program = Program()
+    deltas: dict[str, DataFrame] = {}  # all facts deleted so far, by relation
+    emptied: dict[str, int] = {}
+    left_out: list[tuple[Rule, str]] = []
+    idle = 0
+    for i, rule in enumerate(rules):
+        if idle > patience or len(program.rules) >= most_rules:
+            left_out += [(r, "behind the end of the run") for r in rules[i:]]
             break
-        trial = [*accepted, rule]
-        if check_rewritable and not rewritable(trial):
+        before = program.snapshot()
+        why = program.add(rule, check_rewritable)
+        if why:
+            left_out.append((rule, why))
             idle += 1
             continue
-        rel, step = rule.head.rel, len(accepted) + 1
-        members = [q for q in rewrite_relation(rel, trial) if not (len(q.atoms) == 1 and q.atoms[0] == Atom(rel, q.answer))]
+        rel, step = rule.head.rel, len(program.rules)
+        members = [q for q in program.memo.relation(rel) if not (len(q.atoms) == 1 and q.atoms[0] == Atom(rel, q.answer))]
         members.sort(key=lambda q: (not Rule(Atom(rel, q.answer), q.atoms).symmetric, len(q.atoms)))
-        found: list[DataFrame] = []
+        effect = False
         for q in members:
-            gone = checkpoint(deletable(alive, rel, q).select(F.lit(rel).alias("rel"), "s", "o", F.lit(step).alias("step")))
+            gone = checkpoint(deletable(_alive(kb, deltas), rel, q).select(F.lit(rel).alias("rel"), "s", "o", F.lit(step).alias("step")))
             if not gone.isEmpty():
-                found.append(gone)
-                alive = _less(alive, rel, gone)
-        if found:
-            accepted, idle = trial, 0
-            deltas += found
-            if alive.relation(rel).isEmpty():
+                deltas[rel] = deltas[rel].unionByName(gone) if rel in deltas else gone
+                effect = True
+        if effect:
+            idle = 0
+            if _alive(kb, deltas).relation(rel).isEmpty():
                 emptied.setdefault(rel, step)
         else:
+            program.restore(before)
+            left_out.append((rule, "deletes nothing"))
             idle += 1
-    deleted = reduce(DataFrame.unionByName, deltas) if deltas else kb.spark.createDataFrame([], f"{FACTS}, step int")
-    return CompressedKB(kb, accepted, deleted, emptied)
+    deleted = reduce(DataFrame.unionByName, deltas.values()) if deltas else kb.spark.createDataFrame([], f"{FACTS}, step int")
+    return CompressedKB(kb, program.rules, deleted, emptied, left_out)
 
 
-def _less(kb: KnowledgeBase, rel: str, gone: DataFrame) -> KnowledgeBase:
-    kept = kb.relation(rel).join(gone.select("s", "o"), ["s", "o"], "left_anti")
-    return KnowledgeBase(kb.spark, kb.relations | {rel: kept}, kb.dictionary)
+def _alive(kb: KnowledgeBase, deltas: dict[str, DataFrame]) -> KnowledgeBase:
+    """The base without what is deleted: one anti-join for a relation, however many deltas it has."""
+    return kb._with(kb.relations | {rel: kb.relation(rel).join(gone.select("s", "o"), ["s", "o"], "left_anti") for rel, gone in deltas.items()})
 
 
 def compress_sets(kb: KnowledgeBase, rules: list[Rule]) -> CompressedKB:
     """Set at a time: all rules' heads that are no body facts of any match go, again and again until
     nothing changes. Steps are rounds; the rules all count from the first."""
     deltas: list[DataFrame] = []
-    alive = kb
+    if not rules:
+        return CompressedKB(kb, [], kb.spark.createDataFrame([], f"{FACTS}, step int"))
     while True:
+        alive = kb.without(reduce(DataFrame.unionByName, deltas), {r.head.rel for r in rules}) if deltas else kb
         heads, bodies = [], []
         for r in rules:
             q = r.as_query()
@@ -160,7 +193,5 @@ def compress_sets(kb: KnowledgeBase, rules: list[Rule]) -> CompressedKB:
         if gone.isEmpty():
             break
         deltas.append(gone)
-        for rel in {r.head.rel for r in rules}:
-            alive = _less(alive, rel, gone.where(F.col("rel") == rel))
     deleted = reduce(DataFrame.unionByName, deltas) if deltas else kb.spark.createDataFrame([], f"{FACTS}, step int")
     return CompressedKB(kb, list(rules), deleted)

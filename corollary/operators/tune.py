@@ -33,6 +33,26 @@ def pareto(y: np.ndarray) -> np.ndarray:
     return np.array([not any((z >= p).all() and (z > p).any() for z in y) for p in y])
 
 
+def standardized(y: np.ndarray) -> np.ndarray:
+    """Objectives for a model of both: the logarithm of the first and the second, each with mean 0 and
+    deviation 1; a single point, and an objective that does not vary, stay as they are."""
+    if len(y) == 1:
+        return y
+    z = np.stack([np.log(y[:, 0]), y[:, 1]], axis=1)
+    return (z - z.mean(axis=0)) / np.where(z.std(axis=0) > 0, z.std(axis=0), 1.0)
+
+
+def nadir(z: np.ndarray, delta: float = 0.005, alpha: float = 1.0) -> np.ndarray:
+    """A reference point a little below the least of each objective. alpha at most 1 takes the first
+    objective's range from the second one's, above 1 the second's from the first one's."""
+    low, span = z.min(axis=0), np.ptp(z, axis=0)
+    if alpha <= 1:
+        span[0] = span[1] / alpha
+    else:
+        span[1] = span[0] * alpha
+    return low - delta * span
+
+
 def hypervolume(y: np.ndarray, ref: np.ndarray) -> float:
     area, reach = 0.0, ref[1]
     for a, b in sorted((tuple(p) for p in y if (p > ref).all()), reverse=True):

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corollary.plans.query import answer
+from corollary.plans.query import answer, provenance
 from corollary.plans.terms import Rule
 
 
@@ -48,6 +48,23 @@ def hits(kb, rule: Rule) -> DataFrame:
     return inferred(kb, [rule]).select("s", "o").join(kb.relation(rule.head.rel), ["s", "o"], "left_semi")
 
 
+def removable(kb, rules: list[Rule]) -> DataFrame:
+    """rule_id, removable: facts that the rule infers and that no match of any of the rules has as a body
+    fact; only rules with such facts."""
+    heads = inferred(kb, rules).join(kb.facts(*sorted({r.head.rel for r in rules})), ["rel", "s", "o"], "left_semi")
+    parts = []
+    for r in rules:
+        matches = provenance(kb, r.as_query())
+        parts += [matches.select(F.lit(a.rel).alias("rel"), F.col(f"b{i}_s").alias("s"), F.col(f"b{i}_o").alias("o")) for i, a in enumerate(r.body)]
+    used = reduce(DataFrame.unionByName, parts).distinct()
+    return heads.join(used, ["rel", "s", "o"], "left_anti").groupBy("rule_id").agg(F.count("*").alias("removable"))
+
+
+def most_removable(kb, rules: list[Rule], threshold: int = 0) -> DataFrame:
+    """rule_id, removable of the rule with most removable facts, more than threshold (the first of several)."""
+    return removable(kb, rules).where(F.col("removable") > threshold).orderBy(F.desc("removable"), "rule_id").limit(1)
+
+
 def entails(kb, general: list[Rule], rule: Rule) -> bool:
     """Whether the others infer all that the rule infers from these facts."""
     own = inferred(kb, [rule]).select("rel", "s", "o")

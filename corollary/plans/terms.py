@@ -164,6 +164,31 @@ def parse_query(text: str) -> CQ:
     return CQ((atoms[0].terms[0],), atoms)
 
 
+def names_in(*items: CQ | Rule) -> set[str]:
+    """The texts that may name an entity: constants that are no numbers, and variables longer than a
+    letter with digits."""
+    terms = {t for x in items for a in ((x.head, *x.body) if isinstance(x, Rule) else (Atom("", x.answer), *x.atoms)) for t in a.terms}
+    return {str(t.value) for t in terms if isinstance(t, Const) and isinstance(t.value, str)} | {t.name for t in terms if isinstance(t, Var) and not re.fullmatch(r"_.*|[A-Za-z][0-9]*", t.name)}
+
+
+def numbered(item: CQ | Rule, ids: dict[str, int]) -> CQ | Rule:
+    """The query or rule with names as numbers; a constant without a number raises."""
+    lost = {n for n in names_in(item) if n not in ids and isinstance(term(n), Const)}
+    if lost:
+        raise ValueError(f"no entity has the name: {', '.join(sorted(lost))}")
+    return item.put({t: Const(i) for n, i in ids.items() for t in (Var(n), Const(n))})
+
+
+def named(rule: Rule, names: dict[int, str]) -> Rule:
+    """The rule with numbers as names, where they have one."""
+    return rule.put({Const(i): Const(n) for i, n in names.items()})
+
+
+def rule_set_size(rules: list[Rule]) -> int:
+    """Atoms of all rules."""
+    return sum(len(r.body) + 1 for r in rules)
+
+
 def parse_workload(text: str) -> list[CQ]:
     """One query per line."""
     return [parse_query(line) for line in text.splitlines() if line.strip()]

@@ -20,6 +20,7 @@ from corollary.operators.recover import closure
 from corollary.operators.tune import tune
 from corollary.plans.query import answer, full_body, provenance
 from corollary.plans.rewrite import Memo, rewrite
+from corollary.plans.share import answer_shared
 from corollary.plans.terms import Rule, parse_query, parse_rule
 from corollary.sources.encode import BASE, DERIVED, NAMED, SPACE, TAGS, rules, star
 from corollary.sources.kb import KnowledgeBase, number
@@ -35,6 +36,8 @@ _JOINS = {
     "order_nation": "SELECT DISTINCT a.s, b.o FROM order_customer a JOIN customer_nation b ON a.o = b.s",
     "order_region": "SELECT DISTINCT a.s, b.o FROM order_nation a JOIN nation_region b ON a.o = b.s",
     "customer_order": "SELECT o AS s, s AS o FROM order_customer",
+    "supplier_place": "SELECT DISTINCT a.s, b.o FROM supplier_nation a JOIN nation_region b ON a.o = b.s",
+    "region_nation": "SELECT o AS s, s AS o FROM nation_region",
     "same_nation": "SELECT DISTINCT a.s, b.s AS o FROM supplier_nation a JOIN supplier_nation b ON a.o = b.o",
     "order_place": "SELECT * FROM order_nation UNION SELECT * FROM order_region",
     "located": "SELECT * FROM customer_nation UNION SELECT * FROM nation_region UNION SELECT * FROM customer_region",
@@ -53,7 +56,7 @@ def _relation_sql(n: str) -> str:
 
 def _with(*names: str, recursive: bool = False) -> str:
     """WITH clause of the named relations and of those that they are made of."""
-    made_of = {"customer_region": ["customer_nation", "nation_region"], "order_nation": ["order_customer", "customer_nation"], "order_region": ["order_nation", "nation_region"], "customer_order": ["order_customer"], "same_nation": ["supplier_nation"], "order_place": ["order_nation", "order_region"], "located": ["customer_nation", "nation_region", "customer_region"]}
+    made_of = {"customer_region": ["customer_nation", "nation_region"], "order_nation": ["order_customer", "customer_nation"], "order_region": ["order_nation", "nation_region"], "customer_order": ["order_customer"], "supplier_place": ["supplier_nation", "nation_region"], "region_nation": ["nation_region"], "same_nation": ["supplier_nation"], "order_place": ["order_nation", "order_region"], "located": ["customer_nation", "nation_region", "customer_region"]}
     order: list[str] = []
 
     def add(n: str) -> None:
@@ -82,7 +85,7 @@ def register(name: str, sql: str | None = None):
     return put
 
 
-EVERY = (*BASE, *NAMED, *DERIVED)
+EVERY = (*BASE, *NAMED, *(n for n in DERIVED if n not in ("supplier_place", "region_nation")))
 STAR = ("order_part", "order_supplier", "order_customer")
 
 # ---- scans -----------------------------------------------------------------------------------------
@@ -196,7 +199,8 @@ def rule_counterexamples(spark, d):
     return verify.counter_examples(star(spark, d, *_CHECKED_NAMES), [parse_rule(r) for r in _CHECKED])
 
 
-@register("rule_exact", "SELECT * FROM (VALUES ('customer_region', true), ('wrong', false)) t(rule, is_exact)")
+@register("rule_exact", _with("customer_region", "customer_nation", "nation_region") + """SELECT 'customer_region' AS rule, NOT EXISTS (SELECT a.s, b.o FROM customer_nation a JOIN nation_region b ON a.o = b.s EXCEPT SELECT s, o FROM customer_region) AS is_exact
+UNION ALL SELECT 'wrong', NOT EXISTS (SELECT a.s, b.o FROM customer_nation a, nation_region b EXCEPT SELECT s, o FROM customer_region)""")
 def rule_exact(spark, d):
     kb = star(spark, d, "customer_region", "customer_nation", "nation_region")
     return spark.createDataFrame([("customer_region", verify.exact(kb, parse_rule(DERIVED["customer_region"]))), ("wrong", verify.exact(kb, parse_rule(_WRONG)))], "rule string, is_exact boolean")
@@ -213,7 +217,14 @@ def rule_head_semijoin(spark, d):
     return verify.hits(star(spark, d, *_CHECKED_NAMES), parse_rule(_CHECKED[2]))
 
 
-@register("rule_filter", "SELECT * FROM (VALUES ('customer_order(X,Y) :- order_customer(Y,X)'), ('customer_region(X,Y) :- customer_nation(X,Z), nation_region(Z,Y)')) t(rule)")
+@register("rule_filter", _with(*_CHECKED_NAMES) + """, i AS (
+  SELECT DISTINCT 'customer_region(X,Y) :- customer_nation(X,Z), nation_region(Z,Y)' AS rule, 'customer_region' AS rel, a.s, b.o FROM customer_nation a JOIN nation_region b ON a.o = b.s
+  UNION ALL SELECT DISTINCT 'customer_region(X,Y) :- customer_nation(X,Z), nation_region(Z,Y), customer_nation(X,W)', 'customer_region', a.s, b.o FROM customer_nation a JOIN nation_region b ON a.o = b.s JOIN customer_nation c ON c.s = a.s
+  UNION ALL SELECT 'customer_order(X,Y) :- order_customer(Y,X)', 'customer_order', o, s FROM order_customer
+  UNION ALL SELECT DISTINCT 'customer_nation(X,Y) :- customer_region(X,Z), nation_region(Y,Z)', 'customer_nation', a.s, b.s FROM customer_region a JOIN nation_region b ON a.o = b.o
+), f AS (SELECT 'customer_region' AS rel, s, o FROM customer_region UNION ALL SELECT 'customer_order', s, o FROM customer_order UNION ALL SELECT 'customer_nation', s, o FROM customer_nation),
+n AS (SELECT rule, count(*) AS support FROM i GROUP BY rule HAVING count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.rel = i.rel AND f.s = i.s AND f.o = i.o)) = 0)
+SELECT rule FROM n WHERE NOT EXISTS (SELECT 1 FROM n m WHERE m.support = n.support AND m.rule <> n.rule AND starts_with(n.rule, m.rule))""")
 def rule_filter(spark, d):
     kb = star(spark, d, *_CHECKED_NAMES)
     longer = "customer_region(X,Y) :- customer_nation(X,Z), nation_region(Z,Y), customer_nation(X,W)"
@@ -232,6 +243,7 @@ def mine_inverse(spark, d):
 
 
 _MINED = ("customer_nation", "nation_region", "customer_region")
+_CHAIN_MINED = ("supplier_nation", "nation_region", "supplier_place", "region_nation")
 
 
 @register("mine_path2", _with(*_MINED) + f""", f AS ({_facts_sql(*_MINED)}),
@@ -245,6 +257,27 @@ def mine_path2(spark, d):
     return found.select("head", F.concat_ws(",", "sig").alias("sig"), "body_pairs", "support")
 
 
+@register("mine_path3", _with(*_CHAIN_MINED) + f""", f AS ({_facts_sql(*_CHAIN_MINED)}),
+e AS (SELECT '+' || rel AS sig, s, o FROM f UNION ALL SELECT '-' || rel, o, s FROM f),
+p2 AS (SELECT DISTINCT a.sig || ',' || b.sig AS sig, a.s, b.o FROM e a JOIN e b ON a.o = b.s),
+p AS (SELECT sig, s, o FROM e UNION ALL SELECT * FROM p2 UNION ALL SELECT DISTINCT a.sig || ',' || b.sig, a.s, b.o FROM p2 a JOIN e b ON a.o = b.s),
+n AS (SELECT sig, count(*) AS body_pairs FROM p GROUP BY sig)
+SELECT head, p.sig, body_pairs::BIGINT AS body_pairs, count(*)::BIGINT AS support FROM p JOIN (SELECT rel AS head, s, o FROM f) h ON p.s = h.s AND p.o = h.o JOIN n ON n.sig = p.sig
+WHERE p.sig <> '+' || head GROUP BY head, p.sig, body_pairs HAVING count(*) = body_pairs AND count(*) >= 5""")
+def mine_path3(spark, d):
+    found = mined(star(spark, d, *_CHAIN_MINED), max_len=3, min_support=5)
+    return found.select("head", F.concat_ws(",", "sig").alias("sig"), "body_pairs", "support")
+
+
+@register("rule_argmax", _with(*_CHECKED_NAMES) + _INFERRED_SQL + """, u AS (
+  SELECT 'customer_nation' AS rel, a.s, a.o FROM customer_nation a JOIN nation_region b ON a.o = b.s UNION SELECT 'nation_region', b.s, b.o FROM customer_nation a JOIN nation_region b ON a.o = b.s
+  UNION SELECT 'order_customer', s, o FROM order_customer
+), c AS (SELECT rule_id, count(*)::BIGINT AS removable FROM i SEMI JOIN f USING (rel, s, o) ANTI JOIN u USING (rel, s, o) WHERE rule_id < 2 GROUP BY rule_id HAVING count(*) > 10)
+SELECT * FROM c ORDER BY removable DESC, rule_id LIMIT 1""")
+def rule_argmax(spark, d):
+    return verify.most_removable(star(spark, d, *_CHECKED_NAMES), [parse_rule(r) for r in _CHECKED[:2]], threshold=10)
+
+
 # ---- rewriting -----------------------------------------------------------------------------------------
 
 
@@ -265,6 +298,14 @@ def ucq_order_place(spark, d):
     return answer(kb, rewrite(parse_query("order_place(X,Y)"), both + rules("order_nation", "order_region")))
 
 
+@register("ucq_shared", _with("order_region", "order_part", "order_supplier") + "SELECT a.s AS x0, a.o AS x1 FROM order_region a WHERE EXISTS (SELECT 1 FROM order_part b WHERE b.s = a.s) UNION SELECT a.s, a.o FROM order_region a WHERE EXISTS (SELECT 1 FROM order_supplier b WHERE b.s = a.s)")
+def ucq_shared(spark, d):
+    """Both members join orders with regions in the same way: that is made once."""
+    kb = star(spark, d, "order_customer", "customer_nation", "nation_region", "order_part", "order_supplier")
+    path = "order_customer(X,A), customer_nation(A,B), nation_region(B,Y)"
+    return answer_shared(kb, (parse_query(f"?(X,Y) :- {path}, order_part(X,P)"), parse_query(f"?(X,Y) :- {path}, order_supplier(X,S)")))
+
+
 @register("rewrite_through_deleted", _with("order_region", "order_part") + "SELECT DISTINCT a.s AS x0, a.o AS x1 FROM order_region a JOIN order_part b ON a.s = b.s")
 def rewrite_through_deleted(spark, d):
     kb = _only(star(spark, d, "order_customer", "customer_nation", "nation_region", "order_part"))
@@ -278,6 +319,14 @@ def rewrite_constant(spark, d):
     return answer(kb, memo.atom(parse_query(f"order_region(X,{TAGS['region'] * SPACE + 1})").atoms[0]))
 
 
+@register("cq_named_constant", _with("customer_segment") + "SELECT s AS x0 FROM customer_segment WHERE o = " + str(TAGS["segment"] * SPACE) + " + (SELECT n FROM (SELECT DISTINCT c_mktsegment AS v, dense_rank() OVER (ORDER BY c_mktsegment) AS n FROM customer WHERE c_mktsegment IS NOT NULL) WHERE v = 'BUILDING')")
+def cq_named_constant(spark, d):
+    kb = star(spark, d, "customer_segment")
+    names = number(spark.read.parquet(f"{d}/customer.parquet").select("c_mktsegment"), "c_mktsegment", TAGS["segment"] * SPACE + 1)
+    kb = KnowledgeBase(spark, kb.relations, names)
+    return answer(kb, kb.numbered(parse_query("?(X0) :- customer_segment(X0, BUILDING)"))[0])
+
+
 # ---- compression ---------------------------------------------------------------------------------------
 
 _CHAIN = ("order_customer", "customer_nation", "nation_region", "order_nation", "order_region")
@@ -302,6 +351,35 @@ def compress_symmetric_deleted(spark, d):
     return compress(star(spark, d, "same_nation"), [parse_rule("same_nation(X,Y) :- same_nation(Y,X)")]).deleted.select("rel", "s", "o")
 
 
+@register("compress_part_deleted", _with("order_place", "order_nation") + "SELECT 'order_place' AS rel, s, o FROM order_nation")
+def compress_part_deleted(spark, d):
+    """Regions of orders stay: no rule gives them."""
+    return compress(star(spark, d, "order_place", "order_nation"), [parse_rule("order_place(X,Y) :- order_nation(X,Y)")]).deleted.select("rel", "s", "o")
+
+
+@register("compress_part_kept", _with("order_place", "order_nation") + "SELECT 'order_place' AS rel, s, o FROM order_place EXCEPT SELECT 'order_place', s, o FROM order_nation")
+def compress_part_kept(spark, d):
+    return compress(star(spark, d, "order_place", "order_nation"), [parse_rule("order_place(X,Y) :- order_nation(X,Y)")]).at_level().facts("order_place")
+
+
+@register("compress_part_answer", _with("order_place", "order_part") + "SELECT DISTINCT a.s AS x0, a.o AS x1 FROM order_place a JOIN order_part b ON a.s = b.s")
+def compress_part_answer(spark, d):
+    small = compress(star(spark, d, "order_place", "order_nation", "order_part"), [parse_rule("order_place(X,Y) :- order_nation(X,Y)")])
+    return small.answer(parse_query("?(X,Y) :- order_place(X,Y), order_part(X,Z)"))
+
+
+@register("compress_refused", _with("supplier_nation", "customer_nation") + "SELECT 'customer_nation(X,Y) :- supplier_nation(X,Y)' AS rule WHERE EXISTS (SELECT s, o FROM supplier_nation EXCEPT SELECT s, o FROM customer_nation)")
+def compress_refused(spark, d):
+    """A rule with counter-examples is refused before anything is deleted."""
+    rule = parse_rule("customer_nation(X,Y) :- supplier_nation(X,Y)")
+    try:
+        compress(star(spark, d, "supplier_nation", "customer_nation"), [rule])
+        refused = []
+    except ValueError:
+        refused = [(str(rule),)]
+    return spark.createDataFrame(refused, "rule string")
+
+
 @register("compress_chain_deltas", _with("order_nation", "order_region") + "SELECT 1 AS step, count(*)::BIGINT AS deleted FROM order_nation UNION ALL SELECT 2, count(*) FROM order_region")
 def compress_chain_deltas(spark, d):
     return _deleted(spark, d, _CHAIN, ["order_nation", "order_region"]).groupBy("step").agg(F.count("*").alias("deleted"))
@@ -354,7 +432,7 @@ def setop_difference(spark, d):
     return setops.difference(kb.relation("order_place"), kb.relation("order_nation"))
 
 
-@register("setop_containment", "SELECT true AS contained, false AS equal")
+@register("setop_containment", _with("order_place", "order_nation") + "SELECT NOT EXISTS (SELECT s, o FROM order_nation EXCEPT SELECT s, o FROM order_place) AS contained, NOT EXISTS (SELECT s, o FROM order_nation EXCEPT SELECT s, o FROM order_place) AND NOT EXISTS (SELECT s, o FROM order_place EXCEPT SELECT s, o FROM order_nation) AS equal")
 def setop_containment(spark, d):
     kb = star(spark, d, "order_place", "order_nation")
     a, b = kb.relation("order_place"), kb.relation("order_nation")
@@ -370,13 +448,26 @@ def setop_union(spark, d):
 # ---- all together ----------------------------------------------------------------------------------------
 
 
-@register("tune_level")
+@register("tune_level", _with(*_CHAIN) + f""", n AS (SELECT rel, count(*) AS n FROM ({_facts_sql(*_CHAIN)}) GROUP BY rel), a AS (SELECT sum(n) AS al FROM n),
+l AS (
+  SELECT 1 AS level, (SELECT n FROM n WHERE rel = 'order_nation') AS gone, (SELECT sum(n) FROM n WHERE rel IN ('order_customer', 'customer_nation', 'order_region')) AS reads
+  UNION ALL SELECT 2, (SELECT sum(n) FROM n WHERE rel IN ('order_nation', 'order_region')), (SELECT sum(n) FROM n WHERE rel IN ('order_customer', 'customer_nation')) + (SELECT sum(n) FROM n WHERE rel IN ('order_customer', 'customer_nation', 'nation_region'))
+), y AS (
+  SELECT level, 1 - gone / al AS cr, reads / (SELECT sum(n) FROM n WHERE rel IN ('order_nation', 'order_region')) AS latency FROM l, a
+), o AS (SELECT *, 1 / cr - min(1 / cr) OVER () AS u, min(latency) OVER () / latency - min(latency) OVER () / max(latency) OVER () AS v FROM y),
+b AS (SELECT *, CASE WHEN u > 0 AND v > 0 THEN u * v END AS box FROM o)
+SELECT level, round(cr, 9) AS cr, round(latency, 9) AS latency, row_number() OVER (ORDER BY box DESC NULLS LAST, u * u + v * v, level) = 1 AS chosen FROM b""")
 def tune_level(spark, d):
-    """Levels of the chain with a fixed latency model in place of the clock."""
-    small = compress(star(spark, d, *_CHAIN), rules("order_nation", "order_region"))
+    """Levels of the chain; a level's latency is the number of facts that its rewritings of two queries
+    read, in place of the clock, relative to the original base."""
+    kb = star(spark, d, *_CHAIN)
+    small = compress(kb, rules("order_nation", "order_region"))
     cr = [r.cr for r in small.levels().orderBy("step").collect()]
-    got = tune(cr, lambda k: 1 + 0.1 * k, initial=2, rounds=2)
-    return spark.createDataFrame([(k, c, t, k == got.level) for k, c, t in got.samples], "level int, cr double, latency double, chosen boolean")
+    size = {r.rel: r.n for r in kb.counts().collect()}  # one row per relation
+    workload = [parse_query("order_nation(X,Y)"), parse_query("order_region(X,Y)")]
+    reads = lambda k: sum(size[a.rel] for q in workload for m in small.rewritten(q, k) for a in m.atoms)
+    got = tune(cr, lambda k: reads(k) / reads(0), initial=2, rounds=2)
+    return spark.createDataFrame([(k, round(c, 9), round(t, 9), k == got.level) for k, c, t in got.samples], "level int, cr double, latency double, chosen boolean")
 
 
 @register("mine_and_compress", _with("customer_region", "customer_order") + "SELECT 'customer_region' AS rel, s, o FROM customer_region UNION ALL SELECT 'customer_order', s, o FROM customer_order")

@@ -13,6 +13,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corollary.plans.fus import Program
+from corollary.plans.rewrite import NotRewritable
+from corollary.plans.terms import CQ, Const, Rule, named, names_in, numbered, parse_rule
+
 FACTS = "rel string, s bigint, o bigint"
 
 
@@ -27,9 +31,10 @@ def as_relation(df: DataFrame) -> DataFrame:
 
 
 class KnowledgeBase:
-    def __init__(self, spark: SparkSession, relations: dict[str, DataFrame], dictionary: DataFrame | None = None):
-        """relations: name -> DataFrame (s, o) without repeated rows."""
-        self.spark, self.relations, self.dictionary = spark, dict(relations), dictionary
+    def __init__(self, spark: SparkSession, relations: dict[str, DataFrame], dictionary: DataFrame | None = None, every: DataFrame | None = None):
+        """relations: name -> DataFrame (s, o) without repeated rows; every: all facts in one DataFrame
+        (rel, s, o), if there is one."""
+        self.spark, self.relations, self.dictionary, self.every = spark, dict(relations), dictionary, every
 
     # ---- loading --------------------------------------------------------------------------------
 
@@ -56,9 +61,10 @@ class KnowledgeBase:
     @classmethod
     def from_facts(cls, spark: SparkSession, facts: DataFrame, names: list[str] | None = None, dictionary: DataFrame | None = None) -> KnowledgeBase:
         """Facts (rel, s, o) that are already distinct; names: the relations, read once if not given."""
+        some = names is not None
         if names is None:
             names = [r.rel for r in facts.select("rel").distinct().collect()]
-        return cls(spark, {n: facts.where(F.col("rel") == n).select("s", "o") for n in sorted(names)}, dictionary)
+        return cls(spark, {n: facts.where(F.col("rel") == n).select("s", "o") for n in sorted(names)}, dictionary, (facts.where(F.col("rel").isin(names)) if some else facts).select("rel", "s", "o"))
 
     @classmethod
     def read_csv(cls, spark: SparkSession, folder: str, meta: str | None = None, dictionary: DataFrame | None = None) -> KnowledgeBase:
@@ -75,6 +81,11 @@ class KnowledgeBase:
                 raise ValueError(f"{r.rel} has arity {r.arity}")
         return cls.from_tables(spark, tables, dictionary)
 
+    @classmethod
+    def read_folder(cls, spark: SparkSession, folder: str) -> KnowledgeBase:
+        """A folder with meta.txt, mapping.txt and <relation>.csv files."""
+        return cls.read_csv(spark, folder, dictionary=read_mapping(spark, f"{folder}/mapping.txt"))
+
     @classmethod
     def read_triples(cls, spark: SparkSession, path: str) -> KnowledgeBase:
         """Named triples (subject, predicate, object; tabs): entities and relations get numbers and
@@ -128,12 +139,48 @@ class KnowledgeBase:
         return self.relations.get(rel, _empty(self.spark).select("s", "o"))
 
     def facts(self, *names: str) -> DataFrame:
+        if self.every is not None and set(names) <= set(self.names):  # one scan, not one per relation
+            return self.every.where(F.col("rel").isin(*names)) if names else self.every
         parts = [self.relation(n).select(F.lit(n).alias("rel"), "s", "o") for n in names or self.names]
         return reduce(DataFrame.unionByName, parts) if parts else _empty(self.spark)
 
     def triples(self) -> DataFrame:
         return self.facts().select("s", "rel", "o")
 
+    def numbered(self, *items: CQ | Rule) -> list:
+        """Queries or rules with the dictionary's numbers for the names in them."""
+        names = sorted(names_in(*items))
+        if not names or self.dictionary is None:
+            return [numbered(x, {}) for x in items]
+        ids = {r.name: r.id for r in self.dictionary.where(F.col("name").isin(names)).collect()}  # no more than the items name
+        return [numbered(x, ids) for x in items]
+
+    def with_names(self, rules: list[Rule]) -> list[Rule]:
+        """Rules with the dictionary's names for the numbers in them."""
+        ids = sorted({t.value for r in rules for a in (r.head, *r.body) for t in a.terms if isinstance(t, Const) and isinstance(t.value, int)})
+        if not ids or self.dictionary is None:
+            return list(rules)
+        names = {r.id: r.name for r in self.dictionary.where(F.col("id").isin(ids)).collect()}  # no more than the rules name
+        return [named(r, names) for r in rules]
+
+    def read_rules(self, path: str, names: bool = False) -> list[Rule]:
+        """A rule file, a rule a line. Rules that are unsafe, or read or give a relation that the base
+        does not have, are left out, as the format asks; a set that is not rewritable raises."""
+        lines = self.spark.read.text(path).where("trim(value) <> ''").collect()  # one row per rule
+        rules = [parse_rule(r.value) for r in lines]
+        rules = self.numbered(*rules) if names else rules
+        rules = [r for r in rules if r.safe and all(a.rel in self.relations for a in (r.head, *r.body))]
+        program = Program()
+        for r in rules:
+            if why := program.add(r):
+                raise NotRewritable(f"{r}: {why}")
+        return rules
+
+    def write_rules(self, rules: list[Rule], path: str, names: bool = False) -> None:
+        """A rule a line, with numbers or with entities' names."""
+        lines = [(i, str(r)) for i, r in enumerate(self.with_names(rules) if names else rules)]
+        self.spark.createDataFrame(lines, "i int, value string").coalesce(1).orderBy("i").select("value").write.mode("overwrite").text(path)
+
     def counts(self) -> DataFrame:
         """rel, n; relations without facts have 0."""
         names = self.spark.createDataFrame([(n,) for n in self.names], "rel string")
@@ -147,9 +194,10 @@ class KnowledgeBase:
 
     # ---- changing: a new base ---------------------------------------------------------------------
 
-    def without(self, deleted: DataFrame) -> KnowledgeBase:
-        """The base without the facts (rel, s, o) in deleted."""
-        return self._with({n: df.join(deleted.where(F.col("rel") == n).select("s", "o"), ["s", "o"], "left_anti") for n, df in self.relations.items()})
+    def without(self, deleted: DataFrame, names: set[str] | None = None) -> KnowledgeBase:
+        """The base without the facts (rel, s, o) in deleted; names: the relations that they are of."""
+        lost = self.relations.keys() if names is None else names & self.relations.keys()
+        return self._with(self.relations | {n: self.relations[n].join(deleted.where(F.col("rel") == n).select("s", "o"), ["s", "o"], "left_anti") for n in lost})
 
     def plus(self, added: DataFrame, names: list[str] = ()) -> KnowledgeBase:
         """The base with more facts; names: relations that only they have."""
@@ -159,6 +207,22 @@ class KnowledgeBase:
         return KnowledgeBase(self.spark, relations, self.dictionary)
 
 
+def read_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """The entity dictionary (name, id) of a mapping file: lines ``name id``, or ``name``, whose number is
+    then its place, from 1; ``null`` has 0."""
+    from pyspark.sql import Window
+
+    from corollary.functions.lineage import checkpoint
+
+    lines = spark.read.text(path).select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"), F.split("value", " ").alias("words"))
+    lines = checkpoint(lines.where(F.col("words")[0] != ""))
+    # one row per partition of the scan
+    before = lines.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("row"))
+    told = lines.join(F.broadcast(before.select("part", "before")), "part").select(F.col("words")[0].alias("name"), F.when(F.size("words") == 2, F.col("words")[1].cast("long")).otherwise(place).alias("id"))
+    return told.where("name <> 'null'").unionByName(spark.createDataFrame([("null", 0)], "name string, id bigint"))
+
+
 def number(names: DataFrame, column: str = "name", first: int = 1) -> DataFrame:
     """The entity dictionary (name, id): distinct names in order, numbered from ``first`` on without
     gaps. Ranges of names are numbered by themselves; a small table of the ranges' sizes shifts them."""

@@ -76,9 +76,12 @@ def test_second_derivation_counts_behind_a_deleted_body(spark):
 def test_inexact_unsafe_and_recursive_rules(spark):
     kb = kb_of(spark, a={(1, 2)}, b={(2, 3)}, h=set() or {(9, 9)}, t={(1, 2), (2, 3), (1, 3)})
     assert not exact(kb, P("h(X,Y) :- a(X,Z), b(Z,Y)"))
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="unsafe"):
         compress(kb, [P("h(X,Y) :- a(X,Z)")])
-    assert compress(kb, [P("t(X,Y) :- t(X,Z), t(Z,Y)")]).rules == []
+    with pytest.raises(ValueError, match="counter-examples: h"):
+        compress(kb, [P("h(X,Y) :- a(X,Z), b(Z,Y)"), P("t(X,Y) :- a(X,Y)")])
+    none = compress(kb, [P("t(X,Y) :- t(X,Z), t(Z,Y)")])
+    assert none.rules == [] and [str(r) for r, _ in none.left_out] == ["t(X,Y) :- t(X,Z), t(Z,Y)"]
     stats = verify_rules(kb, [P("h(X,Y) :- a(X,Z), b(Z,Y)"), P("t(X,Y) :- t(X,Z), t(Z,Y)"), P("h(X,Y) :- h(X,Z), a(Z,Y)")]).orderBy("rule_id").collect()
     assert [(r.support, r.counterexamples) for r in stats] == [(1, 1), (1, 0), (0, 0)]
     assert entails(kb, [P("t(X,Y) :- t(X,Y)")], P("t(X,Y) :- t(X,Z), t(Z,Y)"))
@@ -121,8 +124,16 @@ def test_planner_edges(spark):
 
 def test_semi_joins_in_the_plan(spark):
     kb = kb_of(spark, a={(1, 2)}, b={(1, 7)})
-    plan = answer(kb, parse_query("a(X0, X1), b(X0, X2)"))._jdf.queryExecution().optimizedPlan().toString()
-    assert "LeftSemi" in plan and "Inner" not in plan
+    plan = lambda text: answer(kb, parse_query(text))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan("?(X0, X1) :- a(X0, X1), b(X0, X2)") and "Inner" not in plan("?(X0, X1) :- a(X0, X1), b(X0, X2)")
+    assert "Join" not in plan("a(X0, X1), b(X0, X2)")  # a star's atoms meet in one aggregate
+
+
+def test_stars(spark):
+    kb = kb_of(spark, a={(1, 2), (1, 3), (4, 4), (5, 1)}, b={(1, 7), (4, 7)}, c={(4, 1), (1, 1), (9, 9)})
+    for text, want in (("a(X0, X1), b(X0, X2), c(X0, X3)", [(1,), (4,)]), ("?(X,Y) :- a(X,Y), b(X,Z), c(X,W)", [(1, 2), (1, 3), (4, 4)]), ("?(X) :- a(X,X), c(X,Y), a(X,4)", [(4,)]), ("?() :- a(X,Y), b(X,Z), c(W,W)", [(1,)]), ("?(X) :- a(X,Y), b(Z,W), c(V,U)", [(1,), (4,), (5,)])):
+        for semi in (True, False):
+            assert rows(answer(kb, parse_query(text), semi)) == want, text
 
 
 def test_files_and_dictionary(spark, tmp_path):
@@ -172,3 +183,89 @@ def test_paths_of_three_are_mined_by_default(spark):
     n = range(40)
     kb = kb_of(spark, a={(i, 100 + i) for i in n}, b={(100 + i, 200 + i) for i in n}, c={(200 + i, 300 + i) for i in n}, h={(i, 300 + i) for i in n})
     assert P("h(X,Y) :- a(X,Z1), b(Z1,Z2), c(Z2,Y)") in [r for r, _ in mine_rules(kb)]
+
+
+def test_a_hub_does_not_make_the_miner_join_its_pairs(spark):
+    """Two relations into one hub: a and its way back have the square of the hub's degree in end pairs."""
+    n = 400
+    kb = kb_of(spark, a={(i, 9000) for i in range(n)}, b={(9000, 1)} | {(i, 7000 + i) for i in range(n)}, h={(i, 1) for i in range(n)}, c={(7000 + i, i) for i in range(n)})
+    from corollary.operators import mine
+
+    steps = mine._steps(kb)
+    ends = mine._Ends(steps)
+    possible = {tuple(r.sig) for r in ends.possible(steps, 2, n + 1).collect()}
+    assert ("+a", "-a") not in possible and ("+a", "+b") in possible
+    found = [str(r) for r, _ in mine_rules(kb)]
+    assert "h(X,Y) :- a(X,Z1), b(Z1,Y)" in found and "c(X,Y) :- b(Y,X)" not in found
+    rows_joined = mine._pairs(steps, ends.possible(steps, 3, n + 1).select("sig"), 3, ends, n + 1).count()
+    assert rows_joined <= 40 * kb.facts().count()
+
+
+def test_mined_rules_are_all_exact_path_rules(spark):
+    """Against all signatures of three steps on random facts."""
+    import itertools
+
+    rng = random.Random(3)
+    base = {n: {(rng.randint(1, 4), rng.randint(1, 4)) for _ in range(4)} for n in "ab"}
+    base["h"] = {(x, y) for x, z in base["a"] for w, y in base["b"] if z == w} or {(1, 1)}
+    kb = kb_of(spark, **base)
+    walk = {s + n: f if s == "+" else {(o, x) for x, o in f} for n, f in base.items() for s in "+-"}
+    want = set()
+    for n in (1, 2, 3):
+        for sig in itertools.product(walk, repeat=n):
+            pairs = walk[sig[0]]
+            for s in sig[1:]:
+                pairs = {(x, y) for x, z in pairs for w, y in walk[s] if z == w}
+            want |= {(h, sig) for h, f in base.items() if pairs and pairs <= f and sig != ("+" + h,)}
+    from corollary.operators.mine import mined
+
+    assert {(r.head, tuple(r.sig)) for r in mined(kb, 3, 1).collect()} == want
+
+
+def test_named_constants_and_folders(spark, tmp_path):
+    folder = tmp_path / "kb"
+    folder.mkdir()
+    (folder / "meta.txt").write_text("likes\t2\t3\nknows\t2\t1\n")
+    (folder / "mapping.txt").write_text("bob\nAlice7\nhttp://x.org/c 3\n")
+    (folder / "likes.csv").write_text("likes_1,likes_2\n1,2\n2,3\n3,1\n")
+    (folder / "knows.csv").write_text("knows_1,knows_2\n1,2\n")
+    (folder / "rules.txt").write_text("likes(X,Y) :- knows(X,Y)\nlikes(X,Y) :- other(X,Y)\nlikes(X,Y) :- knows(X,Z)\n")
+    kb = KnowledgeBase.read_folder(spark, str(folder))
+    assert dict(map(tuple, kb.dictionary.collect())) == {"null": 0, "bob": 1, "Alice7": 2, "http://x.org/c": 3}
+    one, two = kb.numbered(parse_query("?(X) :- likes(X, Alice7)"), parse_query("?(X1) :- likes(http://x.org/c, X1)"))
+    assert rows(answer(kb, one)) == [(1,)] and rows(answer(kb, two)) == [(1,)]
+    with pytest.raises(ValueError, match="nobody"):
+        kb.numbered(parse_query("?(X) :- likes(X, nobody)"))
+    read = kb.read_rules(f"{folder}/rules.txt")
+    assert [str(r) for r in read] == ["likes(X,Y) :- knows(X,Y)"]
+    with_bob = kb.numbered(P("likes(X,Y) :- knows(X,Y), likes(bob,X)"))
+    assert [str(r) for r in kb.with_names(with_bob)] == ["likes(X,Y) :- knows(X,Y), likes(bob,X)"]
+    kb.write_rules([*read, *with_bob], f"{tmp_path}/dump", names=True)
+    assert kb.read_rules(f"{tmp_path}/dump", names=True) == [*read, *with_bob]
+    (folder / "rules.txt").write_text("likes(X,Y) :- likes(X,Z), likes(Z,Y)\n")
+    with pytest.raises(ValueError):
+        kb.read_rules(f"{folder}/rules.txt")
+
+
+def test_report(spark, tmp_path):
+    import json
+
+    kb = kb_of(spark, a={(i, i + 100) for i in range(9)}, inv={(i + 100, i) for i in range(9)})
+    got = fitting.fit(kb, tuned=False, rules=[P("inv(X,Y) :- a(Y,X)"), P("a(X,Y) :- inv(X,Y)"), P("inv(X,Y) :- a(Y,X), inv(X,Z)")], general_first=True, by_support=False)
+    queries = fitting.one_atom_queries(kb)
+    out = fitting.report(got, queries, queries[:1], rounds=2, decompress=True, path=f"{tmp_path}/report")
+    assert json.loads(spark.read.text(f"{tmp_path}/report").first()[0]) == json.loads(json.dumps(out))
+    assert out["recovered"] and out["ratio"] == 0.5 and out["deleted"] == 9 and out["rule_set_size"] == 2 and len(out["test"]["queries"]) == 1 and len(out["left_out"]) == 2
+    assert "origin_s" not in fitting.report(got, queries, ucq_only=True)["train"]
+
+
+def test_shared_sub_queries(spark):
+    from corollary.plans.share import answer_shared, shared
+
+    rng = random.Random(4)
+    kb = kb_of(spark, **{n: {(rng.randint(1, 6), rng.randint(1, 6)) for _ in range(12)} for n in "abcd"})
+    union = tuple(parse_query(q) for q in ("?(X,Y) :- a(X,Z), b(Z,Y), c(Y,W)", "?(X,Y) :- c(X,Y), a(U,V), b(V,X)", "?(X,Y) :- d(X,Y)", "?(X,Y) :- a(X,Z), b(Z,W), c(W,Y)"))
+    base, members = shared(kb, list(union))
+    assert len(base.names) > 4 and sum(len(m.atoms) for m in members) < sum(len(m.atoms) for m in union)
+    assert rows(answer_shared(kb, union)) == rows(answer(kb, union))
+    assert shared(kb, [union[2]])[1] == [union[2]]

@@ -113,3 +113,24 @@ def test_memo_forgets_what_changes():
     facts = {("a", 1, 2), ("b", 2, 3), ("c", 3, 7), ("g", 9, 7), ("g", 9, 8)}
     assert set().union(*(matches(facts, q) for q in constants)) == {(1,), (9,)}
     assert list(itertools.chain(memo.rules)) == RULES[:2]
+
+
+def test_many_rules_are_tested_in_seconds():
+    import time
+
+    from corollary.plans.fus import Program, closures
+    from corollary.plans.terms import rule_set_size
+
+    began = time.perf_counter()
+    program = Program()
+    for i in range(200):
+        assert program.add(parse_rule(f"q{i}(X,Y) :- p{i}(Y,X)")) is None
+    chain = Program()
+    for i in range(40):
+        assert chain.add(parse_rule(f"h{i + 1}(X,Y) :- h{i}(X,Z), e{i}(Z,Y)")) is None
+    assert time.perf_counter() - began < 20
+    assert len(chain.memo.relation("h40")) == 41 and len(chain.memo.relation("h3")) == 4
+    assert "class" in chain.add(parse_rule("h0(X,Y) :- h40(X,Z), h40(Z,Y)")) and len(chain.rules) == 40
+    assert chain.add(parse_rule("h0(X,Y) :- g(X,Y)")) is None and len(chain.memo.relation("h3")) == 5  # what was rewritten before is rewritten again
+    rules = [parse_rule(r) for r in ("a(X,Y) :- b(X,Y)", "c(X,Y) :- d(Y,X)", "e(X,Y) :- b(X,Z), c(Z,Y)", "x(X,Y) :- y(X,Y)")]
+    assert closures(rules) == [{0, 1, 2}, {0, 1, 2}, {0, 1, 2}, {3}] and rule_set_size(rules) == 9

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from corollary.operators.tune import GaussianProcess, choose, design_points, expected_improvement, hypervolume, pareto, tune
+from corollary.operators.tune import GaussianProcess, choose, design_points, expected_improvement, hypervolume, nadir, pareto, standardized, tune
 
 
 def test_points_and_front():
@@ -34,3 +34,9 @@ def test_tune_finds_a_good_level(acquisition):
     with pytest.raises(ValueError):
         tune(cr, lambda k: 1.0, acquisition="other")
     assert tune([], lambda k: 1.0).level == 0
+
+
+def test_standardized_and_nadir():
+    y = np.array([[1.0, 2.0], [np.e, 4.0]])
+    assert np.allclose(standardized(y), [[-1, -1], [1, 1]]) and (standardized(y[:1]) == y[:1]).all()
+    assert np.allclose(nadir(np.array([[0.0, 0.0], [1.0, 4.0]]), 0.1), [-0.4, -0.4]) and np.allclose(nadir(np.array([[0.0, 0.0], [1.0, 4.0]]), 0.1, 2.0), [-0.1, -0.2])
