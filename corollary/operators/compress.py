@@ -118,7 +118,11 @@ class CompressedKB:
         gone = deleted.select("rel", "s", "o")
         whole = KnowledgeBase(spark, {n: kept.relation(n).unionByName(gone.where(F.col("rel") == n).select("s", "o")) for n in kept.names}, kept.dictionary)
         rules = [parse_rule(r.rule) for r in spark.read.parquet(f"{path}/rules").orderBy("i").collect()]
-        return cls(whole, rules, deleted, {r.rel: r.step for r in spark.read.parquet(f"{path}/emptied").collect()})
+        out = cls(whole, rules, deleted, {r.rel: r.step for r in spark.read.parquet(f"{path}/emptied").collect()})
+        lost = [r.rel for r in deleted.select("rel").distinct().collect()]  # relations
+        step = F.lit(None).cast("int").alias("step")
+        out.placed = {n: kept.relation(n).select("s", "o", step).unionByName(deleted.where(F.col("rel") == n).select("s", "o", "step")) for n in lost}
+        return out
 
 
 def compress(kb: KnowledgeBase, rules: list[Rule], patience: int = PATIENCE, most_rules: int = 300, check_rewritable: bool = True, verified: bool = False) -> CompressedKB:
