@@ -130,5 +130,99 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_secrets, op3_near_dup, op4_html, op5_packing, op6_quality, op7_topk, op8_media, op9_substring, op10_bpe)}
-ORACLE_SQL: dict[str, str] = {"op3_near_dup": OP3_SQL, "op7_topk": OP7_SQL, "op9_substring": OP9_SQL}
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text is rebuilt from output and form alone."""
+    from corollary.llm import fim
+
+    got = fim.transformed(table(spark, sf_dir, "documents"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return got.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+  FROM documents
+), r AS (
+  SELECT *, len(u)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d
+), c AS (
+  SELECT *, length(array_to_string(u[1 : least(h1 % (n + 1), h2 % (n + 1))], ''))::BIGINT AS a, length(array_to_string(u[1 : greatest(h1 % (n + 1), h2 % (n + 1))], ''))::BIGINT AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM r
+), s AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS x FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || x || '<M>' || m ELSE '<S>' || x || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM s
+"""
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corollary.llm import licenses
+
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
+def _op12_sql() -> str:
+    """Phrases by their places, templates by comparing every block with every one."""
+    from corollary.llm.licenses import PERCENT, PHRASES, TEMPLATES
+
+    phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES.items())
+    templates = ", ".join(f"('{label}', '{text}')" for label, text in TEMPLATES)
+    return rf"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS k, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), w AS (SELECT doc_id, k, list_filter(string_split_regex(t, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM d),
+phrases(phrase, label, size) AS (VALUES {phrases}),
+places AS (
+  SELECT k, label, unnest(list_filter(range(0, len(ws)), lambda i: array_to_string(ws[i + 1 : i + size], ' ') = phrase)) AS place
+  FROM w, phrases WHERE len(list_intersect(ws, string_split(phrase, ' '))) = size
+), base AS (
+  SELECT k, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS base FROM places GROUP BY k
+), blocks AS (
+  SELECT k, list_distinct(list_filter(string_split_regex(block, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS b
+  FROM (SELECT k, unnest(string_split_regex(t, '[.!?;:]+[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*\n')) AS block FROM d)
+), templates AS (SELECT label, list_distinct(string_split(text, ' ')) AS t FROM (VALUES {templates}) v(label, text)),
+met AS (
+  SELECT k, label, len(list_intersect(b, t))::DOUBLE / len(t) AS containment FROM blocks, templates
+  WHERE 100 * len(list_intersect(b, t)) >= {PERCENT} * len(t)
+), own AS (SELECT k, list(DISTINCT label) AS own, max(containment) AS best FROM met GROUP BY k)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(own, [])))), ',') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score
+FROM w LEFT JOIN base USING (k) LEFT JOIN own USING (k)
+"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corollary.llm import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.e, c.e)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id AND len(a.e) = len(c.e) WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_secrets, op3_near_dup, op4_html, op5_packing, op6_quality, op7_topk, op8_media, op9_substring, op10_bpe, op11_fim, op12_licenses, op13_hard_negatives)}
+ORACLE_SQL: dict[str, str] = {"op3_near_dup": OP3_SQL, "op7_topk": OP7_SQL, "op9_substring": OP9_SQL, "op11_fim": OP11_SQL, "op12_licenses": _op12_sql(), "op13_hard_negatives": OP13_SQL}
