@@ -1,7 +1,7 @@
 """Main text of web pages by template deduction over the pages of a host.
 
 A page is a sequence of tokens: containers, told apart by the path of containers they stand in (a
-token's role), and blocks of text between them. Over the pages of a host each role has an occurrence
+token's role, kept as 64 bits of its parent's role and its name), and blocks of text between them. Over the pages of a host each role has an occurrence
 vector, how often it occurs in each page; roles with equal vectors form an equivalence class. A vector
 is kept as a sum of 64-bit page hashes times counts, so classes come from one hash aggregate, with
 partial sums before the shuffle, and no host's pages meet in one task.
@@ -27,7 +27,8 @@ template.
 The text is the main slot's blocks in page order. Character references are decoded, white space in a
 block becomes one space, empty blocks go; blocks are joined by a line feed. Null and empty pages have
 an empty text. Repeated rows count as often as they stand there. Pages are parsed whole, twice: for
-their roles and for their text.
+their roles and for their text, each in time linear in their length, however deep they nest. Rows and
+cells of tables and items of lists end where their next one begins, as their end tags are optional.
 """
 
 from __future__ import annotations
@@ -35,7 +36,9 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
+from hashlib import blake2b
 from dataclasses import dataclass
 
 import numpy as np
@@ -62,14 +65,17 @@ EMBEDDED = ("noscript", "template", "iframe", "svg", "math", "object", "select",
 BOILERPLATE = {"nav", "header", "footer", "aside", "form", "head", "menu", "dialog", "button"}
 BOILERPLATE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "banner", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "sidebar", "aside", "footer", "header", "masthead", "cookie", "cookies", "consent", "notice", "notices", "gdpr", "popup", "modal", "overlay", "comment", "comments", "reply", "replies", "disqus", "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe", "signup", "login", "search", "pagination", "pager", "toolbar", "widget"}
 #: Inside of the main slot only these elements, and these whole names, are no content.
-NO_ARTICLE = {"nav", "footer", "aside", "form", "head", "menu", "dialog", "button"}
-NO_ARTICLE_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "sponsored", "promo", "banner", "navigation", "navbar", "breadcrumb", "breadcrumbs", "sidebar", "cookie-notice", "cookie-banner", "cookie-consent", "popup", "modal", "comments", "comment-list", "disqus_thread", "share", "share-buttons", "social-share", "related", "related-posts", "newsletter", "newsletter-signup", "subscribe", "pagination"}
+NO_ARTICLE = {"nav", "footer", "aside", "form", "head", "menu"}
+NO_ARTICLE_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "sponsored", "navigation", "navbar", "sidebar", "cookie-notice", "cookie-banner", "cookie-consent", "comments", "comment-list", "disqus_thread"}
 #: A class with one of these names a place of content, whatever else it names.
 CONTENT_WORDS = {"with", "has", "no", "content", "article", "layout"}
 BOILERPLATE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-CONTAINERS = {"html", "body", "div", "section", "article", "main", "table", "tbody", "tr", "td", "nav", "header", "footer", "aside", "form", "head", "menu", "dialog", "button", "ul", "ol", "li", "figure", "fieldset", "details", "center"}
+CONTAINERS = {"html", "body", "div", "section", "article", "main", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "nav", "header", "footer", "aside", "form", "head", "menu", "dialog", "button", "ul", "ol", "li", "figure", "fieldset", "details", "center"}
 SLOTS = {"html", "body", "div", "section", "article", "main", "td", "center"}
+#: What an element's start ends, if it is open, and what keeps that from being reached.
+ENDS = {"li": ("li",)} | {t: ("td", "th") for t in ("td", "th")} | {"tr": ("td", "th", "tr")} | {t: ("td", "th", "tr", "thead", "tbody", "tfoot") for t in ("thead", "tbody", "tfoot")}
+WALLS = {"li": ("ul", "ol", "menu", "table", "td", "section", "article", "nav", "body")} | {t: ("table",) for t in ("td", "th", "tr", "tbody", "thead", "tfoot")}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -120,6 +126,7 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str,
     (parent, name, what names say); container 0 is the page itself. Every piece of text is in one block."""
     nodes: list[tuple[int, str, int]] = [(-1, "", 0)]
     stack: list[tuple[str, int]] = []  # open containers
+    open_at: dict[str, list[int]] = {}  # their places in the stack, by element
     out: list[tuple[int, str, int]] = []
     piece: list[str] = []
     here, linked, in_link = 0, 0, False
@@ -133,6 +140,14 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str,
             piece.clear()
             linked = 0
 
+    def last(*names: str) -> int:
+        return max((open_at[n][-1] for n in names if open_at.get(n)), default=-1)
+
+    def close(place: int) -> None:
+        for name, _ in stack[place:]:
+            open_at[name].pop()
+        del stack[place:]
+
     at, closed = 0, {}
     tokens = _TOKEN.finditer(page)
     while m := next(tokens, None):
@@ -161,18 +176,19 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str,
             continue
         flush()
         if m.group("end"):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if (place := last(tag)) > last(*WALLS.get(tag, ())):
+                close(place)
         else:
-            rest = m.group("rest")
-            if tag == "li" and stack and stack[-1][0] == "li":
-                stack.pop()  # an item ends where the next begins
+            rest, wall = m.group("rest"), last(*WALLS.get(tag, ()))
+            # the outermost of those that end here
+            ending = [open_at[n][bisect_right(open_at[n], wall)] for n in ENDS.get(tag, ()) if open_at.get(n) and open_at[n][-1] > wall]
+            if ending:
+                close(min(ending))
             name, bad = _role(tag, rest)
             parent = stack[-1][1] if stack else 0
             nodes.append((parent, name, max(bad, nodes[parent][2])))
             if not rest.endswith("/"):
+                open_at.setdefault(tag, []).append(len(stack))
                 stack.append((tag, len(nodes) - 1))
         here = stack[-1][1] if stack else 0
     if at < len(page):
@@ -181,31 +197,39 @@ def blocks(page: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str,
     return out, nodes
 
 
-def _paths(nodes) -> list[str]:
-    out = [""]
+def role_ids(nodes) -> list[int]:
+    """Each container's role: 64 bits of its parent's role and its name; the page itself has 0."""
+    out, known = [0], {}
     for parent, name, _ in nodes[1:]:
-        out.append(f"{out[parent]}>{name}")
+        key = (out[parent], name)
+        if key not in known:
+            known[key] = int.from_bytes(blake2b(f"{out[parent]}>{name}".encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+        out.append(known[key])
     return out
 
 
 @dataclass
 class Role:
     """What the pages of a host have in a role: characters outside of links, in links, outside of links
-    and in repeated containers; whether it is the same text in nearly all pages; what its names say."""
+    and in repeated containers; whether it is the same text in nearly all pages; what its names say; the
+    role round it, its element, and how deep it stands."""
 
     chars: int
     linked: int
     listed: int
     same: bool = False
     bad: int = 0
+    parent: int = 0
+    tag: str = ""
+    depth: int = 0
 
 
-def _stats(found, nodes, paths) -> list[list[int]]:
+def _stats(found, nodes, roles) -> list[list[int]]:
     """For each container and all inside it: characters outside of links, in links, in repeated containers."""
-    count = Counter(paths)
+    count = Counter(roles)
     repeated = [False] * len(nodes)
     for i, (parent, _, _) in enumerate(nodes):
-        repeated[i] = i > 0 and (repeated[parent] or count[paths[i]] > 1)
+        repeated[i] = i > 0 and (repeated[parent] or count[roles[i]] > 1)
     out = [[0, 0, 0] for _ in nodes]
     for node, text, linked in found:
         o, n = out[node], len(text) - linked
@@ -220,26 +244,23 @@ def _stats(found, nodes, paths) -> list[list[int]]:
     return out
 
 
-def _tag(path: str) -> str:
-    return path.rpartition(">")[2].partition(".")[0]
+def _depths(nodes) -> list[int]:
+    out = [0] * len(nodes)
+    for i, (parent, _, _) in enumerate(nodes[1:], 1):
+        out[i] = out[parent] + 1
+    return out
 
 
-def choose(roles: dict[str, Role]) -> tuple[str, list[str]]:
-    """The main slot among template roles, and the roles that are left out of it."""
-    roles = {p: roles[p] for p in sorted(roles)}
-    parent: dict[str, str] = {}
-    inside: dict[str, list[str]] = {p: [] for p in roles}
-    for p in roles:
-        up = p
-        while up:
-            up = up.rpartition(">")[0]
-            if up in roles:
-                parent[p] = up
-                inside[up].append(p)
-                break
-    content: dict[str, int] = {}
-    out: set[str] = set()
-    order = sorted(roles, key=lambda p: (-p.count(">"), p))  # what is inside comes first
+def choose(roles: dict[int, Role]) -> tuple[int, list[int]]:
+    """The main slot among template roles, and the roles that are left out of it. With a role all roles
+    round it are there; 0 is the page."""
+    order = sorted(roles, key=lambda p: (-roles[p].depth, p))  # what is inside comes first
+    inside: dict[int, list[int]] = {p: [] for p in roles}
+    for p in order:
+        if p:
+            inside[roles[p].parent].append(p)
+    content: dict[int, int] = {}
+    out: set[int] = set()
 
     def weigh() -> None:
         for p in order:
@@ -251,67 +272,66 @@ def choose(roles: dict[str, Role]) -> tuple[str, list[str]]:
         if p and (r.same or r.linked and r.linked >= LINKED * (r.chars + r.linked)):
             out.add(p)
     weigh()
-    total = content.get("", 0)
+    total = content[0]
     # lists beside running text
     listed = {p for p in roles if p and roles[p].chars and roles[p].listed >= LISTED * roles[p].chars}
-    for up, kids in inside.items():
+    for kids in inside.values():
         if any(k not in listed and k not in out and content[k] >= RUNNING * total for k in kids):
-            out |= {k for k in kids if k in listed and _tag(k) not in ("article", "main")}
+            out |= {k for k in kids if k in listed and roles[k].tag not in ("article", "main")}
     weigh()
-    total = content.get("", 0)
+    total = content[0]
     # names break ties, but never take what holds most of the content
     for p in order:
         if p and roles[p].bad and p not in out and 2 * content[p] < total:
             out.add(p)
     weigh()
-    best, total = "", content.get("", 0)
-    while total:
-        articles = [p for p in content if p.startswith(best + ">") and _tag(p) in ("article", "main") and content[p] >= MOST * total]
-        if articles and _tag(best) not in ("article", "main"):  # the outermost
-            best = min(articles, key=lambda p: (p.count(">"), -content[p], p))
-            break
-        kids = [k for k in inside[best] if _tag(k) in SLOTS and content[k] >= NEARLY_ALL * total]
+    best, total = 0, content[0]
+    articles = [p for p in roles if total and p and roles[p].tag in ("article", "main") and content[p] >= MOST * total]
+    if articles:  # the outermost
+        best = min(articles, key=lambda p: (roles[p].depth, -content[p], p))
+    while total and not articles:
+        kids = [k for k in inside[best] if roles[k].tag in SLOTS and content[k] >= NEARLY_ALL * total]
         if not kids:
             break
         best = kids[0]
-    if _tag(best) in ("", "html", "body"):
-        left = out
-    else:  # inside of a content slot only what is no article text by definition goes
-        left = {p for p in out if roles[p].bad > 1}
-    left = [p for p in sorted(left) if p.startswith(best + ">") and not any(p.startswith(o + ">") for o in left)]
-    return best, left
+    # inside of a content slot only what is no article text by definition goes
+    going = out if roles[best].tag in ("", "html", "body") else {p for p in out if roles[p].bad > 1}
+    left, below = [], [best]
+    while below:  # the outermost of those inside of the slot
+        for k in inside[below.pop()]:
+            (left if k in going else below).append(k)
+    return best, sorted(left)
 
 
-def own_template(found, nodes, paths) -> tuple[str, list[str]]:
+def own_template(found, nodes, ids) -> tuple[int, list[int]]:
     """The main slot of a page that is its own template: roles that occur once, outside of others."""
-    count = Counter(paths)
-    own = {p: Role(*s, bad=n[2]) for p, s, n in zip(paths, _stats(found, nodes, paths), nodes) if count[p] == 1}
-    return choose({p: r for p, r in own.items() if not p or all(u in own for u in _above(p))})
-
+    count = Counter(ids)
+    own: dict[int, Role] = {}
+    for i, (s, n, depth) in enumerate(zip(_stats(found, nodes, ids), nodes, _depths(nodes))):
+        if i == 0 or count[ids[i]] == 1 and ids[n[0]] in own:
+            own[ids[i]] = Role(*s, bad=n[2], parent=ids[max(n[0], 0)], tag=n[1].partition(".")[0], depth=depth)
+    return choose(own)
 
-def _above(path: str) -> list[str]:
-    """The paths of the containers round a role's."""
-    parts = path.split(">")
-    return [">".join(parts[:i]) for i in range(1, len(parts))]
 
-
-def extract(page: str | None, slot: str | None, left_out: list[str] | tuple[str, ...] = ()) -> str:
+def extract(page: str | None, slot: int | None, left_out: list[int] | tuple[int, ...] = ()) -> str:
     """The page's main text. slot: its host's main slot, if known; left_out: roles in it without
     content. If nothing would be left, the page is its own template."""
     if not page:
         return ""
     found, nodes = blocks(page)
-    paths = _paths(nodes)
-    text = _inside(found, nodes, paths, slot, left_out) if slot is not None and slot in paths else ""
-    return text or _inside(found, nodes, paths, *own_template(found, nodes, paths)) or _inside(found, nodes, paths, "", ())
+    ids = role_ids(nodes)
+    text = _inside(found, nodes, ids, slot, left_out) if slot is not None else ""
+    return text or _inside(found, nodes, ids, *own_template(found, nodes, ids)) or _inside(found, nodes, ids, 0, ())
 
 
-def _inside(found, nodes, paths, slot, left_out) -> str:
-    worst = 0 if _tag(slot) in ("", "html", "body") else 1  # what names may say inside of the slot
+def _inside(found, nodes, ids, slot, left_out) -> str:
+    top = next((n for i, n in zip(ids, nodes) if i == slot), None)
+    if top is None:
+        return ""
+    worst = 0 if top[1].partition(".")[0] in ("", "html", "body") else 1  # what names may say inside of the slot
     inside, out = [False] * len(nodes), set(left_out)
-    top = next(n[2] for p, n in zip(paths, nodes) if p == slot)
     for i, (parent, _, bad) in enumerate(nodes):
-        inside[i] = paths[i] not in out and (bad <= worst or bad <= top) and (paths[i] == slot or (i > 0 and inside[parent]))
+        inside[i] = ids[i] not in out and (bad <= worst or bad <= top[2]) and (ids[i] == slot or (i > 0 and inside[parent]))
     return "\n".join(text for node, text, _ in found if inside[node])
 
 
@@ -322,32 +342,36 @@ def host(url) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
 
 
-_SUMS = ("pages", "chars", "linked", "listed")
+_SUMS, _WHAT = ("pages", "chars", "linked", "listed"), ("parent", "tag", "depth")
 
 
 def _roles(df: DataFrame) -> DataFrame:
-    """host, role, vector, most (occurrences in a page), bad, the sums over a batch's pages, and the
-    bounds of the hashes of the role's text (least, greatest)."""
+    """host, role, what it is (parent, tag, depth), vector, most (occurrences in a page), bad, the sums over a
+    batch's pages, and the bounds of the hashes of the role's text (least, greatest)."""
 
     def run(batches):
         for batch in batches:
-            sums: dict[tuple[str, str], list[int]] = {}
+            sums: dict[tuple[str, int], list[int]] = {}
+            what: dict[int, tuple[int, str, int]] = {}
             for name, key, page in zip(*(c.to_pylist() for c in batch.columns)):
                 if not page:
                     continue
                 found, nodes = blocks(page)
-                paths = _paths(nodes)
-                held: dict[str, list[int]] = {}
-                for path, stats, text, node in zip(paths, _stats(found, nodes, paths), _text_hashes(found, nodes), nodes):
-                    h = held.setdefault(path, [0, 0, 0, 0, 0, 0])
+                ids = role_ids(nodes)
+                held: dict[int, list[int]] = {}
+                for role, stats, text, node, depth in zip(ids, _stats(found, nodes, ids), _text_hashes(found, nodes), nodes, _depths(nodes)):
+                    if role not in held:
+                        held[role] = [0, 0, 0, 0, 0, 0]
+                        what[role] = (ids[max(node[0], 0)], node[1].partition(".")[0], depth)
+                    h = held[role]
                     h[0] += 1
                     h[1] += stats[0]
                     h[2] += stats[1]
                     h[3] += stats[2]
                     h[4] = text
                     h[5] = max(h[5], node[2])
-                for path, (count, chars, linked, listed, text, bad) in held.items():
-                    s = sums.setdefault((name, path), [0, 0, 0, 0, 0, 0, text, text, 0])
+                for role, (count, chars, linked, listed, text, bad) in held.items():
+                    s = sums.setdefault((name, role), [0, 0, 0, 0, 0, 0, text, text, 0])
                     s[0] = (s[0] + key * count) & 0xFFFFFFFFFFFFFFFF
                     s[1] = max(s[1], count)
                     for i, v in enumerate((1, chars, linked, listed), 2):
@@ -355,9 +379,10 @@ def _roles(df: DataFrame) -> DataFrame:
                     s[6], s[7], s[8] = min(s[6], text), max(s[7], text), max(s[8], bad)
             rows = list(sums.items())
             vector = np.array([v[0] for _, v in rows], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array(vector, pa.int64()), *(pa.array([v[i] for _, v in rows], pa.int64()) for i in range(1, 9))], names=["host", "role", "vector", "most", *_SUMS, "least", "greatest", "bad"])
+            told = [pa.array([what[k[1]][i] for k, _ in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.int64()), *told, pa.array(vector, pa.int64()), *(pa.array([v[i] for _, v in rows], pa.int64()) for i in range(1, 9))], names=["host", "role", *_WHAT, "vector", "most", *_SUMS, "least", "greatest", "bad"])
 
-    return df.mapInArrow(run, "host string,role string,vector long,most long,pages long,chars long,linked long,listed long,least long,greatest long,bad long")
+    return df.mapInArrow(run, "host string,role long,parent long,tag string,depth long,vector long,most long,pages long,chars long,linked long,listed long,least long,greatest long,bad long")
 
 
 def _text_hashes(found, nodes) -> list[int]:
@@ -372,45 +397,45 @@ def _text_hashes(found, nodes) -> list[int]:
 
 
 def templates(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: float = SUPPORT) -> DataFrame:
-    """host, role, class, of (the host's pages), pages, chars, linked, listed, same, bad: the roles of
+    """host, role, class, of (the host's pages), pages, chars, linked, listed, same, bad, parent, tag, depth: the roles of
     classes that stand in enough of the host's pages, once in a page. A host has at most 1 / support
     times as many as one page has containers."""
     seed = F.xxhash64(F.col(id_col).cast("string"), F.col(html_col))
     roles = _roles(df.select(host(F.col(url_col)).alias("host"), seed.alias("key"), F.col(html_col).alias("html")))
     # vectors are sums modulo 2 ** 64: decimals hold the partial sums exactly
     total = F.pmod(F.sum(F.col("vector").cast("decimal(38,0)")), F.expr("cast('18446744073709551616' as decimal(38,0))"))
-    merged = checkpoint(roles.groupBy("host", "role").agg(total.cast("string").alias("class"), F.max("most").alias("most"), *(F.sum(c).alias(c) for c in _SUMS), (F.min("least") == F.max("greatest")).alias("same"), F.max("bad").alias("bad")))
-    hosts = merged.where("role = ''").select("host", F.col("pages").alias("of"), F.col("same").alias("alike"))
+    merged = checkpoint(roles.groupBy("host", "role").agg(total.cast("string").alias("class"), F.max("most").alias("most"), *(F.sum(c).alias(c) for c in _SUMS), (F.min("least") == F.max("greatest")).alias("same"), *(F.max(c).alias(c) for c in ("bad", *_WHAT))))
+    hosts = merged.where("role = 0").select("host", F.col("pages").alias("of"), F.col("same").alias("alike"))
     often = merged.join(hosts, "host").where((F.col("most") == 1) & (F.col("pages") >= support * F.col("of")) & (F.col("of") > 1))
     constant = F.col("same") & ~F.col("alike") & (F.col("pages") >= NEARLY_ALL * F.col("of")) & (F.col("pages") > 1)
-    return often.select("host", "role", "class", "of", "pages", "chars", "linked", "listed", constant.alias("same"), "bad")
+    return often.select("host", "role", "class", "of", "pages", "chars", "linked", "listed", constant.alias("same"), "bad", *_WHAT)
 
 
 def main_slots(found: DataFrame) -> DataFrame:
-    """host, of, slot, left_out (roles without content, a line each), size (roles of the template)."""
+    """host, of, slot, left_out (roles without content), size (roles of the template)."""
 
     def pick(t: pa.Table) -> pa.Table:
         rows = {r["role"]: r for r in t.to_pylist()}
-        classes: dict[str, list[str]] = {}
+        classes: dict[str, list[int]] = {}
         for p, r in rows.items():
             classes.setdefault(r["class"], []).append(p)
-        # a class nests if each of its roles stands in roles of classes that do: of two roles that a page
-        # has once each, the inner one cannot be in more pages, so parents come first by the path's length
-        valid: set[str] = set()
-        for members in sorted(classes.values(), key=lambda m: (-rows[m[0]]["pages"], min(p.count(">") for p in m))):
+        # a class nests if each of its roles stands in a role of a class that does: of two roles that a page
+        # has once each, the inner one cannot be in more pages, so parents come first by their depth
+        valid: set[int] = set()
+        for members in sorted(classes.values(), key=lambda m: (-rows[m[0]]["pages"], min(rows[p]["depth"] for p in m), min(m))):
             inner = set(members)
-            if all(u in valid or u in inner for p in members for u in (_above(p) if p else ())):
+            if all(not p or rows[p]["parent"] in valid or rows[p]["parent"] in inner for p in members):
                 valid |= inner
-        slot, left = choose({p: Role(*(rows[p][c] for c in ("chars", "linked", "listed", "same", "bad"))) for p in valid}) if "" in valid else ("", [])
-        return pa.table({"host": [t.column("host")[0].as_py()], "of": [t.column("of")[0].as_py()], "slot": [slot], "left_out": ["\n".join(left)], "size": [len(valid)]})
+        slot, left = choose({p: Role(*(rows[p][c] for c in ("chars", "linked", "listed", "same", "bad", *_WHAT))) for p in valid}) if 0 in valid else (0, [])
+        return pa.table({"host": [t.column("host")[0].as_py()], "of": [t.column("of")[0].as_py()], "slot": [slot], "left_out": pa.array([left], pa.list_(pa.int64())), "size": [len(valid)]})
 
-    return found.groupBy("host").applyInArrow(pick, "host string,of long,slot string,left_out string,size long")
+    return found.groupBy("host").applyInArrow(pick, "host string,of long,slot long,left_out array<long>,size long")
 
 
 def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: float = SUPPORT, small: int = SMALL) -> DataFrame:
     """One row per input row: id, url, text, n_chars. support over 1: each page is its own template."""
     slots = checkpoint(main_slots(templates(df, id_col, url_col, html_col, support)))
-    size = slots.agg(F.sum(F.length("host") + F.length("slot") + F.length("left_out") + 64).alias("bytes"), F.max("of").alias("of")).first()
+    size = slots.agg(F.sum(F.length("host") + 8 * F.size("left_out") + 64).alias("bytes"), F.max("of").alias("of")).first()
     pages = df.select(F.col(id_col).cast("long").alias(id_col), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host(F.col(url_col)))
     chosen = slots.select("host", "slot", "left_out")
     if (size.bytes or 0) <= small:
@@ -420,7 +445,7 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
         both = pages.join(pages.select("host", "part").distinct().join(chosen, "host"), ["host", "part"], "left")
 
     def rows(ids, urls, texts, slot, left_out):
-        text = [extract(t, s, [r for r in (f or "").split("\n") if r]) for t, s, f in zip(texts, slot, left_out)]
+        text = [extract(t, s, f or ()) for t, s, f in zip(texts, slot, left_out)]
         return {id_col: ids, "url": urls, "text": text, "n_chars": [len(t) for t in text]}
 
     return map_rows(both, [id_col, "url", "html", "slot", "left_out"], f"{id_col} long,url string,text string,n_chars long", rows, by="html")
