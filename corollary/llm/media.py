@@ -3,7 +3,8 @@
 A file is RIFF: header lists, a ``movi`` list with one JPEG image per frame and an ``idx1`` index
 with each frame's place. Frames here are lossless JPEG (ITU T.81, process 14: SOF3, predictor 1,
 8-bit samples, Huffman coded differences), so a payload written as samples is read back bit by bit.
-Decoding works on all frames of many files at once: every numpy step advances each frame's bit
+A frame must have the size that the file's header tells, and a bit of data for each sample at least: so no
+damaged size makes a reader allocate or decode more than the file's bytes stand for. Decoding works on all frames of many files at once: every numpy step advances each frame's bit
 stream by one sample, so the cost is a few vector operations per sample of the *longest* frame.
 
 Shots: each frame has a histogram of BINS bins; the difference of neighbours is compared with an
@@ -186,7 +187,8 @@ def _chunks(data: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, int
 
 
 def read_index(data: bytes) -> dict:
-    """The index of an AVI file: frames as (start, end), microseconds of a frame, samples (or None)."""
+    """The index of an AVI file: frames as (start, end), microseconds of a frame, samples (or None), and the
+    frames' size as the header tells it."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
     found = {k: (a, b) for k, a, b in _chunks(data, 12, len(data))}
@@ -207,7 +209,11 @@ def read_index(data: bytes) -> dict:
             if data[base + at : base + at + 4] != kind:
                 raise ValueError("the index names a place without a frame")
             frames.append((base + at + 8, base + at + 8 + n))
-    return {"frames": frames, "period": period, "samples": samples}
+    if b"LISTstrl" not in head:
+        raise ValueError("an AVI file without a stream")
+    form = {k: a for k, a, _ in _chunks(data, *head[b"LISTstrl"])}[b"strf"]
+    width, height = struct.unpack_from("<ii", data, form + 4)
+    return {"frames": frames, "period": period, "samples": samples, "told": (abs(height), width)}
 
 
 def read_jpeg(data: bytes, start: int, end: int) -> tuple[int, int, bytes, int, int]:
@@ -285,6 +291,10 @@ def _frames_of(data: bytes) -> tuple[dict, list[tuple[int, int, bytes, bytes]]]:
             height, width, table, start, stop = read_jpeg(data, a, b)
             if frames and (height, width) != info["size"]:
                 raise ValueError("frames of two sizes")
+            if (height, width) != info["told"]:
+                raise ValueError("a frame of another size than its file tells")
+            if height * width > 8 * (stop - start):  # a sample takes a bit at least
+                raise ValueError("a frame with less data than samples")
             if not height or not width or height * width > LARGEST or table is None or len(table) < 17 + sum(table[1:17]) or sum(n << (16 - k) for k, n in enumerate(table[1:17], 1)) > 1 << 16 or max(table[17 : 17 + sum(table[1:17])], default=0) > 16:
                 raise ValueError("a frame without samples, or with a wrong Huffman table")
             info["size"] = height, width

@@ -1,6 +1,7 @@
 """AVI columns: exact round trips, damaged files, shots."""
 
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -43,6 +44,45 @@ def test_damaged_files():
         assert "error" in media.read_avi([good[:n]], strict=False)[0]
 
 
+def test_no_damaged_byte_takes_long():
+    """Every byte of a small file, and every value of the size bytes of a larger one."""
+    (small,) = media.write_avi([media.padded(b"some text in two rows of samples " * 8)])
+    (large,) = media.write_avi([media.padded(b"abc" * 3000)])
+    rng = np.random.default_rng(4)
+    size = large.index(b"\xff\xc3") + 5
+    cases = [(small, at, int(x)) for at, x in enumerate(rng.integers(1, 256, len(small)))] + [(large, at, x) for at in range(size, size + 4) for x in range(1, 256)]
+    errors = 0
+    for data, at, x in cases:
+        bad = bytearray(data)
+        bad[at] ^= x
+        began = time.perf_counter()
+        (info,) = media.read_avi([bytes(bad)], strict=False)
+        assert time.perf_counter() - began < 0.5, (at, x)  # 0.01 s here
+        errors += data is large and bool(info.get("error"))
+    assert errors == 4 * 255
+
+
+def test_shots_against_a_plain_count():
+    """Histograms, thresholds and the feature string, said without numpy."""
+    rng = np.random.default_rng(5)
+    data = b"".join(bytes(rng.integers(a, b, int(n), dtype=np.uint8)) for a, b, n in [(0, 60, 9000), (100, 255, 5000), (90, 255, 7000), (10, 20, 3100)])
+    (info,) = media.read_avi(media.write_avi([media.padded(data)]))
+    frames = [bytes(f) for f in info["samples_of"]]
+    hists = [[sum(b // 16 == k for b in f) for k in range(16)] for f in frames]
+    diffs = [sum(abs(x - y) for x, y in zip(p, q)) / (2 * len(frames[0])) for p, q in zip(hists, hists[1:])]
+    starts = [0]
+    for i, d in enumerate(diffs):
+        last = diffs[max(0, i - 8) : i]
+        if last:
+            mean = sum(last) / len(last)
+            if d > mean + 3 * sum(abs(x - mean) for x in last) / len(last) + 0.05:
+                starts.append(i + 1)
+    assert media.cuts(info["samples_of"]) == starts and len(starts) > 2
+    bins = [sum(b // 32 == k for f in frames for b in f) for k in range(8)]
+    shots = "/".join(f"{a}+{b - a}@{40000 * a}" for a, b in zip(starts, [*starts[1:], len(frames)]))
+    assert media.feature(info) == f"192x8;frames={len(frames)};shots={shots};hist={'/'.join(map(str, bins))}"
+
+
 def test_damaged_rows_do_not_end_the_job(spark):
     good, long = media.write_avi([media.padded(b"abc" * 1000), media.padded(b"x" * 400_000)])
     df = spark.createDataFrame([(1, bytearray(good), "a"), (2, bytearray(good[:300]), "b"), (3, None, "c"), (4, bytearray(b"no file"), "d"), (5, bytearray(long), "e")], "doc_id long, media binary, error string")
