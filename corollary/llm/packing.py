@@ -1,8 +1,8 @@
 """Packing documents into sequences of a fixed number of tokens by bin completion.
 
 Texts are tokenized once, in the map pass: a text is cut at single spaces behind other characters,
-where the pattern always has a boundary, and each distinct word of a slice is encoded once. A document
-longer than the capacity is cut into whole pieces, the first of which may be shorter.
+where the pattern always has a boundary, and each distinct word of a slice is encoded once. Ids are those of
+the tokenizer's plain call: the text of one of its special tokens is that token. A document longer than the capacity is cut into whole pieces, the first of which may be shorter.
 
 Pieces are dealt by a hash into groups of about GROUP documents, so every group is alike and bounded
 whatever the corpus' size or order, and each group is packed by itself: at most one sequence in a
@@ -83,13 +83,31 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
         self.merge = _merger(path)
+        added = self.model.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("a tokenizer whose added tokens take more than their own text")
+        #: Texts that the tokenizer takes for one token wherever they stand, the longest first; what stands
+        #: before and behind is encoded by itself.
+        self.added = {t.content: i for i, t in sorted(added.items(), key=lambda x: -len(x[1].content))}
+        marks = "|".join(map(re.escape, self.added))
+        self.added_re = re.compile(f"({marks})") if marks else None
+        self.by_hand = f"{self._UNSURE}|{marks}" if marks else self._UNSURE
         self.clear()
 
     def clear(self) -> None:
         self.row: dict[str, int] = {}
         self.flat, self.count = array("I", [END]), array("q", [1])  # row 0 is the end
+        self._put(list(self.added), [[i] for i in self.added.values()])
+
+    def _cut(self, text: str) -> tuple[list[str], list[int]]:
+        """A text's words, and which of them have no space before them."""
+        words, first = [], []
+        for part in self.added_re.split(text) if self.added_re else [text]:
+            if part or len(text) == 0:
+                first.append(len(words))
+                words += [part] if part in self.added else self._SEAM.split(part)
+        return words, first
 
     def _put(self, words: list[str], ids: list) -> None:
         self.row.update(zip(words, range(len(self.count), len(self.count) + len(words))))
@@ -130,18 +148,21 @@ class WordTokenizer:
         if len(self.row) > CACHE:
             self.clear()
         whole = pa.array([t or "" for t in texts], pa.large_string())
-        unsure = pa.compute.match_substring_regex(whole, self._UNSURE)
+        unsure = pa.compute.match_substring_regex(whole, self.by_hand)
         order = np.concatenate([np.flatnonzero(~np.asarray(unsure)), np.flatnonzero(np.asarray(unsure))]).tolist()
         split = pa.compute.split_pattern(whole.filter(pa.compute.invert(unsure)), " ")
-        by_hand = pa.array([self._SEAM.split(t) for t in whole.filter(unsure).to_pylist()], split.type)
+        cut = [self._cut(t) for t in whole.filter(unsure).to_pylist()]
+        by_hand = pa.array([words for words, _ in cut], split.type)
         words = pa.concat_arrays([split.flatten(), by_hand.flatten()]).dictionary_encode()
         size = np.concatenate([np.asarray(pa.compute.list_value_length(x)) for x in (split, by_hand)])
         begin = np.cumsum(size) - size
+        sure = len(split)
+        begin = np.concatenate([begin[:sure], *(b + np.array(first) for b, (_, first) in zip(begin[sure:], cut))]).astype(np.int64)
         distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         of_word = self.rows([f" {w}" for w in distinct])
         at = np.asarray(words.indices)
         place = of_word[at]
-        place[begin] = self.rows([distinct[k] for k in at[begin].tolist()])  # no space before a text's first word
+        place[begin] = self.rows([distinct[k] for k in at[begin].tolist()])  # no space before these
         place = np.insert(place, np.cumsum(size), 0)
         count, flat = np.array(self.count), np.array(self.flat, dtype="<u4")
         first = np.cumsum(count) - count

@@ -86,7 +86,6 @@ def test_op5(spark, texts):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
     pieces, sequences = {}, {}
     for r in QUERIES["op5_packing"](spark, DATA).collect():
         pieces.setdefault(r.doc_id, {})[r.piece] = r
