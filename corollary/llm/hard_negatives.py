@@ -36,7 +36,9 @@ CELLS, MOST_CELLS = 1 << 18, 1 << 22
 #: Blocks grow only beyond so many.
 BLOCKS = 64
 #: Leading components of the rotation, and after how many of them rows are discarded.
-LEADING, STEPS = 64, (4, 12, 28)
+LEADING, STEPS = 64, (8, 24)
+#: Every so many-th row of a block is scored first; pairs are looked at one by one once so few are left.
+SEEDS, FEW = 8, 32
 #: Cells of a table of anchors by rows.
 TILE = 1 << 20
 
@@ -153,51 +155,57 @@ def products(a: Side, i: np.ndarray, x: Side, j: np.ndarray) -> np.ndarray:
 
 
 def search(a: Side, at: np.ndarray, x: Side, to: range, share: float, k: int, least: np.ndarray, most: np.ndarray, same: bool):
-    """(anchors, rows, exact scores): pairs of anchors ``at`` with rows ``to`` of the same label or of others,
-    least <= score <= most, without those that surely are not among the anchor's k best in ``to``."""
+    """(anchors, rows, exact scores): pairs of anchors ``at`` with rows ``to`` of the same label or of others, without
+    those that surely are not among the k best rows of any of the anchor's goals. least, most: a row per anchor, a
+    column per goal; a goal with least > most wants nothing."""
     rows = slice(to.start, to.stop)
     width = a.lead.shape[1]
-    steps = [s for s in STEPS if s < width] + [width]
-    lead, tails, norm = a.lead[at], a.tails[at], a.norm[at]
+    steps = [0, *(s for s in STEPS if s < width), width]
     allowed = a.ids[at][:, None] != x.ids[rows][None, :]
     if not same:
         allowed &= a.labels[at][:, None] != x.labels[rows][None, :]
     with np.errstate(all="ignore"):
-        error = share * norm[:, None] * x.norm[rows][None, :]
-        part = lead[:, : steps[0]] @ x.lead[rows, : steps[0]].T
-        low, high = _bounds(part, tails[:, steps[0]][:, None] * x.tails[rows, steps[0]][None, :] + error)
-        allowed &= (high >= least[:, None]) & (low <= most[:, None])
-        # k rows that surely are within the bounds reach the k-th of their lower ends: so must all others
-        sure = np.where(allowed & (low >= least[:, None]) & (high <= most[:, None]), low, -np.inf)
-        reach = np.partition(sure, len(to) - k, axis=1)[:, len(to) - k] if len(to) >= k else np.full(len(at), -np.inf)
-        i, j = np.nonzero(allowed & (high >= reach[:, None]))
-        part, error = part[i, j], error[i, j]
-        for before, now in zip(steps, steps[1:]):
-            part = part + np.einsum("ij,ij->i", lead[i, before:now], x.lead[rows][j, before:now])
-            low, high = _bounds(part, tails[i, now] * x.tails[rows][j, now] + error)
-            sure = np.where((low >= least[i]) & (high <= most[i]), low, -np.inf)
-            reach = np.maximum(reach, _kth(i, sure, len(at), k))
-            keep = (high >= least[i]) & (high >= reach[i]) & (low <= most[i])
-            i, j, part, error = i[keep], j[keep], part[keep], error[keep]
-    scores = products(a, at[i], x, j + to.start)
-    inside = (scores >= least[i]) & (scores <= most[i])
-    return at[i[inside]], j[inside] + to.start, scores[inside]
-
-
-def _bounds(part: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What a product can be; all that overflows is possible."""
-    low, high = part - left, part + left
-    return np.where(np.isnan(low), -np.inf, low), np.where(np.isnan(high), np.inf, high)
-
-
-def _kth(i: np.ndarray, values: np.ndarray, n: int, k: int) -> np.ndarray:
-    """The k-th largest value of each anchor, -inf for those with fewer; i is in order."""
-    out = np.full(n, -np.inf)
-    starts = np.searchsorted(i, np.arange(n + 1))
-    full = np.flatnonzero(np.diff(starts) >= k)
-    if len(full):
-        out[full] = values[np.lexsort((-values, i))][starts[full] + k - 1]
-    return out
+        need, cap = _reach(a, at, x, to, share, k, least, most, allowed)
+        # what is left is at most the product of the residual norms, and the rounding of all steps
+        root = np.sqrt(share)
+        of_a, of_x = a.tails[at] + root * a.norm[at][:, None], x.tails[rows] + root * x.norm[rows][:, None]
+        lead, other = a.lead[at], x.lead[rows]
+        part = np.zeros(allowed.shape)
+        for k_step, (before, now) in enumerate(zip(steps, steps[1:])):
+            part += lead[:, before:now] @ other[:, before:now].T
+            left = of_a[:, now][:, None] * of_x[:, now][None, :]
+            # what overflows is told from nothing, and stays
+            allowed &= ~((part + left < need[:, None]) | (part - left > cap[:, None]))
+            if np.count_nonzero(allowed) * FEW < allowed.size:
+                break
+        i, j = np.nonzero(allowed)
+        part = part[i, j]
+        for before, now in zip(steps[k_step + 1 :], steps[k_step + 2 :]):
+            part = part + np.einsum("ij,ij->i", lead[i, before:now], other[j, before:now])
+            left = of_a[i, now] * of_x[j, now]
+            keep = ~((part + left < need[i]) | (part - left > cap[i]))
+            i, j, part = i[keep], j[keep], part[keep]
+    return at[i], j + to.start, products(a, at[i], x, j + to.start)
+
+
+def _reach(a: Side, at: np.ndarray, x: Side, to: range, share: float, k: int, least: np.ndarray, most: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a row must reach, and not exceed, to be of use for any goal of an anchor. Some rows are scored first:
+    where k of them surely are within a goal's bounds, all others must reach the k-th."""
+    some = np.arange(to.start, to.stop, SEEDS)
+    score = a.v[at].astype(np.float64) @ x.v[some].astype(np.float64).T
+    error = share * a.norm[at][:, None] * x.norm[some][None, :]
+    low, high = score - error, score + error
+    ok = allowed[:, some - to.start]
+    need, cap = np.full(len(at), np.inf), np.full(len(at), -np.inf)
+    for g in range(least.shape[1]):
+        floor = least[:, g].astype(np.float64)
+        if len(some) >= k:
+            sure = np.where(ok & (low >= least[:, g][:, None]) & (high <= most[:, g][:, None]), low, -np.inf)
+            floor = np.maximum(floor, np.partition(sure, len(some) - k, axis=1)[:, len(some) - k])
+        wanted = least[:, g] <= most[:, g]
+        need = np.where(wanted, np.minimum(need, floor), need)
+        cap = np.where(wanted, np.maximum(cap, most[:, g]), cap)
+    return need, cap
 
 
 def best(i: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -228,16 +236,15 @@ def _meet(blocks: DataFrame, anchors: DataFrame, count: int, groups: int, k: int
                 step = max(1, TILE // len(to))
                 for s in range(places.start, places.stop, step):
                     tile = np.arange(s, min(s + step, places.stop))
-                    # goals: the ask, then least and most of each; least > most: none
-                    for g in range(1 if same else a.goals.shape[1] // 2):
-                        least, most = (np.full(len(tile), e) for e in (-np.inf, np.inf)) if same else a.goals[tile, 1 + 2 * g : 3 + 2 * g].T
-                        open_ = least <= most
-                        if not open_.any():
-                            continue
-                        i, j, scores = search(a, tile[open_], x, to, share, k, least[open_], most[open_], same)
-                        keep = best(i, x.ids[j], scores, k)
-                        i, j = i[keep], j[keep]
-                        out.append((a.ids[i], a.goals[i, 0], np.full(len(i), g), x.ids[j], scores[keep]))
+                    # goals: the ask, then least and most of each
+                    least, most = (np.full((len(tile), 1), e) for e in (-np.inf, np.inf)) if same else (a.goals[tile, 1::2], a.goals[tile, 2::2])
+                    i, j, scores = search(a, tile, x, to, share, k, least, most, same)
+                    for g in range(least.shape[1]):
+                        inside = (scores >= least[i - s, g]) & (scores <= most[i - s, g])
+                        ii, jj, sc = i[inside], j[inside], scores[inside]
+                        keep = best(ii, x.ids[jj], sc, k)
+                        ii, jj = ii[keep], jj[keep]
+                        out.append((a.ids[ii], a.goals[ii, 0], np.full(len(ii), g), x.ids[jj], sc[keep]))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 5
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
         return pa.table({f.split()[0]: pa.array(c.tolist() if c.dtype == object else c, kind) for f, c, kind in zip(_FOUND.split(", "), columns, kinds)})

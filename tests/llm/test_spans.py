@@ -170,3 +170,17 @@ def test_many_spans_in_one_text():
     found = secrets.base_spans(text)
     assert len(found) == n and secrets.entropy_spans(text, found) == []
     assert time.perf_counter() - began < 60
+
+
+def test_spelled_out_addresses_of_any_length():
+    for local, domain in (("j" * 200, "example.com"), ("jo.do", "x" * 90 + " dot com"), ("jo", ".".join("abcdefghij") + ".org")):
+        for at in ("@", " at ", "(at)", " [at] "):
+            t = f"write to {local}{at}{domain} now"
+            assert ("email", 9, 9 + len(local + at + domain)) in pii.candidates(t), t
+    assert [c for c in pii.candidates("at at at @ . x at y") if c[0] == "email"] == []
+
+
+def test_a_secret_ends_where_its_candidate_does():
+    t = "here ghp_16C7e42F292c6912E7710c838347Ae178B4a there"
+    (span,) = secrets.entropy_spans(t, [])
+    assert t[span[1] : span[2]] == t.split()[1]
