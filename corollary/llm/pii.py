@@ -92,11 +92,12 @@ def base_spans(text: str | None) -> list[Span]:
 
 # ---- candidates ---------------------------------------------------------------------------------
 
-#: Generators: kind and pattern. Lengths are bounded on both sides, so a run takes linear time: an address has
-#: at most 64 characters before its "at" and labels of 63 (as mail and domain names have), five labels in all.
-#: Longer addresses with an @ are the base rule's; spelled-out ones that are longer are no candidates.
+#: Addresses, also spelled out: a sign between local part and domain, the characters of a local part, a domain.
+_AT = re.compile(r" ?(?:@|\(at\)|\[at\]| at ) ?")
+_LOCAL_SIGNS = frozenset("_.+-")
+_DOMAIN = re.compile(r"[\w-]++(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )[\w-]++)++")
+#: Generators of numbers: kind and pattern, with bounds on both sides, as such numbers have.
 GENERATORS = (
-    ("email", re.compile(r"(?<![\w.+-])[\w.+-]{1,64} ?(?:@|\(at\)|\[at\]| at ) ?[\w-]{1,63}(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )[\w-]{1,63}){1,4}")),
     ("ip", re.compile(r"(?<![\w.])[0-9]{1,4}(?:[.,][0-9]{1,4}){2,5}(?![\w])")),
     ("card", re.compile(r"(?<![\w.])[0-9]{3,6}(?:[ ./-]?[0-9]{2,6}){2,6}(?![\w])")),
     ("phone", re.compile(r"(?<![\w.])(?:\+|00|\()?[0-9]{1,5}(?:[ ().\/-]{1,2}[0-9]{2,5}){1,5}(?![\w])")),
@@ -114,10 +115,18 @@ _WORD_BEFORE = re.compile(r"([^\W\d_][\w-]*)\W*$")
 def candidates(text: str) -> list[Span]:
     """Every generator's matches; they may overlap each other and the base spans."""
     out = []
-    if "@" in text or " at " in text or "(at)" in text or "[at]" in text:  # one of them is in every match
-        out += [("email", m.start(), m.end()) for m in GENERATORS[0][1].finditer(text)]
+    last = 0
+    for m in _AT.finditer(text):
+        if m.start() < last or not (domain := _DOMAIN.match(text, m.end())):
+            continue
+        start = m.start()
+        while start > last and (text[start - 1].isalnum() or text[start - 1] in _LOCAL_SIGNS):
+            start -= 1
+        if start < m.start():
+            out.append(("email", start, domain.end()))
+            last = domain.end()
     if _DIGIT.search(text):
-        for kind, pattern in GENERATORS[1:]:
+        for kind, pattern in GENERATORS:
             out += [(kind, m.start(), m.end()) for m in pattern.finditer(text)]
     return out
 

@@ -6,7 +6,7 @@
   WINDOW characters slides; for each character class (lower case, upper case, digits, other) the
   counts of its characters are kept incrementally, and with them the Shannon entropy of the class
   and of the window. A window whose total entropy is high and in which two classes each have enough
-  entropy of their own is hot; hot windows join into spans of kind ``entropy``. Of a candidate the
+  entropy of their own is hot; a candidate with a hot window is a span of kind ``entropy``, whole. Of a candidate the
   parts that no base span covers count, each for itself. Those that fit the allow-list (paths, plain
   words, UUIDs, version and date strings, repeated units, ...) are suppressed; words are of one case
   or of capitalised pieces. Base spans always stay.
@@ -111,13 +111,8 @@ def entropy_spans(text: str | None, base: list[Span]) -> list[Span]:
         for at, end in covered.gaps(m.start(), m.end()):
             if end - at < MIN_LENGTH or allowed(text[at:end]):
                 continue
-            last = None
-            for i, _ in hot_windows(text[at:end]):
-                if last and at + i <= last[1]:
-                    last[1] = at + i + WINDOW
-                else:
-                    last = [at + i, at + i + WINDOW]
-                    out.append(last)
+            if hot_windows(text[at:end]):  # a window tells that there is a secret, the candidate where it ends
+                out.append((at, end))
     return [("entropy", a, b) for a, b in out]
 
 

@@ -419,7 +419,7 @@ def cut(df: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text
                         begin = np.flatnonzero(word)
                         until = np.append(begin[1:], len(raw))
                         drop = np.repeat(cover, until - begin)  # from a word's start to the next one's
-                        texts[i] = np.concatenate([raw[: begin[0]], raw[begin[0] :][~drop]]).tobytes().decode("utf-8", "surrogatepass").rstrip()
+                        texts[i] = np.concatenate([raw[: begin[0]], raw[begin[0] :][~drop]]).tobytes().decode("utf-8", "surrogatepass").rstrip(" \t\n\x0b\x0c\r")
                 columns = part.column(1).flatten()
                 columns[names.index(text_col)] = pa.array(texts, columns[names.index(text_col)].type)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
