@@ -18,19 +18,24 @@ from corollary.plans.query import answer
 from corollary.plans.terms import CQ, Atom, Rule, Var, rule_set_size
 
 
-def filter_rules(kb, rules: list[Rule], most: int = 1500, left_out: list | None = None) -> list[Rule]:
+def filter_rules(kb, rules: list[Rule], most: int = 1500, left_out: list | None = None, mined: dict[Rule, int] | None = None) -> list[Rule]:
     """Safe and exact rules with support, by support, body length and text; among rules of equal support
-    only the most general. ``most`` of them are looked at; left_out takes (rule, why) of all others."""
+    only the most general. ``most`` of them are looked at; left_out takes (rule, why) of all others. mined: the
+    support of rules that are known to be exact; the others are verified, in one job."""
     gone = left_out if left_out is not None else []
     safe = [r for r in dict.fromkeys(rules) if r.safe and r.head not in r.body]
     gone += [(r, "unsafe, or its head in its body") for r in dict.fromkeys(rules) if not (r.safe and r.head not in r.body)]
-    stats = {r.rule_id: r for r in verify_rules(kb, safe).collect()}  # one row per rule
-    gone += [(safe[i], "not exact, or without support") for i, s in stats.items() if s.counterexamples or not s.support]
-    good = sorted((i for i, s in stats.items() if s.counterexamples == 0 and s.support > 0), key=lambda i: (-stats[i].support, len(safe[i].body), str(safe[i])))
+    support = {i: (mined or {}).get(r) for i, r in enumerate(safe)}
+    unknown = [i for i, n in support.items() if n is None]
+    if unknown:
+        for r in verify_rules(kb, [safe[i] for i in unknown]).collect():  # one row per rule
+            support[unknown[r.rule_id]] = 0 if r.counterexamples else r.support
+    gone += [(safe[i], "not exact, or without support") for i, n in support.items() if not n]
+    good = sorted((i for i, n in support.items() if n), key=lambda i: (-support[i], len(safe[i].body), str(safe[i])))
     gone += [(safe[i], "behind the rules of most support") for i in good[most:]]
     kept: list[int] = []
     for i in good[:most]:
-        same = [j for j in kept if stats[j].support == stats[i].support]
+        same = [j for j in kept if support[j] == support[i]]
         if any(subsumes(safe[j], safe[i]) for j in same):
             gone.append((safe[i], "a special case"))
             continue
@@ -58,13 +63,14 @@ class Fitted:
 def fit(kb, workload: list[CQ] = (), rules: list[Rule] | None = None, max_len: int = 3, min_support: int = 30, tuned: bool = True, acquisition: str = "qehvi", most: int = 1500, most_rules: int = 300, by_support: bool = True, general_first: bool = False) -> Fitted:
     """Mine (without ``rules``), filter, compress and tune. most, most_rules: rules looked at and taken;
     by_support=False keeps the rules' order; general_first drops special cases before anything else."""
-    found = rules if rules is not None else [r for r, _ in mine_rules(kb, max_len, min_support)]
+    mined = dict(mine_rules(kb, max_len, min_support)) if rules is None else {}
+    found = rules if rules is not None else list(mined)
     gone: list[tuple[Rule, str]] = []
     if general_first:
         kept = most_general(found)
         gone += [(r, "a special case") for r in found if r not in kept]
         found = kept
-    good = filter_rules(kb, found, most, gone)
+    good = filter_rules(kb, found, most, gone, mined)
     if not by_support:
         good.sort(key=found.index)
     small = compress(kb, good, most_rules=most_rules, verified=True)

@@ -1,5 +1,5 @@
-"""How rules stand to the facts: support, counter-examples, estimates. All rules of a call are one job:
-their inferred facts, tagged by rule, meet the facts once."""
+"""How rules stand to the facts: support, counter-examples, estimates. All rules of a call are one job, in
+which their bodies are data (``ruleset``)."""
 
 from __future__ import annotations
 
@@ -8,24 +8,19 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corollary.plans.query import answer, provenance
+from corollary.operators.ruleset import RuleSet
+from corollary.plans.query import provenance
 from corollary.plans.terms import Rule
 
 
 def inferred(kb, rules: list[Rule]) -> DataFrame:
     """rule_id, rel, s, o: the distinct heads of each rule's body."""
-    parts = [answer(kb, r.as_query()).select(F.lit(i).alias("rule_id"), F.lit(r.head.rel).alias("rel"), F.col("x0").alias("s"), F.col("x1").alias("o")) for i, r in enumerate(rules)]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _matched(kb, rules: list[Rule]) -> DataFrame:
-    facts = kb.facts(*sorted({r.head.rel for r in rules})).withColumn("there", F.lit(1))
-    return inferred(kb, rules).join(facts, ["rel", "s", "o"], "left")
+    return RuleSet(kb, rules).inferred()
 
 
 def counter_examples(kb, rules: list[Rule]) -> DataFrame:
     """rule_id, rel, s, o: inferred but no fact."""
-    return _matched(kb, rules).where(F.col("there").isNull()).select("rule_id", "rel", "s", "o")
+    return inferred(kb, rules).join(kb.facts(*sorted({r.head.rel for r in rules})), ["rel", "s", "o"], "left_anti")
 
 
 def verify_rules(kb, rules: list[Rule]) -> DataFrame:
@@ -33,7 +28,7 @@ def verify_rules(kb, rules: list[Rule]) -> DataFrame:
     names = kb.spark.createDataFrame([(i, str(r), len(r.body)) for i, r in enumerate(rules)], "rule_id int, rule string, body_len int")
     if not rules:
         return names.withColumn("support", F.lit(0).cast("long")).withColumn("counterexamples", F.lit(0).cast("long"))
-    found = _matched(kb, rules).groupBy("rule_id").agg(F.count("*").alias("support"), F.sum(F.when(F.col("there").isNull(), 1).otherwise(0)).alias("counterexamples"))
+    found = RuleSet(kb, rules).counted().select("rule_id", "support", (F.col("support") - F.col("hits")).alias("counterexamples"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return names.join(found, "rule_id", "left").select("rule_id", "rule", "body_len", zero("support"), zero("counterexamples"))
 
