@@ -15,8 +15,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corollary.plans.joins import Size, in_order, join_tree, one_by_one, semi
 from corollary.plans.terms import CQ, UCQ, Atom, Const, Var
 
+#: Rows of a star's smaller atoms together up to which they are broadcast.
+SMALL = 1 << 20
+
 
 def scan(kb, atom: Atom) -> DataFrame:
     """One distinct column per variable of the atom, named by it."""
@@ -32,14 +36,19 @@ def scan(kb, atom: Atom) -> DataFrame:
     return df.select(*(c.alias(v.name) for v, c in first.items()))
 
 
-def _common(a: DataFrame, b: DataFrame) -> list[str]:
-    return [c for c in a.columns if c in b.columns]
-
-
-def _semi(df: DataFrame, by: DataFrame) -> DataFrame:
-    on = _common(df, by)
-    # without a common variable the atom only has to have a row
-    return df.join(by.select(*on), on, "left_semi") if on else df.join(by.limit(1).select(F.lit(1).alias("_there")), F.lit(True), "left_semi")
+def _size(kb, atom: Atom) -> Size | None:
+    """The estimated size of the atom's scan, if the base has been measured."""
+    known = kb.sizes.get(atom.rel) if kb.sizes is not None else None
+    if kb.sizes is None:
+        return None
+    rows, distinct = (known.rows, (known.subjects, known.objects)) if known else (0, (0, 0))
+    values: dict[str, float] = {}
+    for t, d in zip(atom.terms, distinct):
+        if isinstance(t, Const) or t.name in values:
+            rows /= max(d, 1)
+        if isinstance(t, Var):
+            values[t.name] = min(d, values.get(t.name, d))
+    return Size(rows, {n: min(d, rows) for n, d in values.items()})
 
 
 def _meet(parts: list[DataFrame]) -> DataFrame:
@@ -50,12 +59,32 @@ def _meet(parts: list[DataFrame]) -> DataFrame:
     return every.where(F.col("_in") == (1 << len(parts)) - 1).select(*names)
 
 
+def _star(parts: list[tuple[DataFrame, float | None]]) -> list[DataFrame]:
+    """Parts with the same columns, each with the rows of its relation, if known: all but the largest are
+    broadcast if they are small together, else all meet in one aggregate."""
+    if all(n is not None for _, n in parts):
+        small = sorted(parts, key=lambda p: p[1])
+        if sum(n for _, n in small[:-1]) <= SMALL:
+            return [reduce(lambda a, b: a.join(F.broadcast(b), b.columns, "left_semi"), (p for p, _ in small[:-1]), small[-1][0])]
+    frames = [p for p, _ in parts]
+    # as many at once as an integer has bits
+    return [_meet(frames[i : i + 30]) if len(frames[i : i + 30]) > 1 else frames[i] for i in range(0, len(frames), 30)]
+
+
 def body(kb, q: CQ, reduce_by_semi_joins: bool = True) -> DataFrame:
     """The bindings of the query's variables that its answer needs (others may be gone)."""
     if not q.atoms:
         raise ValueError("a query without atoms")
     asked = {t.name for t in q.answer if isinstance(t, Var)}
     parts = [scan(kb, a) for a in q.atoms]
+    sizes: dict[frozenset[str], Size] = {}  # by columns, which tell parts apart once those alike have met
+    given = [_size(kb, a) for a in q.atoms]
+
+    def told(part: DataFrame, size: Size | None) -> None:
+        key = frozenset(part.columns)
+        if size and (key not in sizes or size.rows < sizes[key].rows):
+            sizes[key] = size
+
     going, thin = reduce_by_semi_joins, set()
     if going and len(parts) > 1:
         # an atom's own variables that nobody asks for go first
@@ -64,13 +93,20 @@ def body(kb, q: CQ, reduce_by_semi_joins: bool = True) -> DataFrame:
             if len(kept) < len(p.columns):
                 parts[i] = p.select(*kept)
                 thin.add(frozenset(kept))
-        alike: dict[frozenset[str], list[DataFrame]] = {}
-        for p in parts:
-            alike.setdefault(frozenset(p.columns), []).append(p)
+                if given[i]:
+                    values = {c: given[i].distinct[c] for c in kept}
+                    given[i] = Size(max(values.values(), default=1), values)
+        alike: dict[frozenset[str], list[tuple[DataFrame, float | None]]] = {}
+        for p, size, a in zip(parts, given, q.atoms):
+            read = kb.sizes[a.rel].rows if kb.sizes is not None and a.rel in kb.sizes else None
+            alike.setdefault(frozenset(p.columns), []).append((p, read))
+            told(p, size)
         parts = []
         for some in alike.values():
-            # as many at once as an integer has bits
-            parts += [_meet(some[i : i + 30]) if len(some[i : i + 30]) > 1 else some[i] for i in range(0, len(some), 30)] if some[0].columns else some
+            parts += _star(some) if some[0][0].columns and len(some) > 1 else [p for p, _ in some]
+    else:
+        for p, size in zip(parts, given):
+            told(p, size)
     while going and len(parts) > 1:
         going = False
         for i in range(len(parts) - 1, -1, -1):
@@ -83,20 +119,15 @@ def body(kb, q: CQ, reduce_by_semi_joins: bool = True) -> DataFrame:
             host = next((k for k, o in enumerate(others) if shared <= set(o.columns)), None)
             # a variable asked for stays in its host, so nothing that is asked for is lost
             if host is not None:
-                others[host] = _semi(others[host], p)
+                others[host] = semi(others[host], p)
                 parts, going = others, True
                 break
     if reduce_by_semi_joins and len(parts) > 1:  # repeated rows of joined parts would multiply
         parts = [p.distinct() if frozenset(p.columns) in thin else p for p in parts]
-    out = parts.pop(0)
-    while parts:
-        k = next((k for k, p in enumerate(parts) if _common(out, p)), None)
-        if k is None:  # the query itself asks for a product
-            out = out.crossJoin(parts.pop(0))
-        else:
-            p = parts.pop(k)
-            out = out.join(p, _common(out, p))
-    return out
+    known = [sizes[frozenset(p.columns)] for p in parts] if all(frozenset(p.columns) in sizes for p in parts) else None
+    if reduce_by_semi_joins and len(parts) > 2 and join_tree([set(p.columns) for p in parts]) is None:
+        return one_by_one(parts, known)
+    return in_order(parts, known)
 
 
 def answer(kb, q: CQ | UCQ, reduce_by_semi_joins: bool = True) -> DataFrame:
