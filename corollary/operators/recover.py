@@ -1,41 +1,179 @@
-"""Forward chaining to the fixpoint, semi-naive: a round joins only with facts that the last one added."""
+"""Forward chaining to the fixpoint.
+
+Relations are closed group by group, in the order in which they depend on each other: rules that do not read
+their own group are evaluated once. In a group the rest is semi-naive, a round joins only with facts that the
+last one added. What a group knows lies in bucketed files of the shared folder, dealt by a hash of the fact, so a
+round shuffles its own new facts to them and none of the known ones; new facts are appended.
+
+Transitive rules are closed by doubling: with all walks of fewer than 2 ** k edges in T and the ends of walks
+of exactly 2 ** k edges in Q, one round gives T, Q and T with Q behind it, and Q with Q behind it. A chain of
+n edges takes log n rounds, and each pair is found once in a round, not once for every place where a walk can be
+cut in two.
+"""
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corollary.functions.lineage import checkpoint
+from corollary.functions.lineage import checkpoint, shared_folder
+from corollary.plans.fus import components
 from corollary.plans.query import answer
-from corollary.plans.terms import CQ, Atom, Rule
+from corollary.plans.terms import CQ, Atom, Rule, Var
 from corollary.sources.kb import KnowledgeBase
 
 _NEW = "\0new"
 
 
+class Known:
+    """A growing set of facts (s, o) in files that are bucketed by both columns."""
+
+    def __init__(self, spark: SparkSession, first: DataFrame):
+        self.spark, self.name = spark, f"known_{uuid.uuid4().hex}"
+        self.path = f"{shared_folder(spark)}/known/{self.name}"
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.add(first)
+
+    def add(self, more: DataFrame) -> None:
+        dealt = more.select("s", "o").repartition(self.buckets, "s", "o")  # one file a bucket
+        dealt.write.mode("append").bucketBy(self.buckets, "s", "o").option("path", self.path).format("parquet").saveAsTable(self.name)
+
+    def facts(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def new(self, found: DataFrame) -> DataFrame:
+        """The distinct facts that are not known, from files."""
+        return checkpoint(found.select("s", "o").distinct().join(self.facts(), ["s", "o"], "left_anti"))
+
+    def done(self) -> DataFrame:
+        """The facts as plain files; the table's name goes."""
+        self.spark.sql(f"DROP TABLE {self.name}")
+        return self.spark.read.schema("s bigint, o bigint").parquet(self.path)
+
+
+def _behind(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(s, o) of a followed by b."""
+    return a.select("s", F.col("o").alias("_mid")).join(b.select(F.col("s").alias("_mid"), "o"), "_mid").select("s", "o")
+
+
+def transitive(edges: DataFrame) -> tuple[DataFrame, int]:
+    """The transitive closure of (s, o), and the rounds that it took."""
+    known = Known(edges.sparkSession, edges.select("s", "o").distinct())
+    step, rounds = checkpoint(_behind(known.facts(), known.facts()).distinct()), 0
+    while True:
+        new = known.new(step.unionByName(_behind(known.facts(), step)))
+        if new.isEmpty():
+            return known.done(), rounds
+        rounds += 1
+        known.add(new)
+        step = checkpoint(_behind(step, step).distinct())
+
+
+def _chained(rule: Rule) -> tuple[str, str] | None:
+    """The relations a and b of a rule h(X,Y) :- a(X,Z), b(Z,Y)."""
+    if len(rule.body) != 2 or len(rule.head.variables) != 2:
+        return None
+    x, y = rule.head.terms
+    for a, b in (rule.body, rule.body[::-1]):
+        if len(a.variables) == len(b.variables) == 2 and a.terms[0] == x and b.terms[1] == y and a.terms[1] == b.terms[0] and a.terms[1] not in (x, y):
+            return a.rel, b.rel
+    return None
+
+
+def groups(rules: list[Rule]) -> list[tuple[set[str], list[Rule]]]:
+    """Relations that depend on each other, with the rules for them, each group behind those that it reads."""
+    names = sorted({a.rel for r in rules for a in (r.head, *r.body)})
+    place = {n: i for i, n in enumerate(names)}
+    uses: list[set[int]] = [set() for _ in names]
+    for r in rules:
+        uses[place[r.head.rel]] |= {place[a.rel] for a in r.body}
+    out, done = [], set()
+    parts = components(uses)
+    while parts:
+        part = next(p for p in parts if all(uses[i] <= done | set(p) for i in p))
+        parts.remove(part)
+        done |= set(part)
+        mine = {names[i] for i in part}
+        some = [r for r in rules if r.head.rel in mine]
+        if some:
+            out.append((mine, some))
+    return out
+
+
 def closure(kb: KnowledgeBase, rules: list[Rule]) -> DataFrame:
     """rel, s, o: the facts and all that the rules derive from them. Ends on cyclic data, as facts are
     sets over the base's entities."""
-    heads = sorted({r.head.rel for r in rules})
-    known = KnowledgeBase(kb.spark, {n: kb.relation(n) for n in {*kb.names, *heads}})
-    delta = known.relations  # in the first round everything is new
-    while rules:
+    known = KnowledgeBase(kb.spark, kb.relations)
+    changed: set[str] = set()
+    for names, own in groups(rules):
+        changed |= {r.head.rel for r in own}
+        once = [r for r in own if not names & {a.rel for a in r.body}]
+        again = [r for r in own if r not in once]
+        for rel in sorted({r.head.rel for r in once}):
+            heads = reduce(DataFrame.unionByName, (_heads(known, r) for r in once if r.head.rel == rel))
+            known.relations[rel] = checkpoint(known.relation(rel).unionByName(heads).distinct())
+        if again and not _doubled(known, names, once, again):
+            _rounds(known, again)
+    same = [n for n in kb.names if n not in changed]
+    parts = [kb.facts(*same)] if same else []
+    return reduce(DataFrame.unionByName, parts + [known.facts(*sorted(changed))]) if changed else kb.facts()
+
+
+def _heads(kb: KnowledgeBase, rule: Rule) -> DataFrame:
+    return answer(kb, rule.as_query()).select(F.col("x0").alias("s"), F.col("x1").alias("o"))
+
+
+def _doubled(known: KnowledgeBase, names: set[str], once: list[Rule], again: list[Rule]) -> bool:
+    """Close a relation whose rules are transitive, if they all are: t :- t, t, or t :- t, e and t :- e, t where
+    t :- e is a rule, so that the closure of e is no more than t's."""
+    if len(names) != 1:
+        return False
+    (t,) = names
+    ways = [_chained(r) for r in again]
+    if any(w is None for w in ways):
+        return False
+    if all(w == (t, t) for w in ways):
+        known.relations[t] = transitive(known.relation(t))[0]
+        return True
+    x, y = Var("X"), Var("Y")
+    ends = {a.rel for r in once for a in r.body if len(r.body) == 1 and r.head.put(_names(r)) == Atom(t, (x, y)) and a.put(_names(r)).terms == (x, y)}
+    sides = {side: sorted({w[side] for w in ways if w[1 - side] == t}) for side in (0, 1)}
+    if any(w == (t, t) for w in ways) or not {e for es in sides.values() for e in es} <= ends:
+        return False
+    for side, es in sides.items():
+        if es:
+            walks = transitive(reduce(DataFrame.unionByName, map(known.relation, es)))[0]
+            here = known.relation(t)
+            more = _behind(here, walks) if side else _behind(walks, here)
+            known.relations[t] = checkpoint(here.unionByName(more).distinct())
+    return True
+
+
+def _names(r: Rule) -> dict:
+    return dict(zip(r.head.terms, (Var("X"), Var("Y"))))
+
+
+def _rounds(known: KnowledgeBase, rules: list[Rule]) -> None:
+    """Semi-naive rounds of rules that read each other's heads."""
+    state = {n: Known(known.spark, known.relation(n)) for n in sorted({r.head.rel for r in rules})}
+    delta = {n: known.relation(n) for n in state}  # in the first round everything is new
+    while delta:
+        here = KnowledgeBase(known.spark, known.relations | {n: k.facts() for n, k in state.items()})
         derived: dict[str, list[DataFrame]] = {}
         for r in rules:
             for i, a in enumerate(r.body):
                 if a.rel in delta:
                     body = (*r.body[:i], Atom(a.rel + _NEW, a.terms), *r.body[i + 1 :])
-                    both = KnowledgeBase(kb.spark, known.relations | {a.rel + _NEW: delta[a.rel]})
+                    both = KnowledgeBase(known.spark, here.relations | {a.rel + _NEW: delta[a.rel]})
                     derived.setdefault(r.head.rel, []).append(answer(both, CQ(r.head.terms, body)).select(F.col("x0").alias("s"), F.col("x1").alias("o")))
         delta = {}
         for rel, parts in derived.items():
-            new = reduce(DataFrame.unionByName, parts).distinct().join(known.relation(rel), ["s", "o"], "left_anti")
-            new = checkpoint(new)
+            new = state[rel].new(reduce(DataFrame.unionByName, parts))
             if not new.isEmpty():
                 delta[rel] = new
-        if not delta:
-            break
-        known = KnowledgeBase(kb.spark, known.relations | {n: known.relation(n).unionByName(d) for n, d in delta.items()})
-    return known.facts()
+        for rel, new in delta.items():
+            state[rel].add(new)
+    known.relations |= {n: k.done() for n, k in state.items()}
