@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from corollary.functions.lineage import checkpoint, shared_folder
 from corollary.operators.recover import closure
 from corollary.operators.verify import verify_rules
-from corollary.plans.fus import Program
+from corollary.plans.fus import Program, closures
+from corollary.plans.layers import answer_derived
 from corollary.plans.query import answer, provenance
-from corollary.plans.rewrite import rewrite
+from corollary.plans.rewrite import NotRewritable, rewrite
 from corollary.plans.terms import CQ, UCQ, Atom, Rule, parse_rule
 from corollary.sources.kb import FACTS, KnowledgeBase
 
@@ -60,25 +61,24 @@ class CompressedKB:
     left_out: list[tuple[Rule, str]] = field(default_factory=list)  # rules not taken, and why
 
     @cached_property
-    def placed(self) -> dict[str, DataFrame]:
-        """s, o, step (null: kept) of each relation that lost facts, written once to the shared folder by
-        relation: a level is a filter that the scan applies, without a join."""
+    def placed(self) -> tuple[list[str], DataFrame]:
+        """The relations that lost facts, and all their facts with the step at which each goes (null: kept), written
+        once to the shared folder by relation: a level is a filter that the scan applies, without a join."""
         spark = self.kb.spark
         lost = [r.rel for r in self.deleted.select("rel").distinct().collect()]  # relations
-        if not lost:
-            return {}
         path = f"{shared_folder(spark)}/compressed/{uuid.uuid4().hex}"
-        both = self.kb.facts(*lost).join(self.deleted, ["rel", "s", "o"], "left")
-        both.repartition("rel", F.pmod(F.xxhash64("s"), F.lit(64))).sortWithinPartitions("rel", "s", "o").write.partitionBy("rel").parquet(path)
-        whole = spark.read.schema(f"{FACTS}, step int").parquet(path)
-        return {n: whole.where(F.col("rel") == n).select("s", "o", "step") for n in lost}
+        if lost:
+            both = self.kb.facts(*lost).join(self.deleted, ["rel", "s", "o"], "left")
+            both.repartition("rel", F.pmod(F.xxhash64("s"), F.lit(64))).sortWithinPartitions("rel", "s", "o").write.partitionBy("rel").parquet(path)
+        return lost, spark.read.schema(f"{FACTS}, step int").parquet(path) if lost else self.deleted
 
     def at_level(self, k: int | None = None) -> KnowledgeBase:
         """The facts kept after the first k rules."""
-        if k == 0:
+        lost, whole = ([], None) if k == 0 else self.placed
+        if not lost:
             return self.kb
-        kept = F.col("step").isNull() if k is None else F.col("step").isNull() | (F.col("step") > k)
-        return self.kb._with(self.kb.relations | {n: df.where(kept).select("s", "o") for n, df in self.placed.items()})
+        kept = whole.where(F.col("step").isNull() if k is None else F.col("step").isNull() | (F.col("step") > k)).select("rel", "s", "o")
+        return self.kb._with({n: kept.where(F.col("rel") == n).select("s", "o") for n in lost}, kept)
 
     def rewritten(self, q: CQ, k: int | None = None) -> UCQ:
         """The union for q at level k, without members that read an emptied relation (one stays)."""
@@ -87,7 +87,18 @@ class CompressedKB:
         return tuple(m for m in union if not any(a.rel in gone for a in m.atoms)) or union[:1]
 
     def answer(self, q: CQ, k: int | None = None, semi: bool = True) -> DataFrame:
-        return answer(self.at_level(k), self.rewritten(q, k), semi)
+        """The query's answers over the original facts. A rewriting beyond its bounds gives way to layers."""
+        try:
+            union = self.rewritten(q, k)
+        except NotRewritable:
+            return answer_derived(self.at_level(k), q, self.rules[:k])
+        return answer(self.at_level(k), union, semi)
+
+    def updated(self, added: DataFrame | None = None, removed: DataFrame | None = None) -> CompressedKB:
+        """The base with facts (rel, s, o) added and removed; see ``update``."""
+        from corollary.operators.update import updated
+
+        return updated(self, added, removed)
 
     def recover(self, k: int | None = None) -> DataFrame:
         """rel, s, o: everything that the kept facts derive."""
@@ -121,9 +132,24 @@ class CompressedKB:
         out = cls(whole, rules, deleted, {r.rel: r.step for r in spark.read.parquet(f"{path}/emptied").collect()})
         lost = [r.rel for r in deleted.select("rel").distinct().collect()]  # relations
         step = F.lit(None).cast("int").alias("step")
-        out.placed = {n: kept.relation(n).select("s", "o", step).unionByName(deleted.where(F.col("rel") == n).select("s", "o", "step")) for n in lost}
+        out.placed = lost, kept.facts(*lost).select("rel", "s", "o", step).unionByName(deleted.select("rel", "s", "o", "step"))
         return out
 
+    def write_folder(self, folder: str) -> None:
+        """The kept facts, names and rules in the folder form that ``from_folder`` reads."""
+        self.at_level().write_folder(folder, self.rules)
+
+    @classmethod
+    def from_folder(cls, spark: SparkSession, folder: str) -> CompressedKB:
+        """A compressed base from a folder of kept facts with rules.txt. The original is what they derive; how many
+        rules a fact needs is not told there, so there is one level with deleted facts, that of all rules."""
+        kept = KnowledgeBase.read_folder(spark, folder)
+        rules = kept.read_rules(f"{folder}/rules.txt")
+        heads = sorted({r.head.rel for r in rules})
+        facts = checkpoint(closure(kept, rules).where(F.col("rel").isin(heads)))
+        deleted = checkpoint(facts.join(kept.facts(*heads), ["rel", "s", "o"], "left_anti").withColumn("step", F.lit(len(rules))))
+        return cls(kept._with({n: facts.where(F.col("rel") == n).select("s", "o") for n in heads}), rules, deleted)
+
 
 def compress(kb: KnowledgeBase, rules: list[Rule], patience: int = PATIENCE, most_rules: int = 300, check_rewritable: bool = True, verified: bool = False) -> CompressedKB:
     """Apply exact rules in order; a rule that is unsafe or has counter-examples raises. ``patience``: so
@@ -137,7 +163,8 @@ def compress(kb: KnowledgeBase, rules: list[Rule], patience: int = PATIENCE, mos
         if wrong:
             raise ValueError(f"rules with counter-examples: {'; '.join(sorted(r.rule for r in wrong))}")
     program = Program()
-    deltas: dict[str, DataFrame] = {}  # all facts deleted so far, by relation
+    alive = KnowledgeBase(kb.spark, kb.relations)  # what is not deleted; a relation is written anew when a rule has taken of it
+    deltas: list[DataFrame] = []  # all facts deleted so far
     emptied: dict[str, int] = {}
     left_out: list[tuple[Rule, str]] = []
     idle = 0
@@ -154,39 +181,44 @@ def compress(kb: KnowledgeBase, rules: list[Rule], patience: int = PATIENCE, mos
         rel, step = rule.head.rel, len(program.rules)
         members = [q for q in program.memo.relation(rel) if not (len(q.atoms) == 1 and q.atoms[0] == Atom(rel, q.answer))]
         members.sort(key=lambda q: (not Rule(Atom(rel, q.answer), q.atoms).symmetric, len(q.atoms)))
-        effect = False
+        own: list[DataFrame] = []
         for q in members:
-            gone = checkpoint(deletable(_alive(kb, deltas), rel, q).select(F.lit(rel).alias("rel"), "s", "o", F.lit(step).alias("step")))
+            here = alive if not own else KnowledgeBase(kb.spark, alive.relations | {rel: _left(alive.relation(rel), own)})
+            gone = checkpoint(deletable(here, rel, q).select(F.lit(rel).alias("rel"), "s", "o", F.lit(step).alias("step")))
             if not gone.isEmpty():
-                deltas[rel] = deltas[rel].unionByName(gone) if rel in deltas else gone
-                effect = True
-        if effect:
+                own.append(gone)
+        if own:
             idle = 0
-            if _alive(kb, deltas).relation(rel).isEmpty():
+            deltas += own
+            alive.relations[rel] = checkpoint(_left(alive.relation(rel), own))
+            if alive.relations[rel].isEmpty():
                 emptied.setdefault(rel, step)
         else:
             program.restore(before)
             left_out.append((rule, "deletes nothing"))
             idle += 1
-    deleted = reduce(DataFrame.unionByName, deltas.values()) if deltas else kb.spark.createDataFrame([], f"{FACTS}, step int")
+    deleted = reduce(DataFrame.unionByName, deltas) if deltas else kb.spark.createDataFrame([], f"{FACTS}, step int")
     return CompressedKB(kb, program.rules, deleted, emptied, left_out)
 
 
-def _alive(kb: KnowledgeBase, deltas: dict[str, DataFrame]) -> KnowledgeBase:
-    """The base without what is deleted: one anti-join for a relation, however many deltas it has."""
-    return kb._with(kb.relations | {rel: kb.relation(rel).join(gone.select("s", "o"), ["s", "o"], "left_anti") for rel, gone in deltas.items()})
+def _left(facts: DataFrame, gone: list[DataFrame]) -> DataFrame:
+    return facts.join(reduce(DataFrame.unionByName, gone).select("s", "o"), ["s", "o"], "left_anti")
 
 
 def compress_sets(kb: KnowledgeBase, rules: list[Rule]) -> CompressedKB:
-    """Set at a time: all rules' heads that are no body facts of any match go, again and again until
-    nothing changes. Steps are rounds; the rules all count from the first."""
+    """Set at a time: all rules' heads that are no body facts of any match go, again and again until nothing
+    changes. Rules that no shared relation ties together, in any number of steps, are groups of their own: a round
+    is one job for all groups that still change, and one that does not is not read again. As groups share no
+    relation, the end of each is the end of all. Steps are rounds; the rules all count from the first."""
     deltas: list[DataFrame] = []
-    if not rules:
-        return CompressedKB(kb, [], kb.spark.createDataFrame([], f"{FACTS}, step int"))
-    while True:
-        alive = kb.without(reduce(DataFrame.unionByName, deltas), {r.head.rel for r in rules}) if deltas else kb
+    tied = closures(rules)
+    active = {min(m) for m in tied}
+    while active:
+        some = [r for r, m in zip(rules, tied) if min(m) in active]
+        group = {r.head.rel: min(m) for r, m in zip(rules, tied)}
+        alive = kb.without(reduce(DataFrame.unionByName, deltas), {r.head.rel for r in some}) if deltas else kb
         heads, bodies = [], []
-        for r in rules:
+        for r in some:
             q = r.as_query()
             matches = provenance(alive, q).select("*", F.lit(r.head.rel).alias("rel"))
             hit = matches.join(alive.relation(r.head.rel).select(F.col("s").alias("x0"), F.col("o").alias("x1")), ["x0", "x1"], "left_semi")
@@ -194,8 +226,8 @@ def compress_sets(kb: KnowledgeBase, rules: list[Rule]) -> CompressedKB:
             bodies += [hit.select(F.lit(a.rel).alias("rel"), F.col(f"b{i}_s").alias("s"), F.col(f"b{i}_o").alias("o")) for i, a in enumerate(r.body)]
         used = reduce(DataFrame.unionByName, bodies).distinct()
         gone = checkpoint(reduce(DataFrame.unionByName, heads).distinct().join(used, ["rel", "s", "o"], "left_anti").withColumn("step", F.lit(len(deltas) + 1)))
-        if gone.isEmpty():
-            break
-        deltas.append(gone)
+        active = {group[r.rel] for r in gone.select("rel").distinct().collect()}  # relations
+        if active:
+            deltas.append(gone)
     deleted = reduce(DataFrame.unionByName, deltas) if deltas else kb.spark.createDataFrame([], f"{FACTS}, step int")
     return CompressedKB(kb, list(rules), deleted)

@@ -8,16 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corollary.functions import setops
 from corollary.operators import verify
-from corollary.operators.compress import compress, compress_sets
+from corollary.operators.compress import CompressedKB, compress, compress_sets
 from corollary.operators.fit import filter_rules
 from corollary.operators.mine import mine_rules, mined
 from corollary.operators.recover import closure
 from corollary.operators.tune import tune
+from corollary.plans.layers import answer_derived
 from corollary.plans.query import answer, full_body, provenance
 from corollary.plans.rewrite import Memo, rewrite
 from corollary.plans.share import answer_shared
@@ -176,6 +177,19 @@ def materialized_cte(spark, d):
     return answer(KnowledgeBase(spark, {"m": m}), parse_query("?(X,X) :- m(X,Y), m(X,Z)"))
 
 
+# ---- cyclic bodies, and bodies whose joins would grow ---------------------------------------------------
+
+_cq("cq_triangle", "?(X,S,N) :- order_supplier(X,S), supplier_nation(S,N), order_nation(X,N)", "SELECT a.s AS x0, b.s AS x1, b.o AS x2 FROM order_supplier a JOIN supplier_nation b ON a.o = b.s JOIN order_nation c ON c.s = a.s AND c.o = b.o", "order_supplier", "supplier_nation", "order_nation")
+_cq("cq_square", "?(X,N) :- order_customer(X,C), customer_nation(C,N), order_supplier(X,S), supplier_nation(S,N)", "SELECT DISTINCT a.s AS x0, b.o AS x1 FROM order_customer a JOIN customer_nation b ON a.o = b.s JOIN order_supplier c ON c.s = a.s JOIN supplier_nation d ON c.o = d.s AND d.o = b.o", "order_customer", "customer_nation", "order_supplier", "supplier_nation")
+
+
+@register("cq_path_reduced", _with("order_part", "order_nation") + f"SELECT DISTINCT a.s AS x0, b.s AS x1 FROM order_part a JOIN order_part b ON a.o = b.o JOIN order_nation c ON c.s = b.s WHERE c.o = {TAGS['nation'] * SPACE + 3}")
+def cq_path_reduced(spark, d):
+    """Orders that share a part, one of them of a nation: planned by sizes, from the nation on."""
+    kb = star(spark, d, "order_part", "order_nation").measure()
+    return answer(kb, parse_query(f"?(X,Y) :- order_part(X,P), order_part(Y,P), order_nation(Y,{TAGS['nation'] * SPACE + 3})"))
+
+
 # ---- rules ---------------------------------------------------------------------------------------------
 
 _WRONG = "customer_region(X,Y) :- customer_nation(X,Z), nation_region(W,Y)"
@@ -194,6 +208,31 @@ def rule_support(spark, d):
     return verify.verify_rules(kb, [parse_rule(r) for r in _CHECKED]).select("rule_id", "support", "counterexamples")
 
 
+_MANY = ("supplier_nation", "nation_region", "supplier_place", "region_nation", "customer_nation")
+
+
+@register("rule_support_many", _with(*_MANY) + f""", f AS ({_facts_sql(*_MANY)}),
+e AS (SELECT '+' || rel AS sig, s, o FROM f UNION ALL SELECT '-' || rel, o, s FROM f),
+p2 AS (SELECT DISTINCT a.sig || ',' || b.sig AS sig, a.s, b.o FROM e a JOIN e b ON a.o = b.s),
+p AS (SELECT sig, s, o FROM e UNION ALL SELECT * FROM p2 UNION ALL SELECT DISTINCT a.sig || ',' || b.sig, a.s, b.o FROM p2 a JOIN e b ON a.o = b.s),
+n AS (SELECT sig, count(*) AS support FROM p GROUP BY sig), h AS (SELECT p.sig, rel AS head, count(*) AS hits FROM p JOIN f ON p.s = f.s AND p.o = f.o GROUP BY p.sig, rel)
+SELECT r.head, n.sig, support::BIGINT AS support, (support - coalesce(hits, 0))::BIGINT AS counterexamples FROM n CROSS JOIN (SELECT DISTINCT rel AS head FROM f) r LEFT JOIN h ON h.sig = n.sig AND h.head = r.head""")
+def rule_support_many(spark, d):
+    """Every path rule of up to three atoms over five relations, 5550 of them, in one job."""
+    from itertools import product
+
+    from corollary.functions.lineage import checkpoint
+    from corollary.operators.mine import rule_of
+
+    facts = checkpoint(star(spark, d, *_MANY).facts())  # as a loaded base has them
+    kb = KnowledgeBase.from_facts(spark, facts, list(_MANY))
+    sigs = [s for n in (1, 2, 3) for s in product([sign + n for n in _MANY for sign in "+-"], repeat=n)]
+    every = [(h, ",".join(s), rule_of(h, list(s))) for s in sigs for h in _MANY]
+    names = spark.createDataFrame([(i, h, s) for i, (h, s, _) in enumerate(every)], "rule_id int, head string, sig string")
+    found = verify.verify_rules(kb, [r for _, _, r in every]).where("support > 0")
+    return names.join(found, "rule_id").select("head", "sig", "support", "counterexamples")
+
+
 @register("rule_counterexamples", _with(*_CHECKED_NAMES) + _INFERRED_SQL + "SELECT rule_id, rel, s, o FROM i WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.rel = i.rel AND f.s = i.s AND f.o = i.o)")
 def rule_counterexamples(spark, d):
     return verify.counter_examples(star(spark, d, *_CHECKED_NAMES), [parse_rule(r) for r in _CHECKED])
@@ -423,6 +462,99 @@ def recover_located(spark, d):
     return closure(kb, closing).where(F.col("rel") == "located").select("s", "o")
 
 
+#: The next customer of the same nation, by key: one chain a nation.
+_NEXT_SQL = f"WITH c AS (SELECT {TAGS['customer'] * SPACE} + c_custkey AS e, c_nationkey AS n, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS place FROM customer WHERE c_nationkey IS NOT NULL) "
+
+
+def _next(spark, d) -> DataFrame:
+    from corollary.sources.encode import entity
+
+    c = spark.read.parquet(f"{d}/customer.parquet").dropna(subset=["c_nationkey"]).select(entity("customer", "c_custkey").alias("s"), "c_nationkey")
+    return c.withColumn("o", F.lead("s").over(Window.partitionBy("c_nationkey").orderBy("s"))).dropna().select("s", "o")
+
+
+@register("recover_doubling", _NEXT_SQL + "SELECT a.e AS s, b.e AS o FROM c a JOIN c b ON a.n = b.n AND a.place < b.place")
+def recover_doubling(spark, d):
+    """A chain's closure under a rule that adds one step at a time, in rounds that double."""
+    kb = KnowledgeBase(spark, {"next": _next(spark, d)})
+    closing = [parse_rule("after(X,Y) :- next(X,Y)"), parse_rule("after(X,Y) :- after(X,Z), next(Z,Y)")]
+    return closure(kb, closing).where(F.col("rel") == "after").select("s", "o")
+
+
+@register("layered_chain", _NEXT_SQL + "SELECT a.e AS x0, b.e AS x1 FROM c a JOIN c b ON a.n = b.n AND b.place - a.place BETWEEN 1 AND 16")
+def layered_chain(spark, d):
+    """Fifteen derived relations with two rules each: a union of 2 ** 15 members, answered layer by layer."""
+    kb = KnowledgeBase(spark, {"r0": _next(spark, d), "next": _next(spark, d)})
+    both = [parse_rule(r) for i in range(1, 16) for r in (f"r{i}(X,Y) :- r{i - 1}(X,Y)", f"r{i}(X,Y) :- r{i - 1}(X,Z), next(Z,Y)")]
+    return answer_derived(kb, parse_query("?(X,Y) :- r15(X,Y)"), both, most=200)
+
+
+# ---- changes of a compressed base, and its files ---------------------------------------------------------
+
+
+@register("update_compressed", _with("order_region", "order_customer") + "SELECT a.s AS x0, a.o AS x1 FROM order_region a WHERE EXISTS (SELECT 1 FROM order_customer b WHERE b.s = a.s AND b.s % 7 <> 0) OR a.s % 11 = 0")
+def update_compressed(spark, d):
+    """Customers of some orders go, whose nations and regions are facts still, and others come: facts that lost
+    their derivation are put back, rules stay."""
+    kb = star(spark, d, *_CHAIN)
+    small = compress(kb, rules("order_nation", "order_region"))
+    orders = kb.facts("order_customer")
+    gone = orders.where("s % 7 = 0")
+    small = small.updated(removed=gone).updated(added=gone.where("s % 11 = 0"))
+    small = small.updated(added=orders.where("s % 11 = 0"))  # most of them are there
+    return small.answer(parse_query("?(X,Y) :- order_region(X,Y), order_customer(X,Z)"))
+
+
+@register("update_takes_back", _with("order_nation", "order_region") + "SELECT a.s AS x0, a.o AS x1, b.o AS x2 FROM order_nation a JOIN order_region b ON a.s = b.s WHERE a.s % 5 <> 0 AND NOT (b.s % 3 = 0 AND b.o % 2 = 0)")
+def update_takes_back(spark, d):
+    """Nations of some orders are no facts any more although their customers are: a rule is taken back, with what it
+    deleted; regions go too, which takes the other rule back."""
+    kb = star(spark, d, *_CHAIN)
+    small = compress(kb, rules("order_nation", "order_region"))
+    gone = kb.facts("order_nation").where("s % 5 = 0").unionByName(kb.facts("order_region").where("s % 3 = 0 AND o % 2 = 0"))
+    return small.updated(removed=gone).answer(parse_query("?(X,Y,Z) :- order_nation(X,Y), order_region(X,Z)"))
+
+
+@register("compress_set_closures", _with("order_nation", "order_region", "part_brand") + "SELECT 'order_region' AS rel, s, o FROM order_region UNION ALL SELECT 'order_nation', s, o FROM order_nation UNION ALL SELECT 'brand_part', o, s FROM part_brand")
+def compress_set_closures(spark, d):
+    """Two groups of rules that share no relation: the second is done after one round, the first takes two."""
+    kb = star(spark, d, *_CHAIN, "part_brand")
+    kb.relations["brand_part"] = kb.relation("part_brand").select(F.col("o").alias("s"), F.col("s").alias("o"))
+    small = compress_sets(kb, [*rules("order_region", "order_nation"), parse_rule("brand_part(X,Y) :- part_brand(Y,X)")])
+    return small.deleted.select("rel", "s", "o")
+
+
+def _scratch(spark) -> str:
+    import uuid
+
+    from corollary.functions.lineage import shared_folder
+
+    return f"{shared_folder(spark)}/dump/{uuid.uuid4().hex}"
+
+
+@register("dump_round_trip", _with(*_CHAIN) + _facts_sql(*_CHAIN))
+def dump_round_trip(spark, d):
+    """Kept facts, names and rules written as a folder, read again, and all facts recovered from it."""
+    folder = _scratch(spark)
+    compress(star(spark, d, *_CHAIN), rules("order_nation", "order_region")).write_folder(folder)
+    return CompressedKB.from_folder(spark, folder).recover()
+
+
+@register("ntriples_round_trip", """SELECT 'Customer ' || c_custkey || ' é' AS s, 'segment' AS rel, c_mktsegment AS o FROM customer WHERE c_custkey IS NOT NULL AND c_mktsegment IS NOT NULL
+UNION SELECT 'Customer ' || c_custkey || ' é', 'nation', 'N' || c_nationkey FROM customer WHERE c_custkey IS NOT NULL AND c_nationkey IS NOT NULL""")
+def ntriples_round_trip(spark, d):
+    """Customers as N-Triples with escapes, language tags and datatypes, read into a base of numbers and named again."""
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    subject = F.concat(F.lit("<http://kb.example/c#Customer\\u0020"), F.col("c_custkey").cast("string"), F.lit("\\u0020\\u00E9> <http://kb.example/v#"))
+    segment = F.concat(subject, F.lit('segment> "'), "c_mktsegment", F.lit('"@en .'))
+    nation = F.concat(subject, F.lit("nation> <http://kb.example/n#N"), F.col("c_nationkey").cast("string"), F.lit("> . # a nation"))
+    folder = _scratch(spark)
+    c.select(F.explode(F.array(segment, nation)).alias("value")).dropna().write.text(folder)
+    kb = KnowledgeBase.read_ntriples(spark, folder)
+    name = lambda c: kb.dictionary.select(F.col("id").alias(c), F.col("name").alias(f"{c}_name"))
+    return kb.facts().join(name("s"), "s").join(name("o"), "o").select(F.col("s_name").alias("s"), "rel", F.col("o_name").alias("o"))
+
+
 # ---- sets ----------------------------------------------------------------------------------------------
 
 

@@ -9,6 +9,7 @@ rows with nulls, which are no facts.
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +31,20 @@ def as_relation(df: DataFrame) -> DataFrame:
     return df.select(F.col(a).cast("long").alias("s"), F.col(b).cast("long").alias("o")).dropna().distinct()
 
 
+class RelationSize(NamedTuple):
+    """Facts, and distinct subjects and objects (estimates)."""
+
+    rows: int
+    subjects: int
+    objects: int
+
+
 class KnowledgeBase:
     def __init__(self, spark: SparkSession, relations: dict[str, DataFrame], dictionary: DataFrame | None = None, every: DataFrame | None = None):
         """relations: name -> DataFrame (s, o) without repeated rows; every: all facts in one DataFrame
         (rel, s, o), if there is one."""
         self.spark, self.relations, self.dictionary, self.every = spark, dict(relations), dictionary, every
+        self.sizes: dict[str, RelationSize] | None = None
 
     # ---- loading --------------------------------------------------------------------------------
 
@@ -83,14 +93,35 @@ class KnowledgeBase:
 
     @classmethod
     def read_folder(cls, spark: SparkSession, folder: str) -> KnowledgeBase:
-        """A folder with meta.txt, mapping.txt and <relation>.csv files."""
-        return cls.read_csv(spark, folder, dictionary=read_mapping(spark, f"{folder}/mapping.txt"))
+        """A folder with meta.txt, <relation>.csv files and, if there are names, mapping.txt."""
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/mapping.txt")
+        named = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+        return cls.read_csv(spark, folder, dictionary=read_mapping(spark, f"{folder}/mapping.txt") if named else None)
 
     @classmethod
     def read_triples(cls, spark: SparkSession, path: str) -> KnowledgeBase:
         """Named triples (subject, predicate, object; tabs): entities and relations get numbers and
         names; a predicate's name is its IRI's part behind the last # or /."""
-        raw = spark.read.csv(path, sep="\t", schema="a string, p string, b string").dropna().distinct()
+        return cls.from_names(spark, spark.read.csv(path, sep="\t", schema="a string, p string, b string"))
+
+    @classmethod
+    def read_ntriples(cls, spark: SparkSession, path: str, local: bool = True) -> KnowledgeBase:
+        """N-Triples files; local: entities are named by what stands behind the last # of their IRIs."""
+        from corollary.sources.rdf import read_ntriples
+
+        return cls.from_names(spark, read_ntriples(spark, path, local))
+
+    @classmethod
+    def read_rdf_xml(cls, spark: SparkSession, path: str, local: bool = True) -> KnowledgeBase:
+        """RDF/XML files, likewise."""
+        from corollary.sources.rdf import read_rdf_xml
+
+        return cls.from_names(spark, read_rdf_xml(spark, path, local))
+
+    @classmethod
+    def from_names(cls, spark: SparkSession, triples: DataFrame) -> KnowledgeBase:
+        """Named triples (a, p, b), numbered."""
+        raw = triples.dropna().distinct()
         local = F.regexp_extract(F.regexp_replace("p", "[<>]", ""), r"([^#/]+)$", 1)
         raw = raw.withColumn("rel", F.when(local == "type", "t").otherwise(local))
         names = number(raw.select(F.explode(F.array("a", "b")).alias("name")))
@@ -119,11 +150,16 @@ class KnowledgeBase:
         if self.dictionary is not None:
             self.dictionary.write.mode("overwrite").parquet(f"{path}/entity")
 
-    def write_csv(self, folder: str) -> None:
-        """<relation>/ folders of CSV with a header, and the catalog as meta/."""
-        for n, df in self.relations.items():
-            df.select(F.col("s").alias(f"{n}_1"), F.col("o").alias(f"{n}_2")).write.mode("overwrite").csv(f"{folder}/{n}", header=True)
-        self.counts().select("rel", F.lit(2), "n").write.mode("overwrite").csv(f"{folder}/meta", sep="\t")
+    def write_folder(self, folder: str, rules: list[Rule] | None = None) -> None:
+        """What ``read_folder`` reads: meta.txt, <relation>.csv with a header and, if there are a dictionary and
+        rules, mapping.txt (name and number) and rules.txt. Each is a folder of Spark's files."""
+        for n in self.names:
+            self.relation(n).select(F.col("s").alias(f"{n}_1"), F.col("o").alias(f"{n}_2")).write.mode("overwrite").csv(f"{folder}/{n}.csv", header=True)
+        self.counts().select("rel", F.lit(2), "n").write.mode("overwrite").csv(f"{folder}/meta.txt", sep="\t")
+        if self.dictionary is not None:
+            self.dictionary.select(F.concat_ws(" ", "name", F.col("id").cast("string")).alias("value")).write.mode("overwrite").text(f"{folder}/mapping.txt")
+        if rules is not None:
+            self.write_rules(rules, f"{folder}/rules.txt")
 
     def write_triples(self, path: str) -> None:
         self.triples().write.mode("overwrite").csv(path, sep="\t")
@@ -187,6 +223,14 @@ class KnowledgeBase:
         n = self.facts().groupBy("rel").agg(F.count("*").alias("n"))
         return names.join(n, "rel", "left").select("rel", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
+    def measure(self) -> KnowledgeBase:
+        """The same base, whose queries are planned by sizes: one pass over the facts, a row per relation. Bases
+        made from it (``plus``, ``without``) are measured anew."""
+        if self.sizes is None:
+            some = self.facts().groupBy("rel").agg(F.count("*").alias("rows"), F.approx_count_distinct("s").alias("subjects"), F.approx_count_distinct("o").alias("objects"))
+            self.sizes = {r.rel: RelationSize(r.rows, r.subjects, r.objects) for r in some.collect()}  # one row per relation
+        return self
+
     def register_views(self) -> None:
         """A view per relation, with columns <relation>_1 and <relation>_2."""
         for n, df in self.relations.items():
@@ -196,15 +240,24 @@ class KnowledgeBase:
 
     def without(self, deleted: DataFrame, names: set[str] | None = None) -> KnowledgeBase:
         """The base without the facts (rel, s, o) in deleted; names: the relations that they are of."""
-        lost = self.relations.keys() if names is None else names & self.relations.keys()
-        return self._with(self.relations | {n: self.relations[n].join(deleted.where(F.col("rel") == n).select("s", "o"), ["s", "o"], "left_anti") for n in lost})
+        lost = self._touched(deleted, names) & self.relations.keys()
+        return self._with({n: self.relations[n].join(deleted.where(F.col("rel") == n).select("s", "o"), ["s", "o"], "left_anti") for n in lost})
+
+    def plus(self, added: DataFrame, names: set[str] | None = None) -> KnowledgeBase:
+        """The base with more facts; names: the relations that they are of."""
+        return self._with({n: self.relation(n).unionByName(added.where(F.col("rel") == n).select("s", "o")).distinct() for n in self._touched(added, names)})
 
-    def plus(self, added: DataFrame, names: list[str] = ()) -> KnowledgeBase:
-        """The base with more facts; names: relations that only they have."""
-        return self._with({n: self.relation(n).unionByName(added.where(F.col("rel") == n).select("s", "o")).distinct() for n in {*self.names, *names}})
+    def _touched(self, facts: DataFrame, names: set[str] | None) -> set[str]:
+        return {r.rel for r in facts.select("rel").distinct().collect()} if names is None else set(names)  # relations
 
-    def _with(self, relations: dict[str, DataFrame]) -> KnowledgeBase:
-        return KnowledgeBase(self.spark, relations, self.dictionary)
+    def _with(self, changed: dict[str, DataFrame], facts: DataFrame | None = None) -> KnowledgeBase:
+        """The base with these relations in place of its own; facts: theirs in one DataFrame, if there is one. What
+        is not changed stays one scan."""
+        every = None
+        if self.every is not None:
+            parts = [facts] if facts is not None else [df.select(F.lit(n).alias("rel"), "s", "o") for n, df in sorted(changed.items())]
+            every = reduce(DataFrame.unionByName, [self.every.where(~F.col("rel").isin(sorted(changed))) if changed else self.every, *parts])
+        return KnowledgeBase(self.spark, self.relations | changed, self.dictionary, every)
 
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
@@ -214,7 +267,9 @@ def read_mapping(spark: SparkSession, path: str) -> DataFrame:
 
     from corollary.functions.lineage import checkpoint
 
-    lines = spark.read.text(path).select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"), F.split("value", " ").alias("words"))
+    both = r"^(.*) (-?[0-9]+)$"  # a name may have spaces
+    words = F.when(F.col("value").rlike(both), F.array(F.regexp_extract("value", both, 1), F.regexp_extract("value", both, 2))).otherwise(F.array("value"))
+    lines = spark.read.text(path).select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"), words.alias("words"))
     lines = checkpoint(lines.where(F.col("words")[0] != ""))
     # one row per partition of the scan
     before = lines.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

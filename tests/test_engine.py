@@ -151,7 +151,7 @@ def test_files_and_dictionary(spark, tmp_path):
     named = spark.createDataFrame([("c", 77)], "name string, id bigint")
     read = KnowledgeBase.read_csv(spark, f"{tmp_path}/csv", dictionary=named)
     assert rows(read.facts()) == [("p", 1, 2), ("p", 3, 4), ("type", 5, 77), ("type", 6, 77)]
-    read.write_csv(f"{tmp_path}/out")
+    read.write_folder(f"{tmp_path}/out")
     read.write_triples(f"{tmp_path}/triples")
     assert spark.read.csv(f"{tmp_path}/triples", sep="\t").count() == 4
     (tmp_path / "n.tsv").write_text("<http://x#a>\t<http://x#likes>\t<http://x#b>\n<http://x#a>\trdf#type\t<http://x#c>\n")
