@@ -5,7 +5,7 @@ where the pattern always has a boundary, and each distinct word of a slice is en
 the tokenizer's plain call: the text of one of its special tokens is that token. A document longer than the capacity is cut into whole pieces, the first of which may be shorter.
 
 Pieces are dealt by a hash into groups of about GROUP documents, so every group is alike and bounded
-whatever the corpus' size or order, and each group is packed by itself: at most one sequence in a
+whatever the corpus' size or order (rows without an id or with one id are dealt by what is in them), and each group is packed by itself: at most one sequence in a
 group of thousands more than without groups. Within a group:
 
 * best-fit decreasing gives the first incumbent;
@@ -464,6 +464,6 @@ def packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     """One row per piece: id, piece, start, length, ids_crc32, (ids,) sequence_id, offset."""
     cut = checkpoint(pieces(df, id_col, text_col, path, capacity, keep_ids))  # texts are tokenized once, whatever is lost later
     groups = max(1, -(-cut.where("piece = 0").count() // group))
-    cut = cut.withColumn("group", F.pmod(F.xxhash64(id_col, "piece"), F.lit(groups)))
+    cut = cut.withColumn("group", F.pmod(F.xxhash64(id_col, "piece", "length", "ids_crc32"), F.lit(groups)))
     out = f"{id_col} long,piece int,start long,length long,ids_crc32 long" + (",ids binary" if keep_ids else "") + ",sequence_id long,offset long"
     return cut.groupBy("group").applyInArrow(lambda t: _pack_table(t, capacity, nodes), out)

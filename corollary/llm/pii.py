@@ -6,7 +6,7 @@ Two layers find spans of a text (code points, end exclusive):
   what matches a rule's pattern but fails its check (parts over 255, Luhn, digit count) is dropped;
 * the method: high-recall generators propose overlapping candidates (numbers with any separators,
   anything round an @ or a spelled-out "at"), boosted trees score each from its format and context,
-  the scores are calibrated on held-out candidates, and a threshold chosen for precision there
+  the scores are calibrated on held-out candidates, and a threshold per kind chosen for precision there
   selects spans that no base span overlaps. Base spans always stay.
 
 The trees are trained here on generated candidates (TRAIN_CANDIDATES of them, a fixed seed), so no
@@ -93,9 +93,9 @@ def base_spans(text: str | None) -> list[Span]:
 # ---- candidates ---------------------------------------------------------------------------------
 
 #: Addresses, also spelled out: a sign between local part and domain, the characters of a local part, a domain.
-_AT = re.compile(r" ?(?:@|\(at\)|\[at\]| at ) ?")
-_LOCAL_SIGNS = frozenset("_.+-")
-_DOMAIN = re.compile(r"[\w-]++(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )[\w-]++)++")
+_SIGN = re.compile(r" ?(?:@|\(at\)|\[at\]| at ) ?")
+_LOCAL_CHARACTERS = frozenset("_.+-")
+_SPELLED_DOMAIN = re.compile(r"[\w-]++(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )[\w-]++)++")
 #: Generators of numbers: kind and pattern, with bounds on both sides, as such numbers have.
 GENERATORS = (
     ("ip", re.compile(r"(?<![\w.])[0-9]{1,4}(?:[.,][0-9]{1,4}){2,5}(?![\w])")),
@@ -116,11 +116,11 @@ def candidates(text: str) -> list[Span]:
     """Every generator's matches; they may overlap each other and the base spans."""
     out = []
     last = 0
-    for m in _AT.finditer(text):
-        if m.start() < last or not (domain := _DOMAIN.match(text, m.end())):
+    for m in _SIGN.finditer(text):
+        if m.start() < last or not (domain := _SPELLED_DOMAIN.match(text, m.end())):
             continue
         start = m.start()
-        while start > last and (text[start - 1].isalnum() or text[start - 1] in _LOCAL_SIGNS):
+        while start > last and (text[start - 1].isalnum() or text[start - 1] in _LOCAL_CHARACTERS):
             start -= 1
         if start < m.start():
             out.append(("email", start, domain.end()))
@@ -163,7 +163,7 @@ class BoostedTrees:
     def __init__(self, trees: int = 60, depth: int = 3, rate: float = 0.2, least: int = 20):
         self.n, self.depth, self.rate, self.least = trees, depth, rate, least
         self.trees: list[dict] = []
-        self.bias, self.slope, self.offset, self.threshold = 0.0, 1.0, 0.0, 0.5
+        self.slope, self.offset, self.thresholds = 1.0, 0.0, np.full(len(KINDS), 0.5)
 
     def _grow(self, bins, g, h, rows, depth) -> dict:
         """bins: for each feature the number of cuts that a value is over. Sums of a node's gradients per
@@ -207,7 +207,7 @@ class BoostedTrees:
         return self.rate * sum(self._value(t, x) for t in self.trees)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, precision: float) -> BoostedTrees:
-        """Platt scaling by Newton steps, then the lowest threshold that has the precision."""
+        """Platt scaling by Newton steps, then for each kind the lowest threshold that has the precision."""
         r = self.raw(x)
         a, b = 1.0, 0.0
         for _ in range(25):
@@ -218,12 +218,19 @@ class BoostedTrees:
             a, b = np.array([a, b]) - np.linalg.solve(hess, grad)
         self.slope, self.offset = float(a), float(b)
         p = self.predict(x)
-        order = np.argsort(-p, kind="stable")
-        hit = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-        good = np.flatnonzero(hit >= precision)
-        self.threshold = max(0.5, float(p[order[good[-1]]])) if len(good) else 1.0
+        for k in range(len(KINDS)):  # the first features tell a candidate's kind
+            mine = np.flatnonzero(x[:, k] == 1)
+            order = mine[np.argsort(-p[mine], kind="stable")]
+            hit = np.cumsum(y[order]) / np.arange(1, len(order) + 1)
+            good = np.flatnonzero(hit >= precision)
+            # halfway to the first that would be one too many
+            self.thresholds[k] = (p[order[good[-1]]] + p[order[min(good[-1] + 1, len(order) - 1)]]) / 2 if len(good) else 2.0
         return self
 
+    def selects(self, x: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Which candidates are over their kind's threshold."""
+        return p >= x[:, : len(KINDS)] @ self.thresholds
+
     def predict(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * self.raw(x) + self.offset)))
 
@@ -302,11 +309,13 @@ def scored_spans(texts: list[str | None], model: BoostedTrees) -> list[list[tupl
     out: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
     if not rows:
         return out
-    p = model.predict(np.array(rows))
+    x = np.array(rows)
+    p = model.predict(x)
+    good = model.selects(x, p)
     chosen: dict[int, Covered] = {}
     for k in np.argsort(-p, kind="stable"):
-        if p[k] < model.threshold:
-            break
+        if not good[k]:
+            continue
         i, (kind, a, b) = found[k]
         taken = chosen.setdefault(i, Covered())
         if not taken.meets(a, b):

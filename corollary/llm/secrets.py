@@ -38,7 +38,7 @@ ALLOWED = tuple(re.compile(p) for p in (
     r"[0-9]+(?:[-_/][0-9]+)*",  # numbers, dates
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUID
     r"[=_+/-]+",  # rules
-    r"(?:[A-Za-z]+[0-9]{0,4}[_/-])+[A-Za-z]*[0-9]{0,4}",  # identifiers with short numbers
+    r"[_/-]*(?:[A-Za-z]+[0-9]{0,4}|[0-9]{1,4})(?:[_/-]+(?:[A-Za-z]+[0-9]{0,4}|[0-9]{1,4}))*[_/-]*",  # paths and identifiers with short numbers
 ))
 #: Of these, the ones of letters, which must be words.
 OF_WORDS = (ALLOWED[0], ALLOWED[-1])

@@ -24,7 +24,9 @@ documents, so its result does not depend on the hashes. ``cut`` does not ask aga
 a bucket such a path is not to be expected, and if there is one no word goes that it should not.
 
 Buckets grow in number with the documents. Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. A null text has
-none. Repeated rows with one id never repeat each other. Rows without an id are neither sources nor cut.
+none. Repeated rows with one id never repeat each other. Where rows with one id differ, they count as one
+document, whose windows stand at their first places: a passage that another of its rows has elsewhere stays
+there. Rows without an id are neither sources nor cut.
 """
 
 from __future__ import annotations
@@ -256,16 +258,17 @@ class Canonical:
         return hashlib.sha256(self.part(start, words)).digest()
 
 
-def _keyed(df: DataFrame, id_col: str) -> DataFrame:
-    """key, row: rows whole. The key is never null (rows without an id have no paths, and a key that nothing
-    asks for), so that both joins with these rows read one exchange."""
-    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("key"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """key, row: rows whole. Rows without an id get one of as many keys below all ids as hashes of their texts tell,
+    so they meet in no group; with it both joins read one exchange. Such a row takes no part in either."""
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long") + F.pmod(F.xxhash64(text_col), F.lit(1 << 32).cast("long")))
+    return df.select(key.alias("key"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
 
 
 _PLACE = ["src_doc", "src_start", "edges"]
 
 
-def with_digests(found: DataFrame, keyed: DataFrame, text_col: str, k: int) -> DataFrame:
+def with_digests(found: DataFrame, keyed: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """The paths with the SHA-256 of their source's words (found: written already). A source answers each
     place and length once, however many documents repeat it; the answers to those that more than the share
     HOT of all paths repeat (1 / HOT at most) go to SALTS parts."""
@@ -275,9 +278,11 @@ def with_digests(found: DataFrame, keyed: DataFrame, text_col: str, k: int) -> D
 
     def run(batches):
         for batch in batches:
-            texts = pa.compute.struct_field(batch.column("row"), text_col).to_pylist()
+            ids, texts = (pa.compute.struct_field(batch.column("row"), c).to_pylist() for c in (id_col, text_col))
             out: list[tuple] = []
-            for key, text, want in zip(batch.column("key").to_pylist(), texts, batch.column("asked").to_pylist()):
+            for own, key, text, want in zip(ids, batch.column("key").to_pylist(), texts, batch.column("asked").to_pylist()):
+                if own is None:
+                    continue
                 c = Canonical(text)
                 out += [(key, w["src_start"], w["edges"], c.digest(w["src_start"], w["edges"] + k - 1)) for w in want if w["src_start"] + w["edges"] + k - 1 <= len(c.words)]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out)) or [[]] * 4, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["src_doc", "src_start", "edges", "digest"])
@@ -326,10 +331,10 @@ def _covers(texts: list[str | None], spans: list[list[dict] | None], k: int, bit
         yield i, c, cover, own[wrong].astype(np.int64).tolist()
 
 
-def _with_spans(keyed: DataFrame, found: DataFrame) -> DataFrame:
+def _with_spans(keyed: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     """key, row, spans: the rows with their paths (a document has at most one per word)."""
     spans = found.groupBy(F.col("doc").alias("key")).agg(F.sort_array(F.collect_list(F.struct("start", "edges", "digests"))).alias("spans"))
-    return keyed.join(spans, "key", "left")
+    return keyed.join(spans, "key", "left").withColumn("spans", F.when(F.col("row").getField(id_col).isNotNull(), F.col("spans")))
 
 
 def _removed(keyed: DataFrame, found: DataFrame, id_col: str, text_col: str, k: int, bits: int) -> DataFrame:
@@ -354,7 +359,7 @@ def _removed(keyed: DataFrame, found: DataFrame, id_col: str, text_col: str, k:
                     names=[id_col, "n_words", "n_removed", "kept_sha256", "ask"],
                 )
 
-    return _with_spans(keyed, found).mapInArrow(run, f"{id_col} long,n_words long,n_removed long,kept_sha256 string,ask array<long>")
+    return _with_spans(keyed, found, id_col).mapInArrow(run, f"{id_col} long,n_words long,n_removed long,kept_sha256 string,ask array<long>")
 
 
 def _asked_again(df: DataFrame, hashes: DataFrame, id_col: str, text_col: str, k: int, bits: int) -> DataFrame:
@@ -389,8 +394,8 @@ def _asked_again(df: DataFrame, hashes: DataFrame, id_col: str, text_col: str, k
 def removed(df: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text", bits: int = HASH) -> DataFrame:
     """One row per input row: id, n_words, n_removed, kept_sha256 (kept words joined by a space)."""
     docs = df.select(F.col(id_col).cast("long").alias(id_col), text_col)
-    keyed = _keyed(docs, id_col)
-    found = with_digests(checkpoint(compacted(checkpoint(paths(docs, k, id_col, text_col, bits)))), keyed, text_col, k)
+    keyed = _keyed(docs, id_col, text_col)
+    found = with_digests(checkpoint(compacted(checkpoint(paths(docs, k, id_col, text_col, bits)))), keyed, id_col, text_col, k)
     out = checkpoint(_removed(keyed, found, id_col, text_col, k, bits))
     hashes = out.select(F.explode("ask").alias("h")).distinct()
     if not hashes.isEmpty():
@@ -403,8 +408,8 @@ def cut(df: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text
     """The same rows with covered words, and the white space behind them, cut out of the texts; texts
     without repeats stay as they are. Other columns pass unchanged."""
     names, schema = df.columns, df.schema
-    keyed = _keyed(df, id_col)
-    found = with_digests(checkpoint(compacted(checkpoint(paths(df, k, id_col, text_col, bits)))), keyed, text_col, k)
+    keyed = _keyed(df, id_col, text_col)
+    found = with_digests(checkpoint(compacted(checkpoint(paths(df, k, id_col, text_col, bits)))), keyed, id_col, text_col, k)
 
     def run(batches):
         for batch in batches:
@@ -424,4 +429,4 @@ def cut(df: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text
                 columns[names.index(text_col)] = pa.array(texts, columns[names.index(text_col)].type)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return _with_spans(keyed, found).mapInArrow(run, schema)
+    return _with_spans(keyed, found, id_col).mapInArrow(run, schema)

@@ -136,9 +136,9 @@ def test_spans_and_cut(spark):
     found = common.checkpoint(substring.paths(df))
     spans = substring.compacted(found)
     assert [tuple(r) for r in spans.collect()] == [(2, 1, 48, 1, 2)] and found.count() > 1  # joined across buckets
-    keyed = substring._keyed(df, "doc_id")
-    assert substring.with_digests(spans, keyed, "text", 13).first().digests == [hashlib.sha256(passage.encode()).digest()]
-    wrong = substring.with_digests(spans.withColumn("src_start", F.col("src_start") - 1), keyed, "text", 13)
+    keyed = substring._keyed(df, "doc_id", "text")
+    assert substring.with_digests(spans, keyed, "doc_id", "text", 13).first().digests == [hashlib.sha256(passage.encode()).digest()]
+    wrong = substring.with_digests(spans.withColumn("src_start", F.col("src_start") - 1), keyed, "doc_id", "text", 13)
     kept = {r.doc_id: r for r in substring._removed(keyed, wrong, "doc_id", "text", 13, 64).collect()}
     assert kept[2].n_removed == 0 and len(kept[2].ask) == 48  # other words than the source's stay, and are asked again
     assert substring.removed(df.limit(0)).count() == 0 and substring.cut(df.limit(0)).count() == 0
@@ -197,6 +197,45 @@ def test_gradients_are_right():
         assert abs((up - down) / (2 * eps) - grad[name][index]) < 5e-3
 
 
+def test_scores_are_those_of_a_plain_convolution():
+    """Filters at every byte, maxima of overlapping chunks, mean and maximum of those: said byte by byte."""
+    net, rng = quality.Network(3), random.Random(8)
+    net.bias[...] = np.linspace(-0.5, 0.5, quality.FILTERS)
+    texts = [bytes(rng.randrange(256) for _ in range(n)) for n in (0, 1, 4, 120, 124, 125, 128, 252, 253, 700)]
+    table = net.tables.astype(float)
+    for text, score in zip(texts, net.score(texts)):
+        blocks = -(-(len(text) + quality.WIDTH - 1) // quality.HALF)
+        data = text + bytes(blocks * quality.HALF - len(text))
+        at = [sum(table[w][data[i + w]] for w in range(quality.WIDTH)) for i in range(len(data) - quality.WIDTH + 1)]
+        half = [np.max(at[k * quality.HALF : (k + 1) * quality.HALF], axis=0) for k in range(blocks)]
+        chunks = [np.maximum(a, b) for a, b in zip(half, half[1:])] or half
+        chunks = [np.maximum(c + net.bias, 0) for c in chunks]
+        logit = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0), [1]]) @ net.out.astype(float)
+        assert abs(score - 1 / (1 + np.exp(-logit))) < 1e-4, len(text)
+
+
+def test_rows_without_an_id_are_spread(spark):
+    """Half of the rows have no id: they meet in no group of the joins, and repeats among them stay as they are."""
+    line = " ".join(f"w{i}" for i in range(15))
+    rows = [(i if i % 2 else None, f"{line} only {i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = substring._keyed(df, "doc_id", "text").groupBy("key").count()
+    assert keys.agg(F.max("count")).first()[0] <= 4 and keys.count() > 380
+    got = substring.removed(df)
+    assert got.where("doc_id is null").agg(F.max("n_removed")).first()[0] == 0
+    assert {r.n_removed for r in got.where("doc_id > 1").collect()} == {16} and got.count() == 400
+    ids = substring.cut(df).where("doc_id is null").select("text")
+    assert {r.text for r in ids.collect()} == {t for i, t in rows if i is None}
+
+
+def test_rows_with_one_id_are_packed_in_many_groups(spark):
+    from corollary.llm import packing
+
+    df = spark.createDataFrame([(None if i % 2 else 7, f"text {i} " * (i % 9)) for i in range(300)], "doc_id long, text string")
+    got = packing.packed(df, group=20).collect()
+    assert len(got) == 300 and len({r.sequence_id >> 32 for r in got}) > 8
+
+
 def test_held_out_matches_crc(spark):
     import zlib
 
