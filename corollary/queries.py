@@ -345,6 +345,17 @@ def ucq_shared(spark, d):
     return answer_shared(kb, (parse_query(f"?(X,Y) :- {path}, order_part(X,P)"), parse_query(f"?(X,Y) :- {path}, order_supplier(X,S)")))
 
 
+_FRENCH = f"customer_nation(C,{TAGS['nation'] * SPACE + 6}), customer_segment(C,{TAGS['segment'] * SPACE + 2})"
+
+
+@register("ucq_shared_star", _with("order_customer", "event_user", "customer_nation", "customer_segment") + f""", c AS (SELECT a.s FROM customer_nation a JOIN customer_segment b ON a.s = b.s WHERE a.o = {TAGS['nation'] * SPACE + 6} AND b.o = {TAGS['segment'] * SPACE + 2})
+SELECT s AS x0, o AS x1 FROM order_customer SEMI JOIN c ON order_customer.o = c.s UNION SELECT s, o FROM event_user SEMI JOIN c ON event_user.o = c.s""")
+def ucq_shared_star(spark, d):
+    """Orders and events of the customers of one nation and segment: who these are is made once."""
+    kb = star(spark, d, "order_customer", "event_user", "customer_nation", "customer_segment").measure()
+    return answer_shared(kb, (parse_query(f"?(X,C) :- order_customer(X,C), {_FRENCH}"), parse_query(f"?(X,C) :- event_user(X,C), {_FRENCH}")))
+
+
 @register("rewrite_through_deleted", _with("order_region", "order_part") + "SELECT DISTINCT a.s AS x0, a.o AS x1 FROM order_region a JOIN order_part b ON a.s = b.s")
 def rewrite_through_deleted(spark, d):
     kb = _only(star(spark, d, "order_customer", "customer_nation", "nation_region", "order_part"))

@@ -11,6 +11,7 @@ from corollary.operators.recover import Known, closure, groups, transitive
 from corollary.operators.ruleset import RuleSet, as_body
 from corollary.plans.fus import closures
 from corollary.plans.layers import Layers, answer_derived, answer_layered, unfoldings
+from corollary.plans.query import answer
 from corollary.plans.rewrite import NotRewritable
 from corollary.plans.terms import parse_query, parse_rule
 from corollary.sources.kb import KnowledgeBase, number, read_mapping
@@ -130,6 +131,43 @@ def test_sets_by_groups(spark):
     assert rows(small.deleted) == [("b", 1, 2, 2), ("c", 1, 2, 1), ("y", 5, 6, 1)] and rows(small.recover()) == sorted(facts)
 
 
+# ---- shared pieces ----------------------------------------------------------------------------------
+
+UNIONS = [
+    (["?(X,C) :- a(X,C), b(C,1), c(C,2)", "?(X,C) :- d(X,C), c(C,2), b(C,1)"], 1),  # a star with constants, in any order
+    (["?(X,Y) :- a(X,Z), b(Z,W), c(W,Y)", "?(Y,X) :- b(U,V), c(V,X), a(Y,U), d(Y,T)"], 1),  # a path, one query is the piece
+    (["?(X,Y) :- a(X,Z), b(Z,Y)", "?(X,Z) :- a(X,Z), b(Z,Y)"], 0),  # the middle is asked for once
+    (["?(X,Y) :- a(X,Z), b(Z,Y), a(X,U), b(U,Y), d(X,Y)", "?(X,Y) :- a(X,V), b(V,Y)"], 1),
+    (["?(X,Y) :- a(X,Z), a(Z,Y), d(X,Y)", "?(X,Y) :- a(X,Z), a(Z,Y), c(X,Y)", "?(X,Y) :- a(X,Z), a(Z,W), c(W,Y)"], 1),
+]
+
+
+@pytest.mark.parametrize("texts, pieces", UNIONS)
+def test_shared_pieces(spark, texts, pieces):
+    from corollary.plans.share import answer_shared, shared
+
+    rng = random.Random(9)
+    facts = {(rng.choice("abcd"), rng.randrange(4), rng.randrange(4)) for _ in range(40)}
+    union = tuple(parse_query(t) for t in texts)
+    want = sorted(set().union(*(answers(facts, q) for q in union)))
+    kb = base(spark, facts, "abcd")
+    made, queries = shared(kb, list(union))
+    assert len(made.relations) - 4 == pieces or pieces and len(made.relations) > 4
+    assert sorted({tuple(r) for q in queries for r in answer(made, q).collect()}) == want
+    assert rows(answer_shared(kb.measure(), union)) == want
+
+
+def test_pieces_are_made_where_they_save_rows(spark):
+    from corollary.plans.share import shared
+
+    n = 40
+    hub = {("a", i, 0) for i in range(n)} | {("b", 0, i) for i in range(n)} | {("c", 1, 1), ("d", 2, 2)}
+    path = {("a", i, i) for i in range(n)} | {("b", i, 0) for i in range(n)} | {("c", 1, 1), ("d", 2, 2)}
+    union = [parse_query("?(X,Y) :- a(X,Z), b(Z,Y), c(X,X)"), parse_query("?(X,Y) :- a(X,Z), b(Z,Y), d(X,X)")]
+    assert len(shared(base(spark, hub, "abcd").measure(), union)[0].relations) == 4  # n * n rows written to save 2 * n
+    assert len(shared(base(spark, path, "abcd").measure(), union)[0].relations) == 5
+
+
 # ---- layers -----------------------------------------------------------------------------------------
 
 
