@@ -16,6 +16,14 @@ from corollary.llm.common import drop_folder, shared_folder, table
 
 #: Near duplicates share 80 % of their runs of five words.
 SHINGLE, PERCENT = 5, 80
+#: Rows that Spark hands to Python at a time: documents are long, and a task holds one batch of them.
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+
+
+def _in_batches(spark: SparkSession) -> None:
+    """Batches of the session are of BATCH rows at most from now on."""
+    if not 0 < int(spark.conf.get(BATCH[0])) <= BATCH[1]:
+        spark.conf.set(*BATCH)
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -25,27 +33,32 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
+    _in_batches(spark)
     return quality.kept(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
+    _in_batches(spark)
     others = near_dup.linked(docs, k=SHINGLE, percent=PERCENT).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that a document with a smaller id has."""
+    _in_batches(spark)
     return _counted(substring.cut(docs))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by its kind."""
+    _in_batches(spark)
     return _counted(pii.redact(docs))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in sequences of 1024 tokens."""
+    _in_batches(spark)
     return packing.packed(docs)
 
 
