@@ -260,8 +260,9 @@ class Canonical:
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """key, row: rows whole. Rows without an id get one of as many keys below all ids as hashes of their texts tell,
-    so they meet in no group; with it both joins read one exchange. Such a row takes no part in either."""
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long") + F.pmod(F.xxhash64(text_col), F.lit(1 << 32).cast("long")))
+    so they meet in no group. The key is never null (nor, for Spark, can it be), so both joins read one exchange.
+    Such a row takes no part in either."""
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long") + F.shiftrightunsigned(F.xxhash64(text_col), 32))
     return df.select(key.alias("key"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
 
 
