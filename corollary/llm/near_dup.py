@@ -30,7 +30,8 @@ Work that copies would make quadratic is avoided in steps, none of which loses a
 
 Components grow by rounds of the smallest neighbour's label and pointer jumping in Spark; no link,
 label or set is sent to the driver. Null texts and texts without words have empty sets and are linked
-with nothing. Repeated rows have equal sets. Rows without an id keep a null component.
+with nothing. Repeated rows have equal sets; those with one id are one document, so all of them are kept
+or none. Rows without an id keep a null component.
 """
 
 from __future__ import annotations

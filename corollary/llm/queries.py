@@ -224,5 +224,42 @@ QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DE
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_secrets, op3_near_dup, op4_html, op5_packing, op6_quality, op7_topk, op8_media, op9_substring, op10_bpe, op11_fim, op12_licenses, op13_hard_negatives)}
-ORACLE_SQL: dict[str, str] = {"op3_near_dup": OP3_SQL, "op7_topk": OP7_SQL, "op9_substring": OP9_SQL, "op11_fim": OP11_SQL, "op12_licenses": _op12_sql(), "op13_hard_negatives": OP13_SQL}
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1's rules alone, which SQL can say too."""
+    return op1_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+PII_BASE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (
+  SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS emails, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ips,
+    list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS cards,
+    list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS phones
+  FROM d
+)
+SELECT doc_id, len(emails)::BIGINT AS n_email,
+  len(list_filter(ips, lambda x: len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR (length(ltrim(p, '0')) = 3 AND ltrim(p, '0') > '255'))) = 0))::BIGINT AS n_ip,
+  len(list_filter(cards, lambda x: length(x) BETWEEN 13 AND 19 AND list_sum(list_transform(range(0, length(x)), lambda i:
+    CASE WHEN i % 2 = 0 THEN x[length(x) - i]::INTEGER ELSE 2 * x[length(x) - i]::INTEGER - (CASE WHEN x[length(x) - i]::INTEGER > 4 THEN 9 ELSE 0 END) END)) % 10 = 0))::BIGINT AS n_card,
+  len(list_filter(phones, lambda x: length(x) BETWEEN 9 AND 15))::BIGINT AS n_phone
+FROM m
+"""
+
+
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2's rules alone, likewise."""
+    return op2_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+SECRETS_BASE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id,
+  len(list_filter(regexp_extract_all(t, '(NAMES)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 8))::BIGINT AS n_assign,
+  len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16))::BIGINT AS n_access,
+  len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 32))::BIGINT AS n_hex
+FROM d
+""".replace("NAMES", "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in name) for name in ("password", "passwd", "secret", "token", "api_?key")))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_secrets, op3_near_dup, op4_html, op5_packing, op6_quality, op7_topk, op8_media, op9_substring, op10_bpe, op11_fim, op12_licenses, op13_hard_negatives, pii_base, secrets_base)}
+ORACLE_SQL: dict[str, str] = {"op3_near_dup": OP3_SQL, "op7_topk": OP7_SQL, "op9_substring": OP9_SQL, "op11_fim": OP11_SQL, "op12_licenses": _op12_sql(), "op13_hard_negatives": OP13_SQL, "pii_base": PII_BASE_SQL, "secrets_base": SECRETS_BASE_SQL}
