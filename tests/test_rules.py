@@ -9,7 +9,7 @@ from corollary.operators import fit, verify
 from corollary.operators.compress import CompressedKB, compress, compress_sets
 from corollary.operators.recover import Known, closure, groups, transitive
 from corollary.operators.ruleset import RuleSet, as_body
-from corollary.plans.fus import closures
+from corollary.plans.fus import closures, domain_restricted, linear, rewritable, sticky
 from corollary.plans.layers import Layers, answer_derived, answer_layered, unfoldings
 from corollary.plans.query import answer
 from corollary.plans.rewrite import NotRewritable
@@ -131,6 +131,19 @@ def test_sets_by_groups(spark):
     assert rows(small.deleted) == [("b", 1, 2, 2), ("c", 1, 2, 1), ("y", 5, 6, 1)] and rows(small.recover()) == sorted(facts)
 
 
+def test_bounded_recursion_is_taken(spark):
+    """Of no class: Z is lost and joined, p depends on itself. Two steps lead back to p, so the union is finite."""
+    rule = P("p(X,Y) :- a(X,Z), b(Z,Y), p(Y,X)")
+    assert not sticky([rule]) and not linear([rule]) and not domain_restricted([rule]) and rewritable([rule])
+    assert not rewritable([P("t(X,Y) :- t(X,Z), t(Z,Y)")]) and not rewritable([P("t(X,Y) :- e(X,Z), t(Z,Y)")])
+    rng = random.Random(6)
+    facts = chase({(rng.choice("aabbp"), rng.randrange(4), rng.randrange(4)) for _ in range(24)}, [rule])
+    small = compress(base(spark, facts, "abp"), [rule])
+    assert small.rules == [rule] and not small.deleted.isEmpty() and rows(small.recover()) == sorted(facts)
+    q = parse_query("?(X,Y) :- p(X,Z), p(Z,Y)")
+    assert rows(small.answer(q)) == sorted(answers(facts, q))
+
+
 # ---- shared pieces ----------------------------------------------------------------------------------
 
 UNIONS = [
