@@ -28,6 +28,8 @@ from corollary.plans.terms import CQ, Const, Rule, Term, Var
 
 #: Rows of a rules' table that is broadcast.
 SMALL = 100_000
+#: So few bodies are planned one by one: Catalyst then sees the sizes of their own relations.
+FEW = 8
 
 
 @dataclass(frozen=True)
@@ -137,7 +139,7 @@ class RuleSet:
         for r in self.rules:
             if not r.safe:
                 raise ValueError(f"unsafe: {r}")
-            body = as_body(r)
+            body = as_body(r) if len(self.rules) > FEW else None
             key, swapped = body if body else (r.as_query(), 0)
             self.of.append((known.setdefault(key, len(known)), swapped))
         self.bodies = {i: b for b, i in known.items()}
@@ -158,6 +160,9 @@ class RuleSet:
 
     def counted(self) -> DataFrame:
         """rule_id, support, hits; rules without matches are not there."""
+        if len(self.rules) <= FEW:
+            facts = self.kb.facts(*sorted({r.head.rel for r in self.rules})).withColumn("there", F.lit(1))
+            return self.inferred().join(facts, ["rel", "s", "o"], "left").groupBy("rule_id").agg(F.count("*").alias("support"), F.count("there").alias("hits"))
         heads = {(body, self.facts.number(r.head.rel, swapped)) for r, (body, swapped) in zip(self.rules, self.of)}
         # relations that hold between two terms, in one row: no more than there are relations
         there = self.facts.of({c for _, c in heads}).groupBy(F.col("s").alias("p"), F.col("o").alias("q")).agg(F.collect_set("rel").alias("rels"))

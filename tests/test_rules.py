@@ -49,6 +49,10 @@ def test_rules_against_brute_force(spark):
         assert got[i] == (len(heads), len(heads - facts)), str(r)
         want |= {(i, *h) for h in heads - facts}
     assert wrong == want
+    few = [0, 1, 3, 6, 14]  # so few are planned one by one
+    some = {r.rule_id: (r.support, r.counterexamples) for r in verify.verify_rules(kb, [rules[i] for i in few]).collect()}
+    assert some == {k: got[i] for k, i in enumerate(few)}
+    assert {(few[r.rule_id], r.rel, r.s, r.o) for r in verify.counter_examples(kb, [rules[i] for i in few]).collect()} == {w for w in want if w[0] in few}
     with pytest.raises(ValueError, match="unsafe"):
         verify.verify_rules(kb, [P("r0(X,W) :- r1(X,Y)")])
 
