@@ -8,7 +8,8 @@ nothing asks for any more goes at once, and repeated bindings with it.
 
 What heads a body has is not joined per rule either: each distinct pair of a body meets the set of relations
 that hold between its two terms, and counting by (body, relation) tells support and hits of every rule. The
-pairs are shuffled by their terms once.
+pairs are shuffled by their terms once. Twins (``plans.twins``) are counted without being joined: pairs are of the
+first entities of their classes, and weigh as much as both classes have members.
 
 The rules' tables are as large as the rules, which the driver holds anyway; they are broadcast up to SMALL
 rows, and joined as Spark sees fit beyond. Bodies whose atoms do not hang together (a product) are evaluated
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from corollary.plans.query import answer
 from corollary.plans.terms import CQ, Const, Rule, Term, Var
+from corollary.plans.twins import Twins
 
 #: Rows of a rules' table that is broadcast.
 SMALL = 100_000
@@ -163,12 +165,26 @@ class RuleSet:
         if len(self.rules) <= FEW:
             facts = self.kb.facts(*sorted({r.head.rel for r in self.rules})).withColumn("there", F.lit(1))
             return self.inferred().join(facts, ["rel", "s", "o"], "left").groupBy("rule_id").agg(F.count("*").alias("support"), F.count("there").alias("hits"))
+        return self._over_twins().counted_by_class()
+
+    def _over_twins(self) -> RuleSet:
+        """The same rules over one entity of each class of twins; what is there after is counted by the sizes of classes."""
+        named = {t.value for r in self.rules for a in (r.head, *r.body) for t in a.terms if isinstance(t, Const) and isinstance(t.value, int)}
+        twins = Twins(self.kb, {a.rel for r in self.rules for a in (r.head, *r.body)}, named)
+        out = RuleSet(twins.kb, self.rules)
+        out.twins = twins
+        return out
+
+    def counted_by_class(self) -> DataFrame:
         heads = {(body, self.facts.number(r.head.rel, swapped)) for r, (body, swapped) in zip(self.rules, self.of)}
         # relations that hold between two terms, in one row: no more than there are relations
         there = self.facts.of({c for _, c in heads}).groupBy(F.col("s").alias("p"), F.col("o").alias("q")).agg(F.collect_set("rel").alias("rels"))
-        met = self.pairs().join(there, ["p", "q"], "left")
+        met = self.twins.weighed(self.pairs(), "p", "q").join(there, ["p", "q"], "left")
+        # a pair of classes is as many pairs as both have members, but for heads h(X, X)
+        once = sorted(i for i, b in self.bodies.items() if (b.head if isinstance(b, Body) else b.answer)[0] == (b.head if isinstance(b, Body) else b.answer)[1])
+        weight = F.when(F.col("body").isin(once), F.col("p_n")).otherwise(F.col("p_n") * F.col("q_n")).alias("weight")
         every = F.concat(F.array(F.lit(-1)), F.coalesce("rels", F.array().cast("array<int>")))
-        n = met.select("body", F.explode(every).alias("rel")).groupBy("body", "rel").agg(F.count("*").alias("n"))
+        n = met.select("body", weight, F.explode(every).alias("rel")).groupBy("body", "rel").agg(F.sum("weight").alias("n"))
         of_body = n.groupBy("body").agg(F.max(F.when(F.col("rel") == -1, F.col("n"))).alias("support"), F.map_from_entries(F.collect_list(F.struct("rel", "n"))).alias("by_rel"))
         rows = [(i, body, self.facts.number(r.head.rel, swapped)) for i, (r, (body, swapped)) in enumerate(zip(self.rules, self.of))]
         table = _table(self.kb.spark, rows, "rule_id int, body int, rel int")
