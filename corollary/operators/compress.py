@@ -7,9 +7,9 @@ the one before left, so each deleted fact has a derivation from facts alive at t
 order of deletion, read backwards, is an order of recovery. Where a rewriting's head relation stands in
 its own body, facts that some match needs as body facts stay.
 
-Deleted facts are written once per step, with the step's number; when a level is first asked for, the
-relations that lost facts are written once with the steps of their facts. Level k of the compressed base
-is then ``step > k or null`` in the scan, so moving between levels moves no data. The original facts stay
+Deleted facts are written once per step, and what is left of a relation if a later rule may read it. Level k of the
+compressed base is ``step > k or null``, which leaves whole steps out of the plan, so moving between levels moves no data;
+a base that was changed writes its relations once with the steps of their facts. The original facts stay
 as they are. A rule that deletes nothing is not accepted.
 """
 
@@ -41,7 +41,7 @@ def deletable(alive: KnowledgeBase, rel: str, q: CQ) -> DataFrame:
     here = alive.relation(rel)
     if rule.symmetric:  # one orientation stays
         swapped = here.select(F.col("o").alias("s"), F.col("s").alias("o"))
-        return here.where("s > o").join(swapped, ["s", "o"], "left_semi")
+        return here.where("s > o").join(swapped.where("s > o"), ["s", "o"], "left_semi")
     own = [i for i, a in enumerate(q.atoms) if a.rel == rel]
     if not own:
         heads = answer(alive, q).select(F.col("x0").alias("s"), F.col("x1").alias("o"))
@@ -59,12 +59,16 @@ class CompressedKB:
     deleted: DataFrame  # rel, s, o, step (1 for the first rule)
     emptied: dict[str, int] = field(default_factory=dict)  # relations without a fact from that step on
     left_out: list[tuple[Rule, str]] = field(default_factory=list)  # rules not taken, and why
+    parts: dict[str, list[DataFrame]] | None = None  # relations that lost facts: (rel, s, o, step) of what is kept and of each step
 
     @cached_property
     def placed(self) -> tuple[list[str], DataFrame]:
         """The relations that lost facts, and all their facts with the step at which each goes (null: kept), written
-        once to the shared folder by relation: a level is a filter that the scan applies, without a join."""
+        once to the shared folder by relation: a level is a filter that the scan applies, without a join. What the run of
+        rules has written already, step by step, is read as it is: other steps are left out of the plan."""
         spark = self.kb.spark
+        if self.parts:
+            return [*self.parts], reduce(DataFrame.unionByName, (df for some in self.parts.values() for df in some))
         lost = [r.rel for r in self.deleted.select("rel").distinct().collect()]  # relations
         path = f"{shared_folder(spark)}/compressed/{uuid.uuid4().hex}"
         if lost:
@@ -165,6 +169,8 @@ def compress(kb: KnowledgeBase, rules: list[Rule], patience: int = PATIENCE, mos
     program = Program()
     alive = KnowledgeBase(kb.spark, kb.relations)  # what is not deleted; a relation is written anew when a rule has taken of it
     deltas: list[DataFrame] = []  # all facts deleted so far
+    parts: dict[str, list[DataFrame]] = {}
+    sizes: dict[str, int] = {}  # facts alive, of relations that lost some
     emptied: dict[str, int] = {}
     left_out: list[tuple[Rule, str]] = []
     idle = 0
@@ -182,23 +188,37 @@ def compress(kb: KnowledgeBase, rules: list[Rule], patience: int = PATIENCE, mos
         members = [q for q in program.memo.relation(rel) if not (len(q.atoms) == 1 and q.atoms[0] == Atom(rel, q.answer))]
         members.sort(key=lambda q: (not Rule(Atom(rel, q.answer), q.atoms).symmetric, len(q.atoms)))
         own: list[DataFrame] = []
+        lost = 0
         for q in members:
             here = alive if not own else KnowledgeBase(kb.spark, alive.relations | {rel: _left(alive.relation(rel), own)})
-            gone = checkpoint(deletable(here, rel, q).select(F.lit(rel).alias("rel"), "s", "o", F.lit(step).alias("step")))
-            if not gone.isEmpty():
+            gone = checkpoint(deletable(here, rel, q))
+            n = gone.count()
+            if n:
                 own.append(gone)
+                lost += n
         if own:
             idle = 0
-            deltas += own
-            alive.relations[rel] = checkpoint(_left(alive.relation(rel), own))
-            if alive.relations[rel].isEmpty():
+            placed = [df.select(F.lit(rel).alias("rel"), "s", "o", F.lit(step).alias("step")) for df in own]
+            deltas += placed
+            parts.setdefault(rel, []).extend(placed)
+            if rel not in sizes:
+                sizes[rel] = alive.relation(rel).count()
+            sizes[rel] -= lost
+            if not sizes[rel]:
+                alive.relations[rel] = kb.spark.createDataFrame([], "s bigint, o bigint")
                 emptied.setdefault(rel, step)
+            else:
+                rest = _left(alive.relation(rel), own)
+                alive.relations[rel] = checkpoint(rest) if rules[i + 1 :] else rest
         else:
             program.restore(before)
             left_out.append((rule, "deletes nothing"))
             idle += 1
+    for rel, some in parts.items():
+        if rel not in emptied:
+            some.append(alive.relations[rel].select(F.lit(rel).alias("rel"), "s", "o", F.lit(None).cast("int").alias("step")))
     deleted = reduce(DataFrame.unionByName, deltas) if deltas else kb.spark.createDataFrame([], f"{FACTS}, step int")
-    return CompressedKB(kb, program.rules, deleted, emptied, left_out)
+    return CompressedKB(kb, program.rules, deleted, emptied, left_out, parts)
 
 
 def _left(facts: DataFrame, gone: list[DataFrame]) -> DataFrame:

@@ -95,7 +95,7 @@ def _along(paths: DataFrame) -> DataFrame:
     both = pieces.join(behind, "path").where(F.col("piece") <= F.col("_p"))
     dealt = both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "piece", "_p")
     one = dealt.select(F.posexplode("some").alias("_i", "s"), "_behind", (F.col("piece") == F.col("_p")).alias("_same"))
-    return one.select("s", F.explode(F.when(F.col("_same"), F.slice("_behind", F.col("_i") + 2, PIECE)).otherwise(F.col("_behind"))).alias("o"))
+    return one.select("s", F.explode(F.when(F.col("_same"), F.slice("_behind", F.col("_i") + 2, PIECE)).otherwise(F.col("_behind"))).alias("o")).hint("merge")
 
 
 def transitive(edges: DataFrame) -> tuple[DataFrame, int]:

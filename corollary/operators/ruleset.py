@@ -161,12 +161,21 @@ class RuleSet:
         return reduce(DataFrame.unionByName, parts)
 
     def counted(self) -> DataFrame:
-        """rule_id, support, hits; rules without matches are not there."""
+        """rule_id, support, hits; rules without matches may be missing."""
         if len(self.rules) <= FEW:
-            facts = self.kb.facts(*sorted({r.head.rel for r in self.rules})).withColumn("there", F.lit(1))
-            return self.inferred().join(facts, ["rel", "s", "o"], "left").groupBy("rule_id").agg(F.count("*").alias("support"), F.count("there").alias("hits"))
+            return reduce(DataFrame.unionByName, (self._one(i, r) for i, r in enumerate(self.rules)))
         return self._over_twins().counted_by_class()
 
+    def _one(self, i: int, rule: Rule) -> DataFrame:
+        """rule_id, support, hits of one rule."""
+        facts = self.kb.relation(rule.head.rel)
+        if rule.symmetric:  # as many facts above the diagonal as below it have their reverse
+            above = facts.where("s > o").join(facts.where("o > s").select(F.col("o").alias("s"), F.col("s").alias("o")), ["s", "o"], "left_semi").agg(F.count("*").alias("above"))
+            every = facts.agg(F.count("*").alias("support"), F.count_if(F.col("s") == F.col("o")).alias("level"))
+            return every.join(F.broadcast(above)).select(F.lit(i).alias("rule_id"), "support", (F.col("level") + 2 * F.col("above")).alias("hits"))
+        found = answer(self.kb, rule.as_query()).toDF("s", "o").join(facts.withColumn("there", F.lit(1)), ["s", "o"], "left")
+        return found.agg(F.count("*").alias("support"), F.count("there").alias("hits")).select(F.lit(i).alias("rule_id"), "support", "hits")
+
     def _over_twins(self) -> RuleSet:
         """The same rules over one entity of each class of twins; what is there after is counted by the sizes of classes."""
         named = {t.value for r in self.rules for a in (r.head, *r.body) for t in a.terms if isinstance(t, Const) and isinstance(t.value, int)}
