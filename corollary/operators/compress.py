@@ -22,7 +22,7 @@ from functools import cached_property, reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corollary.functions.lineage import checkpoint, shared_folder
+from corollary.functions.lineage import checkpoint, dealt, shared_folder
 from corollary.operators.recover import closure
 from corollary.operators.verify import verify_rules
 from corollary.plans.fus import Program, closures
@@ -230,24 +230,41 @@ def compress_sets(kb: KnowledgeBase, rules: list[Rule]) -> CompressedKB:
     changes. Rules that no shared relation ties together, in any number of steps, are groups of their own: a round
     is one job for all groups that still change, and one that does not is not read again. As groups share no
     relation, the end of each is the end of all. Steps are rounds; the rules all count from the first."""
-    deltas: list[DataFrame] = []
+    spark = kb.spark
     tied = closures(rules)
-    active = {min(m) for m in tied}
+    group = {r.head.rel: min(m) for r, m in zip(rules, tied)}
+    # only heads of rules can go, so only those are looked for among body facts; they are read in every round
+    alive = KnowledgeBase(spark, kb.relations | {n: checkpoint(kb.relation(n)) for n in group})
+    sizes = {n: alive.relation(n).count() for n in group}
+    deltas: list[DataFrame] = []
+    active = {*group.values()}
     while active:
-        some = [r for r, m in zip(rules, tied) if min(m) in active]
-        group = {r.head.rel: min(m) for r, m in zip(rules, tied)}
-        alive = kb.without(reduce(DataFrame.unionByName, deltas), {r.head.rel for r in some}) if deltas else kb
-        heads, bodies = [], []
+        some = [r for r in rules if group[r.head.rel] in active]
+        heads: dict[str, list[DataFrame]] = {}
+        used: dict[str, list[DataFrame]] = {}
         for r in some:
-            q = r.as_query()
-            matches = provenance(alive, q).select("*", F.lit(r.head.rel).alias("rel"))
-            hit = matches.join(alive.relation(r.head.rel).select(F.col("s").alias("x0"), F.col("o").alias("x1")), ["x0", "x1"], "left_semi")
-            heads.append(hit.select("rel", F.col("x0").alias("s"), F.col("x1").alias("o")))
-            bodies += [hit.select(F.lit(a.rel).alias("rel"), F.col(f"b{i}_s").alias("s"), F.col(f"b{i}_o").alias("o")) for i, a in enumerate(r.body)]
-        used = reduce(DataFrame.unionByName, bodies).distinct()
-        gone = checkpoint(reduce(DataFrame.unionByName, heads).distinct().join(used, ["rel", "s", "o"], "left_anti").withColumn("step", F.lit(len(deltas) + 1)))
-        active = {group[r.rel] for r in gone.select("rel").distinct().collect()}  # relations
+            rel, own = r.head.rel, [i for i, a in enumerate(r.body) if a.rel in group]
+            rows = max(sizes[rel], *(sizes[r.body[i].rel] for i in own)) if own else sizes[rel]
+            matches = provenance(alive, r.as_query()).withColumnsRenamed({"x0": "s", "x1": "o"})
+            here = dealt(alive.relation(rel), rows, "s", "o")
+            heads.setdefault(rel, []).append(here.join(matches.select("s", "o"), ["s", "o"], "left_semi"))
+            for i in own:
+                body = matches.select("s", "o", F.col(f"b{i}_s").alias("bs"), F.col(f"b{i}_o").alias("bo"))
+                used.setdefault(r.body[i].rel, []).append(dealt(body, rows, "s", "o").join(here, ["s", "o"], "left_semi").select(F.col("bs").alias("s"), F.col("bo").alias("o")))
+        going = []
+        for rel, parts in heads.items():
+            gone = dealt(reduce(DataFrame.unionByName, parts), sizes[rel], "s", "o").distinct() if len(parts) > 1 else parts[0]
+            if rel in used:
+                gone = gone.join(dealt(reduce(DataFrame.unionByName, used[rel]), sizes[rel], "s", "o"), ["s", "o"], "left_anti")
+            going.append(gone.select(F.lit(rel).alias("rel"), "s", "o", F.lit(len(deltas) + 1).alias("step")))
+        gone = checkpoint(reduce(DataFrame.unionByName, going))
+        lost = {r.rel: r.n for r in gone.groupBy("rel").agg(F.count("*").alias("n")).collect()}  # one row per relation
+        active = {group[rel] for rel in lost}
         if active:
             deltas.append(gone)
-    deleted = reduce(DataFrame.unionByName, deltas) if deltas else kb.spark.createDataFrame([], f"{FACTS}, step int")
+        for rel, n in lost.items():
+            sizes[rel] -= n
+            rest = dealt(alive.relation(rel), sizes[rel] + n, "s", "o").join(gone.where(F.col("rel") == rel).select("s", "o"), ["s", "o"], "left_anti")
+            alive.relations[rel] = checkpoint(rest) if sizes[rel] else spark.createDataFrame([], "s bigint, o bigint")
+    deleted = reduce(DataFrame.unionByName, deltas) if deltas else spark.createDataFrame([], f"{FACTS}, step int")
     return CompressedKB(kb, list(rules), deleted)
