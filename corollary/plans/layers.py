@@ -10,15 +10,16 @@ folder in the order in which they depend on each other, the others stay part of
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 from math import prod
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corollary.functions.lineage import checkpoint
+from corollary.functions.lineage import checkpoint, dealt
 from corollary.plans.logic import unify
-from corollary.plans.query import answer
+from corollary.plans.query import answer, repeated
 from corollary.plans.rewrite import NotRewritable, rewrite
 from corollary.plans.terms import CQ, Atom, Rule, apart, canonical
 from corollary.sources.kb import KnowledgeBase
@@ -64,12 +65,24 @@ class Layers:
         return Atom(name, atom.terms)
 
     def over(self, kb: KnowledgeBase) -> KnowledgeBase:
-        """The base with the definitions as relations."""
+        """The base with the definitions as relations. Stored relations that several definitions read are written once, too.
+        A definition's rows are dealt before repeats go, to as many tasks as what it reads has rows for."""
         out = KnowledgeBase(kb.spark, kb.relations)
+        read = Counter(a.rel for _, bodies in self.bodies.values() for b in bodies for a in b.atoms)
+        sizes: dict[str, int] = {}
+        for n in read.keys() & kb.relations.keys():
+            if read[n] > 1:
+                out.relations[n] = checkpoint(kb.relation(n))
+            sizes[n] = out.relation(n).count()
         for name, (like, bodies) in self.bodies.items():
-            parts = [answer(kb, CQ(like.terms, (like,))), *(answer(out, b) for b in bodies)]
-            df = reduce(DataFrame.unionByName, parts).distinct().select(F.col("x0").alias("s"), F.col("x1").alias("o"))
-            out.relations[name] = checkpoint(df) if self.readers.get(name, 0) > 1 and bodies else df
+            if like.rel in kb.relations and like.rel not in sizes:
+                sizes[like.rel] = kb.relation(like.rel).count()
+            parts = [repeated(out, q) for q in (CQ(like.terms, (like,)), *bodies)]
+            rows = sizes.get(like.rel, 0) + sum(max(sizes.get(a.rel, 0) for a in b.atoms) for b in bodies)
+            df = dealt(reduce(DataFrame.unionByName, parts), rows, "x0", "x1").distinct().select(F.col("x0").alias("s"), F.col("x1").alias("o"))
+            written = self.readers.get(name, 0) > 1 and bool(bodies)
+            out.relations[name] = checkpoint(df) if written else df
+            sizes[name] = out.relations[name].count() if written else rows
         return out
 
 
