@@ -7,7 +7,8 @@ the one before left, so each deleted fact has a derivation from facts alive at t
 order of deletion, read backwards, is an order of recovery. Where a rewriting's head relation stands in
 its own body, facts that some match needs as body facts stay.
 
-Deleted facts are written once per step, and what is left of a relation if a later rule may read it. Level k of the
+Deleted facts are written once per step, and what is left of a relation if a later rule may read it; of a relation that is
+known as pairs of classes (``twins.Squares``) a symmetric rule's facts are written out as they are read. Level k of the
 compressed base is ``step > k or null``, which leaves whole steps out of the plan, so moving between levels moves no data;
 a base that was changed writes its relations once with the steps of their facts. The original facts stay
 as they are. A rule that deletes nothing is not accepted.
@@ -168,6 +169,7 @@ def compress(kb: KnowledgeBase, rules: list[Rule], patience: int = PATIENCE, mos
             raise ValueError(f"rules with counter-examples: {'; '.join(sorted(r.rule for r in wrong))}")
     program = Program()
     alive = KnowledgeBase(kb.spark, kb.relations)  # what is not deleted; a relation is written anew when a rule has taken of it
+    alive.squares = kb.squares
     deltas: list[DataFrame] = []  # all facts deleted so far
     parts: dict[str, list[DataFrame]] = {}
     sizes: dict[str, int] = {}  # facts alive, of relations that lost some
@@ -188,28 +190,36 @@ def compress(kb: KnowledgeBase, rules: list[Rule], patience: int = PATIENCE, mos
         members = [q for q in program.memo.relation(rel) if not (len(q.atoms) == 1 and q.atoms[0] == Atom(rel, q.answer))]
         members.sort(key=lambda q: (not Rule(Atom(rel, q.answer), q.atoms).symmetric, len(q.atoms)))
         own: list[DataFrame] = []
-        lost = 0
+        lost, facts, rest = 0, None, None
         for q in members:
             here = alive if not own else KnowledgeBase(kb.spark, alive.relations | {rel: _left(alive.relation(rel), own)})
-            gone = checkpoint(deletable(here, rel, q))
-            n = gone.count()
+            square = here.square(rel) if Rule(Atom(rel, q.answer), q.atoms).symmetric else None
+            if square:  # as many as the square of a class: written out when they are read
+                gone = square.below()
+                facts, _, n = square.counted().first()
+            else:
+                gone = checkpoint(deletable(here, rel, q))
+                n = gone.count()
             if n:
                 own.append(gone)
                 lost += n
+                rest = square.others() if square and len(own) == 1 else None
         if own:
             idle = 0
             placed = [df.select(F.lit(rel).alias("rel"), "s", "o", F.lit(step).alias("step")) for df in own]
             deltas += placed
             parts.setdefault(rel, []).extend(placed)
             if rel not in sizes:
-                sizes[rel] = alive.relation(rel).count()
+                sizes[rel] = alive.relation(rel).count() if facts is None else facts
             sizes[rel] -= lost
             if not sizes[rel]:
                 alive.relations[rel] = kb.spark.createDataFrame([], "s bigint, o bigint")
                 emptied.setdefault(rel, step)
             else:
-                rest = _left(alive.relation(rel), own)
-                alive.relations[rel] = checkpoint(rest) if rules[i + 1 :] else rest
+                if rest is None:
+                    rest = _left(alive.relation(rel), own)
+                    rest = checkpoint(rest) if rules[i + 1 :] else rest
+                alive.relations[rel] = rest
         else:
             program.restore(before)
             left_out.append((rule, "deletes nothing"))
