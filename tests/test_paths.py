@@ -88,3 +88,7 @@ def test_pieces_of_long_paths_are_dealt_to_few_pairs(spark):
     got = transitive(spark.range(n).selectExpr("id AS s", "id + 1 AS o"))[0].groupBy().count()
     assert got.collect()[0][0] == n * (n + 1) // 2
     assert 0 < shuffled(got) < n * n // 100
+
+
+def test_no_edges_have_no_closure(spark):
+    assert rows(transitive(spark.createDataFrame([], "s long, o long"))[0]) == set()
